@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import encode, truncation
+from cellwise.llm import encode, leaks, overlap, truncation
 from cellwise.session import table
 
 
@@ -22,6 +22,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(folder, name)
 
 
+def _p1_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records = table(spark, sf_dir, "realtable_eval_verified")
+    return overlap.overlaps(records, "rec_id", "question", "table.headers", "table.rows", "split"), records
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p1_pairs(spark, sf_dir)[0].select("rec_id_a", "rec_id_b")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(*_p1_pairs(spark, sf_dir), "rec_id", "metadata.source.dataset")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, _, _ = truncation.truncated(table(spark, sf_dir, "p3_4b_exec_test_verified"), "detail_id", "model", "raw")
     return cut.select(F.col("id").alias("detail_id"))
@@ -35,10 +48,17 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
 }
 
 ORACLE_SQL: dict[str, str] = {}
