@@ -14,10 +14,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.session import materialize
+
 #: At most so many graded documents, those with the lowest hash of their id, fit the model; it bounds what is collected and broadcast.
 GRADED_SAMPLE = 20_000
 #: Graded documents that a word needs to be known.
@@ -105,46 +108,48 @@ def graded_documents(documents: DataFrame, ratings: DataFrame, id_col: str, text
     rated = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade"), *keys).where("grade is not null and doc_id is not null").distinct()
     by_doc = rated.groupBy("doc_id").agg(F.sort_array(F.collect_list("grade")).alias("g")).select("doc_id", F.expr("g[cast((size(g) - 1) div 2 as int)]").alias("grade"))
     chosen = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "doc_id")
+    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
 
 
 def fit(graded: DataFrame) -> tuple[dict[str, float], Discriminant] | None:
     """The acquisition grade of each known word, and the discriminant; None if no graded document has English prose."""
-    pairs = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("word", pa.string())])
+    pairs = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("word", pa.string()), ("times", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[], [], [], []]
             for doc, grade, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = set(prose_words(text))
+                words = Counter(prose_words(text))
                 cols[0] += [doc] * len(words)
                 cols[1] += [grade] * len(words)
-                cols[2] += words
+                cols[2] += words.keys()
+                cols[3] += words.values()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, pairs)], schema=pairs)
 
-    counted = graded.select("doc_id", "grade", "text").mapInArrow(run, "doc_id bigint, grade int, word string").groupBy("word", "grade").agg(F.count("*").alias("n"))
+    pairs_of = materialize(graded.select("doc_id", "grade", "text").mapInArrow(run, "doc_id bigint, grade int, word string, times int"), "graded")
+    counted = pairs_of.groupBy("word", "grade").agg(F.count("*").alias("n"))
     table = counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("grade", "n"))).alias("by"), F.sum("n").alias("n")).where(f"n >= {SUPPORT}").select("word", "by").toArrow().to_pylist()
-    got = graded.select("doc_id", "grade", "text").mapInArrow(_with_words, "grade int, words array<string>").toArrow().to_pylist()
-    got = [(r["grade"], r["words"]) for r in got if r["words"]]
-    if not got or not table:
+    n_by_grade = {r["grade"]: r["n"] for r in pairs_of.groupBy("grade").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    if not n_by_grade or not table:
         return None
-    classes = sorted({g for g, _ in got})
-    n_docs = np.array([sum(g == c for g, _ in got) for c in classes], dtype=float)
+    classes = sorted(n_by_grade)
+    n_docs = np.array([n_by_grade[c] for c in classes], dtype=float)
     counts = np.array([[dict(r["by"]).get(c, 0) for c in classes] for r in table], dtype=float)
     grades = dict(zip((r["word"] for r in table), acquisition(counts, n_docs).tolist()))
-    x, y = [], []
-    for g, words in got:
-        known = [grades[w] for w in words if w in grades]
-        if known:
-            x.append(features(np.array(known)))
-            y.append(g)
-    return grades, Discriminant(np.array(x), np.array(y))
-
-
-def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("grade", pa.int32()), ("words", pa.list_(pa.string()))])
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([prose_words(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], schema=schema)
+    shared = graded.sparkSession.sparkContext.broadcast(grades)
+    shape = "grade int, " + ", ".join(f"f{i} double" for i in range(len(QUANTILES) + 1))
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf["word"].map(shared.value)
+        keep = known.notna().to_numpy()
+        if not keep.any():
+            return pd.DataFrame(columns=[x.split()[0] for x in shape.split(", ")])
+        f = features(np.repeat(known.to_numpy(float)[keep], pdf["times"].to_numpy()[keep]))
+        return pd.DataFrame([[int(pdf["grade"].iloc[0]), *f]], columns=[x.split()[0] for x in shape.split(", ")])
+
+    rows = pairs_of.groupBy("doc_id").applyInPandas(summarise, shape).toArrow()  # a row of a few numbers for each document of the sample
+    x = np.column_stack([rows.column(i + 1).to_numpy() for i in range(len(QUANTILES) + 1)])
+    return grades, Discriminant(x, rows.column(0).to_numpy())
 
 
 def levels(documents: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", *, sample: int = GRADED_SAMPLE) -> DataFrame:
