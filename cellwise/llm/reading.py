@@ -14,13 +14,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.session import materialize
-
 #: At most so many graded documents, those with the lowest hash of their id, fit the model; it bounds what is collected and broadcast.
 GRADED_SAMPLE = 20_000
 #: Graded documents that a word needs to be known.
@@ -113,43 +110,42 @@ def graded_documents(documents: DataFrame, ratings: DataFrame, id_col: str, text
 
 def fit(graded: DataFrame) -> tuple[dict[str, float], Discriminant] | None:
     """The acquisition grade of each known word, and the discriminant; None if no graded document has English prose."""
-    pairs = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("word", pa.string()), ("times", pa.int32())])
+    pairs = pa.schema([("grade", pa.int32()), ("word", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc, grade, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = Counter(prose_words(text))
-                cols[0] += [doc] * len(words)
-                cols[1] += [grade] * len(words)
-                cols[2] += words.keys()
-                cols[3] += words.values()
+            cols: list[list] = [[], []]
+            for grade, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if words := {*prose_words(text)}:
+                    cols[0] += [grade] * (len(words) + 1)
+                    cols[1] += ["", *words]  # the empty word counts the documents
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, pairs)], schema=pairs)
 
-    pairs_of = materialize(graded.select("doc_id", "grade", "text").mapInArrow(run, "doc_id bigint, grade int, word string, times int"), "graded")
-    counted = pairs_of.groupBy("word", "grade").agg(F.count("*").alias("n"))
-    table = counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("grade", "n"))).alias("by"), F.sum("n").alias("n")).where(f"n >= {SUPPORT}").select("word", "by").toArrow().to_pylist()
-    n_by_grade = {r["grade"]: r["n"] for r in pairs_of.groupBy("grade").agg(F.count_distinct("doc_id").alias("n")).collect()}
-    if not n_by_grade or not table:
+    texts = graded.select("grade", "text")
+    counted = texts.mapInArrow(run, "grade int, word string").groupBy("word", "grade").agg(F.count("*").alias("n"))
+    by_word = counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("grade", "n"))).alias("by"), F.sum("n").alias("n"))
+    table = by_word.where(f"n >= {SUPPORT} or word = ''").select("word", "by").toArrow().to_pylist()  # bounded by the sample
+    documents = next((dict(r["by"]) for r in table if r["word"] == ""), {})
+    table = [r for r in table if r["word"] != ""]
+    if not documents or not table:
         return None
-    classes = sorted(n_by_grade)
-    n_docs = np.array([n_by_grade[c] for c in classes], dtype=float)
+    classes = sorted(documents)
     counts = np.array([[dict(r["by"]).get(c, 0) for c in classes] for r in table], dtype=float)
-    grades = dict(zip((r["word"] for r in table), acquisition(counts, n_docs).tolist()))
+    grades = dict(zip((r["word"] for r in table), acquisition(counts, np.array([documents[c] for c in classes], dtype=float)).tolist()))
     shared = graded.sparkSession.sparkContext.broadcast(grades)
-    shape = "grade int, " + ", ".join(f"f{i} double" for i in range(len(QUANTILES) + 1))
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["word"].map(shared.value)
-        keep = known.notna().to_numpy()
-        if not keep.any():
-            return pd.DataFrame(columns=[x.split()[0] for x in shape.split(", ")])
-        f = features(np.repeat(known.to_numpy(float)[keep], pdf["times"].to_numpy()[keep]))
-        return pd.DataFrame([[int(pdf["grade"].iloc[0]), *f]], columns=[x.split()[0] for x in shape.split(", ")])
-
-    rows = pairs_of.groupBy("doc_id").applyInPandas(summarise, shape).toArrow()  # a row of a few numbers for each document of the sample
-    x = np.column_stack([rows.column(i + 1).to_numpy() for i in range(len(QUANTILES) + 1)])
-    return grades, Discriminant(x, rows.column(0).to_numpy())
+    names = [f"f{i}" for i in range(len(QUANTILES) + 1)]
+    out = pa.schema([("grade", pa.int32()), *((n, pa.float64()) for n in names)])
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for grade, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if known := [g for g in map(shared.value.get, prose_words(text)) if g is not None]:
+                    rows.append((grade, *features(np.array(known))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
+
+    rows = texts.mapInArrow(summarise, "grade int, " + ", ".join(f"{n} double" for n in names)).toArrow()  # a few numbers for each document of the sample
+    return grades, Discriminant(np.column_stack([rows.column(n).to_numpy() for n in names]), rows.column("grade").to_numpy())
 
 
 def levels(documents: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", *, sample: int = GRADED_SAMPLE) -> DataFrame:
