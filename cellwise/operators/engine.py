@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellwise.functions.text import is_total
+from cellwise.session import materialize
 
 EPS = 1e-9
 OPS = {"lt": "lt", "gte": "gte", "ge": "gte"}
@@ -108,13 +109,8 @@ def _reach(rows: DataFrame, x: str, y: str, blocks: int) -> DataFrame:
     """
     per = rows.groupBy(x).agg(F.max(y).alias("_top"))
     cuts = sorted({float(v) for v in per.approxQuantile(x, [i / blocks for i in range(1, blocks)], 0.01)})
-    block = F.lit(0)
-    for c in cuts:
-        block = block + F.when(F.col(x) >= c, 1).otherwise(0)
-    below = F.lit(0)  # a value just over a cut also reaches rows just under it
-    for c in cuts:
-        below = below + F.when(F.col(x) >= c - EPS, 1).otherwise(0)
-    placed = per.withColumns({"_b": block, "_up": below})
+    # a value just under a cut is also reached from just over it
+    placed = per.withColumns({"_b": _blocks(cuts, F.col(x)), "_up": _blocks([c - EPS for c in cuts], F.col(x))})
     tops = {r["_b"]: r["t"] for r in placed.groupBy("_b").agg(F.max("_top").alias("t")).collect()}  # one row for each block
     above, after = float("-inf"), {}
     for b in range(len(cuts), -1, -1):
@@ -127,9 +123,31 @@ def _reach(rows: DataFrame, x: str, y: str, blocks: int) -> DataFrame:
     return both.withColumn("_w", F.greatest(near, higher)).where("not _ghost").select(F.col(x).alias("_x"), "_w")
 
 
+def _blocks(cuts: Sequence[float], x: Column) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: x >= c)) if cuts else F.lit(0)
+
+
+def _candidates(rows: DataFrame, blocks: int) -> DataFrame:
+    """The rows that no block of better first measures beats as a whole.
+
+    What beats a row left out also beats whatever that row beats, so that the frontier among the candidates is the
+    frontier of all rows. One pass takes the maximum of each block.
+    """
+    cuts = sorted({float(v) for v in rows.approxQuantile("_o1", [i / blocks for i in range(1, blocks)], 0.01)})
+    placed = rows.withColumn("_b", _blocks(cuts, F.col("_o1")))
+    tops = {r["_b"]: r["t"] for r in placed.groupBy("_b").agg(F.max("_o2").alias("t")).collect()}  # one row for each block
+    best, after = float("-inf"), {}
+    for b in range(len(cuts), -1, -1):
+        after[b] = best
+        best = max(best, tops.get(b, best))
+    higher = F.element_at(F.array(*(F.lit(after[b]) for b in range(len(cuts) + 1))), F.col("_b") + 1)
+    return placed.where(~(higher > F.col("_o2") + EPS)).drop("_b")
+
+
 def pareto_global(df: DataFrame, m1: str, m2: str, d1: str, d2: str, blocks: int = 32) -> DataFrame:
     """The frontier of one whole table, without a sort in one task and without a theta join."""
     rows = df.withColumns({"_o1": _oriented(m1, d1), "_o2": _oriented(m2, d2)}).where("_o1 is not null and _o2 is not null")
+    rows = materialize(_candidates(rows, blocks), "candidates")
     w1, w2 = _reach(rows, "_o1", "_o2", blocks), _reach(rows, "_o2", "_o1", blocks)
     seen = rows.join(w1.withColumnsRenamed({"_x": "_x1", "_w": "_w1"}), F.col("_o1") == F.col("_x1")).join(w2.withColumnsRenamed({"_x": "_x2", "_w": "_w2"}), F.col("_o2") == F.col("_x2"))
     return seen.where(f"not (_w1 > _o2 + {EPS}D) and not (_w2 > _o1 + {EPS}D)").select(*(f"`{c}`" for c in df.columns))

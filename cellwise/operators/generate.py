@@ -62,3 +62,22 @@ def edge_tag(kind: str, n_answer: Column, n_universe: Column) -> Column:
     if kind == "tradeoff_summary":
         return F.when(n_answer == 1, "single_dominator").when(n_answer == n_universe, "no_domination")
     return F.when(n_answer == 0, "empty").when((n_answer > 1) & F.lit(kind != "threshold_filter"), "argmax_tie")
+
+
+def best_questions(df: DataFrame, group: str, key: str, target: str, constraint: str, direction: str, mode: str, seed: int = 0) -> DataFrame:
+    """A question of the best row under a constraint for each group, with its threshold, answer rows and edge tag.
+
+    The constraint is to be low where the drawn direction says so, else high; its threshold comes from ``thresholds``.
+    """
+    from cellwise.operators import engine
+
+    limit = thresholds(df, group, constraint, direction, mode, seed)
+    rows = df.join(limit, group)
+    v = engine.number(constraint)
+    keep = rows.where(v < F.col("threshold") if direction == "lower" else v >= F.col("threshold"))
+    won = engine.extremum(keep, target, "higher", [group])
+    answer = won.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("answer"), F.count("*").alias("n_answer"))
+    n = F.coalesce("n_answer", F.lit(0))
+    tag = F.coalesce(F.lit("near_threshold" if mode == "near" else None), edge_tag("best_under_constraint", n, n))
+    words = F.concat(F.lit(f"Which {key} has the highest {target} with {constraint} "), F.lit("under " if direction == "lower" else "of at least "), F.col("threshold").cast("string"), F.lit("?"))
+    return limit.join(answer, group, "left").select(group, words.alias("question"), "threshold", F.coalesce("answer", F.array().cast(answer.schema["answer"].dataType)).alias("answer"), tag.alias("edge"), F.when(tag.isNotNull(), "hard").otherwise("easy").alias("difficulty"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellwise.functions.text import is_year, parse_cell, starts_with_year, strip
+from cellwise.functions.text import cell_number, is_missing, is_year, parse_cell, strip
+from cellwise.session import materialize
 
 
 def cells(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
@@ -25,16 +26,22 @@ def rectangular(grids: DataFrame, rows: str, out: str = "rows") -> DataFrame:
     return grids.withColumn("_width", width).withColumn(out, F.transform(F.col(rows), lambda r: F.slice(F.concat(F.coalesce(r, F.array().cast("array<string>")), F.array_repeat(F.lit(""), F.col("_width"))), 1, F.col("_width")))).drop("_width")
 
 
+def values(long: DataFrame) -> DataFrame:
+    """``long`` with ``_num``, the number a cell writes, and ``_missing``; only cells that are no number are looked at twice."""
+    return long.withColumn("_num", cell_number(F.col("raw"))).withColumn("_missing", F.when(F.col("_num").isNotNull(), False).otherwise(F.coalesce(is_missing(F.col("raw")), F.lit(True))))
+
+
 def row_profile(long: DataFrame) -> DataFrame:
     """Per row: its ``label``, how many values it has, how many are numbers, years or neither, and what follows it."""
-    v = long.withColumn("_p", parse_cell(F.col("raw"))).withColumn("_value", (F.col("col") >= 1) & (F.col("_p.kind") != "empty"))
+    v = values(long).withColumn("_value", (F.col("col") >= 1) & ~F.col("_missing"))
     count = lambda c: F.count_if(F.col("_value") & c)
-    num = F.col("_p.num")
+    num = F.col("_num")
     year = F.coalesce(is_year(num), F.lit(False))
+    like = F.col("raw").rlike(r"(?U)^\s*(19|20)[0-9]{2}\b")
     per = v.groupBy("table_id", "row").agg(
         F.coalesce(F.max(F.when(F.col("col") == 0, strip(F.col("raw")))), F.lit("")).alias("label"),
         count(F.lit(True)).alias("n_values"), count(num.isNotNull()).alias("n_numbers"), count(year).alias("n_years"), count(num.isNull()).alias("n_texts"), count(num.isNotNull() & ~year).alias("n_real"),
-        count(starts_with_year(strip(F.col("raw")))).alias("n_year_like"),
+        count(like).alias("n_year_like"),
     )
     after = Window.partitionBy("table_id").orderBy("row").rowsBetween(1, Window.unboundedFollowing)
     return per.withColumn("later_number", F.coalesce(F.max((F.col("n_numbers") > 0)).over(after), F.lit(False))).withColumn("year_header", (F.col("n_values") > 0) & (F.col("n_year_like") == F.col("n_values")))
@@ -89,8 +96,9 @@ def distinct_labels(rows: DataFrame, table_id: str, row: str, label: str) -> Col
 
 def column_types(long: DataFrame) -> DataFrame:
     """``table_id``, ``col``, ``type``: numeric, categorical or text; the first column is categorical."""
-    p = long.withColumn("_p", parse_cell(F.col("raw"))).where("_p.kind <> 'empty'")
-    per = p.groupBy("table_id", "col").agg(F.bool_and(F.col("_p.num").isNotNull()).alias("_num"), F.count_distinct("_p.txt").alias("_d"), F.count("*").alias("_n"))
+    p = values(long).where("not _missing")
+    texts = F.when(F.col("_num").isNull(), 1).otherwise(0)
+    per = p.groupBy("table_id", "col").agg((F.sum(texts) == 0).alias("_num"), F.size(F.collect_set(strip(F.col("raw")))).alias("_d"), F.count("*").alias("_n"))
     every = long.select("table_id", "col").distinct().join(per, ["table_id", "col"], "left")
     kind = F.when(F.col("col") == 0, "categorical").when(F.coalesce("_num", F.lit(False)), "numeric").when(F.col("_d") <= F.greatest(F.lit(2), F.floor(F.col("_n") / 2)), "categorical").otherwise("text")
     return every.select("table_id", "col", kind.alias("type"))
@@ -118,7 +126,7 @@ def ingest(grids: DataFrame, table_id: str, rows: str) -> dict[str, DataFrame]:
     """All steps for a column of raw grids: ``headers``, ``rows`` (labels), ``cells`` (typed values), ``types`` and ``tables``."""
     ragged = grids.select(F.col(table_id).alias("table_id"), (F.size(F.array_distinct(F.transform(F.col(rows), lambda r: F.size(r)))) > 1).alias("ragged"))
     long = cells(rectangular(grids, rows, rows), table_id, rows)
-    profile = row_profile(long)
+    profile = materialize(row_profile(long), "profile")  # a row of counts for each row; read four times below
     starts = body_start(profile)
     body = body_rows(profile, starts)
     labelled = body.withColumn("label", distinct_labels(body, "table_id", "row", "label"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.functions import stats, text
-from cellwise.operators import corpus, engine, generate, records, selection
+from cellwise.operators import corpus, engine, generate, matching, records, selection
 from cellwise.session import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -436,3 +436,55 @@ def trace_steps(spark: SparkSession, d: str) -> DataFrame:
 def demo_card(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, R).where("metadata.example_id is not null").groupBy(F.col("metadata.example_id").alias("example_id")).agg(F.min_by(F.struct("question", F.col("gold_answer.label").alias("gold_label")), "rec_id").alias("x"))
     return table(spark, d, A).select("detail_id", "example_id", "engine_ok").join(r, "example_id").select("detail_id", "x.question", "x.gold_label", "engine_ok")
+
+
+@query("select p_partkey, p_brand, p_name as match from part where (p_brand, lower(p_name)) in (select p_brand, lower(p_name) from part group by 1, 2 having count(distinct p_name) = 1)")
+def exact_match(spark: SparkSession, d: str) -> DataFrame:
+    """Labels found again in another case with marks around them."""
+    p = table(spark, d, "part")
+    left = p.select("p_brand", "p_partkey", F.concat(F.lit(" "), F.upper("p_name"), F.lit("!")).alias("l"))
+    return matching.fuzzy_match(left, p, "p_brand", "p_partkey", "l", "p_name").select("p_partkey", "p_brand", "match")
+
+
+@query()
+def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
+    """Labels found again with their last letter lost."""
+    p = table(spark, d, "part")
+    left = p.select("p_brand", "p_partkey", F.expr("substr(p_name, 1, length(p_name) - 1)").alias("l"))
+    return matching.fuzzy_match(left, p, "p_brand", "p_partkey", "l", "p_name").select("p_partkey", "p_brand", "match")
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then '2,0' end as places from customer")
+def chain_match(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("c_nationkey").cast("double") + 1000
+    values = F.array(n, F.when(F.col("c_custkey") % 2 == 0, n + 100).otherwise(n + 5000))
+    places = matching.chain_match(values, F.array(n + 100.3, n + 500, n + 0.001))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.transform(places, lambda x: x.cast("string")), ",").alias("places"))
+
+
+@query(f"""select rec_id, coalesce(gold_answer.label, '') as label, cast(len(list_distinct(list_filter(flatten(list_transform(list_filter(trace_steps, lambda s: s is not null), lambda s: coalesce(s.cites, []))), lambda c: c is not null))) as bigint) as n_evidence from {R} where gold_answer is not null and len(list_filter(trace_steps, lambda s: s is null)) = 0 and len(list_filter(flatten(list_transform(trace_steps, lambda s: coalesce(s.cites, []))), lambda c: c is null)) = 0 and "table".headers is not null""")
+def reconstruct(spark: SparkSession, d: str) -> DataFrame:
+    """Completions read back as records: the round trip keeps the label and the distinct cells."""
+    no_null = F.forall("trace_steps", lambda s: s.isNotNull() & F.forall(F.coalesce(s["cites"], F.array().cast(table(spark, d, R).schema["evidence_cells"].dataType)), lambda c: c.isNotNull()))
+    r = table(spark, d, R).where(F.col("gold_answer").isNotNull() & no_null & F.col("table.headers").isNotNull())
+    out = matching.reconstruct(records.completion(r), F.col("table.headers"))
+    return r.select("rec_id", out.alias("o")).select("rec_id", F.coalesce("o.final_answer.label", F.lit("")).alias("label"), F.size("o.evidence_cells").cast("bigint").alias("n_evidence"))
+
+
+@query("select card_id, upper(question) as raw, question is null as failed from cards")
+def render_hook(spark: SparkSession, d: str) -> DataFrame:
+    """A generator of any kind on every prompt; here one that shouts and fails on a missing prompt."""
+    out = matching.render(table(spark, d, "cards"), "card_id", "question", lambda p: p.upper())
+    return out.select("card_id", "raw", F.col("error").isNotNull().alias("failed"))
+
+
+@query()
+def gen_best(spark: SparkSession, d: str) -> DataFrame:
+    q = generate.best_questions(table(spark, d, "part"), "p_brand", "p_partkey", "p_retailprice", "p_size", "lower", "normal")
+    return q.withColumn("answer", F.array_join(F.transform("answer", lambda x: x.cast("string")), ","))
+
+
+@query("select p_brand, '' as answer, 'empty' as edge, 'hard' as difficulty from part group by 1")
+def gen_best_empty(spark: SparkSession, d: str) -> DataFrame:
+    q = generate.best_questions(table(spark, d, "part"), "p_brand", "p_partkey", "p_retailprice", "p_size", "lower", "empty")
+    return q.select("p_brand", F.array_join(F.transform("answer", lambda x: x.cast("string")), ",").alias("answer"), "edge", "difficulty")
