@@ -37,6 +37,8 @@ _LABEL = re.compile(r"(?:^|[\s*_])(?:final answer|answer|label|result)\s*[:=]\s*
 _MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 _PERIOD = re.compile(rf"(?:FY|CY)?(?:19|20)\d\d|[QH]\d (?:19|20)\d\d|{_MONTH} \d\d?, (?:19|20)\d\d|{_MONTH} (?:19|20)\d\d")
 _PERIOD_CUT = re.compile(r"(?:FY|CY|F|C)?\d{0,3}|[QH]\d? ?\d{0,3}|[A-Z][a-z]{0,8}(?: \d{0,2}(?:,? ?\d{0,3})?)?")
+#: What models say when they have finished.
+_CLOSING = re.compile(r"(?:hope this helps|done|end|finished|thanks|thank you)\W*$", re.I)
 _SENTENCE_END = re.compile(r"[.!?:][\"')\]*_`]*$")
 
 
@@ -94,7 +96,7 @@ def judge(text: str | None) -> tuple[int, int]:
         rest = text[closed:].strip()
         if 0 <= fence < start and "```" not in rest:
             return INCOMPLETE, len(core)  # the fence was opened and never closed
-        if not rest or rest.endswith(("```", ">", "}", "]")) or _SENTENCE_END.search(rest):
+        if not rest or rest.endswith(("```", ">", "}", "]")) or _SENTENCE_END.search(rest) or _CLOSING.search(rest):
             return COMPLETE, len(text)
         return AMBIGUOUS, len(core)  # a remark after the object
     if fence >= 0 and text.count("```") % 2:
