@@ -15,8 +15,13 @@ from cellwise.session import materialize
 
 
 def cells(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
-    """The long form of a column of grids (arrays of rows of texts); null grids and rows give no cells."""
-    lines = grids.select(F.col(table_id).alias("table_id"), F.posexplode(F.col(rows)).alias("row", "_cells"))
+    """The long form of a column of grids (arrays of rows of texts); null grids and rows give no cells.
+
+    The compact grids are partitioned by table once, before they are exploded; the grouped steps and windows that follow
+    all have the table in their keys and need no further exchange.
+    """
+    by_table = grids.select(F.col(table_id).alias("table_id"), F.col(rows).alias("_rows")).repartition("table_id")
+    lines = by_table.select("table_id", F.posexplode("_rows").alias("row", "_cells"))
     return lines.select("table_id", "row", F.posexplode("_cells").alias("col", "raw"))
 
 
