@@ -107,6 +107,11 @@ def extract_operation(raw: Column) -> Column:
     return F.from_json(first_object(raw), OPERATION)["operation"]
 
 
+def operation_type(raw: Column) -> Column:
+    """The type of the operation within a model's answer; null where it has none or the JSON is not strict."""
+    return F.from_json(first_object(raw), "operation struct<type:string>", {"allowSingleQuotes": "false"})["operation"]["type"]
+
+
 def compare_operations(a: Column, b: Column) -> Column:
     """Whether two operations agree in each field, and as a whole: numbers within 1e-6, conditions in any order."""
     near = lambda x, y: F.coalesce(F.abs(x - y) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(x)), x.isNull() & y.isNull())

@@ -379,8 +379,17 @@ def gated_answer(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with g as (select a.detail_id, a.model, coalesce(a.engine_ok, false) as e, coalesce(a.model_ok, false) as m, a.type not in ('best_under_constraint', 'threshold_filter', 'tradeoff_summary') or a.type is null as fires from {A} a)
     select model, count(*) as n, count_if(e) as n_engine, count_if(m) as n_model, count_if(case when fires then m else e end) as n_gated, count_if(fires) as n_fires from g group by 1""")
 def gate_scoring(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, A).select("model", F.coalesce("engine_ok", F.lit(False)).alias("e"), F.coalesce("model_ok", F.lit(False)).alias("m"), text.gate_fires(F.col("type"), F.lit("under the optimal")).alias("fires"))
-    return g.groupBy("model").agg(F.count("*").alias("n"), F.count_if("e").alias("n_engine"), F.count_if("m").alias("n_model"), F.count_if(F.when(F.col("fires"), F.col("m")).otherwise(F.col("e"))).alias("n_gated"), F.count_if("fires").alias("n_fires"))
+    """Engine, model and gated answers by model: the gate takes the operation in ``raw`` and the question of the answer's example.
+
+    Of a repeated example the last record counts; an answer without an example has no question. Answers are counted by
+    example before the join, so that an example with many answers moves no more than any other.
+    """
+    questions = table(spark, d, R).groupBy(F.coalesce("metadata.example_id", "table_id").alias("example_id")).agg(F.max_by("question", "rec_id").alias("question"))
+    a = table(spark, d, A).select("example_id", "model", F.coalesce("engine_ok", F.lit(False)).alias("e"), F.coalesce("model_ok", F.lit(False)).alias("m"), records.operation_type(F.col("raw")).alias("op"))
+    a = a.groupBy("example_id", "model", "e", "m", "op").agg(F.count("*").alias("k"))
+    g = a.join(questions, "example_id", "left").withColumn("fires", text.gate_fires(F.col("op"), F.col("question")))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
+    return g.groupBy("model").agg(F.sum("k").alias("n"), n(F.col("e")).alias("n_engine"), n(F.col("m")).alias("n_model"), n(F.when(F.col("fires"), F.col("m")).otherwise(F.col("e"))).alias("n_gated"), n(F.col("fires")).alias("n_fires"))
 
 
 @query(f"select model, count(*) as n, count_if(coalesce(engine_ok, false)) as n_grounded, count_if(coalesce(engine_ok, false) and coalesce(valid, false)) as n_valid from {A} group by 1")
