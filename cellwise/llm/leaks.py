@@ -2,7 +2,7 @@
 
 1. Documents and passages are read as words: case, markup, line breaks within words, odd characters, footnote marks and
    spacing are left aside.
-2. Rare n-grams of the passages, those that few passages share, are the seeds. A seed join over all documents gives the
+2. Rare n-grams of the passages, those that few distinct passages share, are the seeds. A seed join over all documents gives the
    pairs of document and item with several seeds close together; n-grams shared by many passages (stock wording) make
    no candidates.
 3. The words of each candidate pair are aligned by Smith-Waterman, which passes over changed words and insertions; the
@@ -18,11 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of a seed; the most passages that may share a seed; seeds that a candidate needs, and the words within which.
 GRAM, RARE, SEEDS = 3, 3, 3
+#: A passage has at least this share of its n-grams as seeds: where too few are rare, the rarest of them.
+SEEDED = 0.5
 #: A candidate also needs one seed for so many words of the passage: a third of it, with one word in eight changed, has five times as many.
 WORDS_PER_SEED = 14
 #: The share of a passage's words that a document must hold.
@@ -118,37 +120,54 @@ def align(passage: list[str], text: list[str]) -> tuple[int, int]:
     return kept, changed
 
 
-def passage_seeds(items: DataFrame, item_col: str, passage_col: str) -> DataFrame:
-    """``seed``, ``item_id``, ``place``, ``n_words``: the n-grams that at most RARE passages share."""
-    out = pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("place", pa.int32()), ("n_words", pa.int32())])
+def distinct_passages(items: DataFrame, item_col: str, passage_col: str) -> DataFrame:
+    """``item_id``, ``passage_id``, ``passage``: the same ``passage_id``, a digest of the words, for each copy of a passage."""
+    out = pa.schema([("item_id", pa.int64()), ("passage_id", pa.int64()), ("passage", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = np.array([xxhash.xxh3_64_intdigest(" ".join(words(t))) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.int64()), batch.column(1).cast(pa.string())], schema=out)
+
+    return items.select(F.col(item_col).cast("bigint"), passage_col).mapInArrow(run, "item_id bigint, passage_id bigint, passage string")
+
+
+def passage_seeds(passages: DataFrame) -> DataFrame:
+    """``seed``, ``passage_id``, ``place``, ``n_words``: the n-grams that at most RARE of the distinct passages share.
+
+    Where these are less than SEEDED of a passage's n-grams, its rarest ones fill up, whatever their number.
+    """
+    out = pa.schema([("seed", pa.int64()), ("passage_id", pa.int64()), ("place", pa.int32()), ("n_words", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
             cols: list[list] = [[], [], [], []]
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words(text)
                 g = grams.grams(grams.hashes(tokens))
                 first = np.unique(g, return_index=True)[1]
                 cols[0] += g[first].tolist()
-                cols[1] += [item] * len(first)
+                cols[1] += [key] * len(first)
                 cols[2] += first.tolist()
                 cols[3] += [len(tokens)] * len(first)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
 
-    found = items.select(F.col(item_col).cast("bigint"), passage_col).mapInArrow(run, "seed bigint, item_id bigint, place int, n_words int")
-    rare = found.groupBy("seed").agg(F.count("*").alias("n")).where(f"n <= {RARE}").select("seed")
-    return found.join(rare, "seed", "left_semi")
+    found = passages.select("passage_id", "passage").mapInArrow(run, "seed bigint, passage_id bigint, place int, n_words int")
+    counted = found.join(found.groupBy("seed").agg(F.count("*").alias("n")), "seed")
+    own = Window.partitionBy("passage_id")
+    ranked = counted.withColumn("rank", F.row_number().over(own.orderBy("n", F.xxhash64("seed")))).withColumn("least", F.ceil(SEEDED * F.count("*").over(own)))
+    return ranked.where(f"n <= {RARE} or rank <= least").select("seed", "passage_id", "place", "n_words")
 
 
-_HITS = "doc_id bigint, item_id bigint, n_words int, place int, at int"
+_HITS = "doc_id bigint, passage_id bigint, n_words int, place int, at int"
 
 
 def _hits_in_workers(documents: DataFrame, seeds: DataFrame) -> DataFrame:
     """Seed hits where the seeds fit a sorted list of proven size."""
-    got = seeds.orderBy("seed", "item_id").toPandas()
-    arrays = documents.sparkSession.sparkContext.broadcast({c: got[c].to_numpy() for c in ("seed", "item_id", "place", "n_words")})
-    out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("place", pa.int32()), ("at", pa.int32())])
+    got = seeds.orderBy("seed", "passage_id").toPandas()
+    arrays = documents.sparkSession.sparkContext.broadcast({c: got[c].to_numpy() for c in ("seed", "passage_id", "place", "n_words")})
+    out = pa.schema([("doc_id", pa.int64()), ("passage_id", pa.int64()), ("n_words", pa.int32()), ("place", pa.int32()), ("at", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, s = Grams(), arrays.value
@@ -168,7 +187,7 @@ def _hits_in_workers(documents: DataFrame, seeds: DataFrame) -> DataFrame:
             times = (hi - lo)[hit]
             at = np.repeat(hit, times)
             seed = np.repeat(lo[hit], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of[at]], pa.int64()), pa.array(s["item_id"][seed], pa.int64()), pa.array(s["n_words"][seed], pa.int32()), pa.array(s["place"][seed], pa.int32()), pa.array(at - start[at], pa.int32())], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of[at]], pa.int64()), pa.array(s["passage_id"][seed], pa.int64()), pa.array(s["n_words"][seed], pa.int32()), pa.array(s["place"][seed], pa.int32()), pa.array(at - start[at], pa.int32())], schema=out)
 
     return documents.mapInArrow(run, _HITS)
 
@@ -185,7 +204,7 @@ def _hits_by_shuffle(documents: DataFrame, seeds: DataFrame) -> DataFrame:
                 if len(g):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), doc), pa.int64()), pa.array(g), pa.array(np.arange(len(g)), pa.int32())], schema=out)
 
-    return documents.mapInArrow(run, "doc_id bigint, seed bigint, at int").join(seeds, "seed").select("doc_id", "item_id", "n_words", "place", "at")
+    return documents.mapInArrow(run, "doc_id bigint, seed bigint, at int").join(seeds, "seed").select("doc_id", "passage_id", "n_words", "place", "at")
 
 
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", *, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -197,31 +216,34 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     tests = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(passage_col).alias("passage")).where("item_id is not null and passage is not null")
-    seeds = passage_seeds(tests, "item_id", "passage")
+    tests = distinct_passages(tests, "item_id", "passage")
+    passages = tests.groupBy("passage_id").agg(F.min("passage").alias("passage"))  # one for all its copies
+    seeds = passage_seeds(passages)
     few = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     hits = _hits_in_workers(docs, seeds) if few else _hits_by_shuffle(docs, seeds)
     near = hits.withColumn("block", F.floor((F.col("at") - F.col("place")) / (F.col("n_words") + 64)))  # where the passage would begin, in stretches
-    near = near.select("doc_id", "item_id", "n_words", "place", "at", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))  # overlapping stretches
+    near = near.select("doc_id", "passage_id", "n_words", "place", "at", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))  # overlapping stretches
     candidates = (
-        near.groupBy("doc_id", "item_id", "n_words", "block").agg(F.count_distinct("place").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("place").alias("low"), F.max("place").alias("high"))
+        near.groupBy("doc_id", "passage_id", "n_words", "block").agg(F.count_distinct("place").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("place").alias("low"), F.max("place").alias("high"))
         .where(f"n >= {SEEDS} and n * {WORDS_PER_SEED} >= n_words")
-        .select("doc_id", "item_id", F.greatest(F.lit(0), F.col("first") - 2 * F.col("low") - 20).alias("begin"), (F.col("last") + 2 * (F.col("n_words") - F.col("high")) + 20).alias("end"))
+        .select("doc_id", "passage_id", F.greatest(F.lit(0), F.col("first") - 2 * F.col("low") - 20).alias("begin"), (F.col("last") + 2 * (F.col("n_words") - F.col("high")) + 20).alias("end"))
     )
-    pairs = candidates.join(docs, "doc_id").join(tests, "item_id")
-    out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("kept", pa.int32()), ("changed", pa.int32())])
+    pairs = candidates.join(docs, "doc_id").join(passages, "passage_id")
+    out = pa.schema([("doc_id", pa.int64()), ("passage_id", pa.int64()), ("n_words", pa.int32()), ("kept", pa.int32()), ("changed", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens = None, []
         for batch in batches:
             rows = []
-            for doc, item, begin, end, text, passage in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, key, begin, end, text, passage in zip(*(c.to_pylist() for c in batch.columns)):
                 if doc != last:
                     last, tokens = doc, words(text)
                 p = words(passage)
                 kept, changed = align(p, tokens[begin:end])
                 if kept + changed >= COVERED * len(p) and kept >= KEPT * (kept + changed):
-                    rows.append((doc, item, len(p), kept, changed))
+                    rows.append((doc, key, len(p), kept, changed))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
 
-    aligned = pairs.select("doc_id", "item_id", "begin", "end", "text", "passage").mapInArrow(run, "doc_id bigint, item_id bigint, n_words int, kept int, changed int")
-    return aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("kept", "changed", "n_words")).alias("x")).select("doc_id", "item_id", "x.n_words", "x.kept", "x.changed")
+    aligned = pairs.select("doc_id", "passage_id", "begin", "end", "text", "passage").mapInArrow(run, "doc_id bigint, passage_id bigint, n_words int, kept int, changed int")
+    found = aligned.groupBy("doc_id", "passage_id").agg(F.max(F.struct("kept", "changed", "n_words")).alias("x")).join(tests.select("item_id", "passage_id").distinct(), "passage_id")
+    return found.groupBy("doc_id", "item_id").agg(F.max("x").alias("x")).select("doc_id", "item_id", "x.n_words", "x.kept", "x.changed")

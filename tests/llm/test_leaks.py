@@ -55,3 +55,13 @@ def test_empty_tables(spark):
     d = spark.createDataFrame(docs()[0], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, passage string")
     assert k.leaks(d.limit(0), items).count() == 0 and k.leaks(d, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_passage_under_many_items(spark, broadcast):
+    same, base = passage(), passage().split()
+    close = [" ".join(base[:i] + [f"edit{chr(97 + i // 10)}"] + base[i + 1 :]) for i in range(5, 55, 10)]  # five near copies share most n-grams
+    items = spark.createDataFrame([(1, same), (2, same), (3, f"<b>{same}</b>"), (4, same.upper()), (5, same), (5, ITEMS[0][1]), *((10 + i, p) for i, p in enumerate(close))], "item_id bigint, passage string")
+    d = spark.createDataFrame([(1, f"{passage(30)} {same} {passage(30)}"), (2, ITEMS[0][1]), (3, " ".join(base)), (4, " ".join(base[:30]))], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, items, broadcast_seeds=broadcast).collect()}
+    assert got == {(1, i) for i in range(1, 6)} | {(2, 5)} | {(j, 10 + i) for j in (3, 4) for i in range(5)}
