@@ -33,6 +33,8 @@ COVERED = 1 / 3
 BROADCAST_SEEDS = 2_000_000
 #: Smith-Waterman: a word kept, a word changed, a word left out of the passage, a word put in.
 MATCH, CHANGE, LEFT_OUT, PUT_IN = 2.0, -2.0, -2.0, -0.5
+#: Any number of successive words left out costs no more than this, so that what is kept of longer sentences is joined.
+LEFT_RUN = -16.0
 #: Of the covered words at least this share must be kept; where more are changed, only the frame of a sentence is shared.
 KEPT = 0.7
 
@@ -98,10 +100,12 @@ def align(passage: list[str], text: list[str]) -> tuple[int, int]:
     if not n or not m:
         return 0, 0
     score = np.zeros((n + 1, m + 1), np.float32)
+    above = np.zeros(m + 1, np.float32)  # the best score of each column so far
     ramp = np.arange(m + 1, dtype=np.float32) * np.float32(PUT_IN)
     for i in range(1, n + 1):
         step = np.where(t == p[i - 1], np.float32(MATCH), np.float32(CHANGE))
-        row = np.maximum(score[i - 1] + np.float32(LEFT_OUT), 0)
+        np.maximum(above, score[i - 1], out=above)
+        row = np.maximum(np.maximum(score[i - 1] + np.float32(LEFT_OUT), above + np.float32(LEFT_RUN)), 0)
         row[1:] = np.maximum(row[1:], score[i - 1, :-1] + step)
         score[i] = np.maximum.accumulate(row - ramp) + ramp  # any number of words put in
     i, j = np.unravel_index(np.argmax(score), score.shape)
@@ -116,7 +120,7 @@ def align(passage: list[str], text: list[str]) -> tuple[int, int]:
         elif abs(score[i, j] - (score[i - 1, j] + LEFT_OUT)) < 1e-3:
             i -= 1
         else:
-            break
+            i = int(np.argmax(score[:i, j]))  # a run of words left out
     return kept, changed
 
 

@@ -65,3 +65,13 @@ def test_passage_under_many_items(spark, broadcast):
     d = spark.createDataFrame([(1, f"{passage(30)} {same} {passage(30)}"), (2, ITEMS[0][1]), (3, " ".join(base)), (4, " ".join(base[:30]))], "doc_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, items, broadcast_seeds=broadcast).collect()}
     assert got == {(1, i) for i in range(1, 6)} | {(2, 5)} | {(j, 10 + i) for j in (3, 4) for i in range(5)}
+
+
+def test_excerpt_with_sentences_left_out(spark):
+    p = passage(96).split()
+    cut = [w for i in range(0, 96, 24) for w in p[i : i + 12]]  # every second stretch of 12 words is left out
+    assert k.align(p, cut) == (48, 0)
+    assert sum(k.align(p, p[:4] + p[90:])) == 6  # runs too short for their gap aren't joined
+    d = spark.createDataFrame([(1, f"{passage(30)} {' '.join(cut)} {passage(30)}"), (2, " ".join(w for i in range(0, 96, 12) for w in p[i : i + 2]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(p))], "item_id bigint, passage string")
+    assert [tuple(r)[:2] for r in k.leaks(d, items).collect()] == [(1, 7)]
