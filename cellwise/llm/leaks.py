@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 GRAM, RARE, SEEDS = 3, 3, 3
 #: A passage has at least this share of its n-grams as seeds: where too few are rare, the rarest of them.
 SEEDED = 0.5
-#: A candidate also needs one seed for so many words of the passage: a third of it, with one word in eight changed, has five times as many.
-WORDS_PER_SEED = 14
 #: The share of a passage's words that a document must hold.
 COVERED = 1 / 3
 #: Up to so many seeds (16 bytes each) go to the workers as a sorted list; more are joined by a shuffle.
@@ -124,6 +122,18 @@ def align(passage: list[str], text: list[str]) -> tuple[int, int]:
     return kept, changed
 
 
+def common(passage: list[str], text: list[str]) -> int:
+    """The length of the longest common subsequence, which no alignment keeps more words than; by bits of one number."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(passage):
+        at[w] = at.get(w, 0) | 1 << i
+    full = left = (1 << len(passage)) - 1
+    for w in text:
+        if hit := at.get(w):
+            left = ((left + (left & hit)) | (left & ~hit)) & full
+    return len(passage) - left.bit_count()
+
+
 def distinct_passages(items: DataFrame, item_col: str, passage_col: str) -> DataFrame:
     """``item_id``, ``passage_id``, ``passage``: the same ``passage_id``, a digest of the words, for each copy of a passage."""
     out = pa.schema([("item_id", pa.int64()), ("passage_id", pa.int64()), ("passage", pa.string())])
@@ -229,8 +239,9 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     near = near.select("doc_id", "passage_id", "n_words", "place", "at", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))  # overlapping stretches
     candidates = (
         near.groupBy("doc_id", "passage_id", "n_words", "block").agg(F.count_distinct("place").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.min("place").alias("low"), F.max("place").alias("high"))
-        .where(f"n >= {SEEDS} and n * {WORDS_PER_SEED} >= n_words")
+        .where(f"n >= {SEEDS}")
         .select("doc_id", "passage_id", F.greatest(F.lit(0), F.col("first") - 2 * F.col("low") - 20).alias("begin"), (F.col("last") + 2 * (F.col("n_words") - F.col("high")) + 20).alias("end"))
+        .distinct()  # two stretches often hold the same seeds
     )
     pairs = candidates.join(docs, "doc_id").join(passages, "passage_id")
     out = pa.schema([("doc_id", pa.int64()), ("passage_id", pa.int64()), ("n_words", pa.int32()), ("kept", pa.int32()), ("changed", pa.int32())])
@@ -243,6 +254,8 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 if doc != last:
                     last, tokens = doc, words(text)
                 p = words(passage)
+                if common(p, tokens[begin:end]) < KEPT * COVERED * len(p):
+                    continue  # too few words to be kept in any alignment
                 kept, changed = align(p, tokens[begin:end])
                 if kept + changed >= COVERED * len(p) and kept >= KEPT * (kept + changed):
                     rows.append((doc, key, len(p), kept, changed))

@@ -75,3 +75,25 @@ def test_excerpt_with_sentences_left_out(spark):
     d = spark.createDataFrame([(1, f"{passage(30)} {' '.join(cut)} {passage(30)}"), (2, " ".join(w for i in range(0, 96, 12) for w in p[i : i + 2]))], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, " ".join(p))], "item_id bigint, passage string")
     assert [tuple(r)[:2] for r in k.leaks(d, items).collect()] == [(1, 7)]
+
+
+def test_few_seeds_make_a_candidate(spark):
+    p = passage(96).split()
+    part = ["x" if i % 10 in (3, 6, 9) else w for i, w in enumerate(p[:40])]  # four whole seeds
+    kept, changed = k.align(p, part)
+    assert kept + changed >= len(p) / 3 and kept >= k.KEPT * (kept + changed)
+    d = spark.createDataFrame([(1, f"{passage(30)} {' '.join(part)} {passage(30)}")], "doc_id bigint, text string")
+    assert [r["item_id"] for r in k.leaks(d, spark.createDataFrame([(7, " ".join(p))], "item_id bigint, passage string")).collect()] == [7]
+
+
+def test_common_words_bound_the_alignment():
+    for _ in range(40):
+        p, t = ([R.choice("abcdefgh") for _ in range(n)] for n in (20, 30))
+        best = [0] * (len(t) + 1)
+        for w in p:
+            row = [0]
+            for j, x in enumerate(t):
+                row.append(best[j] + 1 if w == x else max(row[j], best[j + 1]))
+            best = row
+        assert k.common(p, t) == best[-1] >= k.align(p, t)[0]
+    assert k.common([], ["a"]) == k.common(["a"], []) == 0
