@@ -42,12 +42,12 @@ def docs():
     return out, want | {(9003, 0), (9004, 0)}
 
 
-@pytest.mark.parametrize("broadcast", [10**6, 0])
-def test_found_by_both_ways_of_the_seed_join(spark, broadcast):
+@pytest.mark.parametrize("chars", [10**6, 2000])
+def test_found_in_one_block_and_in_several(spark, chars):
     rows, want = docs()
     d = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as item_id", "'x' as passage", "2 as at")
     items = spark.createDataFrame([*ITEMS, (98, None), (99, "two words")], "item_id bigint, passage string").selectExpr("*", "0 as doc_id", "'y' as text")
-    got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, items, broadcast_seeds=broadcast).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, items, block_chars=chars).collect()}
     assert got == want
 
 
@@ -57,13 +57,13 @@ def test_empty_tables(spark):
     assert k.leaks(d.limit(0), items).count() == 0 and k.leaks(d, items.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [10**6, 0])
-def test_passage_under_many_items(spark, broadcast):
+@pytest.mark.parametrize("chars", [10**6, 1500])
+def test_passage_under_many_items(spark, chars):
     same, base = passage(), passage().split()
     close = [" ".join(base[:i] + [f"edit{chr(97 + i // 10)}"] + base[i + 1 :]) for i in range(5, 55, 10)]  # five near copies share most n-grams
     items = spark.createDataFrame([(1, same), (2, same), (3, f"<b>{same}</b>"), (4, same.upper()), (5, same), (5, ITEMS[0][1]), *((10 + i, p) for i, p in enumerate(close))], "item_id bigint, passage string")
     d = spark.createDataFrame([(1, f"{passage(30)} {same} {passage(30)}"), (2, ITEMS[0][1]), (3, " ".join(base)), (4, " ".join(base[:30]))], "doc_id bigint, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, items, broadcast_seeds=broadcast).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, items, block_chars=chars).collect()}
     assert got == {(1, i) for i in range(1, 6)} | {(2, 5)} | {(j, 10 + i) for j in (3, 4) for i in range(5)}
 
 
@@ -97,3 +97,45 @@ def test_common_words_bound_the_alignment():
             best = row
         assert k.common(p, t) == best[-1] >= k.align(p, t)[0]
     assert k.common([], ["a"]) == k.common(["a"], []) == 0
+
+
+def test_short_passages_found_whole(spark):
+    items = spark.createDataFrame([(n, " ".join(VOCAB[50 * n : 50 * n + n])) for n in range(1, 6)], "item_id bigint, passage string")
+    d = spark.createDataFrame([(n, f"{passage(30)} {' '.join(VOCAB[50 * n : 50 * n + n])}. {passage(30)}") for n in range(1, 6)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in k.leaks(d, items).collect()) == [(3, 3), (4, 4), (5, 5)]
+
+
+@pytest.mark.parametrize("n", [1, 4, 50])
+def test_one_passage_in_any_number_of_items(spark, n):
+    same = passage()
+    items = spark.createDataFrame([(i, same) for i in range(n)], "item_id bigint, passage string")
+    d = spark.createDataFrame([(1, f"{passage(30)} {same}"), (2, passage(90))], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in k.leaks(d, items).collect()) == [(1, i) for i in range(n)]
+
+
+def test_wording_of_the_language_makes_no_candidate(spark):
+    stock = "at the end of the year".split()
+    p = passage(20).split() + stock
+    d = spark.createDataFrame([(i, f"{passage(10)} {' '.join(stock)} {passage(10)}") for i in range(200)] + [(900, " ".join(p[8:]))], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in k.leaks(d, spark.createDataFrame([(7, " ".join(p))], "item_id bigint, passage string")).collect()] == [900]
+
+
+def test_long_passage_is_aligned_in_two_rows():
+    p = [str(i) for i in range(6000)]
+    assert k.align(p, p[:3000] + p[3500:]) == (5500, 0)
+
+
+def test_recall_against_brute_force(spark):
+    """Every document against every passage by the alignment alone."""
+    rows, _ = docs()
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, spark.createDataFrame(ITEMS, "item_id bigint, passage string")).collect()}
+    want = set()
+    for doc, text in rows:
+        for item, p in ITEMS:
+            a, b = k.words(p), k.words(text)
+            if k.common(a, b) >= k.KEPT * k.COVERED * len(a):
+                kept, changed = k.align(a, b)
+                if kept + changed >= k.COVERED * len(a) and kept >= k.KEPT * (kept + changed):
+                    want.add((doc, item))
+    assert want and len(got & want) >= 0.9 * len(want)
