@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; a cluster's executors
+    would each write to their own disk, so that there it is an error."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cellwise-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
@@ -54,11 +58,22 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
-    Cuts the lineage and survives the loss of executors, since the files lie in the folder that all executors share.
-    The files go when the driver ends.
+    Cuts the lineage and survives the loss of executors, since the files lie in the folder that all executors share. Runs
+    when it is called. The files go when the driver ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``materialize`` gave, once nothing reads it any more."""
+    if path := _PATHS.pop(df, None):
+        _remove(df.sparkSession, path)
