@@ -66,7 +66,7 @@ def _p4(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFra
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "realtable_eval_verified")
-    return grouping.broken_tables(grouping.links(records, "rec_id", "table_id", "metadata.source.uid", "question_type", "split"))
+    return grouping.broken_tables(grouping.members(grouping.links(records, "rec_id", "table_id", "metadata.source.uid", "question_type", "split")))
 
 
 def p4_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,20 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir)[1]
 
 
+def p4_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment checked: records, base tables and filings in more than one new split, and whether each split is near its target."""
+    assigned, _, _ = _p4(spark, sf_dir)
+    records = table(spark, sf_dir, "realtable_eval_verified")
+    edges = grouping.links(records, "rec_id", "table_id", "metadata.source.uid", "question_type", "split").select("rec_id", "base_table", "entity")
+    x = edges.join(assigned.select("rec_id", "split"), "rec_id")
+    broken = lambda c: x.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias(f"n_broken_{c}"))
+    targets = table(spark, sf_dir, "split_targets").select(F.col("split_name").alias("split"), F.col("share").alias("target"))
+    near = targets.join(x.groupBy("split").agg(F.count("*").alias("n")), "split", "left").agg(F.sum("n").alias("n_records"), F.collect_list(F.struct("n", "target")).alias("all"))
+    near = near.select("n_records", F.forall("all", lambda s: F.abs(s["n"] / F.col("n_records") - s["target"]) <= 0.02).alias("near_targets"))
+    one = lambda d: d.withColumn("_one", F.lit(1))
+    return one(near).join(one(broken("base_table")), "_one").join(one(broken("entity")), "_one").drop("_one")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -107,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_assign": p4_assign,
     "p4_report": p4_report,
+    "p4_together": p4_together,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
@@ -128,6 +143,7 @@ ORACLE_SQL: dict[str, str] = {
     "p3_found": _AVAILABLE + "select category from r where n_available < n_needed",
     "p3_report": _AVAILABLE + """select category, cast(share_pct as double) as share_pct, cast(min_cards as bigint) as min_cards, cast(n_sample as bigint) as n_sample, cast(n_available as bigint) as n_available,
         cast(n_needed as bigint) as n_needed, cast(least(n_available, n_needed) as bigint) as n_drawn, cast(least(n_available, n_needed) - n_needed as bigint) as residual, n_available >= n_needed as filled from r""",
+    "p4_together": "select count(*) as n_records, true as near_targets, cast(0 as bigint) as n_broken_base_table, cast(0 as bigint) as n_broken_entity from realtable_eval_verified",
     "p4_found": f"""select base_table from (select {_BASE} as base_table, lower(trim(split)) as split from realtable_eval_verified where table_id is not null and trim(split) <> '')
         group by base_table having count(distinct split) > 1""",
 }

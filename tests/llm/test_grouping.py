@@ -76,3 +76,23 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "rec_id bigint, table_id string, uid string, kind string, split string")
     t = spark.createDataFrame(TARGETS, "split_name string, share double")
     assert [x.count() for x in g.grouped_splits(df, t, "rec_id", "table_id", "uid", "kind", "split")] == [0, 0, 0]
+
+
+def test_giant_component_and_hub(spark):
+    """A hub that a third of all records name, and a chain beside it."""
+    data = [(i, f"t{i}", "hub" if i % 3 == 0 else f"u{i // 2}", "a", "train") for i in range(6000)]
+    df = spark.createDataFrame(data, "rec_id bigint, table_id string, uid string, kind string, split string")
+    assigned, _, broken = g.grouped_splits(df, spark.createDataFrame(TARGETS, "split_name string, share double"), "rec_id", "table_id", "uid", "kind", "split")
+    got = {r["rec_id"]: (r["component"], r["split"]) for r in assigned.collect()}
+    truth = components(data)
+    assert len(got) == len(data) and len({(truth[i], *got[i]) for i in got}) == len(set(truth.values()))
+    assert broken.count() == 0
+
+
+def test_many_strata(spark, monkeypatch):
+    monkeypatch.setattr(g, "STRATA", 3)
+    data = [(i, f"t{i}", None, f"s{i % 11}", None) for i in range(600)]
+    df = spark.createDataFrame(data, "rec_id bigint, table_id string, uid string, kind string, split string")
+    assigned, _, _ = g.grouped_splits(df, spark.createDataFrame(TARGETS, "split_name string, share double"), "rec_id", "table_id", "uid", "kind", "split")
+    n = Counter(r["split"] for r in assigned.collect())
+    assert all(abs(n[k] / 600 - s) < 0.02 for k, s in TARGETS)
