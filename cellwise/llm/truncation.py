@@ -33,12 +33,10 @@ UNITS = ("chars", "bytes", "core_chars", "core_bytes")
 
 _ADDED = re.compile(r"(?:\s*\n```|\s*…|\s*\.\.\.|\s*\[?(?:truncated|cut)\]?)\s*$", re.I)
 _MARK = re.compile(r"""["'\\{}\[\]]""")
-_LABEL = re.compile(r"(?:^|[\s*_])(?:final answer|answer|label|result)\s*[:=]\s*(?P<value>[^\n]*)$", re.I)
+_LABEL = re.compile(r"(?:^|[\s*_])(?:final answer|answer|label|result)\s*[:=]\s*(?P<value>(?:(?![.!?] )[^\n])*)$", re.I)
 _MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 _PERIOD = re.compile(rf"(?:FY|CY)?(?:19|20)\d\d|[QH]\d (?:19|20)\d\d|{_MONTH} \d\d?, (?:19|20)\d\d|{_MONTH} (?:19|20)\d\d")
 _PERIOD_CUT = re.compile(r"(?:FY|CY|F|C)?\d{0,3}|[QH]\d? ?\d{0,3}|[A-Z][a-z]{0,8}(?: \d{0,2}(?:,? ?\d{0,3})?)?")
-#: What models say when they have finished.
-_CLOSING = re.compile(r"(?:hope this helps|done|end|finished|thanks|thank you)\W*$", re.I)
 _SENTENCE_END = re.compile(r"[.!?:][\"')\]*_`]*$")
 
 
@@ -96,13 +94,13 @@ def judge(text: str | None) -> tuple[int, int]:
         rest = text[closed:].strip()
         if 0 <= fence < start and "```" not in rest:
             return INCOMPLETE, len(core)  # the fence was opened and never closed
-        if not rest or rest.endswith(("```", ">", "}", "]")) or _SENTENCE_END.search(rest) or _CLOSING.search(rest):
+        if not rest or rest.endswith(("```", ">", "}", "]")) or _SENTENCE_END.search(rest):
             return COMPLETE, len(text)
         return AMBIGUOUS, len(core)  # a remark after the object
     if fence >= 0 and text.count("```") % 2:
         return INCOMPLETE, len(core)
     body = core.rstrip()
-    if label := _LABEL.search(body[-120:]):
+    if label := _LABEL.search(body, max(0, body.rfind("\n", 0, max(0, body.rfind("\n"))))):  # the last two lines
         value = label.group("value").strip()
         if _PERIOD.fullmatch(value):
             return COMPLETE, len(text)
@@ -156,7 +154,9 @@ def _poisson_tail(n: pd.Series, mean: pd.Series) -> pd.Series:
                 j += 1
                 term *= m / j
             return min(1.0, total)
-        return 1.0 - sum(math.exp(-m + j * math.log(m) - math.lgamma(j + 1)) for j in range(k)) if k < 10_000 else 1.0
+        if k > 1_000:  # by the normal distribution, which is near at such means
+            return 0.5 * math.erfc((k - 0.5 - m) / math.sqrt(2 * m))
+        return 1.0 - sum(math.exp(-m + j * math.log(m) - math.lgamma(j + 1)) for j in range(k))
 
     return pd.Series([tail(int(a), float(b)) for a, b in zip(n, mean)])
 
@@ -164,20 +164,25 @@ def _poisson_tail(n: pd.Series, mean: pd.Series) -> pd.Series:
 def length_limits(ends: DataFrame, reach: int = 12, fdr: float = 0.01, least: int = 3) -> DataFrame:
     """``source``, ``unit``, ``length``, ``n``, ``at_risk``, ``expected``, ``p_value`` of the significant lengths.
 
-    ``ends`` is what ``endings`` returns. A length's hazard is tested against the pooled hazard of the lengths up to
-    ``reach`` below and above it. All windows run per source and unit over distinct lengths, which text lengths bound,
-    after the counts were aggregated. A source of null is a source of its own.
+    ``ends`` is what ``endings`` returns. A length's hazard is tested against the pooled hazard of all lengths up to
+    ``reach`` below and above it, those at which no text ends included: a text of length m is at risk at each of them up
+    to m. All windows run per source and unit over distinct lengths, which text lengths bound,
+    after the counts were aggregated. A source of null is a source of its own. Where a source writes lengths on a lattice
+    only, each point of it stands out from the gaps and can be significant.
     """
     distinct = ends.where("text_hash is not null and chars is not null").groupBy("source", "text_hash").agg(F.max("verdict").alias("verdict"), *(F.min(u).alias(u) for u in UNITS))
     units = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS))).alias("x")
-    counts = distinct.select("source", "verdict", units).select("source", "verdict", "x.*").groupBy("source", "unit", "length").agg(F.count("*").alias("n_any"), F.count_if(F.col("verdict") > COMPLETE).alias("n"))
+    counts = distinct.where("chars > 0").select("source", "verdict", units).select("source", "verdict", "x.*").groupBy("source", "unit", "length").agg(F.count("*").alias("n_any"), F.count_if(F.col("verdict") > COMPLETE).alias("n"))
     by = Window.partitionBy("source", "unit")
     near = by.orderBy("length").rangeBetween(-reach, reach)
+    beyond = by.orderBy("length").rangeBetween(reach + 1, Window.unboundedFollowing)
+    low = F.greatest(F.lit(1), F.col("length") - reach)  # the first of the neighbouring lengths
+    span = F.col("length") + reach - low + 1
     tested = (
         counts.withColumn("at_risk", F.sum("n_any").over(by.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("near_n", F.sum("n").over(near) - F.col("n"))
-        .withColumn("near_risk", F.sum("at_risk").over(near) - F.col("at_risk"))
-        .withColumn("expected", F.col("at_risk") * (F.col("near_n") + 0.5) / (F.col("near_risk") + F.col("at_risk") + 1.0))
+        .withColumn("near_risk", F.sum(F.col("n_any") * F.col("length")).over(near) - (low - 1) * F.sum("n_any").over(near) + span * F.coalesce(F.sum("n_any").over(beyond), F.lit(0)) - F.col("at_risk"))
+        .withColumn("expected", F.col("at_risk") * (F.col("near_n") + 0.5) / (F.col("near_risk") + 1.0))
         .withColumn("p_value", _poisson_tail("n", "expected"))
     )
     order = by.orderBy("p_value", "length")
