@@ -1,21 +1,22 @@
 """Records that stand, exactly or almost, in two splits: content-defined chunks of normalised records.
 
-A record is normalised to what it asks and to the quantities of its table: the question becomes a signature of kind,
-direction, measures, comparisons and thresholds, whatever the wording; the table becomes the multiset of its numbers,
-whatever their style, order or orientation and however rows and columns are labelled. The quantities, in the order of
-their hash, are cut into chunks where a rolling hash of the last quantity meets a mask, so that a changed number changes
-only its own chunk. Chunk digests, each taken together with the question, are joined across splits, and the lengths of
-the shared chunks are summed into the overlap fraction of each pair of records.
-
-So that no pair is lost whose changed numbers hit every chunk, a record also emits chunks of one quantity for the first
-n - ceil(3n/4) + 1 quantities in hash order: two records that agree in three quarters of their numbers must share one of
-these. The exact share of agreeing numbers of each candidate pair decides at last.
+A record is normalised to what it asks and to the quantities of its table: the question becomes its slots (conditions,
+measures, directions), whatever the wording; the table becomes the multiset of its numbers, whatever their style, order or
+orientation and however rows and columns are labelled. The quantities, in the order of their digests, are cut into chunks
+where a rolling hash over the last WINDOW of them meets a mask, so that a changed number changes only the chunks around
+it. Records of one split with the same question and the same numbers form a class and are compared once.
+
+Chunk digests, each taken together with the question, are joined across splits, and the lengths of the shared chunks are
+summed into the overlap fraction of each pair of classes. A fraction of AGREEMENT decides: the pair is accepted as it is.
+Changed numbers can hit many chunks of a small table; a pair with a lower fraction is undecided, and the exact share of
+agreeing numbers decides. So that no undecided pair is lost whose changed numbers hit every chunk, a class also emits
+keys of one quantity, of no length, for the first n - ceil(3n/4) + 1 quantities in digest order: two records that agree in
+three quarters of their numbers must share one of these.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,150 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.llm.wording import signature
+from cellwise.operators.skew import salted_join
 from cellwise.session import materialize
 
-#: One in 2 ** CUT_BITS quantities ends a chunk.
-CUT_BITS = 2
+#: A chunk ends where the rolling hash of the last WINDOW quantities meets a mask, one in 2 ** CUT_BITS times.
+WINDOW, CUT_BITS = 2, 1
 #: The share of the numbers of the larger table that must agree.
 AGREEMENT = 0.75
 
-#: The words of the questions.
-HIGHER = ("highest", "greatest", "largest", "biggest", "maximum", "most")
-LOWER = ("lowest", "smallest", "least", "minimum", "fewest")
-COMPARISONS = {
-    "gt": ("more than", "greater than", "higher than", "larger than", "over", "above", "exceeding"),
-    "gte": ("at least", "no less than", "not less than", "not below", "not under", "no lower than"),
-    "lt": ("less than", "lower than", "smaller than", "fewer than", "under", "below"),
-    "lte": ("at most", "no more than", "not more than", "not above", "not over", "no greater than", "no higher than"),
-}
-
-_OP = {w: op for op, words in COMPARISONS.items() for w in words}
-_OPS = "|".join(sorted(map(re.escape, _OP), key=len, reverse=True))
-_DIR = {w: "higher" for w in HIGHER} | {w: "lower" for w in LOWER}
-_DIRS = "|".join(_DIR)
-_NUM = r"[-(−]?\s?[$€£]?\s?[-(]?\s?[\d,]*\.?\d+\)?%?"
-_THING = r"(?:line items?|years?|periods?|entry|entries|positions?|rows?|items?|columns?|quarters?|ones?|dates?)"
-_COND = rf"(?P<{{0}}>.+?) (?:is |are |was |of )?(?P<{{1}}>{_OPS}) (?P<{{2}}>{_NUM})"
-_CONDITION = _COND.format("c", "o", "t")
-_WORDED = [
-    ("extremum", rf"for which {_THING} is (?P<m>.+) the (?P<d>{_DIRS})"),
-    ("best", rf"take only {_THING} with {_CONDITION}\. which has the (?P<d>{_DIRS}) (?P<m>.+)"),
-    ("best", rf"among the {_THING} where {_CONDITION}, which one shows the (?P<d>{_DIRS}) (?P<m>.+)"),
-    ("best", rf"with {_CONDITION}, name the {_THING} with the (?P<d>{_DIRS}) (?P<m>.+)"),
-    ("best", rf"which {_THING} shows the (?P<d>{_DIRS}) (?P<m>.+) provided that {_CONDITION}"),
-    ("extremum", rf"name the {_THING} with the (?P<d>{_DIRS}) (?P<m>.+)"),
-    ("extremum", rf"(?P<m>.+): which {_THING} has the (?P<d>{_DIRS}) (?:amount|value)"),
-    ("extremum", rf"which {_THING} shows the (?P<d>{_DIRS}) (?P<m>.+)"),
-    ("extremum", rf"where does (?P<m>.+) reach its (?P<d>{_DIRS}) (?:amount|value), by {_THING}"),
-    ("tradeoff", rf"which {_THING} are not beaten on both (?P<m>.+) and (?P<m2>.+), if (?P<d>more|less) is better"),
-    ("tradeoff", rf"weighing (?P<m>.+) against (?P<m2>.+), which {_THING} are undominated when (?P<d>higher|lower) is better"),
-    ("tradeoff", rf"name the {_THING} for which no other is better in (?P<m>.+) as well as (?P<m2>.+) \((?P<d>higher|lower) is better\)"),
-    ("filter", rf"(?:find all {_THING} having|which {_THING} shows?|what {_THING} reports?|list every {_THING} with) (?P<conds>.+)"),
-]
-_FORMS = [(kind, re.compile(p)) for kind, p in _WORDED]
-_ONE = re.compile(rf"(?P<c>.+?) (?:is )?(?P<o>{_OPS}) (?P<t>{_NUM})(?: and (?P<rest>.+))?")
-_NOTE = re.compile(r"[.?! ]*(?:do not count total rows|leave out totals?|exclude any total or subtotal rows|ignore totals?|(?:excluding|without) totals?(?: rows)?)[.?! ]*$")
-_PUNCT = re.compile(r"[^\w%&/+.-]+", re.UNICODE)
-
-
-def quantity(text: str) -> str | None:
-    """The number that ``text`` writes, in one style; None if it writes none."""
-    t = text.replace("−", "-")
-    digits = re.sub(r"[^\d.]", "", t)
-    try:
-        v = float(digits)
-    except ValueError:
-        return None
-    return f"{-v if '-' in t or '(' in t else v:.6g}" if abs(v) < 1e5 else f"{-v if '-' in t or '(' in t else v:.4f}".rstrip("0").rstrip(".")
-
-
-#: The other words of the questions, by which slips of the pen in them are mended.
-WORDS = (
-    "which what where when for with name take only among find all list every weighing against shows show report reports having has does reach its "
-    "line items item years year periods period entries entry positions position rows row provided that the and are not beaten both "
-    "more less than better undominated higher lower other well amount value one count total totals leave out least most below above under over"
-).split()
-
-
-def slips(word: str) -> set[str]:
-    """The forms that ``word`` takes by one letter left out, doubled or swapped with the next."""
-    n = len(word)
-    return {word[:i] + word[i + 1 :] for i in range(n)} | {word[:i] + word[i] + word[i:] for i in range(n)} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(n - 1)}
-
-
-_KNOWN = {*WORDS, *HIGHER, *LOWER, *(w for words in COMPARISONS.values() for x in words for w in x.split())}
-_MENDED: dict[str, str] = {}
-for _w in sorted(_KNOWN, key=lambda w: (len(w), w)):
-    for _s in slips(_w) if len(_w) > 3 else ():
-        if len(_s) > 2 and _s not in _KNOWN:
-            _MENDED.setdefault(_s, _w)
-_WORD = re.compile(r"[a-z]+")
-_BEFORE = re.compile(r"^(?:please answer ?:|question ?:|q ?[.:]|answer this ?:|[»>*•#-]+)\s*")
-_AFTER = re.compile(r"(?:\s*\((?:see|cf)[^()]*\)|[\s?.!]+)$")
-_REMARK = re.compile(r"(?<=[\w.]) ?[(\[]\d{1,2}[)\]](?=\W|$)")
-
-
-def _name(text: str) -> str:
-    return _PUNCT.sub(" ", text).strip(" .")
-
-
-def plain(question: str | None) -> str:
-    """A question in lower case, without what was set around it, with slips in its own words mended."""
-    q = re.sub(r"\s+", " ", re.sub("[\u200b\u200c\u200d\ufeff\u00ad]", "", (question or "").lower())).strip()
-    q = _REMARK.sub("", re.sub(r" ([?.,:;!])", r"\1", q))
-    while m := _BEFORE.match(q):
-        q = q[m.end() :]
-    q = _WORD.sub(lambda m: _MENDED.get(m[0], m[0]), q)
-    while True:
-        t = _NOTE.sub("", _AFTER.sub("", q))
-        if t == q:
-            return q
-        q = t
-
-
-def parse(question: str | None) -> tuple[list[str], list[str]]:
-    """What a question asks for: its fixed parts, with ``{}`` for measures, and its measures."""
-    q = plain(question)
-    for kind, form in _FORMS:
-        m = form.fullmatch(q)
-        if not m:
-            continue
-        g = m.groupdict()
-        if kind == "extremum":
-            return [kind, _DIR[g["d"]], "{}"], [_name(g["m"])]
-        if kind == "best":
-            return [kind, _DIR[g["d"]], "{}", "{}", _OP[g["o"]], str(quantity(g["t"]))], [_name(g["m"]), _name(g["c"])]
-        if kind == "tradeoff":
-            return [kind, "lower" if g["d"] in ("less", "lower") else "higher", "{}", "{}"], [_name(g["m"]), _name(g["m2"])]
-        found, rest = [], g["conds"]
-        while rest and (one := _ONE.fullmatch(rest)):
-            found.append((_name(one["c"]), f"{_OP[one['o']]} {quantity(one['t'])}"))
-            rest = one["rest"]
-        if not rest:
-            return [kind, *(f"{{}} {x}" for _, x in found)], [c for c, _ in found]
-    return ["words", "{}"], [_name(q)]
-
-
-def _slipped(name: str, label: str) -> bool:
-    a, b = name.split(), label.split()
-    return len(a) == len(b) and all(x == y or x in slips(y) for x, y in zip(a, b))
-
-
-def signature(question: str | None, labels: Callable[[], Iterable[str]] | None = None) -> str:
-    """What a question asks for, in one form for all wordings; a question of no known form is its own words.
-
-    A measure that is no label of the table, but a label with a slip in it, is that label.
-    """
-    fixed, names = parse(question)
-    if labels is not None and fixed[0] != "words":
-        known = set(labels())
-        names = [n if n in known else next((k for k in sorted(known) if _slipped(n, k)), n) for n in names]
-    if fixed[0] == "tradeoff":
-        names = sorted(names)
-    parts = "|".join(fixed).format(*names).split("|")
-    return "|".join([parts[0], *sorted(parts[1:])]) if fixed[0] == "filter" else "|".join(parts)
-
-
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -205,51 +71,54 @@ def _quantities(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return record_of_row[row_of_cell[keep]], v[keep]
 
 
-def _label(text: str | None) -> str:
-    return _name(_REMARK.sub("", re.sub(r"\s+", " ", text or "").lower()))
+def _digests(of: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Record and digest of each quantity, in the order of the digests; equal quantities of a record are numbered."""
+    h = mix((np.round(v, 4) + 0.0).view(np.uint64))
+    order = np.lexsort((h, of))
+    of, h = of[order], h[order]
+    if len(of):
+        new = np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))
+        h = mix(h + (np.arange(len(of)) - start).astype(np.uint64))
+        order = np.lexsort((h, of))
+        of, h = of[order], h[order]
+    return of, h
+
+
+def cuts(h: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether a chunk ends after each quantity, by the rolling hash of the last WINDOW ones of its record, or with the record."""
+    rolled = np.zeros(len(h), np.uint64)
+    for k in range(WINDOW):
+        back = np.r_[np.zeros(min(k, len(h)), np.uint64), h[: max(len(h) - k, 0)]]
+        rolled += np.where(place >= k, mix(back + np.uint64(k)), np.uint64(0))
+    return ((mix(rolled) & np.uint64((1 << CUT_BITS) - 1)) == 0) | (place == count - 1)
 
 
 def normalised(records: DataFrame, id_col: str, question: str, headers: str, grid: str, side: str) -> DataFrame:
-    """``rec_id``, ``side``, ``question`` (digest of the signature), ``numbers`` (digests in order, equal numbers told apart), ``chunks``, ``lengths``."""
-    out = pa.schema([("rec_id", pa.int64()), ("side", pa.string()), ("question", pa.int64()), ("numbers", pa.list_(pa.int64())), ("chunks", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
+    """``rec_id``, ``side``, ``question`` and ``content`` (digests of what is asked and of all numbers), ``numbers`` (their digests in order), ``chunks``, ``lengths``."""
+    out = pa.schema([("rec_id", pa.int64()), ("side", pa.string()), ("question", pa.int64()), ("content", pa.int64()), ("numbers", pa.list_(pa.int64())), ("chunks", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             grids = batch.column(4)
 
-            def labels(i: int, heads: list[str] | None) -> Callable[[], Iterable[str]]:
-                def names() -> Iterable[str]:
-                    yield from map(_label, heads or ())
-                    yield from (_label(row[0]) for row in grids[i].as_py() or () if row)
-
-                return names
+            def labels(heads: list[str] | None, i: int) -> Iterable[str | None]:
+                return (*(heads or ())[1:], *(row[0] for row in grids[i].as_py() or () if row))
 
             asked = []
             for i, (q, heads) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                fixed, names = parse(q)
-                sure = fixed[0] == "words" or {*names} <= {_label(h) for h in heads or ()}
-                asked.append(xxhash.xxh64_intdigest(signature(q, None if sure else labels(i, heads))))
+                asked.append(xxhash.xxh64_intdigest(signature(q, lambda: labels(heads, i))))
             asked = np.array(asked, dtype=np.uint64)
-            of, v = _quantities(grids)
-            h = mix(np.round(v * 1e4).astype(np.int64))
-            order = np.lexsort((h, of))
-            of, h = of[order], h[order]
-            if len(of):  # number equal quantities of a record, so that sets of digests compare as multisets
-                new = np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])]
-                start = np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))
-                h = mix(h + (np.arange(len(of)) - start).astype(np.uint64))
-                order = np.lexsort((h, of))
-                of, h = of[order], h[order]
+            of, h = _digests(*_quantities(grids))
             count = np.bincount(of, minlength=n)
             offsets = np.r_[0, np.cumsum(count)]
             place = np.arange(len(of)) - offsets[of]
-            # content-defined chunks: a cut after each quantity whose hash meets the mask, and at the end of the record
-            ends = ((mix(h) & np.uint64((1 << CUT_BITS) - 1)) == 0) | (place == count[of] - 1)
-            last = np.flatnonzero(ends)
+            last = np.flatnonzero(cuts(h, place, count[of]))
             begin = np.r_[0, last[:-1] + 1] if len(last) else last
             length = last - begin + 1
             total = np.r_[np.uint64(0), np.cumsum(mix(h ^ _MIX[1]), dtype=np.uint64)]
+            content = mix(total[offsets[1:]] - total[offsets[:-1]] + count.astype(np.uint64))
             digest = mix(mix(total[last + 1] - total[begin]) ^ asked[of[last]])
             # single quantities that two agreeing records can't all lack; a record without numbers has one empty chunk
             first = place <= count[of] - np.ceil(AGREEMENT * count[of])
@@ -259,13 +128,47 @@ def normalised(records: DataFrame, id_col: str, question: str, headers: str, gri
             size = np.concatenate([length, np.zeros(first.sum(), dtype=np.int64), np.zeros(len(none), dtype=np.int64)])
             order = np.argsort(who, kind="stable")
             at = pa.array(np.r_[0, np.cumsum(np.bincount(who, minlength=n))], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(asked.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(key[order].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(size[order].astype(np.int32)))],
-                schema=out,
-            )
+            lists = lambda offset, values: pa.ListArray.from_arrays(offset, pa.array(values))
+            columns = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(asked.view(np.int64)), pa.array(content.view(np.int64))]
+            columns += [lists(pa.array(offsets, pa.int32()), h.view(np.int64)), lists(at, key[order].view(np.int64)), lists(at, size[order].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     chosen = records.select(F.col(id_col).alias("rec_id"), F.col(side).alias("side"), F.col(question).alias("q"), F.col(headers).alias("headers"), F.col(grid).alias("grid")).where("side is not null")
-    return chosen.mapInArrow(run, "rec_id bigint, side string, question bigint, numbers array<bigint>, chunks array<bigint>, lengths array<int>")
+    return chosen.mapInArrow(run, "rec_id bigint, side string, question bigint, content bigint, numbers array<bigint>, chunks array<bigint>, lengths array<int>")
+
+
+def class_pairs(records: DataFrame, id_col: str, question: str, headers: str, grid: str, split: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> tuple[DataFrame, DataFrame]:
+    """The records' classes (``rec_id``, ``side``, ``question``, ``content``) and the overlapping pairs of classes.
+
+    A pair has ``question``, ``train_class``, ``held_class``, ``chunk_overlap``, ``agreement`` (null where the chunks
+    decided). The normalised records are written when the plan is built.
+    """
+    lower = F.lower(F.regexp_replace(F.col(split), r"^\s+|\s+$", ""))
+    sided = records.withColumn("_side", F.when(lower.isin(*train, *held_out), lower)).select(F.col(id_col).alias("_id"), F.col(question).alias("_q"), F.col(headers).alias("_h"), F.col(grid).alias("_g"), "_side")
+    recs = materialize(normalised(sided, "_id", "_q", "_h", "_g", "_side"), "records")
+    is_train = F.col("side").isin(*train)
+    flags = [F.max(is_train.cast("int")).alias("t"), F.max((~is_train).cast("int")).alias("e")]
+    both = recs.groupBy("question").agg(*flags).where("t = 1 and e = 1").select("question")
+    kept = recs.join(both, "question", "left_semi")
+    classes = kept.groupBy("question", "content").agg(*flags, *(F.first(c).alias(c) for c in ("numbers", "chunks", "lengths")))
+    classes = materialize(classes, "classes")
+    chunks = classes.select("question", "content", "t", "e", F.size("numbers").alias("n"), F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("question", "content", "t", "e", "n", F.col("c.chunks").alias("chunk"), F.col("c.lengths").alias("length"))
+    a = chunks.where("t = 1").select("chunk", "question", F.col("content").alias("train_class"), F.col("n").alias("n_a"), "length")
+    b = chunks.where("e = 1").select("chunk", F.col("question").alias("q"), F.col("content").alias("held_class"), F.col("n").alias("n_b"))
+    near = a.join(b, "chunk").where(f"question = q and least(n_a, n_b) >= {AGREEMENT} * greatest(n_a, n_b)")
+    pairs = near.groupBy("question", "train_class", "held_class").agg(F.sum("length").alias("shared"), F.max(F.greatest("n_a", "n_b")).alias("n"))
+    pairs = pairs.withColumn("chunk_overlap", F.when(F.col("n") == 0, 1.0).otherwise(F.col("shared") / F.col("n")))
+    pairs = materialize(pairs.select("question", "train_class", "held_class", "n", "chunk_overlap"), "pairs")
+    decided = pairs.where(f"chunk_overlap >= {AGREEMENT}").withColumn("agreement", F.lit(None).cast("double"))
+    numbers = classes.select("question", "content", "numbers")
+    exact = (
+        pairs.where(f"chunk_overlap < {AGREEMENT}")
+        .join(numbers.select("question", F.col("content").alias("train_class"), F.col("numbers").alias("x")), ["question", "train_class"])
+        .join(numbers.select("question", F.col("content").alias("held_class"), F.col("numbers").alias("y")), ["question", "held_class"])
+        .withColumn("agreement", F.size(F.array_intersect("x", "y")) / F.col("n")).where(f"agreement >= {AGREEMENT}")
+    )
+    cols = ["question", "train_class", "held_class", F.round("chunk_overlap", 6).alias("chunk_overlap"), F.round("agreement", 6).alias("agreement")]
+    return recs.select("rec_id", "side", "question", "content"), decided.select(*cols).unionAll(exact.select(*cols))
 
 
 def overlaps(records: DataFrame, id_col: str, question: str, headers: str, grid: str, split: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> DataFrame:
@@ -274,29 +177,39 @@ def overlaps(records: DataFrame, id_col: str, question: str, headers: str, grid:
     ``split`` is read without regard to case and surrounding blanks; other splits and null take no part. A null question
     equals a null question only, a table that is null, empty or without numbers only another such table. Records that
     occur twice under other ids are found with each of their partners. An empty table gives an empty result; other
-    columns aren't read.
+    columns aren't read. Hot classes are split where their members are put in.
     """
-    lower = F.lower(F.regexp_replace(F.col(split), r"^\s+|\s+$", ""))
-    sided = records.withColumn("_side", F.when(lower.isin(*train, *held_out), lower)).select(F.col(id_col).alias("_id"), F.col(question).alias("_q"), F.col(headers).alias("_h"), F.col(grid).alias("_g"), "_side")
-    recs = materialize(normalised(sided, "_id", "_q", "_h", "_g", "_side"), "records")
+    recs, pairs = class_pairs(records, id_col, question, headers, grid, split, train, held_out)
+    is_train = F.col("side").isin(*train)
+    member = lambda who, c, name: recs.where(who).select(F.col("rec_id").alias(name), F.col("question").alias(f"q_{c}"), F.col("content").alias(c), *(["side"] if c == "held_class" else []))
+    held = salted_join(member(~is_train, "held_class", "held_out_id"), pairs, "held_class", F.col("held_out_id")).where("question = q_held_class")
+    found = salted_join(held, member(is_train, "train_class", "train_id"), "train_class", F.col("held_out_id")).where("question = q_train_class")
+    return found.select(F.least("train_id", "held_out_id").alias("rec_id_a"), F.greatest("train_id", "held_out_id").alias("rec_id_b"), "train_id", "held_out_id", F.col("side").alias("split"), "chunk_overlap", "agreement")
+
+
+def linked_classes(records: DataFrame, id_col: str, question: str, headers: str, grid: str, split: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+    """``rec_id``, ``class_id``, ``n_links`` of every record of a known split: its class and how many records of the other side it overlaps.
+
+    Nothing is expanded to pairs of records, so that copies cost no more than one row each.
+    """
+    recs, pairs = class_pairs(records, id_col, question, headers, grid, split, train, held_out)
+    is_train = F.col("side").isin(*train)
+    sizes = recs.groupBy("question", "content").agg(F.count_if(is_train).alias("n_train"), F.count_if(~is_train).alias("n_held"))
+    count = lambda mine, other, n: pairs.join(sizes.select("question", F.col("content").alias(other), n), ["question", other]).groupBy("question", F.col(mine).alias("content")).agg(F.sum(n).alias(f"links_{n}"))
+    per = sizes.join(count("train_class", "held_class", "n_held"), ["question", "content"], "left").join(count("held_class", "train_class", "n_train"), ["question", "content"], "left")
+    per = per.select(F.col("question").alias("q"), "content", "links_n_held", "links_n_train")
+    labelled = salted_join(recs, per, "content", F.col("rec_id")).where("question = q")
+    return labelled.select("rec_id", F.xxhash64("question", "content").alias("class_id"), F.coalesce(F.when(is_train, F.col("links_n_held")).otherwise(F.col("links_n_train")), F.lit(0)).alias("n_links"))
+
+
+def report(records: DataFrame, id_col: str, question: str, headers: str, grid: str, split: str, source: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+    """Per evaluation split and source of the held-out record: pairs, held-out records and train records concerned, from class counts alone."""
+    recs, pairs = class_pairs(records, id_col, question, headers, grid, split, train, held_out)
     is_train = F.col("side").isin(*train)
-    both = recs.groupBy("question").agg(F.max(is_train.cast("int")).alias("t"), F.max((~is_train).cast("int")).alias("e")).where("t = 1 and e = 1").select("question")
-    chunks = recs.select("rec_id", "side", "question", F.size("numbers").alias("n"), "chunks", "lengths").join(both, "question", "left_semi").select("rec_id", "side", "n", F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("rec_id", "side", "n", F.col("c.chunks").alias("chunk"), F.col("c.lengths").alias("length"))
-    a = chunks.where(is_train).select("chunk", F.col("rec_id").alias("train_id"), F.col("n").alias("n_a"), "length")
-    b = chunks.where(~is_train).select("chunk", F.col("rec_id").alias("held_out_id"), F.col("n").alias("n_b"), F.col("side").alias("split"))
-    pairs = a.join(b, "chunk").where(f"least(n_a, n_b) >= {AGREEMENT} * greatest(n_a, n_b)").groupBy("train_id", "held_out_id", "split").agg(F.sum("length").alias("shared"), F.max(F.greatest("n_a", "n_b")).alias("n"))
-    numbers = recs.select("rec_id", "question", "numbers")
-    checked = (
-        pairs.join(numbers.select(F.col("rec_id").alias("train_id"), F.col("question").alias("q_a"), F.col("numbers").alias("x")), "train_id")
-        .join(numbers.select(F.col("rec_id").alias("held_out_id"), F.col("question").alias("q_b"), F.col("numbers").alias("y")), "held_out_id")
-        .where("q_a = q_b")
-        .withColumn("agreement", F.when(F.col("n") == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / F.col("n")))
-        .where(F.col("agreement") >= AGREEMENT)
-    )
-    return checked.select(F.least("train_id", "held_out_id").alias("rec_id_a"), F.greatest("train_id", "held_out_id").alias("rec_id_b"), "train_id", "held_out_id", "split", F.when(F.col("n") == 0, 1.0).otherwise(F.round(F.col("shared") / F.col("n"), 6)).alias("chunk_overlap"), F.round("agreement", 6).alias("agreement"))
-
-
-def report(pairs: DataFrame, records: DataFrame, id_col: str, source: str) -> DataFrame:
-    """Per evaluation split and source of the held-out record: pairs, held-out records and train records concerned."""
-    names = records.select(F.col(id_col).alias("held_out_id"), F.coalesce(F.col(source), F.lit("(none)")).alias("source"))
-    return pairs.join(names, "held_out_id").groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.count_distinct("held_out_id").alias("n_held_out"), F.count_distinct("train_id").alias("n_train"), F.round(F.avg("chunk_overlap"), 4).alias("mean_chunk_overlap"))
+    names = records.select(F.col(id_col).alias("rec_id"), F.coalesce(F.col(source), F.lit("(none)")).alias("source"))
+    held = recs.where(~is_train).join(names, "rec_id").groupBy("question", F.col("content").alias("held_class"), F.col("side").alias("split"), "source").agg(F.count("*").alias("n_h"))
+    own = recs.where(is_train).groupBy("question", F.col("content").alias("train_class")).agg(F.count("*").alias("n_t"))
+    linked = pairs.join(held, ["question", "held_class"]).join(own, ["question", "train_class"])
+    per = linked.groupBy("split", "source").agg(F.sum(F.col("n_h") * F.col("n_t")).alias("n_pairs"), F.round(F.sum(F.col("chunk_overlap") * F.col("n_h") * F.col("n_t")) / F.sum(F.col("n_h") * F.col("n_t")), 4).alias("mean_chunk_overlap"))
+    once = lambda c, n, name: linked.select("split", "source", "question", c, n).distinct().groupBy("split", "source").agg(F.sum(n).alias(name))
+    return per.join(once("held_class", "n_h", "n_held_out"), ["split", "source"]).join(once("train_class", "n_t", "n_train"), ["split", "source"]).select("split", "source", "n_pairs", "n_held_out", "n_train", "mean_chunk_overlap")

@@ -22,17 +22,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(folder, name)
 
 
-def _p1_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    records = table(spark, sf_dir, "realtable_eval_verified")
-    return overlap.overlaps(records, "rec_id", "question", "table.headers", "table.rows", "split"), records
+_P1 = ("rec_id", "question", "table.headers", "table.rows", "split")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p1_pairs(spark, sf_dir)[0].select("rec_id_a", "rec_id_b")
+    return overlap.overlaps(table(spark, sf_dir, "realtable_eval_verified"), *_P1).select("rec_id_a", "rec_id_b")
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record: its class of exact copies and its number of links."""
+    return overlap.linked_classes(table(spark, sf_dir, "realtable_eval_verified"), *_P1)
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.report(*_p1_pairs(spark, sf_dir), "rec_id", "metadata.source.dataset")
+    return overlap.report(table(spark, sf_dir, "realtable_eval_verified"), *_P1, "metadata.source.dataset")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +115,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_report": p2_report,
