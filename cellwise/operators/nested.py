@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellwise.session import materialize
+
 #: The field that holds an element's place where lists were read from JSON texts.
 PLACE, VALUE = "_place", "_value"
 _KEYED = re.compile(r"\s*\d+\s*$")
+_BRACKET = re.compile(r"\s*[\[{]")
 
 
 def _merge(a: T.DataType | None, b: T.DataType | None) -> T.DataType:
@@ -48,7 +51,7 @@ def _merge(a: T.DataType | None, b: T.DataType | None) -> T.DataType:
 
 def _opened(value: object) -> object:
     """``value``, or the list or object that it holds as text."""
-    if isinstance(value, str) and value[:64].lstrip()[:1] in ("[", "{"):
+    if isinstance(value, str) and _BRACKET.match(value):
         try:
             return _opened(json.loads(value))
         except (ValueError, RecursionError):
@@ -134,7 +137,7 @@ def _named(t: T.DataType) -> T.DataType:
     if isinstance(t, T.NullType):
         return T.StringType()
     if isinstance(t, T.ArrayType):
-        return T.ArrayType(T.StructType([T.StructField(PLACE, T.IntegerType()), T.StructField(VALUE, _named(t.elementType))]))
+        return T.ArrayType(T.StructType([T.StructField(PLACE, T.LongType()), T.StructField(VALUE, _named(t.elementType))]))
     if isinstance(t, T.StructType):
         return T.StructType([T.StructField(f.name, _named(f.dataType)) for f in t])
     return t
@@ -167,7 +170,7 @@ def conform(value: object, t: T.DataType) -> object:
             places = sorted((int(k), v) for k, v in value.items())
         else:
             places = [(0, value)] if value != "" else []
-        return [{PLACE: i, VALUE: conform(v, inner)} for i, v in places if i < 2**31]
+        return [{PLACE: i, VALUE: conform(v, inner)} for i, v in places]
     if isinstance(t, T.StructType):
         return {f.name: conform(value[f.name], f.dataType) for f in t if f.name in value} if isinstance(value, dict) else None
     if isinstance(t, (T.LongType, T.DoubleType)):
@@ -181,7 +184,9 @@ def conform(value: object, t: T.DataType) -> object:
 def from_json_texts(records: DataFrame, text_col: str, fields: tuple[str, ...], schema: T.StructType | None = None) -> DataFrame:
     """``records`` with a column for each of ``fields`` instead of ``text_col``, in the merged schema.
 
-    A text that is null or not whole JSON, or that holds no record, gives a row of nulls.
+    A text that is null or not whole JSON, or that holds no record, gives a row of nulls. The texts are parsed twice, once
+    for the schema and once into a table that is written to the shared folder, both when the plan is built; whatever reads
+    the columns reads that table.
     """
     schema = schema or infer_schema(records, text_col, fields)
 
@@ -190,7 +195,7 @@ def from_json_texts(records: DataFrame, text_col: str, fields: tuple[str, ...],
         found = (inner_record(whole_json(t), fields) for t in texts)
         return pd.Series([None if r is None else json.dumps(conform(r, schema), ensure_ascii=False) for r in found], dtype=object)
 
-    parsed = records.withColumn("_record", F.from_json(shaped(F.col(text_col)), schema)).drop(text_col)
+    parsed = materialize(records.withColumn("_record", F.from_json(shaped(F.col(text_col)), schema)).drop(text_col), "parsed")
     return parsed.select(*(c for c in parsed.columns if c != "_record" and c not in fields), *(F.col(f"_record.`{f}`").alias(f) for f in fields))
 
 
@@ -231,7 +236,7 @@ def flatten(records: DataFrame, key: str, root: str = "record") -> dict[str, Dat
         if placed:
             rows = base.select("_key", F.col("_at").alias("_ordinals"), F.explode(array).alias("_e")).select("_key", "_ordinals", F.col(f"_e.{PLACE}").alias("_place"), F.col(f"_e.{VALUE}").alias("_v"))
         else:
-            rows = base.select("_key", F.col("_at").alias("_ordinals"), F.posexplode(array).alias("_place", "_v"))
+            rows = base.select("_key", F.col("_at").alias("_ordinals"), F.posexplode(array).alias("_place", "_v")).withColumn("_place", F.col("_place").cast("bigint"))
         head = [F.col("_key"), F.lit(parent).alias("_parent"), F.col("_ordinals"), F.col("_place")]
         below = rows.select("_key", F.concat("_ordinals", F.array("_place")).alias("_at"), "_v")
         if isinstance(inner, T.StructType):
@@ -246,7 +251,7 @@ def flatten(records: DataFrame, key: str, root: str = "record") -> dict[str, Dat
             tables[path] = rows.select(*head, F.col("_v").alias("value"))
 
     cols: list[Column] = []
-    base = records.select(F.col(key).alias("_key"), F.array().cast("array<int>").alias("_at"), F.struct(*(F.col(f"`{c}`") for c in records.columns if c != key)).alias("_v"))
+    base = records.select(F.col(key).alias("_key"), F.array().cast("array<bigint>").alias("_at"), F.struct(*(F.col(f"`{c}`") for c in records.columns if c != key)).alias("_v"))
     cols, arrays = scalars(F.col("_v"), base.schema["_v"].dataType, "")
     tables[root] = base.select("_key", *cols)
     for path, c, t in arrays:
@@ -255,20 +260,27 @@ def flatten(records: DataFrame, key: str, root: str = "record") -> dict[str, Dat
 
 
 def cell_references(tables: dict[str, DataFrame], key: str = "rec_id") -> DataFrame:
-    """``key``, ``path``, ``step_pos``, ``pos``, ``row_no`` of every cell reference with a row number, from the flat tables."""
-    schema = f"`{key}` bigint, path string, step_pos int, pos int, row_no int"
+    """``key``, ``path``, ``step_pos``, ``pos``, ``row_no`` of every cell reference with a whole row number, from the flat tables.
+
+    Places and row numbers are 64-bit, so that none is lost to a narrow type.
+    """
     parts = []
     for path, name, column in (("cite", "trace_steps.cites", "row"), ("evidence", "evidence_cells", "row"), ("gold", "gold_answer.rows", "value")):
         t = tables.get(name)
         if t is None or column not in t.columns:
             continue
-        step = F.element_at("_ordinals", 1) if path == "cite" else F.lit(-1)
+        step = F.element_at("_ordinals", 1) if path == "cite" else F.lit(-1).cast("bigint")
         row = F.expr(f"try_cast(`{column}` as double)")
-        row = F.when((row == F.floor(row)) & row.between(-(2**31), 2**31 - 1), row.cast("int"))
+        row = F.when((row == F.floor(row)) & (F.abs(row) < 2.0**63), row.cast("bigint"))
         parts.append(t.select(F.col("_key").alias(key), F.lit(path).alias("path"), step.alias("step_pos"), F.col("_place").alias("pos"), row.alias("row_no")).where("row_no is not null"))
     if not parts:
-        return next(iter(tables.values())).sparkSession.createDataFrame([], schema)
+        return next(iter(tables.values())).sparkSession.createDataFrame([], f"`{key}` bigint, path string, step_pos bigint, pos bigint, row_no bigint")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
+
+
+def in_int(references: DataFrame) -> Column:
+    """Whether a cell reference fits 32-bit places and row numbers."""
+    return F.greatest("step_pos", "pos", F.abs("row_no")) < 2**31
