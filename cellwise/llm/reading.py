@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.session import materialize
+
 #: At most so many graded documents, those with the lowest hash of their id, fit the model; it bounds what is collected and broadcast.
 GRADED_SAMPLE = 20_000
 #: Graded documents that a word needs to be known.
@@ -34,7 +36,7 @@ FUNCTION_WORDS = {
     "es": "el los las del y una es por con para que se en su al lo fue han más no como según".split(),
 }
 
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<[^<>]*>")
 _DROP = re.compile(r"^\s*(?:#{1,6}\s.*|[-=_*~\s]{3,}|```.*|[^\n]*\|[^\n]*|[^\S\n]*\S[^\n\t]*\t[^\n\t]*\t[^\n]*)$", re.M)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _LANGUAGE = {w: k for k, words in FUNCTION_WORDS.items() for w in words}
@@ -74,13 +76,17 @@ def features(grades: np.ndarray) -> np.ndarray:
 
 
 class Discriminant:
-    """A quadratic discriminant; graded documents that it places elsewhere are set aside once, as their raters may have erred, and it is fitted again."""
+    """A quadratic discriminant; graded documents that it places elsewhere are set aside once, as their raters may have erred, and it is fitted again.
+
+    ``set_aside`` is how many they were.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
         self.classes = np.unique(y)
         self._fit(x, y)
-        right = self.predict(x) == y
+        right, self.set_aside = self.predict(x) == y, 0
         if all((right & (y == c)).sum() > x.shape[1] for c in self.classes):
+            self.set_aside = int((~right).sum())
             self._fit(x[right], y[right])
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -156,7 +162,7 @@ def levels(documents: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
     is empty. Copies get the same level each.
     """
     spark = documents.sparkSession
-    model = fit(graded_documents(documents, ratings, id_col, text_col, grade_col, sample=sample))
+    model = fit(materialize(graded_documents(documents, ratings, id_col, text_col, grade_col, sample=sample), "graded"))  # read twice, no more than the sample
     schema = "doc_id bigint, band int, median_grade double, known_share double"
     if model is None:
         return spark.createDataFrame([], schema)
