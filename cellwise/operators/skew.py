@@ -12,8 +12,8 @@ HOT, SALTS = 1e-3, 64
 def hot_keys(rows: DataFrame, key: str, share: float = HOT) -> DataFrame:
     """``key`` of the values that more than ``share`` of the rows carry: at most 1 / share, counted in one pre-aggregated pass."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    whole = counts.agg(F.sum("_n").alias("_all"))  # one row
-    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").where(F.col("_n") > F.greatest(F.lit(1.0), share * F.col("_all"))).select(key)
+    whole = counts.agg(F.sum("_n")).scalar()  # a subquery of one number
+    return counts.where(F.col("_n") > F.greatest(F.lit(1.0), share * whole)).select(key)
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", *, hot: DataFrame | None = None, share: float = HOT, salts: int = SALTS) -> DataFrame:
