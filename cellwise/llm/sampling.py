@@ -20,9 +20,37 @@ from cellwise.session import materialize
 
 #: Partitions whose rests fly together on the next level.
 FAN_IN = 64
+#: Units that fly in one block of the first level, which is what a task holds.
+BLOCK_UNITS = 20_000
 EPS = 1e-9
 
 
+def _apart(pi: np.ndarray, c: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The flight phase where each unit counts for one constraint only (``c``, -1 for none), by value ``pi``.
+
+    Two units of one constraint span a null direction by themselves, so that a step moves a pair and solves nothing.
+    """
+    p, draw = pi.tolist(), rng.random(2 * len(pi)).tolist()
+    held: dict[int, int] = {}
+    for i, k in enumerate(c.tolist()):
+        if not EPS < p[i] < 1 - EPS:
+            continue
+        if k < 0:
+            p[i] = float(draw.pop() < p[i])
+            continue
+        j = held.pop(k, None)
+        if j is None:
+            held[k] = i
+            continue
+        up, down = min(1 - p[i], p[j]), min(p[i], 1 - p[j])  # the first of the pair rises, or falls
+        move = up if draw.pop() < down / (up + down) else -down
+        for at, v in ((i, p[i] + move), (j, p[j] - move)):
+            p[at] = 0.0 if v < EPS else 1.0 if v > 1 - EPS else v
+            if 0 < p[at] < 1:
+                held[k] = at
+    return np.array(p)
+
+
 def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The flight phase: probabilities moved to 0 or 1 while ``x / pi`` keeps its totals. ``x`` has a row for each unit.
 
@@ -31,6 +59,8 @@ def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarra
     """
     p = np.clip(pi.astype(float), 0, 1)
     ratio = np.where(p[:, None] > EPS, x / np.maximum(p[:, None], EPS), 0.0)
+    if x.shape[1] and ((ratio > EPS).sum(axis=1) <= 1).all() and np.allclose(ratio[ratio > EPS], 1.0):  # indicators of disjoint categories
+        return _apart(p, np.where((ratio > EPS).any(axis=1), ratio.argmax(axis=1), -1), rng)
     waiting = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS][::-1]
     air: list[int] = []
     room = x.shape[1] + 1
@@ -87,9 +117,9 @@ def frame(cards: DataFrame, keys: DataFrame, targets: DataFrame, id_col: str, la
     )
     units = materialize(units, "units")
     by = units.groupBy("category").agg(F.count("*").alias("n_available"))
-    total = units.agg(F.floor(F.count("*") / 4).alias("n_sample"))
+    n_sample = units.agg(F.floor(F.count("*") / 4)).scalar()  # a subquery of one number
     need = (
-        wanted.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").join(by, "category", "left")
+        wanted.withColumn("n_sample", n_sample).join(by, "category", "left")
         .select("category", "share_pct", "min_cards", "n_sample", F.coalesce("n_available", F.lit(0)).cast("bigint").alias("n_available"), F.greatest(F.col("min_cards"), F.floor(F.col("n_sample") * F.col("share_pct") / 100 + 1e-9)).cast("bigint").alias("n_needed"))
     )
     return units, need
@@ -121,7 +151,7 @@ def cube_sample(units: DataFrame, need: DataFrame, seed: int = 7) -> DataFrame:
 
         return run
 
-    blocks = max(1, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-units.count() // BLOCK_UNITS))
     flown = materialize(units.repartition(blocks, F.xxhash64("unit")).mapInPandas(fly(False, 0), schema), "flight")
     drawn = [flown.where("done and p > 0.5")]
     level = 1

@@ -63,3 +63,24 @@ def test_empty_tables(spark):
     sample, report = s.balanced_sample(c.limit(0), k, t)
     assert sample.count() == 0 and report.where("filled").count() == 1
     assert s.balanced_sample(c, k, t.limit(0))[1].count() == 0
+
+
+def test_pairs_fly_as_the_general_step_does(monkeypatch):
+    """Both ways keep the totals of every category and the chances of every unit."""
+    group = np.arange(60) % 3
+    pi = np.array([0.2, 0.5, 0.35])[group]
+    x = np.zeros((60, 3))
+    x[np.arange(60), group] = pi
+    hits = {}
+    for way in ("pairs", "general"):
+        if way == "general":
+            monkeypatch.setattr(s.np, "allclose", lambda *a: False)
+        hits[way] = np.mean([s.land(s.flight(pi, x, r), x, r) for r in map(np.random.default_rng, range(300))], axis=0)
+    assert all(abs(h - pi).max() < 0.12 for h in hits.values())
+
+
+def test_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK_UNITS", 20)
+    c, k, t, _, _ = frames(spark, 3000)
+    _, report = s.balanced_sample(c, k, t)
+    assert all(r["n_drawn"] == min(r["n_needed"], r["n_available"]) for r in report.collect())
