@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Patterns of the cell grammar.
-MISSING = r"^(?:[-‒–—―�*\s]+|(?i:n/a|na|n\.a\.|nm|nil)|--+)$"
+MISSING_CORE = r"^[\-‒–—―�\s*]*$"
+MISSING_WORD = r"^(n/?a|n\.a\.?|nm|nil|--+)$"
 NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
+FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TOTAL = r"(?iU)\b(total|subtotal|aggregate)\b"
 THRESHOLD_WORDS = r"(?iU)\b(while|under|at least|at most|below|above|exceed|exceeds|less than|greater than|no more than|no less than|of at least|of at most)\b"
 TRADEOFF_WORDS = r"(?iU)\b(pareto|trade-?off|optimal|optimize|optimise|maxim|minim)\b"
@@ -23,7 +25,7 @@ def strip(c: Column) -> Column:
 def is_missing(c: Column) -> Column:
     """Whether a cell writes that there is no value: empty, lone dashes, n/a and the like."""
     t = strip(F.regexp_replace(c, "[$%]", ""))
-    return (t == "") | t.rlike(MISSING)
+    return t.rlike("(?U)" + MISSING_CORE) | t.rlike("(?i)" + MISSING_WORD)
 
 
 def cell_number(c: Column) -> Column:
@@ -33,7 +35,7 @@ def cell_number(c: Column) -> Column:
     once more.
     """
     bare = F.regexp_replace(F.regexp_replace(c, "[$%]", ""), r"(?U)^\s+|\s+$|,", "")
-    signed = F.regexp_replace(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"), "^--", "")
+    signed = F.regexp_replace(F.regexp_replace(bare, r"(?U)^\(\s*(.*?)\s*\)$", "-$1"), "^--", "")
     return F.regexp_extract(signed, NUMBER, 0).try_cast("double")
 
 
@@ -65,13 +67,14 @@ def is_total(label: Column) -> Column:
 
 
 def canon_num(c: Column) -> Column:
-    """The number that a value writes, with percents as fractions; null if it writes none."""
-    t = strip(F.regexp_replace(c, "(?i)[$£€¥,]|RMB|USD|GBP|EUR", ""))
-    negative = t.rlike(r"^\(.*\)$")
-    t = strip(F.when(negative, F.regexp_extract(t, r"^\((.*)\)$", 1)).otherwise(t))
+    """The number that a value writes in any notation, with percents as fractions; null if it writes none."""
+    t = strip(c)
+    negative = t.startswith("(") & t.endswith(")")
+    t = F.regexp_replace(t, r"^[()]+|[()]+$", "")
+    t = strip(F.regexp_replace(t, "(?i)[$£€¥,]|RMB|USD|GBP|EUR", ""))
     percent = t.endswith("%")
-    body = strip(F.regexp_replace(t, "%$", ""))
-    v = F.when(body.rlike(NUMBER), body).try_cast("double")
+    body = strip(F.regexp_replace(t, "%+$", ""))
+    v = F.when(body.rlike(FLOAT), body).try_cast("double")
     v = F.when(percent, v / 100).otherwise(v)
     return F.when(negative, -v).otherwise(v)
 

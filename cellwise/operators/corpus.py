@@ -1,65 +1,84 @@
-"""Operations over a corpus of many small tables, and the validator of their answers.
+"""Operations over a corpus of many small tables: answers with their evidence, and what is wrong with citations.
 
 The executor explodes the measures that an operation names and works with grouped aggregates and windows per operation.
-The validator shares no predicate with it: it works inside each record with higher-order functions.
+The validator in ``validator.py`` shares no predicate with it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cellwise.functions.text import cell_number, is_total
+from cellwise.functions.text import cell_number, is_total, strip
 
 EPS = 1e-9
-OP = "struct<type:string,target:string,target_dir:string,constraint:string,op:string,threshold:double,conditions:array<struct<metric:string,op:string,t:double>>,m1:string,m2:string,d1:string,d2:string,rows:array<int>>"
+CONDITIONS = "array<struct<metric:string,op:string,t:double>>"
+OP = f"struct<type:string,target:string,target_dir:string,constraint:string,op:string,threshold:double,conditions:{CONDITIONS},m1:string,m2:string,d1:string,d2:string,rows:array<int>>"
+CELL = "struct<row:int,col:int,col_name:string,value:string>"
+DIRECTIONS = ("higher", "lower")
+
+
+def engine_error(op: Column, headers: Column) -> Column:
+    """Why an operation can't run (unknown type, comparison, direction or column; no threshold), or null."""
+    lost = lambda n: ~F.coalesce(F.array_contains(headers, n), F.lit(False))
+    bad_op = lambda o: ~F.coalesce(o.isin("lt", "gte", "ge"), F.lit(False))
+    bad_dir = lambda d: ~F.coalesce(d.isin(*DIRECTIONS), F.lit(False))
+    t, conds = op["type"], op["conditions"]
+    best = F.when(lost(op["target"]) | lost(op["constraint"]), "column").when(bad_op(op["op"]), "comparison").when(bad_dir(op["target_dir"]), "direction").when(op["threshold"].isNull(), "threshold")
+    keep = F.when(conds.isNull(), "conditions").when(F.exists(conds, lambda c: lost(c["metric"])), "column").when(F.exists(conds, lambda c: bad_op(c["op"])), "comparison").when(F.exists(conds, lambda c: c["t"].isNull()), "threshold")
+    front = F.when(lost(op["m1"]) | lost(op["m2"]), "column").when(bad_dir(op["d1"]) | bad_dir(op["d2"]), "direction")
+    top = F.when(lost(op["target"]), "column").when(bad_dir(op["target_dir"]), "direction")
+    return F.when(t == "best_under_constraint", best).when(t == "threshold_filter", keep).when(t == "tradeoff_summary", front).when(t == "extremum", top).otherwise("type")
+
+
+def entity_rows(rows: Column) -> Column:
+    """The numbers of a table's rows that stand for entities: those whose first cell is no total."""
+    numbered = F.transform(rows, lambda r, i: F.when(~is_total(F.get(r, F.lit(0))), i))
+    return F.array_compact(numbered)
+
+
+def bind_universe(op: Column, rows: Column) -> Column:
+    """An operation that ranges over the entities of a table, whatever rows it named."""
+    return op.withField("rows", entity_rows(rows))
+
+
+def row_label(table: Column, row: Column) -> Column:
+    """A row's name: its row label, else its cell in the first categorical column, else ``row i``."""
+    first = F.array_position(table["column_types"], "categorical")
+    cell = F.when(first > 0, F.get(F.get(table["rows"], row), (first - 1).cast("int")))
+    return F.coalesce(F.when(F.size(table["row_labels"]) > 0, F.get(table["row_labels"], row)), cell, F.concat(F.lit("row "), row.cast("string")))
 
 
 def _holds(v: Column, op: Column, t: Column) -> Column:
-    return F.when(op == "lt", v < t).when(op.isin("gte", "ge"), v >= t).when(op == "gt", v > t).when(op == "lte", v <= t)
+    return F.when(op == "lt", v < t).otherwise(v >= t)
 
 
-def engine_error(op: Column, headers: Column) -> Column:
-    """Why an operation can't run (unknown type, comparison, direction or column), or null."""
-    known = lambda name: F.array_contains(headers, name)
-    bad_op = lambda o: ~F.coalesce(o.isin("lt", "gte", "ge", "gt", "lte"), F.lit(False))
-    bad_dir = lambda d: ~F.coalesce(d.isin("higher", "lower"), F.lit(False))
-    lost = lambda n: ~F.coalesce(known(n), F.lit(False))
-    t = op["type"]
-    conds = op["conditions"]
-    return (
-        F.when(t == "best_under_constraint", F.when(lost(op["target"]) | lost(op["constraint"]), "column").when(bad_op(op["op"]), "comparison").when(bad_dir(op["target_dir"]), "direction"))
-        .when(t == "threshold_filter", F.when(conds.isNull() | (F.size(conds) == 0), "conditions").when(F.exists(conds, lambda c: lost(c["metric"])), "column").when(F.exists(conds, lambda c: bad_op(c["op"])), "comparison"))
-        .when(t == "tradeoff_summary", F.when(lost(op["m1"]) | lost(op["m2"]), "column").when(bad_dir(op["d1"]) | bad_dir(op["d2"]), "direction"))
-        .when(t == "extremum", F.when(lost(op["target"]), "column").when(bad_dir(op["target_dir"]), "direction"))
-        .otherwise("type")
-    )
-
-
-def execute(records: DataFrame, key: str, headers: str, rows: str, op: str) -> DataFrame:
-    """``key``, ``answer`` (sorted row numbers), ``label``, ``error`` for each record's operation on its own table.
-
-    The universe is the operation's ``rows``, or all rows whose first cell is no total; numbers out of range are left
-    aside. A measure is the first column of that name. Records without table or operation have the error ``type``.
+def execute(records: DataFrame, key: str, headers: str, rows: str, op: str, row_labels: str | None = None) -> DataFrame:
+    """``key``, ``answer`` (sorted row numbers), ``label``, ``metrics``, ``evidence``, ``error`` for each record's operation on its own table.
+
+    The universe is the operation's ``rows`` (numbers out of range are left aside), or all rows where it names none;
+    ``bind_universe`` restricts it to entities beforehand. A measure is the first column of that name. Rows are named by
+    ``row_labels`` where a table has them, else by their first cell. The evidence are the cells that the answer was read
+    from: for an empty answer, those of the whole universe. Records without table or operation have the error ``type``.
+    Keys are unique. One shuffle, by key, of the numbers that the operations name.
     """
-    o = F.col(op)
-    base = records.select(F.col(key).alias("_id"), F.col(headers).alias("_h"), F.coalesce(F.col(rows), F.array().cast("array<array<string>>")).alias("_rows"), o.alias("_op"))
-    base = base.withColumn("_error", engine_error(F.col("_op"), F.col("_h")))
-    good = base.where("_error is null")
-    at = lambda name: (F.array_position(F.col("_h"), name) - 1).cast("int")
     q = F.col("_op")
-    lines = good.select(
+    no_rows, no_texts = F.array().cast("array<array<string>>"), F.array().cast("array<string>")
+    base = records.select(F.col(key).alias("_id"), F.col(headers).alias("_h"), F.coalesce(F.col(rows), no_rows).alias("_rows"), F.coalesce(F.col(row_labels) if row_labels else no_texts, no_texts).alias("_names"), F.col(op).alias("_op"))
+    base = base.withColumn("_error", engine_error(q, F.col("_h")))
+    place = lambda name: (F.array_position(F.col("_h"), name) - 1).cast("int")
+    conds = F.coalesce(q["conditions"], F.array().cast(CONDITIONS))
+    lines = base.where("_error is null").select(
         "_id", q["type"].alias("_type"), q["target_dir"].alias("_dir"), q["d1"].alias("_d1"), q["d2"].alias("_d2"), q["op"].alias("_cmp"), q["threshold"].alias("_t"), q["rows"].alias("_only"),
-        at(F.coalesce(q["target"], q["m1"])).alias("_c1"), at(F.coalesce(q["constraint"], q["m2"])).alias("_c2"),
-        F.transform(F.coalesce(q["conditions"], F.array().cast("array<struct<metric:string,op:string,t:double>>")), lambda c: F.named_struct(F.lit("c"), at(c["metric"]), F.lit("op"), c["op"], F.lit("t"), c["t"])).alias("_conds"),
+        place(F.coalesce(q["target"], q["m1"])).alias("_c1"), place(F.coalesce(q["constraint"], q["m2"])).alias("_c2"),
+        F.transform(conds, lambda c: F.named_struct(F.lit("c"), place(c["metric"]), F.lit("op"), c["op"], F.lit("t"), c["t"])).alias("_conds"),
         F.posexplode("_rows").alias("_row", "_cells"),
     )
     num = lambda i: cell_number(F.get(F.col("_cells"), i))
-    label = F.coalesce(F.get(F.col("_cells"), F.lit(0)), F.lit(""))
-    member = F.when(F.col("_only").isNotNull() & (F.size("_only") > 0), F.array_contains("_only", F.col("_row"))).otherwise(~is_total(label))
-    lines = lines.where(member).select("_id", "_type", "_row", label.alias("_label"), "_dir", "_d1", "_d2", "_cmp", "_t", num(F.col("_c1")).alias("_v1"), num(F.col("_c2")).alias("_v2"), F.transform("_conds", lambda c: F.coalesce(_holds(num(c["c"]), c["op"], c["t"]), F.lit(False))).alias("_ok"))
+    ok = F.transform("_conds", lambda c: F.coalesce(_holds(num(c["c"]), c["op"], c["t"]), F.lit(False)))
+    lines = lines.where(F.col("_only").isNull() | F.array_contains("_only", F.col("_row")))
+    lines = lines.select("_id", "_type", "_row", "_dir", "_d1", "_d2", "_cmp", "_t", num(F.col("_c1")).alias("_v1"), num(F.col("_c2")).alias("_v2"), ok.alias("_ok"))
     kind = F.col("_type")
     eligible = (
         F.when(kind == "best_under_constraint", F.col("_v1").isNotNull() & F.coalesce(_holds(F.col("_v2"), F.col("_cmp"), F.col("_t")), F.lit(False)))
@@ -70,93 +89,50 @@ def execute(records: DataFrame, key: str, headers: str, rows: str, op: str) -> D
     best = F.max("_o1").over(Window.partitionBy("_id"))
     reach = lambda x, y: F.expr(f"max({x}) over (partition by _id order by {y} desc range between unbounded preceding and {EPS}D following)")
     lines = lines.withColumns({"_best": best, "_w1": reach("_o2", "_o1"), "_w2": reach("_o1", "_o2")})
-    wins = F.when(kind.isin("best_under_constraint", "extremum"), F.abs(F.col("_o1") - F.col("_best")) <= EPS).when(kind == "threshold_filter", F.lit(True)).otherwise(~(F.col("_w1") > F.col("_o2") + EPS) & ~(F.col("_w2") > F.col("_o1") + EPS))
-    won = lines.where(wins).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_row", "_label"))).alias("_won"))
-    joined = F.array_join(F.transform("_won", lambda x: x["_label"]), ", ")
-    named = F.when(q["type"] == "tradeoff_summary", F.concat(q["m1"], F.lit(" vs "), q["m2"])).otherwise(F.coalesce(F.nullif(joined, F.lit("")), F.lit("none")))
-    return base.join(won, "_id", "left").select(F.col("_id").alias(key), F.when(F.col("_error").isNull(), F.coalesce(F.transform("_won", lambda x: x["_row"]), F.array().cast("array<int>"))).alias("answer"), F.when(F.col("_error").isNull(), named).alias("label"), F.col("_error").alias("error"))
-
-
-def _inside(rows: Column, headers: Column, op: Column) -> Column:
-    """The answer's row numbers, recomputed within the record by higher-order functions."""
-    indices = F.when(op["rows"].isNotNull() & (F.size(op["rows"]) > 0), F.filter(op["rows"], lambda i: (i >= 0) & (i < F.size(rows)))).otherwise(F.filter(F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~is_total(F.get(F.get(rows, i), F.lit(0)))))
-    place = lambda name: (F.array_position(headers, name) - 1).cast("int")
-    value = lambda i, name: cell_number(F.get(F.get(rows, i), place(name)))
-    meets = lambda v, o, t: v.isNotNull() & (((o == "lt") & (v < t)) | (o.isin("gte", "ge") & (v >= t)) | ((o == "gt") & (v > t)) | ((o == "lte") & (v <= t)))
-    sign = lambda d: F.when(d == "lower", -1.0).otherwise(1.0)
-
-    def top(pool: Column) -> Column:
-        scored = F.transform(pool, lambda i: F.named_struct(F.lit("s"), value(i, op["target"]) * sign(op["target_dir"]), F.lit("i"), i))
-        scored = F.filter(scored, lambda x: x["s"].isNotNull())
-        return F.transform(F.filter(scored, lambda x: x["s"] >= F.array_max(F.transform(scored, lambda y: y["s"])) - EPS), lambda x: x["i"])
-
-    kept = F.filter(indices, lambda i: meets(value(i, op["constraint"]), op["op"], op["threshold"]))
-    matched = F.filter(indices, lambda i: F.forall(op["conditions"], lambda c: meets(value(i, c["metric"]), c["op"], c["t"])))
-    points = F.filter(F.transform(indices, lambda i: F.named_struct(F.lit("a"), value(i, op["m1"]) * sign(op["d1"]), F.lit("b"), value(i, op["m2"]) * sign(op["d2"]), F.lit("i"), i)), lambda x: x["a"].isNotNull() & x["b"].isNotNull())
-    front = F.transform(F.filter(points, lambda x: ~F.exists(points, lambda y: (y["a"] >= x["a"] - EPS) & (y["b"] >= x["b"] - EPS) & ((y["a"] > x["a"] + EPS) | (y["b"] > x["b"] + EPS)))), lambda x: x["i"])
-    return F.array_sort(F.when(op["type"] == "best_under_constraint", top(kept)).when(op["type"] == "extremum", top(indices)).when(op["type"] == "threshold_filter", matched).when(op["type"] == "tradeoff_summary", front))
-
-
-CHECKS = ("schema_valid", "cells_exist", "answer_correct", "numeric_comparisons_correct", "threshold_satisfaction", "relevance", "pareto_frontier_correct", "empty_result_consistency", "difficulty_tag_present")
-
-
-def validate(records: DataFrame, key: str) -> DataFrame:
-    """``key``, the nine checks, ``valid`` (all of them) and ``failed`` (the names of those that failed).
-
-    ``records`` has the nested fields of question records. Every check is false rather than null or an error where a part
-    of the record is missing or out of range; null references in a list are left aside.
-    """
-    rows, headers, op = F.coalesce("table.rows", F.array().cast("array<array<string>>")), F.coalesce("table.headers", F.array().cast("array<string>")), F.col("metadata.spec")
-    steps = F.filter(F.coalesce("trace_steps", F.array().cast(_type(records, "trace_steps"))), lambda s: s.isNotNull())
-    evidence = F.coalesce("evidence_cells", F.array().cast(_type(records, "evidence_cells")))
-    cites = F.filter(F.concat(F.flatten(F.transform(steps, lambda s: F.coalesce(s["cites"], F.array().cast(_type(records, "evidence_cells"))))), evidence), lambda c: c.isNotNull())
-    cell = lambda c: F.get(F.get(rows, c["row"]), c["col"])
-    same = lambda a, b: a.eqNullSafe(b) | F.coalesce(F.abs(cell_number(a) - cell_number(b)) <= 1e-6, F.lit(False))
-    exists = F.forall(cites, lambda c: F.coalesce((c["row"] >= 0) & (c["col"] >= 0) & (c["row"] < F.size(rows)) & (F.get(headers, c["col"]) == c["col_name"]) & same(cell(c), c["value"]), F.lit(False)))
-    gold = F.array_sort(F.coalesce("gold_answer.rows", F.array().cast("array<int>")))
-    want = _inside(rows, headers, op)
-    correct = F.coalesce(engine_error(op, headers).isNull() & (gold == want), F.lit(False))
-    empty = F.size(gold) == 0
-    cited = F.array_distinct(F.transform(cites, lambda c: c["col_name"]))
-    names = F.filter(F.concat(F.array(F.when(~(empty & (op["type"] == "best_under_constraint")), op["target"]), op["constraint"], op["m1"], op["m2"]), F.transform(F.coalesce(op["conditions"], F.array().cast("array<struct<metric:string,op:string,t:double>>")), lambda c: c["metric"])), lambda n: n.isNotNull())
-    last = F.try_element_at(steps, F.lit(-1))["kind"] == "conclude"
-    kind = op["type"]
-    checks = {
-        "schema_valid": F.coalesce(F.col("table.headers").isNotNull() & F.col("gold_answer").isNotNull() & (F.size(steps) > 0) & last & F.forall(rows, lambda r: F.size(r) == F.size(headers)), F.lit(False)),
-        "cells_exist": exists,
-        "answer_correct": correct,
-        "numeric_comparisons_correct": F.coalesce(~kind.isin("best_under_constraint", "extremum", "threshold_filter") | (F.size(F.array_except(want, gold)) == 0), F.lit(False)),
-        "threshold_satisfaction": F.coalesce(~kind.isin("best_under_constraint", "threshold_filter") | (F.size(F.array_except(gold, want)) == 0), F.lit(False)),
-        "relevance": F.coalesce(F.size(F.array_except(names, cited)) == 0, F.lit(False)),
-        "pareto_frontier_correct": F.coalesce((kind != "tradeoff_summary") | (gold == want), F.lit(False)),
-        "empty_result_consistency": F.coalesce(~empty | ((F.col("gold_answer.label") == "none") & last), F.lit(False)),
-        "difficulty_tag_present": F.coalesce(F.col("metadata.difficulty").isin("easy", "medium", "hard") & F.col("metadata.edge_cases").isNotNull(), F.lit(False)),
-    }
-    out = records.select(key, *(c.alias(n) for n, c in checks.items()))
-    failed = F.array_compact(F.array(*(F.when(~F.col(n), F.lit(n)) for n in CHECKS)))
-    return out.withColumn("failed", failed).withColumn("valid", F.size("failed") == 0)
-
-
-def _type(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
+    undominated = ~(F.col("_w1") > F.col("_o2") + EPS) & ~(F.col("_w2") > F.col("_o1") + EPS)
+    wins = F.when(kind.isin("best_under_constraint", "extremum"), F.abs(F.col("_o1") - F.col("_best")) <= EPS).when(kind == "threshold_filter", F.lit(True)).otherwise(undominated)
+    won = lines.where(wins).groupBy("_id").agg(F.array_sort(F.collect_list("_row")).alias("_won"))
+    answer = F.coalesce("_won", F.array().cast("array<int>"))
+    done = base.join(won, "_id", "left").withColumn("_answer", answer)
+    name = lambda i: F.coalesce(F.when(F.size("_names") > 0, F.get(F.col("_names"), i)).otherwise(F.get(F.get(F.col("_rows"), i), F.lit(0))), F.lit(""))
+    front = q["type"] == "tradeoff_summary"
+    label = F.when(front, F.concat(q["m1"], F.lit(" vs "), q["m2"])).when(F.size("_answer") == 0, "none").otherwise(F.array_join(F.transform("_answer", name), ", "))
+    good = F.col("_error").isNull()
+    # the cells that were read, row by row; the last column of an empty search alone
+    whole = F.when(q["rows"].isNull(), F.transform("_rows", lambda r, i: i)).otherwise(F.filter(q["rows"], lambda i: (i >= 0) & (i < F.size("_rows"))))
+    none = F.size("_answer") == 0
+    names = (
+        F.when(q["type"] == "best_under_constraint", F.when(none, F.array(q["constraint"])).otherwise(F.array(q["target"], q["constraint"])))
+        .when(q["type"] == "threshold_filter", F.transform(conds, lambda c: c["metric"])).when(front, F.array(q["m1"], q["m2"])).otherwise(F.array(q["target"]))
+    )
+    read = F.when(none & ~front, whole).otherwise(F.col("_answer"))
+    cell = lambda i, n: F.named_struct(F.lit("row"), i, F.lit("col"), place(n), F.lit("col_name"), n, F.lit("value"), F.coalesce(F.get(F.get(F.col("_rows"), i), place(n)), F.lit("")))
+    evidence = F.flatten(F.transform(F.array_distinct(read), lambda i: F.transform(F.array_distinct(names), lambda n: cell(i, n))))
+    return done.select(
+        F.col("_id").alias(key), F.when(good, F.col("_answer")).alias("answer"), F.when(good, label).alias("label"),
+        F.when(good, F.when(front, F.array(q["m1"], q["m2"])).otherwise(no_texts)).alias("metrics"), F.when(good, evidence).cast(f"array<{CELL}>").alias("evidence"), F.col("_error").alias("error"),
+    )
 
 
 def classify_cites(cites: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     """What is wrong with each citation, in this order: row_oob, colname_mismatch, ok, wrong_row, rounding, type_format, not_in_column.
 
-    ``cites`` has ``key``, ``cite_no``, ``row``, ``col_name``, ``value``; ``cells`` has ``key``, ``row``, ``col_name``,
-    ``txt``. Two equi-joins: the cell itself, and an aggregate of the column for what another row holds.
+    ``cites`` has ``key``, ``cite_no``, ``row``, ``col``, ``col_name``, ``value``; ``cells`` has ``key``, ``row``, ``col``,
+    ``col_name``, ``txt`` of every cell. Three equi-joins: the table's size, the cell itself, and the citation's value
+    among the distinct values of its column, by which another row holds it. No column is ever collected.
     """
     num = lambda c: cell_number(F.col(c))
-    height = cells.groupBy(key).agg(F.max("row").alias("_last"))
-    columns = cells.groupBy(key, "col_name").agg(F.collect_set(F.coalesce(num("txt").cast("string"), "txt")).alias("_values"))
-    own = cells.select(key, "row", "col_name", F.col("txt").alias("_cell"))
-    j = cites.join(height, key, "left").join(columns, [key, "col_name"], "left").join(own, [key, "row", "col_name"], "left")
+    norm = lambda c: F.coalesce(num(c).cast("string"), strip(F.coalesce(F.col(c), F.lit(""))))
+    size = cells.groupBy(key).agg(F.max("row").alias("_last"), F.max("col").alias("_wide"))
+    values = cells.select(key, "col", norm("txt").alias("_norm"), F.lit(True).alias("_held")).distinct()
+    own = cells.select(key, "row", "col", F.col("col_name").alias("_name"), F.col("txt").alias("_cell"))
+    j = cites.withColumn("_norm", norm("value")).join(size, key, "left").join(values, [key, "col", "_norm"], "left").join(own, [key, "row", "col"], "left")
     a, b = num("value"), num("_cell")
-    same = F.coalesce(F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 1e-6).otherwise(F.col("value") == F.col("_cell")), F.lit(False))
+    inside = F.coalesce(F.col("row").between(0, F.col("_last")) & F.col("col").between(0, F.col("_wide")), F.lit(False))
+    same = F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 1e-6).otherwise(F.col("_norm") == norm("_cell"))
     near = F.coalesce(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)) <= 5e-3, F.lit(False))
     label = (
-        F.when(F.coalesce((F.col("row") < 0) | (F.col("row") > F.col("_last")), F.lit(True)), "row_oob").when(F.col("_values").isNull(), "colname_mismatch").when(same, "ok")
-        .when(F.coalesce(F.array_contains("_values", F.coalesce(a.cast("string"), F.col("value"))), F.lit(False)), "wrong_row").when(near, "rounding").when(a.isNull() != b.isNull(), "type_format").otherwise("not_in_column")
+        F.when(~inside, "row_oob").when(~F.coalesce(F.col("_name") == F.col("col_name"), F.lit(False)), "colname_mismatch").when(same, "ok")
+        .when(F.col("_held").isNotNull(), "wrong_row").when(near, "rounding").when(a.isNull() != b.isNull(), "type_format").otherwise("not_in_column")
     )
     return j.select(key, "cite_no", label.alias("label"))

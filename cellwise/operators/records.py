@@ -100,25 +100,47 @@ def first_object(c: Column) -> Column:
 
 
 OPERATION = "operation struct<type:string,target:string,target_dir:string,constraint:string,op:string,threshold:double,m1:string,m2:string,d1:string,d2:string,conditions:array<struct<metric:string,op:string,T:double>>>"
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def extract_operation(raw: Column) -> Column:
-    """The operation within a model's answer, or null where it has none."""
-    return F.from_json(first_object(raw), OPERATION)["operation"]
+    """The operation within a model's answer, or null where it has none or the JSON is not strict."""
+    return F.from_json(first_object(raw), OPERATION, _STRICT)["operation"]
 
 
 def operation_type(raw: Column) -> Column:
     """The type of the operation within a model's answer; null where it has none or the JSON is not strict."""
-    return F.from_json(first_object(raw), "operation struct<type:string>", {"allowSingleQuotes": "false"})["operation"]["type"]
-
-
-def compare_operations(a: Column, b: Column) -> Column:
-    """Whether two operations agree in each field, and as a whole: numbers within 1e-6, conditions in any order."""
-    near = lambda x, y: F.coalesce(F.abs(x - y) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(x)), x.isNull() & y.isNull())
-    fields = {f: a[f].eqNullSafe(b[f]) for f in ("type", "target", "target_dir", "constraint", "m1", "m2", "d1", "d2")}
-    fields["op"] = F.when(a["op"] == "ge", "gte").otherwise(a["op"]).eqNullSafe(F.when(b["op"] == "ge", "gte").otherwise(b["op"]))
-    fields["threshold"] = near(a["threshold"], b["threshold"])
-    whole = F.lit(True)
+    return F.from_json(first_object(raw), "operation struct<type:string>", _STRICT)["operation"]["type"]
+
+
+def runnable(op: Column) -> Column:
+    """An extracted operation in the form that ``corpus.execute`` takes, with no universe."""
+    conds = F.transform(op["conditions"], lambda c: F.struct(c["metric"].alias("metric"), c["op"].alias("op"), c["T"].alias("t")))
+    fields = [op[f].alias(f) for f in ("type", "target", "target_dir", "constraint", "op", "threshold")]
+    return F.when(op.isNotNull(), F.struct(*fields, conds.alias("conditions"), *(op[f].alias(f) for f in ("m1", "m2", "d1", "d2")), F.lit(None).cast("array<int>").alias("rows")))
+
+
+def compare_operations(model: Column, gold: Column) -> Column:
+    """Whether a model's operation agrees with the gold one in each field that the gold's type has (null for others), and as a ``whole``.
+
+    Numbers agree within 1e-6 of the gold's size, ge is gte, conditions are compared in the order of their measures, the
+    two measures of a trade-off as a set. An operation of null agrees in nothing.
+    """
+    canon = lambda c: F.when(c == "ge", "gte").otherwise(c)
+    near = lambda x, y: F.coalesce(F.abs(x - y) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(y)), x.isNull() & y.isNull())
+    sorted_ = lambda a: F.array_sort(F.transform(F.coalesce(a, F.array()), lambda c: F.struct(F.coalesce(c["metric"], F.lit("")).alias("metric"), canon(c["op"]).alias("op"), c["t"].alias("t"))))
+    a, b = sorted_(model["conditions"]), sorted_(gold["conditions"])
+    pairs = F.zip_with(a, b, lambda x, y: F.coalesce((x["metric"] == y["metric"]) & x["op"].eqNullSafe(y["op"]) & near(x["t"], y["t"]), F.lit(False)))
+    t = gold["type"]
+    best, keep, front, top = ((t == k) for k in ("best_under_constraint", "threshold_filter", "tradeoff_summary", "extremum"))
+    same = lambda f: model[f].eqNullSafe(gold[f])
+    pair = lambda o: F.array_sort(F.array_distinct(F.array(o["m1"], o["m2"])))
+    fields = {
+        "type": same("type"), "target": F.when(best | top, same("target")), "target_dir": F.when(best | top, same("target_dir")), "constraint": F.when(best, same("constraint")),
+        "op": F.when(best, canon(model["op"]).eqNullSafe(canon(gold["op"]))), "threshold": F.when(best, near(model["threshold"], gold["threshold"])),
+        "conditions": F.when(keep, (F.size(a) == F.size(b)) & F.forall(pairs, lambda x: x)), "metrics": F.when(front, pair(model) == pair(gold)), "dirs": F.when(front, same("d1") & same("d2")),
+    }
+    whole = model.isNotNull()
     for c in fields.values():
-        whole = whole & c
-    return F.struct(*(c.alias(n) for n, c in fields.items()), whole.alias("whole"))
+        whole = whole & F.coalesce(c, F.lit(True))
+    return F.struct(*(c.alias(n) for n, c in fields.items()), F.coalesce(whole, F.lit(False)).alias("whole"))

@@ -35,9 +35,9 @@ def _profile(spark: SparkSession, d: str) -> DataFrame:
     return grid.row_profile(_long(spark, d))
 
 
-_NUM = r"try_cast(nullif(regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '[$%]', '', 'g'), '^\s+|\s+$|,', '', 'g'), '^\((.*)\)$', '-\1'), '^--', ''), '^-?[0-9]+(\.[0-9]+)?$'), '') as double)"
+_NUM = r"try_cast(nullif(regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '[$%]', '', 'g'), '^\s+|\s+$|,', '', 'g'), '^\(\s*(.*?)\s*\)$', '-\1'), '^--', ''), '^-?[0-9]+(\.[0-9]+)?$'), '') as double)"
 _STRIPPED = r"regexp_replace(regexp_replace(coalesce(raw, ''), '[$%]', '', 'g'), '^\s+|\s+$', '', 'g')"
-_MISSING = rf"({_STRIPPED} = '' or regexp_matches({_STRIPPED}, '^([-‒–—―�*\s]+|[nN]/[aA]|[nN][aA]|[nN]\.[aA]\.|[nN][mM]|[nN][iI][lL])$'))"
+_MISSING = rf"({_STRIPPED} = '' or regexp_matches({_STRIPPED}, '^([-‒–—―�*\s]+|[nN]/[aA]|[nN][aA]|[nN]\.[aA]\.?|[nN][mM]|[nN][iI][lL])$'))"
 _CELLS = f"""g as (select rec_id as table_id, list_prepend("table".headers, "table".rows) as grid from realtable_eval_verified where "table".headers is not null and "table".rows is not null),
     l as (select table_id, generate_subscripts(grid, 1) - 1 as row, unnest(grid) as cells from g),
     c as (select table_id, cast(row as integer) as row, cast(generate_subscripts(cells, 1) - 1 as integer) as col, unnest(cells) as raw from l),

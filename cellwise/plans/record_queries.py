@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.functions import stats, text
-from cellwise.operators import corpus, engine, generate, matching, records, selection
+from cellwise.operators import engine, generate, matching, records, selection
 from cellwise.session import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -296,109 +296,6 @@ def extract_operation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, R).where("metadata.spec.type is not null").select("rec_id", records.extract_operation(raw).alias("o")).select("rec_id", F.col("o.type").alias("op_type"), "o.target")
 
 
-@query()
-def extract_operation_all(spark: SparkSession, d: str) -> DataFrame:
-    """The operations of all answers, also of those with remarks around the JSON, compared with the gold operation."""
-    gold = table(spark, d, R).select(F.col("metadata.example_id").alias("example_id"), F.col("metadata.spec").alias("g")).where("example_id is not null").dropDuplicates(["example_id"])
-    a = table(spark, d, A).select("detail_id", "example_id", records.extract_operation(F.col("raw")).alias("o"))
-    return a.join(gold, "example_id", "left").select("detail_id", F.col("o.type").alias("op_type"), F.coalesce(F.when(F.col("o").isNotNull(), records.compare_operations(F.col("o"), F.col("g")).getField("whole")), F.lit(False)).alias("whole"))
-
-
-@query(f"""with s as (select rec_id, metadata.spec.target is null as no_target, metadata.spec.threshold is null as no_threshold from {R} where metadata.spec.type is not null),
-    f as (select rec_id, rec_id % 3 <> 1 or no_target as target, rec_id % 5 <> 2 or no_threshold as threshold from s) select rec_id, target, threshold, target and threshold as whole from f""")
-def cmp_ops(spark: SparkSession, d: str) -> DataFrame:
-    a = F.col("metadata.spec")
-    b = a.withField("target", F.when(F.col("rec_id") % 3 == 1, F.concat(a["target"], F.lit("x"))).otherwise(a["target"])).withField("threshold", F.when(F.col("rec_id") % 5 == 2, a["threshold"] + 100).otherwise(a["threshold"]))
-    return table(spark, d, R).where("metadata.spec.type is not null").select("rec_id", records.compare_operations(a, b).alias("c")).select("rec_id", "c.target", "c.threshold", "c.whole")
-
-
-_CITES = """(select rec_id, i - 1 as cite_no, c."row" as r, c.col_name as col_name, c.value as value from (select rec_id, generate_subscripts(evidence_cells, 1) as i, unnest(evidence_cells) as c from realtable_eval_verified) where c is not null)"""
-
-
-def _cites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    r = table(spark, d, R)
-    moved = F.when(F.col("rec_id") % 6 == 1, F.col("c.row") + 1000).otherwise(F.col("c.row"))
-    named = F.when(F.col("rec_id") % 6 == 2, F.concat("c.col_name", F.lit("?"))).otherwise(F.col("c.col_name"))
-    value = F.when(F.col("rec_id") % 6 == 3, F.lit("abc")).otherwise(F.col("c.value"))
-    cites = r.select("rec_id", F.posexplode("evidence_cells").alias("cite_no", "c")).where("c is not null").select("rec_id", "cite_no", moved.alias("row"), named.alias("col_name"), value.alias("value"))
-    rows = r.select("rec_id", "table.headers", F.posexplode("table.rows").alias("row", "cells"))
-    cells = rows.select("rec_id", "row", F.explode(F.arrays_zip(F.col("headers").alias("col_name"), F.col("cells").alias("txt"))).alias("x")).select("rec_id", "row", "x.col_name", "x.txt").where("col_name is not null").dropDuplicates(["rec_id", "row", "col_name"])
-    return cites, cells
-
-
-@query()
-def classify_cites(spark: SparkSession, d: str) -> DataFrame:
-    """Citations with planted faults, by what is wrong with them."""
-    return corpus.classify_cites(*_cites(spark, d), "rec_id")
-
-
-@query(f"select rec_id % 6 as fault, count(*) as n, count(distinct rec_id) as n_records from {_CITES} group by 1")
-def cite_hist(spark: SparkSession, d: str) -> DataFrame:
-    return classify_cites(spark, d).groupBy((F.col("rec_id") % 6).alias("fault")).agg(F.count("*").alias("n"), F.count_distinct("rec_id").alias("n_records"))
-
-
-@query()
-def validate_all(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.validate(table(spark, d, R), "rec_id").select("rec_id", *corpus.CHECKS, "valid", F.array_join("failed", ",").alias("failed"))
-
-
-@query(f"select rec_id, coalesce(metadata.difficulty in ('easy', 'medium', 'hard') and metadata.edge_cases is not null, false) as difficulty_tag_present, coalesce(len(gold_answer.rows), 0) > 0 or coalesce(gold_answer.label = 'none' and list_filter(trace_steps, lambda s: s is not null)[-1].kind = 'conclude', false) as empty_result_consistency from {R}")
-def check_tags_and_empty(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.validate(table(spark, d, R), "rec_id").select("rec_id", "difficulty_tag_present", "empty_result_consistency")
-
-
-@query()
-def corpus_execute(spark: SparkSession, d: str) -> DataFrame:
-    """Every record's own operation on its own table, in one job."""
-    e = corpus.execute(table(spark, d, R), "rec_id", "table.headers", "table.rows", "metadata.spec")
-    return e.select("rec_id", F.array_join(F.transform("answer", lambda x: x.cast("string")), ",").alias("answer"), "label", "error")
-
-
-_NUM = r"try_cast(nullif(regexp_extract(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '[$%]', '', 'g'), '^\s+|\s+$|,', '', 'g'), '^\((.*)\)$', '-\1'), '^--', ''), '^-?[0-9]+(\.[0-9]+)?$'), '') as double)"
-
-
-@query(f"""with x as (select rec_id, metadata.spec.target_dir as dir, metadata.spec.rows as uni, list_position("table".headers, metadata.spec.target) as c, "table".rows as rows from {R} where metadata.spec.type = 'extremum' and list_contains("table".headers, metadata.spec.target) and metadata.spec.target_dir in ('higher', 'lower') and len(metadata.spec.rows) > 0),
-    l as (select rec_id, dir, uni, c, generate_subscripts(rows, 1) - 1 as row, unnest(rows) as cells from x), v as (select rec_id, dir, row, {_NUM} as num from (select *, cells[c] as raw from l where list_contains(uni, row))),
-    b as (select *, case when dir = 'lower' then min(num) over (partition by rec_id) else max(num) over (partition by rec_id) end as best from v where num is not null)
-    select rec_id, string_agg(cast(row as varchar), ',' order by row) as answer from b where abs(num - best) <= 1e-9 group by 1""")
-def corpus_extremum(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, R).where("metadata.spec.type = 'extremum' and size(metadata.spec.rows) > 0")
-    e = corpus.execute(r, "rec_id", "table.headers", "table.rows", "metadata.spec").where("error is null and size(answer) > 0")
-    return e.select("rec_id", F.array_join(F.transform("answer", lambda x: x.cast("string")), ",").alias("answer"))
-
-
-@query()
-def gated_answer(spark: SparkSession, d: str) -> DataFrame:
-    """What the system answers: the engine's label unless the gate fires or the engine failed, else the record's own."""
-    r = table(spark, d, R)
-    e = corpus.execute(r, "rec_id", "table.headers", "table.rows", "metadata.spec")
-    fires = text.gate_fires(F.col("metadata.spec.type"), F.col("question"))
-    return r.select("rec_id", F.col("gold_answer.label").alias("own"), fires.alias("fires")).join(e, "rec_id").select("rec_id", "fires", F.when(F.col("fires") | F.col("error").isNotNull(), F.col("own")).otherwise(F.col("label")).alias("label"))
-
-
-@query(f"""with g as (select a.detail_id, a.model, coalesce(a.engine_ok, false) as e, coalesce(a.model_ok, false) as m, a.type not in ('best_under_constraint', 'threshold_filter', 'tradeoff_summary') or a.type is null as fires from {A} a)
-    select model, count(*) as n, count_if(e) as n_engine, count_if(m) as n_model, count_if(case when fires then m else e end) as n_gated, count_if(fires) as n_fires from g group by 1""")
-def gate_scoring(spark: SparkSession, d: str) -> DataFrame:
-    """Engine, model and gated answers by model: the gate takes the operation in ``raw`` and the question of the answer's example.
-
-    Of a repeated example the last record counts; an answer without an example has no question. Answers are counted by
-    example before the join, so that an example with many answers moves no more than any other.
-    """
-    questions = table(spark, d, R).groupBy(F.coalesce("metadata.example_id", "table_id").alias("example_id")).agg(F.max_by("question", "rec_id").alias("question"))
-    a = table(spark, d, A).select("example_id", "model", F.coalesce("engine_ok", F.lit(False)).alias("e"), F.coalesce("model_ok", F.lit(False)).alias("m"), records.operation_type(F.col("raw")).alias("op"))
-    a = a.groupBy("example_id", "model", "e", "m", "op").agg(F.count("*").alias("k"))
-    g = a.join(questions, "example_id", "left").withColumn("fires", text.gate_fires(F.col("op"), F.col("question")))
-    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
-    return g.groupBy("model").agg(F.sum("k").alias("n"), n(F.col("e")).alias("n_engine"), n(F.col("m")).alias("n_model"), n(F.when(F.col("fires"), F.col("m")).otherwise(F.col("e"))).alias("n_gated"), n(F.col("fires")).alias("n_fires"))
-
-
-@query(f"select model, count(*) as n, count_if(coalesce(engine_ok, false)) as n_grounded, count_if(coalesce(engine_ok, false) and coalesce(valid, false)) as n_valid from {A} group by 1")
-def grounded_rescore(spark: SparkSession, d: str) -> DataFrame:
-    """Citations by construction: an answer that the engine gives is grounded."""
-    ok = F.coalesce("engine_ok", F.lit(False))
-    return table(spark, d, A).groupBy("model").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_grounded"), F.count_if(ok & F.coalesce("valid", F.lit(False))).alias("n_valid"))
-
-
 @query("with u as (select p_brand, max(p_retailprice) - min(p_retailprice) as s, max(p_retailprice) as hi from part group by 1) select p_brand, round(hi + greatest(case when s > 0 then s else 1 end * 0.1, 0.01), 4) as threshold from u")
 def threshold_empty(spark: SparkSession, d: str) -> DataFrame:
     return generate.thresholds(table(spark, d, "part"), "p_brand", "p_retailprice", "higher", "empty").withColumn("threshold", F.round("threshold", 4))

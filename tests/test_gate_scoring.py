@@ -43,7 +43,8 @@ def fires(op, question):
 def want(questions, answers):
     of, out = {}, defaultdict(lambda: [0] * 5)
     for r in sorted(questions, key=lambda r: r["rec_id"]):
-        of[r["metadata"]["example_id"]] = r["question"]
+        if r["question"] is not None:
+            of[r["metadata"]["example_id"]] = r["question"]
     for a in answers:
         f, e, m = fires(operation(a["raw"]), of.get(a["example_id"])), bool(a["engine_ok"]), bool(a["model_ok"])
         for k, x in enumerate((True, e, m, m if f else e, f)):
