@@ -122,6 +122,47 @@ def transpose(long: DataFrame) -> DataFrame:
     return long.select("table_id", F.col("col").alias("row"), F.col("row").alias("col"), *(c for c in long.columns if c not in ("table_id", "row", "col")))
 
 
+def transposed(table: Column) -> Column:
+    """A table (headers, rows, row labels, column types) with rows and columns exchanged; null if it then has no numeric column.
+
+    The old headers become the first column, the old first column the headers: blank ones are named ``period``, repeated
+    ones numbered. Types are inferred again, the first column is categorical.
+    """
+    none = F.array().cast("array<string>")
+    heads, rows = table["headers"], table["rows"]
+    raw = F.concat(F.slice(heads, 1, 1), F.transform(rows, lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))))
+    named = F.transform(raw, lambda h: F.when(strip(F.coalesce(h, F.lit(""))) == "", "period").otherwise(h))
+    count = lambda names, i, h: F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == h))
+    single = F.transform(named, lambda h, i: F.when(i == 0, h).when(count(named, i, h) > 0, F.concat(h, F.lit("_"), count(named, i, h).cast("string"))).otherwise(h))
+    body = F.transform(F.sequence(F.lit(1), F.size(heads) - 1), lambda c: F.concat(F.array(F.get(heads, c)), F.transform(rows, lambda r: F.coalesce(F.get(r, c), F.lit("")))))
+    types = F.concat(F.array(F.lit("categorical")), F.transform(rows, lambda r: value_type(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))))))
+    out = F.struct(single.alias("headers"), body.alias("rows"), F.lit(None).cast("array<string>").alias("row_labels"), types.alias("column_types"))
+    return F.when((F.size(rows) > 0) & (F.size(heads) >= 2) & F.array_contains(types, "numeric"), out)
+
+
+def artifacts(tables: DataFrame, table_id: str, rows: str) -> DataFrame:
+    """One row: ``n_tables``, ``n_header_leak``, ``n_duplicate_labels``, ``clean``; tables without rows don't count, a repeated id counts once.
+
+    A row of years alone, two at least, is a header that leaked into the body.
+    """
+    t = tables.where(F.size(rows) > 0).dropDuplicates([table_id])
+    # a text of years is a number that can be one; empty cells take no part
+    values = lambda r: F.filter(F.transform(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), lambda c: F.struct(cell_number(c).alias("n"), strip(F.coalesce(c, F.lit(""))).alias("t"))), lambda x: x["t"] != "")
+    year = lambda x: F.coalesce(is_year(x["n"]), F.lit(False))
+    leak = lambda v: (F.size(v) > 0) & ~F.exists(v, lambda x: x["n"].isNotNull() & ~year(x)) & (F.size(F.filter(v, year)) >= 2)
+    labels = F.filter(F.transform(rows, lambda r: strip(F.coalesce(F.get(r, F.lit(0)), F.lit("")))), lambda x: x != "")
+    one = t.select(F.exists(F.transform(rows, values), leak).alias("leak"), (F.size(labels) > F.size(F.array_distinct(labels))).alias("twice"))
+    n = one.agg(F.count("*").alias("n_tables"), F.count_if("leak").alias("n_header_leak"), F.count_if("twice").alias("n_duplicate_labels"))
+    return n.withColumn("clean", F.col("n_header_leak") + F.col("n_duplicate_labels") == 0)
+
+
+def value_type(cells: Column) -> Column:
+    """The type of an array of cells: numeric, categorical or text."""
+    known = F.filter(cells, lambda c: ~F.coalesce(is_missing(c), F.lit(True)))
+    distinct = F.size(F.array_distinct(F.transform(known, strip)))
+    return F.when((F.size(known) > 0) & F.forall(known, lambda c: cell_number(c).isNotNull()), "numeric").when((F.size(known) > 0) & (distinct <= F.greatest(F.lit(2), F.floor(F.size(known) / 2))), "categorical").otherwise("text")
+
+
 def content_signature(long: DataFrame) -> DataFrame:
     """``table_id``, ``sig``: a digest of a table's texts that rows and columns in another order don't change."""
     return long.groupBy("table_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(strip(F.coalesce("raw", F.lit(""))))), "|")).alias("sig"))

@@ -61,17 +61,37 @@ CITE = "struct<row:int,col_name:string,value:string>"
 ANSWER = f"trace_steps array<struct<kind:string,description:string,cites:array<{CITE}>>>, final_answer struct<label:string,rows:array<int>,metrics:array<string>>"
 
 
+def cell(c: Column, headers: Column) -> Column:
+    """A citation with its column filled in from the name."""
+    at = F.nullif(F.array_position(headers, c["col_name"]) - 1, F.lit(-1)).cast("int")
+    return F.named_struct(F.lit("row"), c["row"], F.lit("col"), at, F.lit("col_name"), c["col_name"], F.lit("value"), c["value"])
+
+
 def reconstruct(answer: Column, headers: Column) -> Column:
     """A model's JSON answer as steps, answer and distinct evidence cells; columns are filled in from their names.
 
     Null where the answer is no JSON with steps.
     """
     a = F.from_json(answer, ANSWER)
-    cell = lambda c: F.named_struct(F.lit("row"), c["row"], F.lit("col"), F.nullif(F.array_position(headers, c["col_name"]) - 1, F.lit(-1)).cast("int"), F.lit("col_name"), c["col_name"], F.lit("value"), c["value"])
-    cites = F.flatten(F.transform(a["trace_steps"], lambda s: F.coalesce(F.transform(s["cites"], cell), F.array().cast("array<struct<row:int,col:int,col_name:string,value:string>>"))))
+    none = F.array().cast("array<struct<row:int,col:int,col_name:string,value:string>>")
+    cites = F.flatten(F.transform(a["trace_steps"], lambda s: F.coalesce(F.transform(s["cites"], lambda c: cell(c, headers)), none)))
     return F.when(a["trace_steps"].isNotNull(), F.struct(a["trace_steps"].alias("trace_steps"), a["final_answer"].alias("final_answer"), F.array_distinct(cites).alias("evidence_cells")))
 
 
+def rebuild(answers: DataFrame, key: str, raw: str, source: str) -> DataFrame:
+    """``key``, ``example_id``, ``record``, ``error``: answers of a model read back as records of their source.
+
+    ``source`` is the name of a struct column with ``table``, ``metadata.example_id``. The rebuilt record's id has the
+    suffix ``_llm``; an answer without an object, or whose object has no steps, gives the error and no record.
+    """
+    from cellwise.operators.records import first_object
+
+    text = first_object(F.col(raw))
+    a = reconstruct(text, F.col(f"{source}.table.headers"))
+    out = answers.select(F.col(key), F.concat(F.col(f"{source}.metadata.example_id"), F.lit("_llm")).alias("example_id"), a.alias("record"), text.isNull().alias("_none"))
+    return out.select(key, "example_id", "record", F.when(F.col("_none"), "no object").when(F.col("record").isNull(), "no steps").alias("error"))
+
+
 def render(prompts: DataFrame, key: str, prompt: str, generate: Callable[[str], str]) -> DataFrame:
     """``key``, ``raw``, ``error`` of a generator called on each prompt; what it raises is kept as the row's error."""
 

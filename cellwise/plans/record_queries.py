@@ -382,15 +382,3 @@ def render_hook(spark: SparkSession, d: str) -> DataFrame:
     """A generator of any kind on every prompt; here one that shouts and fails on a missing prompt."""
     out = matching.render(table(spark, d, "cards"), "card_id", "question", lambda p: p.upper())
     return out.select("card_id", "raw", F.col("error").isNotNull().alias("failed"))
-
-
-@query()
-def gen_best(spark: SparkSession, d: str) -> DataFrame:
-    q = generate.best_questions(table(spark, d, "part"), "p_brand", "p_partkey", "p_retailprice", "p_size", "lower", "normal")
-    return q.withColumn("answer", F.array_join(F.transform("answer", lambda x: x.cast("string")), ","))
-
-
-@query("select p_brand, '' as answer, 'empty' as edge, 'hard' as difficulty from part group by 1")
-def gen_best_empty(spark: SparkSession, d: str) -> DataFrame:
-    q = generate.best_questions(table(spark, d, "part"), "p_brand", "p_partkey", "p_retailprice", "p_size", "lower", "empty")
-    return q.select("p_brand", F.array_join(F.transform("answer", lambda x: x.cast("string")), ",").alias("answer"), "edge", "difficulty")
