@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellwise.functions.text import cell_number, is_missing, is_year, parse_cell, strip
-from cellwise.session import materialize
+from cellwise.session import materialize, with_columns
 
 
 def cells(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
@@ -185,3 +185,66 @@ def ingest(grids: DataFrame, table_id: str, rows: str) -> dict[str, DataFrame]:
         "types": types,
         "tables": confidence(starts, body, types, ragged),
     }
+
+
+TABLE = "struct<headers:array<string>,rows:array<array<string>>,row_labels:array<string>,column_types:array<string>>"
+
+
+def ingest_records(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
+    """One clean table for each grid: ``table_id``, ``table``, ``name_col``, ``metric_cols``, ``confidence``, ``notes``, ``super_headers``, ``start``.
+
+    The same rules as ``ingest`` within each record: every cell is read once, and nothing is shuffled. For grids that fit a
+    record; a table of any length is cleaned in its long form by ``ingest``. Cells are texts: numbers keep their style,
+    markers of missing values are empty. A null grid is an empty one.
+    """
+    no_rows = F.array().cast("array<array<string>>")
+    g = with_columns(grids.select(F.col(table_id).alias("table_id"), F.col(rows).alias("_in")), _raw=F.coalesce("_in", no_rows)).drop("_in")
+    g = with_columns(g, _width=F.aggregate("_raw", F.lit(0), lambda w, r: F.greatest(w, F.coalesce(F.size(r), F.lit(0)))), _sizes=F.transform("_raw", lambda r: F.coalesce(F.size(r), F.lit(0))))
+    square = F.transform("_raw", lambda r: F.slice(F.concat(F.coalesce(r, F.array().cast("array<string>")), F.array_repeat(F.lit(""), F.col("_width"))), F.lit(1), F.col("_width")))
+    g = with_columns(g, _cells=F.transform(square, lambda r: F.transform(r, lambda c: F.struct(strip(F.coalesce(c, F.lit(""))).alias("t"), cell_number(c).alias("n"), F.coalesce(is_missing(c), F.lit(True)).alias("m")))))
+    year = lambda x: F.coalesce(is_year(x["n"]), F.lit(False))
+    values = lambda r: F.filter(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), lambda x: ~x["m"])
+    count = lambda v, f: F.size(F.filter(v, f))
+    profile = lambda r, v: F.struct(
+        F.coalesce(F.get(r, F.lit(0))["t"], F.lit("")).alias("label"), F.size(v).alias("n"), count(v, lambda x: x["n"].isNotNull()).alias("numbers"), count(v, year).alias("years"),
+        count(v, lambda x: x["n"].isNotNull() & ~year(x)).alias("real"), count(v, lambda x: x["t"].rlike(r"^(19|20)[0-9]{2}\b")).alias("like"),
+    )
+    g = with_columns(g, _values=F.transform("_cells", values))
+    g = with_columns(g, _p=F.zip_with("_cells", "_values", profile))
+    g = with_columns(g, _last=F.coalesce(F.array_max(F.transform("_p", lambda p, i: F.when(p["numbers"] > 0, i))), F.lit(-1)))
+    later = lambda i: F.col("_last") > i
+    texts = lambda p: p["n"] - p["numbers"]
+    years = lambda p, i: (p["real"] == 0) & later(i) & ((p["years"] >= 2) | ((p["years"] >= 1) & (texts(p) >= 1)))
+    head = lambda p, i: F.when(p["n"] == 0, False).when(p["like"] == p["n"], True).when(years(p, i), True).otherwise((p["numbers"] / p["n"] < 0.5) & later(i))
+    first = F.array_min(F.transform("_p", lambda p, i: F.when((p["label"] != "") & (p["n"] > 0), i)))
+    g = with_columns(g, _heads=F.transform("_p", head), _first=first)
+    g = with_columns(g, start=F.coalesce(F.array_min(F.transform("_heads", lambda h, i: F.when((i >= F.col("_first")) & ~h, i))), F.size("_raw")))
+    lines = F.arrays_zip(F.col("_cells").alias("c"), F.col("_p").alias("p"), F.col("_sizes").alias("s"))
+    above, below = F.slice(lines, F.lit(1), F.col("start")), F.slice(lines, F.col("start") + 1, F.size("_raw"))
+    g = with_columns(g, _above=above, _below=below)
+    over = lambda x: (x["p"]["n"] <= 1) & (F.col("_width") > 2)
+    named = lambda j: F.array_join(F.filter(F.transform(F.filter("_above", lambda x: ~over(x)), lambda x: F.get(x["c"], j)["t"]), lambda t: t != ""), " ")
+    columns = F.when(F.col("_width") > 0, F.sequence(F.lit(0), F.col("_width") - 1)).otherwise(F.array().cast("array<int>"))
+    blank = lambda j: F.when(j == 0, "category").otherwise(F.concat(F.lit("col_"), j.cast("string")))
+    g = with_columns(g, _names=F.transform(columns, lambda j: F.coalesce(F.nullif(named(j), F.lit("")), blank(j))), _super=F.flatten(F.transform(F.filter("_above", over), lambda x: F.filter(F.transform(x["c"], lambda c: c["t"]), lambda t: t != ""))))
+    kept = F.filter("_below", lambda x: (x["p"]["n"] > 0) & ((x["p"]["label"] != "") | (x["p"]["real"] > 0)))
+    g = with_columns(g, _kept=kept)
+    numbered = lambda names, h, i: F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == h))
+    one = lambda h, i: F.when(i == 0, F.lit(0)).otherwise(numbered(F.col("_names"), h, i))
+    g = with_columns(g, _headers=F.transform("_names", lambda h, i: F.when(one(h, i) > 0, F.concat(h, F.lit("_"), one(h, i).cast("string"))).otherwise(h)), _labels=F.transform("_kept", lambda x: x["p"]["label"]))
+    g = with_columns(g, _nth=F.transform("_labels", lambda h, i: F.when((h == "") | (i == 0), 0).otherwise(numbered(F.col("_labels"), h, i))))
+    label = lambda h, k: F.when(k > 0, F.concat(h, F.lit(" ("), (k + 1).cast("string"), F.lit(")"))).otherwise(h)
+    g = with_columns(g, _single=F.zip_with("_labels", "_nth", label))
+    text = lambda c: F.when(c["m"], "").otherwise(c["t"])
+    body = F.zip_with("_kept", "_single", lambda x, l: F.concat(F.array(l), F.transform(F.slice(x["c"], F.lit(2), F.greatest(F.col("_width") - 1, F.lit(0))), text)))
+    column = lambda j: F.filter(F.transform("_kept", lambda x: F.get(x["c"], j)), lambda c: ~c["m"])
+    kinds = lambda v: F.when((F.size(v) > 0) & F.forall(v, lambda c: c["n"].isNotNull()), "numeric").when((F.size(v) > 0) & (F.size(F.array_distinct(F.transform(v, lambda c: c["t"]))) <= F.greatest(F.lit(2), F.floor(F.size(v) / 2))), "categorical").otherwise("text")
+    g = with_columns(g, _body=body, _known=F.transform(columns, column), _ragged=F.size(F.filter("_below", lambda x: x["s"] != F.col("_width"))))
+    g = with_columns(g, _types=F.transform("_known", lambda v, j: F.when(j == 0, "categorical").otherwise(kinds(v))))
+    g = with_columns(g, metric_cols=F.transform(F.filter(F.arrays_zip(F.col("_headers").alias("h"), F.col("_types").alias("t")), lambda x: x["t"] == "numeric"), lambda x: x["h"]))
+    dropped, repeated = F.size("_below") - F.size("_kept"), F.size(F.filter("_nth", lambda k: k > 0))
+    note = lambda n, words: F.when(n > 0, F.concat(n.cast("string"), F.lit(words)))
+    notes = F.array_compact(F.array(F.when(F.col("start") == 0, "no header rows"), note(F.col("_ragged"), " ragged rows"), note(dropped, " section or blank rows dropped"), note(repeated, " repeated labels numbered")))
+    low = (F.col("start") == 0) | (F.size("_body") < 2) | (F.size("metric_cols") == 0) | (F.col("_ragged") > 0)
+    table = F.struct(F.col("_headers").alias("headers"), F.col("_body").alias("rows"), F.lit(None).cast("array<string>").alias("row_labels"), F.col("_types").alias("column_types"))
+    return g.select("table_id", table.cast(TABLE).alias("table"), F.coalesce(F.get("_headers", F.lit(0)), F.lit("category")).alias("name_col"), "metric_cols", F.when(low, "low").otherwise("high").alias("confidence"), notes.alias("notes"), F.col("_super").alias("super_headers"), "start")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cellwise.functions.text import cell_number
 from cellwise.operators import corpus, generate, grid, validator
 from cellwise.session import materialize
+from cellwise.session import with_columns as _with
 from cellwise.sources.readers import CELL, SPEC
 
 EPS = 1e-9
@@ -52,15 +53,6 @@ def choose_threshold(values: Column, direction: Column, mode: Column, u: Column)
     return F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.round(t, 6), step)
 
 
-def _with(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with more columns, each computed once.
-
-    The optimizer would move a projection's expressions into whatever uses them, also into functions over array elements,
-    where they would be computed for every element; it doesn't look into a generator of one row.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
 def _passes(v: Column, down: Column, t: Column) -> Column:
     return F.coalesce(F.when(down, v < t).otherwise(v >= t), F.lit(False))
 

@@ -80,15 +80,21 @@ def header_leak(spark: SparkSession, d: str) -> DataFrame:
     return _profile(spark, d).where("n_real = 0 and n_years >= 2").select("table_id", "row")
 
 
-@query(r"""select rec_id as table_id, cast(i - 1 as integer) as col, case when k > 1 then concat(name, '_', k - 1) else name end as name from (select *, row_number() over (partition by rec_id, name order by i) as k
-    from (select rec_id, i, case when trim(h) <> '' then regexp_replace(h, '^\s+|\s+$', '', 'g') when i = 1 then 'category' else concat('col_', i - 1) end as name from (select rec_id, generate_subscripts("table".headers, 1) as i, unnest("table".headers) as h from realtable_eval_verified where "table".rows is not null)))""")
+_BODY = """w as (select table_id, count(distinct col) as n_cols from c group by 1),
+    x as (select p.*, s.start, h.n_values, h.label, h.n_real, w.n_cols from p join s using (table_id) join h on h.table_id = p.table_id and h.row = p.row join w on w.table_id = p.table_id),
+    na as (select k.table_id, k.col, coalesce(name, case when k.col = 0 then 'category' else concat('col_', k.col) end) as name from (select distinct table_id, col from c) k left join
+        (select table_id, col, nullif(string_agg(nullif(regexp_replace(coalesce(raw, ''), '^\\s+|\\s+$', '', 'g'), ''), ' ' order by row), '') as name from x where row < start and not (n_values <= 1 and n_cols > 2) group by 1, 2) y on y.table_id = k.table_id and y.col = k.col),
+    hd as (select table_id, col, case when k > 0 then concat(name, '_', k) else name end as name from (select *, row_number() over (partition by table_id, name order by col) - 1 as k from na)),
+    bo as (select * from x where row >= start and n_values > 0 and (label <> '' or n_real > 0)),
+    ty as (select table_id, col, bool_and(num is not null) and count(*) > 0 as allnum from bo where not missing and col > 0 group by 1, 2)"""
+
+
+@query(f"with {_PROFILE}, {_BODY} select table_id, col, name from hd")
 def compose_headers(spark: SparkSession, d: str) -> DataFrame:
-    """The column names where the first row alone is the header."""
+    """The column names from all header rows of each table, in the long form."""
     long = _long(spark, d)
-    p = grid.row_profile(long).where("row = 0")
-    starts = long.select("table_id").distinct().withColumn("start", F.lit(1))
-    wide = long.where("row = 0")
-    return grid.headers(wide, p, starts)
+    profile = grid.row_profile(long)
+    return grid.headers(long, profile, grid.body_start(profile))
 
 
 @query("""select o_custkey, array_to_string(list_transform(rows, lambda r: array_to_string(list_concat(r, list_transform(range(cast(w - len(r) as bigint)), lambda x: '')), ',')), ';') as rows from (select *, list_max(list_transform(rows, lambda r: len(r))) as w
@@ -121,7 +127,21 @@ def infer_types(spark: SparkSession, d: str) -> DataFrame:
     r as (select table_id, count(distinct len(cells)) > 1 as ragged from l group by 1)
     select s.table_id, case when start = 0 or coalesce(nb.n, 0) < 2 or coalesce(m.n, 0) < 1 or r.ragged then 'low' else 'high' end as confidence from s left join nb using (table_id) left join m using (table_id) left join r using (table_id)""")
 def ingest_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return grid.ingest(_grids(spark, d), "table_id", "grid")["tables"]
+    return grid.ingest_records(_grids(spark, d), "table_id", "grid").select("table_id", "confidence")
+
+
+@query(f"""with {_PROFILE}, {_BODY}, su as (select table_id, string_agg(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '|' order by row, col) as super from x where row < start and n_values <= 1 and n_cols > 2 and regexp_replace(coalesce(raw, ''), '^\\s+|\\s+$', '', 'g') <> '' group by 1),
+    hs as (select table_id, string_agg(name, '|' order by col) as headers from hd group by 1), ms as (select hd.table_id, string_agg(name, '|' order by hd.col) as metrics from hd join ty on ty.table_id = hd.table_id and ty.col = hd.col where allnum group by 1),
+    nb as (select table_id, count(*) filter (col = 0) as n_body from bo group by 1), nl as (select table_id, count(*) as n_below from h join s using (table_id) where row >= start group by 1),
+    rg as (select l.table_id, count_if(len(cells) <> n_cols) as n_ragged from l join s using (table_id) join w using (table_id) where l.row >= start group by 1),
+    rp as (select table_id, sum(n - 1)::bigint as n_repeated from (select table_id, label, count(*) as n from bo where col = 0 and label <> '' group by 1, 2) group by 1)
+    select g.table_id, cast(s.start as integer) as start, hs.headers, coalesce(metrics, '') as metrics, coalesce(super, '') as super, cast(coalesce(n_body, 0) as integer) as n_rows,
+        concat_ws('; ', case when s.start = 0 then 'no header rows' end, case when n_ragged > 0 then concat(n_ragged, ' ragged rows') end, case when n_below > coalesce(n_body, 0) then concat(n_below - coalesce(n_body, 0), ' section or blank rows dropped') end, case when n_repeated > 0 then concat(n_repeated, ' repeated labels numbered') end) as notes
+    from g join s using (table_id) left join hs using (table_id) left join ms using (table_id) left join su using (table_id) left join nb using (table_id) left join nl using (table_id) left join rg using (table_id) left join rp using (table_id)""")
+def ingest_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every grid as a clean table: where its body begins, its headers, measures and super-headers, its rows and what was mended."""
+    t = grid.ingest_records(_grids(spark, d), "table_id", "grid")
+    return t.select("table_id", "start", F.array_join("table.headers", "|").alias("headers"), F.array_join("metric_cols", "|").alias("metrics"), F.array_join("super_headers", "|").alias("super"), F.size("table.rows").alias("n_rows"), F.array_join("notes", "; ").alias("notes"))
 
 
 @query(f"with {_CELLS} select table_id, col as row, row as col, raw from c")

@@ -8,7 +8,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -77,3 +78,13 @@ def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` gave, once nothing reads it any more."""
     if path := _PATHS.pop(df, None):
         _remove(df.sparkSession, path)
+
+
+def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once.
+
+    The optimizer would move a projection's expressions into whatever uses them, also into functions over array elements,
+    where they would be computed for every element; it doesn't look into a generator of one row. Carry no struct over it
+    whose fields alone are read above: they would get lost.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
