@@ -67,7 +67,7 @@ def extremum(df: DataFrame, target: str, direction: str, partition_by: Sequence[
             on = on & F.col(c).eqNullSafe(F.col(k))
         joined = rows.join(tops, on)
     else:
-        joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(rows.agg(best).withColumn("_one", F.lit(1))), "_one")  # one row
+        joined = rows.withColumn("_best", rows.agg(best).scalar())  # a subquery of one number
     return joined.where(F.abs(v - F.col("_best")) <= EPS).select(*(f"`{c}`" for c in df.columns))
 
 
@@ -88,17 +88,27 @@ def _oriented(m: str, d: str) -> Column:
     return number(m) if canon_direction(d) == "higher" else -number(m)
 
 
-def pareto(df: DataFrame, m1: str, m2: str, d1: str, d2: str, partition_by: Sequence[str]) -> DataFrame:
+def pareto(df: DataFrame, m1: str, m2: str, d1: str, d2: str, partition_by: Sequence[str], salts: int = 16) -> DataFrame:
     """The rows that no other row of their partition dominates in both measures.
 
-    Two windows per partition instead of a self-join: the best second measure among the rows that are as good in the
-    first, and the other way round.
+    Windows instead of a self-join: the best second measure among the rows that are as good in the first, and the other
+    way round. They run over the parts of each partition first, so that a partition with a third of all rows is sorted by
+    many tasks; what may be on the frontier, or beats another row without any tolerance, goes on to the windows over
+    whole partitions. What beats a row left out is beaten by no tolerance of a row kept.
     """
-    rows = df.withColumns({"_o1": _oriented(m1, d1), "_o2": _oriented(m2, d2)}).where("_o1 is not null and _o2 is not null")
+    rows = df.withColumns({"_o1": _oriented(m1, d1), "_o2": _oriented(m2, d2)}).where("_o1 is not null and _o2 is not null").withColumn("_part", F.pmod(F.xxhash64("_o1", "_o2"), F.lit(salts)))
     by = ", ".join(f"`{c}`" for c in partition_by)
-    best = lambda x, y: F.expr(f"max({x}) over (partition by {by} order by {y} desc range between unbounded preceding and {EPS}D following)")
-    beaten = rows.withColumns({"_w1": best("_o2", "_o1"), "_w2": best("_o1", "_o2")})
-    return beaten.where(f"not (_w1 > _o2 + {EPS}D) and not (_w2 > _o1 + {EPS}D)").select(*(f"`{c}`" for c in df.columns))
+
+    def beaten(d: DataFrame, keys: str, eps: float) -> tuple[DataFrame, str]:
+        best = lambda x, y: F.expr(f"max({x}) over (partition by {keys} order by {y} desc range between unbounded preceding and {eps}D following)")
+        n = f"{eps:.0e}".replace("-", "_").replace("+", "_")
+        return d.withColumns({f"_w1{n}": best("_o2", "_o1"), f"_w2{n}": best("_o1", "_o2")}), f"(_w1{n} > _o2 + {eps}D or _w2{n} > _o1 + {eps}D)"
+
+    part, near = beaten(rows, f"{by}, _part", EPS)
+    part, exact = beaten(part, f"{by}, _part", 0.0)
+    kept = part.where(f"not {near} or not {exact}").select(*(f"`{c}`" for c in df.columns), "_o1", "_o2")
+    whole, near = beaten(kept, by, EPS)
+    return whole.where(f"not {near}").select(*(f"`{c}`" for c in df.columns))
 
 
 def _reach(rows: DataFrame, x: str, y: str, blocks: int) -> DataFrame:

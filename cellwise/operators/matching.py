@@ -19,12 +19,24 @@ def _ratio(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).ratio()
 
 
+def _grams(text: Column) -> Column:
+    """The keys by which two labels with a similarity of CUTOFF must meet: trigrams, and bigrams of short labels.
+
+    Of labels of n letters at least 0.85 n are matched, in no more blocks than there are letters left over and one, so
+    that the longest block has three letters, or two in labels of fewer than eight.
+    """
+    n = F.length(text)
+    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.when(n >= 8, cut(3)).otherwise(none), F.when((n >= 2) & (n <= 10), cut(2)).otherwise(none)))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, group: str, key: str, label: str, right_label: str) -> DataFrame:
     """``group``, ``key``, ``match``: the one label of the same group that equals or resembles a label.
 
     An exact match after normalisation wins if it is unique; otherwise the one label with a similarity of at least
-    CUTOFF. Exact matches are an equi-join; only what is left meets the labels of its own group, and only labels whose
-    lengths allow the similarity are compared.
+    CUTOFF. Exact matches are an equi-join. What is left meets only the labels with which it shares letters in a row (see
+    ``_grams``); of these, only pairs within the edit distance that the similarity allows are compared in Python.
     """
     l = left.select(group, key, norm_words(F.col(label)).alias("_a"))
     r = right.select(group, F.col(right_label).alias("_label"), norm_words(F.col(right_label)).alias("_b")).where("_label is not null").distinct()
@@ -36,9 +48,13 @@ def fuzzy_match(left: DataFrame, right: DataFrame, group: str, key: str, label:
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_ratio(x, y) for x, y in zip(a, b)])
 
-    rest = exact.where("_n is null and _a <> ''").select(group, key, "_a").join(r, group)
-    near = rest.where(2 * F.least(F.length("_a"), F.length("_b")) >= CUTOFF * (F.length("_a") + F.length("_b"))).where(ratio("_a", "_b") >= CUTOFF)
-    found = near.groupBy(group, key).agg(F.count("*").alias("_n"), F.min("_label").alias("match")).where("_n = 1").select(group, key, "match")
+    rest = exact.where("_n is null and _a <> ''").select(group, key, "_a")
+    asked = rest.select(group, "_a").distinct().withColumn("_g", F.explode(_grams(F.col("_a"))))
+    known = r.select(group, "_b").distinct().withColumn("_g", F.explode(_grams(F.col("_b"))))
+    whole = F.length("_a") + F.length("_b")
+    pairs = asked.join(known, [group, "_g"]).where(2 * F.least(F.length("_a"), F.length("_b")) >= CUTOFF * whole).select(group, "_a", "_b").distinct()
+    near = pairs.where(F.levenshtein("_a", "_b") <= whole - 2 * F.ceil(CUTOFF * whole / 2)).where(ratio("_a", "_b") >= CUTOFF)
+    found = rest.join(near, [group, "_a"]).join(r, [group, "_b"]).groupBy(group, key).agg(F.count("*").alias("_n"), F.min("_label").alias("match")).where("_n = 1").select(group, key, "match")
     return sure.unionByName(found)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellwise.operators.skew import numbered
+
 
 def draw(seed: int | str, key: str | Column) -> Column:
     """A digest by which rows are put in random, repeatable order."""
@@ -16,8 +18,8 @@ def draw(seed: int | str, key: str | Column) -> Column:
 
 
 def round_robin(df: DataFrame, group: str, order: Sequence[Column], first: Sequence[Column] = ()) -> DataFrame:
-    """``df`` with ``turn`` (its place within its group): sorted by turn and group, the groups alternate."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*first, *order)))
+    """``df`` with ``turn`` (its place within its group): sorted by turn and group, the groups alternate. Groups may be of any size."""
+    return numbered(df, group, [*first, *order], "turn")
 
 
 def stratified_sample(df: DataFrame, group: str, key: str, n: int, seed: int | str = 0) -> DataFrame:
@@ -50,6 +52,15 @@ def majority(df: DataFrame, group: str, vote: str, order: str) -> DataFrame:
     return best.select(group, F.col("x.v").alias(vote), F.col("x.n").alias("n"))
 
 
+def grounded_majority(df: DataFrame, group: str, vote: str, order: str, grounded: str) -> DataFrame:
+    """As ``majority`` among the grounded votes of each group; a group without one has the majority of all."""
+    some = df.withColumn("_g", F.coalesce(F.col(grounded), F.lit(False))).where(F.col(vote).isNotNull())
+    counts = some.groupBy(group, vote, "_g").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    all_ = counts.groupBy(group, vote).agg(F.sum("n").alias("n"), F.min("_first").alias("_first"), F.coalesce(F.sum(F.when(F.col("_g"), F.col("n"))), F.lit(0)).alias("k"), F.min(F.when(F.col("_g"), F.col("_first"))).alias("_kfirst"))
+    place = F.when(F.col("k") > 0, F.struct(F.lit(1).alias("r"), F.col("k").alias("n"), (-F.col("_kfirst").cast("double")).alias("f"), F.col(vote).alias("v"))).otherwise(F.struct(F.lit(0).alias("r"), F.col("n").alias("n"), (-F.col("_first").cast("double")).alias("f"), F.col(vote).alias("v")))
+    return all_.groupBy(group).agg(F.max(place).alias("x")).select(group, F.col("x.v").alias(vote), F.col("x.n").alias("n"))
+
+
 def unanimous(df: DataFrame, group: str, vote: str, ok: str, n: int) -> DataFrame:
     """Per group whether at least ``n`` rows agree in one vote and all are ok."""
     return df.groupBy(group).agg(((F.count(vote) == F.count("*")) & (F.count("*") >= n) & (F.count_distinct(vote) == 1) & F.bool_and(F.coalesce(F.col(ok), F.lit(False)))).alias("accepted"))

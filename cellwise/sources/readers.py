@@ -14,7 +14,7 @@ RECORD = (
     f"trace_steps array<struct<index:int,kind:string,description:string,cites:array<{CELL}>>>, evidence_cells array<{CELL}>, "
     f"metadata struct<difficulty:string,edge_cases:array<string>,example_id:string,spec:{SPEC},orientation:string,confidence:string,source:struct<dataset:string,uid:string,attribution:string>,verified_by:string,native_gold:array<string>,seed:int,generator_version:string,table_index:int,silver:boolean>"
 )
-CONTEXT = "table struct<uid:string,table:array<array<string>>>, questions array<struct<question:string,answer_from:string,answer:string,derivation:string>>"
+CONTEXT_FIELDS = "table:struct<uid:string,table:array<array<string>>>,questions:array<struct<question:string,answer_from:string,answer:string,derivation:string>>"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -23,10 +23,27 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_contexts(spark: SparkSession, path: str, table_only: bool = False, limit: int | None = None) -> DataFrame:
-    """Raw grids, a JSON array of contexts; on demand only those with a question answered from the table."""
-    df = spark.read.schema(CONTEXT).option("multiLine", True).json(path)
+    """Raw grids with ``ordinal``, their place in the JSON array; on demand only those with a question answered from the table, the first ``limit`` of them.
+
+    An array is one document, so that the ordinals come from its own order; of several files each counts for itself.
+    """
+    df = _arrays(spark, path)
     df = semi_table_only(df) if table_only else df
-    return df.limit(limit) if limit is not None else df
+    return df.orderBy("file", "ordinal").limit(limit) if limit is not None else df
+
+
+def _arrays(spark: SparkSession, path: str) -> DataFrame:
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json("value", f"array<struct<{CONTEXT_FIELDS}>>")).alias("ordinal", "c"))
+    return texts.select("file", "ordinal", "c.*")
+
+
+def ingest_file(spark: SparkSession, path: str, table_only: bool = False, limit: int | None = None) -> DataFrame:
+    """The clean table of each context of a file, with its place in the file and its ``uid``."""
+    from cellwise.operators.grid import ingest_records
+
+    c = read_contexts(spark, path, table_only, limit).select("file", "ordinal", F.col("table.uid").alias("uid"), F.format_string("table_%04d", F.col("ordinal")).alias("table_id"), F.col("table.table").alias("_grid"))
+    clean = ingest_records(c, "table_id", "_grid")
+    return clean.join(c.select("table_id", "uid", "ordinal"), "table_id")
 
 
 def semi_table_only(contexts: DataFrame) -> DataFrame:
