@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,18 +101,49 @@ def base_table_id(c: Column) -> Column:
     return F.regexp_replace(c, "_(rows|cols)$", "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scaled_half_even(a: Column, b: Column) -> Column:
+    """The whole number nearest to ``a * b`` as by exact arithmetic, the even one of two; both factors below 2 ** 500.
+
+    The product's rounding error is found by splitting the factors into halves of their digits, so that a number such as
+    2.675, which lies a little below its decimal text, is no tie.
+    """
+    half = lambda x: 134217729.0 * x - (134217729.0 * x - x)
+    parts = F.struct(a.alias("a"), half(a).alias("ah"), b.alias("b"), half(b).alias("bh"), (a * b).alias("hi"), F.floor(a * b).cast("double").alias("low"))
+
+    def near(x: Column) -> Column:
+        al, bl = x["a"] - x["ah"], x["b"] - x["bh"]
+        lost = ((x["ah"] * x["bh"] - x["hi"]) + x["ah"] * bl + al * x["bh"]) + al * bl
+        return _let((x["hi"] - x["low"] - 0.5) + lost, lambda over: x["low"] + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.abs(x["low"]) % 2))
+
+    return _let(parts, near)
+
+
 def general_format(num: Column) -> Column:
     """A number in at most six significant digits without trailing zeros, with an exponent below -4 and from 6 on."""
-    a = F.abs(num)
-    digits = F.format_string("%.5e", a)
-    e = F.when(num == 0, F.lit(0)).otherwise(F.regexp_extract(digits, r"e([+-][0-9]+)$", 1).cast("int"))
     trim = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
-    mantissa = trim(F.regexp_extract(digits, r"^([0-9.]+)e", 1))
-    scientific = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    places = F.greatest(F.lit(0), 5 - e)
-    plain = F.element_at(F.array(*(trim(F.format_string(f"%.{k}f", a)) for k in range(10))), F.least(places, F.lit(9)) + 1)
-    out = F.when((e < -4) | (e >= 6), scientific).otherwise(plain)
-    return F.when(num < 0, F.concat(F.lit("-"), out)).otherwise(out)
+
+    def shown(x: Column) -> Column:
+        e = F.when(x["a"] == 0, F.lit(0)).otherwise(F.regexp_extract(x["digits"], r"e([+-][0-9]+)$", 1).cast("int"))
+        return _let(F.struct(x["a"].alias("a"), x["digits"].alias("digits"), e.alias("e"), F.least(F.greatest(F.lit(0), 5 - e), F.lit(9)).alias("places")), placed)
+
+    def placed(x: Column) -> Column:
+        tens = F.element_at(F.array(*(F.lit(10.0**k) for k in range(10))), x["places"] + 1)
+        return _let(_scaled_half_even(x["a"], tens), lambda whole: written(x, whole))
+
+    def written(x: Column, whole: Column) -> Column:
+        scientific = F.concat(trim(F.regexp_extract(x["digits"], r"^([0-9.]+)e", 1)), F.when(x["e"] < 0, "e-").otherwise("e+"), F.lpad(F.abs(x["e"]).cast("string"), 2, "0"))
+        fixed = F.lit(None).cast("string")
+        for k in range(9, -1, -1):
+            fixed = F.when(x["places"] == k, F.format_string(f"%.{k}f", whole / 10.0**k)).otherwise(fixed)
+        return F.when((x["e"] < -4) | (x["e"] >= 6), scientific).when((x["places"] == 0) & (whole >= 1e6), "1e+06").otherwise(trim(fixed))
+
+    out = _let(F.struct(F.abs(num).alias("a"), F.format_string("%.5e", F.abs(num)).alias("digits")), shown)
+    return F.when(num.isNotNull(), F.when(num < 0, F.concat(F.lit("-"), out)).otherwise(out))
 
 
 def superlative_direction(question: Column) -> Column:
@@ -135,3 +168,13 @@ def gate_fires(op_type: Column, question: Column) -> Column:
 def canonical_op(c: Column) -> Column:
     """lt or gte for a known comparison, null for any other."""
     return F.when(c == "ge", "gte").when(c.isin("lt", "gte"), c)
+
+
+def rendered(c: Column) -> Column:
+    """A cell as it is shown: parsed, numbers in at most six significant digits but whole ones in full, missing values empty."""
+
+    def shown(num: Column) -> Column:
+        whole = (num == F.floor(num)) & (F.abs(num) < 9e18)
+        return F.when(num.isNull(), F.when(F.coalesce(is_missing(c), F.lit(True)), "").otherwise(strip(c))).when(whole, num.cast("bigint").cast("string")).otherwise(general_format(num))
+
+    return _let(cell_number(c), shown)

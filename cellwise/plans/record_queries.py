@@ -320,11 +320,6 @@ def edge_tags(spark: SparkSession, d: str) -> DataFrame:
     return won.select("p_brand", generate.edge_tag("best_under_constraint", F.col("n"), F.col("n")).alias("tag"))
 
 
-@query()
-def synthetic_source(spark: SparkSession, d: str) -> DataFrame:
-    return generate.synthetic_tables(spark, 200)
-
-
 @query("select n_name, orientation, type from nation, (values ('rows'), ('columns')) o(orientation), (values ('best_under_constraint'), ('threshold_filter'), ('tradeoff_summary')) t(type)")
 def cross_types(spark: SparkSession, d: str) -> DataFrame:
     """Each table in both orientations with each type: an explode of fixed lists, no cross join."""
@@ -338,12 +333,6 @@ def trace_steps(spark: SparkSession, d: str) -> DataFrame:
     return x.select("rec_id", "step", "s.kind", F.when(F.col("s.cites").isNotNull(), F.size(F.filter("s.cites", lambda c: c.isNotNull())).cast("bigint")).alias("n_cites"))
 
 
-@query(f"select a.detail_id, r.question, r.gold_answer.label as gold_label, a.engine_ok from {A} a join (select metadata.example_id as example_id, min(rec_id) as rec_id from {R} where metadata.example_id is not null group by 1) f on a.example_id = f.example_id join {R} r on r.rec_id = f.rec_id")
-def demo_card(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, R).where("metadata.example_id is not null").groupBy(F.col("metadata.example_id").alias("example_id")).agg(F.min_by(F.struct("question", F.col("gold_answer.label").alias("gold_label")), "rec_id").alias("x"))
-    return table(spark, d, A).select("detail_id", "example_id", "engine_ok").join(r, "example_id").select("detail_id", "x.question", "x.gold_label", "engine_ok")
-
-
 @query("select p_partkey, p_brand, p_name as match from part where (p_brand, lower(p_name)) in (select p_brand, lower(p_name) from part group by 1, 2 having count(distinct p_name) = 1)")
 def exact_match(spark: SparkSession, d: str) -> DataFrame:
     """Labels found again in another case with marks around them."""
