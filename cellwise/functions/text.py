@@ -19,6 +19,11 @@ SUPERLATIVE_HIGH = ("largest", "highest", "greatest", "most", "maximum", "max",
 SUPERLATIVE_LOW = ("lowest", "smallest", "least", "minimum", "min", "fewest", "shortest")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """``c`` without surrounding white space of any script."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -101,11 +106,6 @@ def base_table_id(c: Column) -> Column:
     return F.regexp_replace(c, "_(rows|cols)$", "")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _scaled_half_even(a: Column, b: Column) -> Column:
     """The whole number nearest to ``a * b`` as by exact arithmetic, the even one of two; both factors below 2 ** 500.
 
@@ -118,9 +118,9 @@ def _scaled_half_even(a: Column, b: Column) -> Column:
     def near(x: Column) -> Column:
         al, bl = x["a"] - x["ah"], x["b"] - x["bh"]
         lost = ((x["ah"] * x["bh"] - x["hi"]) + x["ah"] * bl + al * x["bh"]) + al * bl
-        return _let((x["hi"] - x["low"] - 0.5) + lost, lambda over: x["low"] + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.abs(x["low"]) % 2))
+        return let((x["hi"] - x["low"] - 0.5) + lost, lambda over: x["low"] + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.abs(x["low"]) % 2))
 
-    return _let(parts, near)
+    return let(parts, near)
 
 
 def general_format(num: Column) -> Column:
@@ -129,11 +129,11 @@ def general_format(num: Column) -> Column:
 
     def shown(x: Column) -> Column:
         e = F.when(x["a"] == 0, F.lit(0)).otherwise(F.regexp_extract(x["digits"], r"e([+-][0-9]+)$", 1).cast("int"))
-        return _let(F.struct(x["a"].alias("a"), x["digits"].alias("digits"), e.alias("e"), F.least(F.greatest(F.lit(0), 5 - e), F.lit(9)).alias("places")), placed)
+        return let(F.struct(x["a"].alias("a"), x["digits"].alias("digits"), e.alias("e"), F.least(F.greatest(F.lit(0), 5 - e), F.lit(9)).alias("places")), placed)
 
     def placed(x: Column) -> Column:
         tens = F.element_at(F.array(*(F.lit(10.0**k) for k in range(10))), x["places"] + 1)
-        return _let(_scaled_half_even(x["a"], tens), lambda whole: written(x, whole))
+        return let(_scaled_half_even(x["a"], tens), lambda whole: written(x, whole))
 
     def written(x: Column, whole: Column) -> Column:
         scientific = F.concat(trim(F.regexp_extract(x["digits"], r"^([0-9.]+)e", 1)), F.when(x["e"] < 0, "e-").otherwise("e+"), F.lpad(F.abs(x["e"]).cast("string"), 2, "0"))
@@ -142,7 +142,7 @@ def general_format(num: Column) -> Column:
             fixed = F.when(x["places"] == k, F.format_string(f"%.{k}f", whole / 10.0**k)).otherwise(fixed)
         return F.when((x["e"] < -4) | (x["e"] >= 6), scientific).when((x["places"] == 0) & (whole >= 1e6), "1e+06").otherwise(trim(fixed))
 
-    out = _let(F.struct(F.abs(num).alias("a"), F.format_string("%.5e", F.abs(num)).alias("digits")), shown)
+    out = let(F.struct(F.abs(num).alias("a"), F.format_string("%.5e", F.abs(num)).alias("digits")), shown)
     return F.when(num.isNotNull(), F.when(num < 0, F.concat(F.lit("-"), out)).otherwise(out))
 
 
@@ -177,4 +177,4 @@ def rendered(c: Column) -> Column:
         whole = (num == F.floor(num)) & (F.abs(num) < 9e18)
         return F.when(num.isNull(), F.when(F.coalesce(is_missing(c), F.lit(True)), "").otherwise(strip(c))).when(whole, num.cast("bigint").cast("string")).otherwise(general_format(num))
 
-    return _let(cell_number(c), shown)
+    return let(cell_number(c), shown)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellwise.functions.text import cell_number, is_total, strip
+from cellwise.functions.text import cell_number, is_total, let, strip
+from cellwise.session import with_columns
 
 EPS = 1e-9
 CONDITIONS = "array<struct<metric:string,op:string,t:double>>"
@@ -136,3 +137,32 @@ def classify_cites(cites: DataFrame, cells: DataFrame, key: str) -> DataFrame:
         .when(F.col("_held").isNotNull(), "wrong_row").when(near, "rounding").when(a.isNull() != b.isNull(), "type_format").otherwise("not_in_column")
     )
     return j.select(key, "cite_no", label.alias("label"))
+
+
+def classify_within(records: DataFrame, key: str, headers: str, rows: str, cites: str) -> DataFrame:
+    """As ``classify_cites`` for tables that lie in the same record as their citations, an array of cells: nothing is shuffled.
+
+    For small tables; each citation looks through its column. Null citations give no row, ``cite_no`` is their place.
+    """
+    norm = lambda c: let(cell_number(c), lambda n: F.coalesce(n.cast("string"), strip(F.coalesce(c, F.lit("")))))
+    r = records.select(F.col(key).alias("_k"), F.col(headers).alias("_h"), F.col(rows).alias("_rows"), F.col(cites).alias("_c")).where(F.size("_c") > 0)
+    r = with_columns(r, _norm=F.transform("_rows", lambda row: F.transform(row, norm)), _wide=F.array_max(F.transform("_rows", F.size)))
+
+    def label(c: Column) -> Column:
+        at = lambda grid: F.get(F.get(grid, c["row"]), c["col"])
+        own, said = F.coalesce(at("_norm"), F.lit("")), norm(c["value"])
+        inside = F.coalesce((c["row"] >= 0) & (c["row"] < F.size("_rows")) & (c["col"] >= 0) & (c["col"] < F.least(F.size("_h"), F.col("_wide"))) & (c["col"] < F.size(F.get("_rows", c["row"]))), F.lit(False))
+        number = lambda t: F.when(t.rlike("^-?[0-9.]+(E-?[0-9]+)?$") & (t != "."), t).try_cast("double")
+
+        def judged(x: Column) -> Column:
+            a, b = x["a"], x["b"]
+            same = F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 1e-6).otherwise(x["said"] == x["own"])
+            near = F.coalesce(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)) <= 5e-3, F.lit(False))
+            held = F.exists("_norm", lambda row: F.coalesce(F.get(row, c["col"]) == x["said"], F.lit(False)))
+            wrong = F.when(held, "wrong_row").when(near, "rounding").when(a.isNull() != b.isNull(), "type_format").otherwise("not_in_column")
+            return F.when(~inside, "row_oob").when(~F.coalesce(F.get("_h", c["col"]) == c["col_name"], F.lit(False)), "colname_mismatch").when(same, "ok").otherwise(wrong)
+
+        return let(F.struct(number(said).alias("a"), number(own).alias("b"), said.alias("said"), own.alias("own")), judged)
+
+    labelled = F.transform("_c", lambda c: F.when(c.isNotNull(), label(c)))
+    return r.select("_k", F.posexplode(labelled).alias("cite_no", "label")).where("label is not null").select(F.col("_k").alias(key), "cite_no", "label")

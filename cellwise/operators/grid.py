@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellwise.functions.text import cell_number, is_missing, is_year, parse_cell, strip
+from cellwise.functions.text import cell_number, is_missing, is_year, let, parse_cell, strip
 from cellwise.session import materialize, with_columns
 
 
@@ -190,6 +190,11 @@ def ingest(grids: DataFrame, table_id: str, rows: str) -> dict[str, DataFrame]:
 TABLE = "struct<headers:array<string>,rows:array<array<string>>,row_labels:array<string>,column_types:array<string>>"
 
 
+def _cell(c: Column) -> Column:
+    """A cell's text, its number, and whether it writes that there is no value."""
+    return let(cell_number(c), lambda n: F.struct(strip(F.coalesce(c, F.lit(""))).alias("t"), n.alias("n"), F.when(n.isNotNull(), False).otherwise(F.coalesce(is_missing(c), F.lit(True))).alias("m")))
+
+
 def ingest_records(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
     """One clean table for each grid: ``table_id``, ``table``, ``name_col``, ``metric_cols``, ``confidence``, ``notes``, ``super_headers``, ``start``.
 
@@ -201,7 +206,7 @@ def ingest_records(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
     g = with_columns(grids.select(F.col(table_id).alias("table_id"), F.col(rows).alias("_in")), _raw=F.coalesce("_in", no_rows)).drop("_in")
     g = with_columns(g, _width=F.aggregate("_raw", F.lit(0), lambda w, r: F.greatest(w, F.coalesce(F.size(r), F.lit(0)))), _sizes=F.transform("_raw", lambda r: F.coalesce(F.size(r), F.lit(0))))
     square = F.transform("_raw", lambda r: F.slice(F.concat(F.coalesce(r, F.array().cast("array<string>")), F.array_repeat(F.lit(""), F.col("_width"))), F.lit(1), F.col("_width")))
-    g = with_columns(g, _cells=F.transform(square, lambda r: F.transform(r, lambda c: F.struct(strip(F.coalesce(c, F.lit(""))).alias("t"), cell_number(c).alias("n"), F.coalesce(is_missing(c), F.lit(True)).alias("m")))))
+    g = with_columns(g, _cells=F.transform(square, lambda r: F.transform(r, _cell)))
     year = lambda x: F.coalesce(is_year(x["n"]), F.lit(False))
     values = lambda r: F.filter(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), lambda x: ~x["m"])
     count = lambda v, f: F.size(F.filter(v, f))

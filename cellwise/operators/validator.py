@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.functions.text import let
 from cellwise.sources.readers import RECORD
 
 CHECKS = ("schema_valid", "cells_exist", "answer_correct", "numeric_comparisons_correct", "threshold_satisfaction", "relevance", "pareto_frontier_correct", "empty_result_consistency", "difficulty_tag_present")
@@ -23,11 +24,10 @@ OPTIMUM_SLACK, VALUE_SLACK = 1e-9, 1e-6
 
 def reading(c: Column) -> Column:
     """The number that a cell holds, or null."""
-    bare = F.regexp_replace(F.translate(c, "$%,", ""), r"(?U)^\s+|\s+$", "")
-    owed = bare.startswith("(") & bare.endswith(")")
-    digits = F.regexp_replace(F.when(owed, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare), r"(?U)^\s+|\s+$", "")
-    v = F.when(digits.rlike(r"^-?\d+(\.\d+)?$"), digits).try_cast("double")
-    return F.when(owed, -v).otherwise(v)
+    edges = r"(?U)^\s+|\s+$"
+    plain = lambda t: F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t).try_cast("double")
+    inside = lambda t: F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), edges, "")
+    return let(F.regexp_replace(F.translate(c, "$%,", ""), edges, ""), lambda t: F.when(t.startswith("(") & t.endswith(")"), -let(inside(t), plain)).otherwise(plain(t)))
 
 
 def _satisfies(v: Column, op: Column, t: Column) -> Column:

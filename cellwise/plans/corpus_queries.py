@@ -168,7 +168,21 @@ def _cites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"with {_CITES} select rec_id, cite_no, label from z")
 def classify_cites(spark: SparkSession, d: str) -> DataFrame:
-    """What is wrong with citations in which faults were planted."""
+    """What is wrong with citations in which faults were planted, within their records."""
+    k = F.col("rec_id") % 6
+
+    def planted(c):  # noqa: ANN001, ANN202
+        value = F.when(k == 3, F.lit("abc")).when(k == 5, F.round(text.cell_number(c["value"]) * 1.001, 3).cast("decimal(30,3)").cast("string")).otherwise(c["value"])
+        row = F.when(k == 1, c["row"] + 1000).when(k == 4, c["row"] + 1).otherwise(c["row"])
+        return F.when(c.isNotNull(), F.struct(row.alias("row"), c["col"].alias("col"), F.when(k == 2, F.concat(c["col_name"], F.lit("?"))).otherwise(c["col_name"]).alias("col_name"), value.alias("value")))
+
+    r = table(spark, d, R).select("rec_id", F.col("table.headers").alias("heads"), F.col("table.rows").alias("grid"), F.transform("evidence_cells", planted).alias("cites"))
+    return corpus.classify_within(r, "rec_id", "heads", "grid", "cites")
+
+
+@query(f"with {_CITES} select rec_id, cite_no, label from z")
+def classify_cites_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same by joins, for tables of any length in their long form."""
     return corpus.classify_cites(*_cites(spark, d), "rec_id")
 
 

@@ -233,3 +233,6 @@ def test_citation_labels(spark):
     cases = [(0, 0, "c0", "10.0", "ok"), (3, 0, "c0", "10", "row_oob"), (0, 9, "c0", "10", "row_oob"), (0, 0, "c1", "10", "colname_mismatch"), (0, 0, "c0", "1000", "wrong_row"), (1, 0, "c0", "1001", "rounding"), (0, 0, "c0", "ten", "type_format"), (0, 1, "c1", "z", "not_in_column"), (1, 0, "c0", "7", "not_in_column"), (2, 0, "c0", None, "ok")]
     cites = spark.createDataFrame([(1, i, *c[:4]) for i, c in enumerate(cases)], "k int, cite_no int, row int, col int, col_name string, value string")
     assert [x["label"] for x in corpus.classify_cites(cites, cells, "k").orderBy("cite_no").collect()] == [c[4] for c in cases]
+    grid = spark.createDataFrame([(1, ["c0", "c1"], [["10", "x"], ["1,000", "y"], ["", "$ 5"]], [None] + [c[:4] for c in cases])], "k int, h array<string>, g array<array<string>>, c array<struct<row int, col int, col_name string, value string>>")
+    got = corpus.classify_within(grid, "k", "h", "g", "c").orderBy("cite_no").collect()
+    assert [(x["cite_no"], x["label"]) for x in got] == [(i + 1, c[4]) for i, c in enumerate(cases)]
