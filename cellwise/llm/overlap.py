@@ -150,9 +150,8 @@ def class_pairs(records: DataFrame, id_col: str, question: str, headers: str, gr
     flags = [F.max(is_train.cast("int")).alias("t"), F.max((~is_train).cast("int")).alias("e")]
     both = recs.groupBy("question").agg(*flags).where("t = 1 and e = 1").select("question")
     kept = recs.join(both, "question", "left_semi")
-    classes = kept.groupBy("question", "content").agg(*flags, *(F.first(c).alias(c) for c in ("numbers", "chunks", "lengths")))
-    classes = materialize(classes, "classes")
-    chunks = classes.select("question", "content", "t", "e", F.size("numbers").alias("n"), F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("question", "content", "t", "e", "n", F.col("c.chunks").alias("chunk"), F.col("c.lengths").alias("length"))
+    classes = kept.groupBy("question", "content").agg(*flags, F.first(F.size("numbers")).alias("n"), *(F.first(c).alias(c) for c in ("chunks", "lengths")))
+    chunks = classes.select("question", "content", "t", "e", "n", F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("question", "content", "t", "e", "n", F.col("c.chunks").alias("chunk"), F.col("c.lengths").alias("length"))
     a = chunks.where("t = 1").select("chunk", "question", F.col("content").alias("train_class"), F.col("n").alias("n_a"), "length")
     b = chunks.where("e = 1").select("chunk", F.col("question").alias("q"), F.col("content").alias("held_class"), F.col("n").alias("n_b"))
     near = a.join(b, "chunk").where(f"question = q and least(n_a, n_b) >= {AGREEMENT} * greatest(n_a, n_b)")
@@ -160,10 +159,12 @@ def class_pairs(records: DataFrame, id_col: str, question: str, headers: str, gr
     pairs = pairs.withColumn("chunk_overlap", F.when(F.col("n") == 0, 1.0).otherwise(F.col("shared") / F.col("n")))
     pairs = materialize(pairs.select("question", "train_class", "held_class", "n", "chunk_overlap"), "pairs")
     decided = pairs.where(f"chunk_overlap >= {AGREEMENT}").withColumn("agreement", F.lit(None).cast("double"))
-    numbers = classes.select("question", "content", "numbers")
+    # the numbers of the undecided classes alone are moved
+    open_ = pairs.where(f"chunk_overlap < {AGREEMENT}")
+    ids = open_.select("question", F.col("train_class").alias("content")).unionAll(open_.select("question", F.col("held_class").alias("content"))).distinct()
+    numbers = recs.select("question", "content", "numbers").join(ids, ["question", "content"], "left_semi").groupBy("question", "content").agg(F.first("numbers").alias("numbers"))
     exact = (
-        pairs.where(f"chunk_overlap < {AGREEMENT}")
-        .join(numbers.select("question", F.col("content").alias("train_class"), F.col("numbers").alias("x")), ["question", "train_class"])
+        open_.join(numbers.select("question", F.col("content").alias("train_class"), F.col("numbers").alias("x")), ["question", "train_class"])
         .join(numbers.select("question", F.col("content").alias("held_class"), F.col("numbers").alias("y")), ["question", "held_class"])
         .withColumn("agreement", F.size(F.array_intersect("x", "y")) / F.col("n")).where(f"agreement >= {AGREEMENT}")
     )
