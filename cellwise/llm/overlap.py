@@ -184,6 +184,7 @@ def overlaps(records: DataFrame, id_col: str, question: str, headers: str, grid:
     is_train = F.col("side").isin(*train)
     member = lambda who, c, name: recs.where(who).select(F.col("rec_id").alias(name), F.col("question").alias(f"q_{c}"), F.col("content").alias(c), *(["side"] if c == "held_class" else []))
     held = salted_join(member(~is_train, "held_class", "held_out_id"), pairs, "held_class", F.col("held_out_id")).where("question = q_held_class")
+    held = materialize(held.drop("q_held_class"), "held")  # read twice, for its hot classes and for the join
     found = salted_join(held, member(is_train, "train_class", "train_id"), "train_class", F.col("held_out_id")).where("question = q_train_class")
     return found.select(F.least("train_id", "held_out_id").alias("rec_id_a"), F.greatest("train_id", "held_out_id").alias("rec_id_b"), "train_id", "held_out_id", F.col("side").alias("split"), "chunk_overlap", "agreement")
 
