@@ -1,8 +1,13 @@
 import json
+import os
 
+import pytest
+
+from cellwise import session, views
 from cellwise.operators import records, selection
 from cellwise.sources import readers, sinks
 from cellwise.streaming import resume
+from tests.conftest import SF
 
 
 def test_records_round_trip(spark, tmp_path):
@@ -16,7 +21,8 @@ def test_records_round_trip(spark, tmp_path):
 
 def test_json_readers(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"table": {"uid": "a", "table": [["", "1"]]}, "questions": [{"answer_from": "text"}, {"answer_from": "table"}]}, {"table": {"uid": "b"}, "questions": None}]))
-    assert [r["table"]["uid"] for r in readers.read_contexts(spark, str(tmp_path / "c.json"), table_only=True).collect()] == ["a"]
+    assert [(r["table"]["uid"], r["ordinal"]) for r in readers.read_contexts(spark, str(tmp_path / "c.json"), table_only=True).collect()] == [("a", 0)]
+    assert [r["table"]["uid"] for r in readers.read_contexts(spark, str(tmp_path / "c.json"), limit=1).collect()] == ["a"]
     (tmp_path / "r.json").write_text(json.dumps({"agg": {"n": 1}, "details": [{"example_id": "e", "valid": True}]}))
     assert readers.read_results(spark, str(tmp_path / "r.json")).first()["valid"] is True
     (tmp_path / "m.json").write_text(json.dumps({"version": 1, "eval_tables_dev": ["d"], "training_tables": ["t", "u"]}))
@@ -29,6 +35,60 @@ def test_json_readers(spark, tmp_path):
     assert readers.read_template(spark, str(tmp_path / "p.txt")) == "a {TABLE}\nb"
 
 
+def test_contexts_to_clean_tables(spark, tmp_path):
+    grids = [[["", "2001", "2002"], ["Tugs", "3", "(4)"], ["Berths", "5", "n/a"]], [["Tugs"]]]
+    (tmp_path / "c.json").write_text(json.dumps([{"table": {"uid": f"u{i}", "table": g}, "questions": [{"answer_from": "table"}]} for i, g in enumerate(grids)]))
+    one, two = readers.ingest_file(spark, str(tmp_path / "c.json"), table_only=True).orderBy("ordinal").collect()
+    assert (one["uid"], one["table_id"], one["metric_cols"], one["confidence"], one["table"]["rows"][1]) == ("u0", "table_0000", ["2001", "2002"], "high", ["Berths", "5", ""])
+    assert (two["confidence"], two["table"]["rows"], two["table"]["headers"]) == ("low", [], ["Tugs"])
+
+
+def test_manifests(spark, tmp_path, monkeypatch):
+    roles = spark.createDataFrame([("a", "dev"), ("b", "dev"), ("a", "dev"), ("c", "test")], "base_table_id string, role string")
+    sinks.write_manifest(roles, str(tmp_path / "m"))
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "m/ids")).select("base_table_id", "role").collect()} == {("a", "dev"), ("b", "dev"), ("c", "test")}
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "m/counts")).select("role", "n").collect()} == {("dev", 2), ("test", 1)}
+    monkeypatch.setattr(sinks, "MANIFEST_IDS", 2)
+    with pytest.raises(ValueError, match="too many"):
+        sinks.manifest(roles)
+
+
+def test_nulls_are_written(spark, tmp_path):
+    sinks.write_jsonl(spark.createDataFrame([("é", None)], "a string, b string").coalesce(1), str(tmp_path / "j"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"a":"é","b":null}']
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_views(spark):
+    names = views.register(spark, SF, ["model_counts", "gold_ceiling"])
+    assert {"documents", "model_counts", "gold_ceiling"} <= set(names)
+    assert spark.sql("select sum(n) from model_counts").first()[0] == spark.sql("select count(*) from p3_4b_exec_test_verified").first()[0]
+    for n in names:
+        spark.catalog.dropTempView(n)
+
+
+def test_a_cluster_needs_its_shared_folder(spark, monkeypatch):
+    class Cluster:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster()
+        conf = spark.conf
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(Session())
+
+
+def test_written_tables_go_when_discarded(spark):
+    m = session.materialize(spark.range(3), "three")
+    path = m.inputFiles()[0].removeprefix("file://")
+    assert m.count() == 3 and os.path.exists(path)
+    session.discard(m)
+    assert not os.path.exists(path)
+
+
 def test_csv_export(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([(1, 'a "quoted", text'), (2, None)], "i int, s string").coalesce(1), str(tmp_path / "csv"))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).count() == 2
