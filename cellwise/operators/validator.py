@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions.text import let
+from cellwise.session import with_columns
 from cellwise.sources.readers import RECORD
 
 CHECKS = ("schema_valid", "cells_exist", "answer_correct", "numeric_comparisons_correct", "threshold_satisfaction", "relevance", "pareto_frontier_correct", "empty_result_consistency", "difficulty_tag_present")
@@ -124,7 +125,7 @@ def validate(records: DataFrame, key: str) -> DataFrame:
     }
     out = seven.select(F.col("_key").alias(key), F.col("_shape").alias("schema_valid"), *((F.col("_shape") & _no(c)).alias(n) for n, c in checks.items()))
     failed = F.array_compact(F.array(*(F.when(~F.col(n), F.lit(n)) for n in CHECKS)))
-    return out.withColumn("failed", failed).withColumn("valid", F.size("failed") == 0)
+    return with_columns(out, failed=failed).withColumn("valid", F.size("failed") == 0)
 
 
 def validate_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
