@@ -90,8 +90,7 @@ def p4_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "split_targets").select(F.col("split_name").alias("split"), F.col("share").alias("target"))
     near = targets.join(x.groupBy("split").agg(F.count("*").alias("n")), "split", "left").agg(F.sum("n").alias("n_records"), F.collect_list(F.struct("n", "target")).alias("all"))
     near = near.select("n_records", F.forall("all", lambda s: F.abs(s["n"] / F.col("n_records") - s["target"]) <= 0.02).alias("near_targets"))
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(near).join(one(broken("base_table")), "_one").join(one(broken("entity")), "_one").drop("_one")
+    return near.withColumns({f"n_broken_{c}": broken(c).scalar() for c in ("base_table", "entity")})
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
