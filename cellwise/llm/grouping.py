@@ -36,7 +36,13 @@ def links(records: DataFrame, id_col: str, table_col: str, entity_col: str, stra
     """``rec_id``, ``base_table``, ``entity``, ``stratum``, ``split`` of each record: the edges of the graph."""
     clean = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     entity = F.regexp_replace(F.col(entity_col), r"(?U)^\s+|\s+$", "")
-    return records.select(F.col(id_col).alias("rec_id"), base_table(F.col(table_col)).alias("base_table"), F.when(entity != "", entity).alias("entity"), F.coalesce(clean(F.col(stratum_col)), F.lit("(none)")).alias("stratum"), F.when(clean(F.col(split_col)) != "", clean(F.col(split_col))).alias("split"))
+    return records.select(
+        F.col(id_col).alias("rec_id"),
+        base_table(F.col(table_col)).alias("base_table"),
+        F.when(entity != "", entity).alias("entity"),
+        F.coalesce(clean(F.col(stratum_col)), F.lit("(none)")).alias("stratum"),
+        F.when(clean(F.col(split_col)) != "", clean(F.col(split_col))).alias("split")
+    )
 
 
 def _nodes() -> tuple[Column, Column]:
@@ -55,13 +61,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = both.select("node", F.col("node").alias("label")).distinct()
     before = None
     for _ in range(max_rounds):
-        reach = salted_join(both, labels.withColumnRenamed("node", "near"), "near", F.col("node"), hot=hubs).groupBy("node").agg(F.min("label").alias("low"))
+        reach = salted_join(
+            both,
+            labels.withColumnRenamed("node", "near"),
+            "near",
+            F.col("node"),
+            hot=hubs
+        ).groupBy("node").agg(F.min("label").alias("low"))
         seen = labels.join(reach, "node")
         # what a node sees goes to the node and to the entity whose label it carries, so that whole trees are hung over
         lower = seen.select("node", "low").unionAll(seen.select(F.col("label").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
         hung = materialize(labels.join(lower, "node").select("node", "label", F.least("label", "low").alias("new")), "labels")
         ahead = hung.select(F.col("node").alias("new"), F.col("new").alias("jump"))
-        jumped = materialize(salted_join(hung, ahead, "new", F.col("node"), "left").select("node", "label", F.least("new", F.coalesce("jump", "new")).alias("new")), "labels")
+        jumped = materialize(
+            salted_join(hung, ahead, "new", F.col("node"), "left").select("node", "label", F.least("new", F.coalesce("jump", "new")).alias("new")),
+            "labels"
+        )
         for old in (hung, before):
             if old is not None:
                 discard(old)
@@ -88,7 +103,10 @@ def broken_tables(recs: DataFrame) -> DataFrame:
     each base table is looked at. A null split is no split; a null table is no case. Everything is pre-aggregated by
     component and table, so that a table with a third of all rows moves no more than any other.
     """
-    per = recs.where("base_table is not null and delivered is not null").groupBy("component", "base_table").agg(F.min("delivered").alias("low"), F.max("delivered").alias("high"))
+    per = recs.where("base_table is not null and delivered is not null").groupBy("component", "base_table").agg(
+        F.min("delivered").alias("low"),
+        F.max("delivered").alias("high")
+    )
     mixed = per.groupBy("component").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low <> _high").select("component")
     return per.where("low <> high").join(mixed, "component", "left_semi").select("base_table").distinct()
 
@@ -115,10 +133,17 @@ def assign(recs: DataFrame, targets: DataFrame) -> DataFrame:
     strata = {r["stratum"]: r["n"] for r in often}
     sized = recs
     if len(strata) == STRATA and sum(strata.values()) < total:
-        sized = recs.join(F.broadcast(recs.sparkSession.createDataFrame([(k, True) for k in strata], "stratum string, _often boolean")), "stratum", "left").withColumn("stratum", F.when(F.col("_often"), F.col("stratum")).otherwise("(other)"))
+        sized = recs.join(
+            F.broadcast(recs.sparkSession.createDataFrame([(k, True) for k in strata], "stratum string, _often boolean")),
+            "stratum",
+            "left"
+        ).withColumn("stratum", F.when(F.col("_often"), F.col("stratum")).otherwise("(other)"))
         strata["(other)"] = total - sum(n for k, n in strata.items() if k != "(other)")
     sizes = sized.groupBy("component", "stratum").agg(F.count("*").alias("n"))
-    per = materialize(sizes.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("by"), F.sum("n").alias("n")), "components")
+    per = materialize(
+        sizes.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "n"))).alias("by"), F.sum("n").alias("n")),
+        "components"
+    )
     names = sorted(strata)
     goal = targets.where("split_name is not null and share > 0").groupBy("split_name").agg(F.sum("share").alias("share")).orderBy(F.desc("share"), "split_name").collect()
     splits = [r["split_name"] for r in goal]
@@ -147,10 +172,20 @@ def assign(recs: DataFrame, targets: DataFrame) -> DataFrame:
     rest = small.select("component", "by", F.pmod(F.xxhash64("component"), F.lit(blocks)).alias("block")).groupBy("block").applyInPandas(run, schema)
     plain = recs.select("rec_id", "component", "stratum")
     # large components meet a broadcast list; none of the others is hot
-    return plain.join(first, "component").unionByName(plain.join(first, "component", "left_anti").join(rest, "component")).select("rec_id", "component", "stratum", "split")
-
-
-def grouped_splits(records: DataFrame, targets: DataFrame, id_col: str, table_col: str, entity_col: str, stratum_col: str, split_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return plain.join(first, "component").unionByName(
+        plain.join(first, "component", "left_anti").join(rest, "component")
+    ).select("rec_id", "component", "stratum", "split")
+
+
+def grouped_splits(
+    records: DataFrame,
+    targets: DataFrame,
+    id_col: str,
+    table_col: str,
+    entity_col: str,
+    stratum_col: str,
+    split_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every record with its new split, a report by split and stratum, and the base tables that the delivered split breaks.
 
     Records of one base table or one entity, and all that these connect, come out in one split. A record without both
@@ -163,5 +198,12 @@ def grouped_splits(records: DataFrame, targets: DataFrame, id_col: str, table_co
     wanted = wanted.withColumn("all", F.expr("sum(share) over ()")).select("split", (F.col("share") / F.col("all")).alias("target_share"))
     per = assigned.groupBy("split", "stratum").agg(F.count("*").alias("n_records"))
     whole = per.groupBy("stratum").agg(F.sum("n_records").alias("n_stratum"))
-    report = per.join(whole, "stratum").join(F.broadcast(wanted), "split").select("split", "stratum", "n_records", F.round(F.col("n_records") / F.col("n_stratum"), 6).alias("share"), F.round("target_share", 6).alias("target_share"), F.round(F.col("n_records") / F.col("n_stratum") - F.col("target_share"), 6).alias("deviation"))
+    report = per.join(whole, "stratum").join(F.broadcast(wanted), "split").select(
+        "split",
+        "stratum",
+        "n_records",
+        F.round(F.col("n_records") / F.col("n_stratum"), 6).alias("share"),
+        F.round("target_share", 6).alias("target_share"),
+        F.round(F.col("n_records") / F.col("n_stratum") - F.col("target_share"), 6).alias("deviation")
+    )
     return assigned, report, broken_tables(recs)

@@ -178,12 +178,20 @@ def passage_seeds(passages: DataFrame) -> DataFrame:
     found = passages.select("passage_id", "passage").mapInArrow(run, "seed bigint, passage_id bigint, place int, n_words int")
     counted = found.join(found.groupBy("seed").agg(F.count("*").alias("n")), "seed")
     own = Window.partitionBy("passage_id")
-    ranked = counted.withColumn("rank", F.row_number().over(own.orderBy("n", F.xxhash64("seed")))).withColumn("least", F.ceil(SEEDED * F.count("*").over(own)))
+    ranked = counted.withColumn(
+        "rank",
+        F.row_number().over(own.orderBy("n", F.xxhash64("seed")))
+    ).withColumn("least", F.ceil(SEEDED * F.count("*").over(own)))
     kept = ranked.where(f"n <= {RARE} or rank <= least")
     return kept.select("seed", "passage_id", "place", "n_words", F.least(F.lit(SEEDS), F.count("*").over(own)).cast("int").alias("need"))
 
 
-def _stretches(s: dict[str, np.ndarray], doc: np.ndarray, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int, list[int]]]]:
+def _stretches(
+    s: dict[str, np.ndarray],
+    doc: np.ndarray,
+    at: np.ndarray,
+    seed: np.ndarray
+) -> tuple[np.ndarray, list[tuple[int, int, int, int, list[int]]]]:
     """Of seed hits (document, place in it, number of the seed): the stretches that hold enough seeds of one passage.
 
     Returns which hits stand in one, and document, passage, begin, end and seeds of each stretch. A hit counts where the
@@ -221,7 +229,9 @@ def candidates(documents: DataFrame, seeds: dict[str, np.ndarray]) -> DataFrame:
     Besides, rows with ``lone`` alone set: for each seed by its number (``seeds``) how often it stands outside any candidate.
     """
     shared = documents.sparkSession.sparkContext.broadcast(seeds)
-    out = pa.schema([("doc_id", pa.int64()), ("passage_id", pa.int64()), ("stretch", pa.string()), ("seeds", pa.list_(pa.int32())), ("lone", pa.int64())])
+    out = pa.schema(
+        [("doc_id", pa.int64()), ("passage_id", pa.int64()), ("stretch", pa.string()), ("seeds", pa.list_(pa.int32())), ("lone", pa.int64())]
+    )
     rows = lambda r: pa.RecordBatch.from_arrays([pa.array([x[k] for x in r], f.type) for k, f in enumerate(out)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,10 +295,22 @@ def _block(docs: DataFrame, seeds: DataFrame, passages: DataFrame) -> DataFrame:
                     rows.append((doc, key, len(p), kept, changed))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
 
-    return found.where("lone is null").select("doc_id", "passage_id", "stretch", "seeds").mapInArrow(run, "doc_id bigint, passage_id bigint, n_words int, kept int, changed int")
-
-
-def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", *, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    return found.where("lone is null").select("doc_id", "passage_id", "stretch", "seeds").mapInArrow(
+        run,
+        "doc_id bigint, passage_id bigint, n_words int, kept int, changed int"
+    )
+
+
+def leaks(
+    documents: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    passage_col: str = "passage",
+    *,
+    block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_words``, ``kept``, ``changed``: every document with at least COVERED of an item's passage.
 
     Null and empty texts and passages, and passages shorter than a seed, match nothing. Copies of a document are found
@@ -296,8 +318,14 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     the alignment takes the stretch around the seeds. A passage longer than a block is a block of its own. Other columns
     aren't read. The seeds and the candidates are found when the plan is built.
     """
-    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    tests = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(passage_col).alias("passage")).where("item_id is not null and passage is not null")
+    docs = documents.select(
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.col(text_col).alias("text")
+    ).where("doc_id is not null and text is not null")
+    tests = items.select(
+        F.col(item_col).cast("bigint").alias("item_id"),
+        F.col(passage_col).alias("passage")
+    ).where("item_id is not null and passage is not null")
     tests = materialize(distinct_passages(tests, "item_id", "passage"), "items")
     passages = tests.groupBy("passage_id").agg(F.min("passage").alias("passage"))  # one for all its copies
     seeds = materialize(passage_seeds(passages), "seeds")

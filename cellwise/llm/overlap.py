@@ -96,7 +96,17 @@ def cuts(h: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def normalised(records: DataFrame, id_col: str, question: str, headers: str, grid: str, side: str) -> DataFrame:
     """``rec_id``, ``side``, ``question`` and ``content`` (digests of what is asked and of all numbers), ``numbers`` (their digests in order), ``chunks``, ``lengths``."""
-    out = pa.schema([("rec_id", pa.int64()), ("side", pa.string()), ("question", pa.int64()), ("content", pa.int64()), ("numbers", pa.list_(pa.int64())), ("chunks", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
+    out = pa.schema(
+        [
+            ("rec_id", pa.int64()),
+            ("side", pa.string()),
+            ("question", pa.int64()),
+            ("content", pa.int64()),
+            ("numbers", pa.list_(pa.int64())),
+            ("chunks", pa.list_(pa.int64())),
+            ("lengths", pa.list_(pa.int32()))
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,29 +139,74 @@ def normalised(records: DataFrame, id_col: str, question: str, headers: str, gri
             order = np.argsort(who, kind="stable")
             at = pa.array(np.r_[0, np.cumsum(np.bincount(who, minlength=n))], pa.int32())
             lists = lambda offset, values: pa.ListArray.from_arrays(offset, pa.array(values))
-            columns = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(asked.view(np.int64)), pa.array(content.view(np.int64))]
-            columns += [lists(pa.array(offsets, pa.int32()), h.view(np.int64)), lists(at, key[order].view(np.int64)), lists(at, size[order].astype(np.int32))]
+            columns = [
+                batch.column(0).cast(pa.int64()),
+                batch.column(1).cast(pa.string()),
+                pa.array(asked.view(np.int64)),
+                pa.array(content.view(np.int64))
+            ]
+            columns += [
+                lists(pa.array(offsets, pa.int32()), h.view(np.int64)),
+                lists(at, key[order].view(np.int64)),
+                lists(at, size[order].astype(np.int32))
+            ]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    chosen = records.select(F.col(id_col).alias("rec_id"), F.col(side).alias("side"), F.col(question).alias("q"), F.col(headers).alias("headers"), F.col(grid).alias("grid")).where("side is not null")
-    return chosen.mapInArrow(run, "rec_id bigint, side string, question bigint, content bigint, numbers array<bigint>, chunks array<bigint>, lengths array<int>")
-
-
-def class_pairs(records: DataFrame, id_col: str, question: str, headers: str, grid: str, split: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> tuple[DataFrame, DataFrame]:
+    chosen = records.select(
+        F.col(id_col).alias("rec_id"),
+        F.col(side).alias("side"),
+        F.col(question).alias("q"),
+        F.col(headers).alias("headers"),
+        F.col(grid).alias("grid")
+    ).where("side is not null")
+    return chosen.mapInArrow(
+        run,
+        "rec_id bigint, side string, question bigint, content bigint, numbers array<bigint>, chunks array<bigint>, lengths array<int>"
+    )
+
+
+def class_pairs(
+    records: DataFrame,
+    id_col: str,
+    question: str,
+    headers: str,
+    grid: str,
+    split: str,
+    train: tuple[str, ...] = ("train",),
+    held_out: tuple[str, ...] = ("dev", "test")
+) -> tuple[DataFrame, DataFrame]:
     """The records' classes (``rec_id``, ``side``, ``question``, ``content``) and the overlapping pairs of classes.
 
     A pair has ``question``, ``train_class``, ``held_class``, ``chunk_overlap``, ``agreement`` (null where the chunks
     decided). The normalised records are written when the plan is built.
     """
     lower = F.lower(F.regexp_replace(F.col(split), r"^\s+|\s+$", ""))
-    sided = records.withColumn("_side", F.when(lower.isin(*train, *held_out), lower)).select(F.col(id_col).alias("_id"), F.col(question).alias("_q"), F.col(headers).alias("_h"), F.col(grid).alias("_g"), "_side")
+    sided = records.withColumn("_side", F.when(lower.isin(*train, *held_out), lower)).select(
+        F.col(id_col).alias("_id"),
+        F.col(question).alias("_q"),
+        F.col(headers).alias("_h"),
+        F.col(grid).alias("_g"),
+        "_side"
+    )
     recs = materialize(normalised(sided, "_id", "_q", "_h", "_g", "_side"), "records")
     is_train = F.col("side").isin(*train)
     flags = [F.max(is_train.cast("int")).alias("t"), F.max((~is_train).cast("int")).alias("e")]
     both = recs.groupBy("question").agg(*flags).where("t = 1 and e = 1").select("question")
     kept = recs.join(both, "question", "left_semi")
-    classes = kept.groupBy("question", "content").agg(*flags, F.first(F.size("numbers")).alias("n"), *(F.first(c).alias(c) for c in ("chunks", "lengths")))
-    chunks = classes.select("question", "content", "t", "e", "n", F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("question", "content", "t", "e", "n", F.col("c.chunks").alias("chunk"), F.col("c.lengths").alias("length"))
+    classes = kept.groupBy("question", "content").agg(
+        *flags,
+        F.first(F.size("numbers")).alias("n"),
+        *(F.first(c).alias(c) for c in ("chunks", "lengths"))
+    )
+    chunks = classes.select("question", "content", "t", "e", "n", F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select(
+        "question",
+        "content",
+        "t",
+        "e",
+        "n",
+        F.col("c.chunks").alias("chunk"),
+        F.col("c.lengths").alias("length")
+    )
     a = chunks.where("t = 1").select("chunk", "question", F.col("content").alias("train_class"), F.col("n").alias("n_a"), "length")
     b = chunks.where("e = 1").select("chunk", F.col("question").alias("q"), F.col("content").alias("held_class"), F.col("n").alias("n_b"))
     near = a.join(b, "chunk").where(f"question = q and least(n_a, n_b) >= {AGREEMENT} * greatest(n_a, n_b)")
@@ -161,8 +216,14 @@ def class_pairs(records: DataFrame, id_col: str, question: str, headers: str, gr
     decided = pairs.where(f"chunk_overlap >= {AGREEMENT}").withColumn("agreement", F.lit(None).cast("double"))
     # the numbers of the undecided classes alone are moved
     open_ = pairs.where(f"chunk_overlap < {AGREEMENT}")
-    ids = open_.select("question", F.col("train_class").alias("content")).unionAll(open_.select("question", F.col("held_class").alias("content"))).distinct()
-    numbers = recs.select("question", "content", "numbers").join(ids, ["question", "content"], "left_semi").groupBy("question", "content").agg(F.first("numbers").alias("numbers"))
+    ids = open_.select("question", F.col("train_class").alias("content")).unionAll(
+        open_.select("question", F.col("held_class").alias("content"))
+    ).distinct()
+    numbers = recs.select("question", "content", "numbers").join(
+        ids,
+        ["question", "content"],
+        "left_semi"
+    ).groupBy("question", "content").agg(F.first("numbers").alias("numbers"))
     exact = (
         open_.join(numbers.select("question", F.col("content").alias("train_class"), F.col("numbers").alias("x")), ["question", "train_class"])
         .join(numbers.select("question", F.col("content").alias("held_class"), F.col("numbers").alias("y")), ["question", "held_class"])
@@ -172,7 +233,16 @@ def class_pairs(records: DataFrame, id_col: str, question: str, headers: str, gr
     return recs.select("rec_id", "side", "question", "content"), decided.select(*cols).unionAll(exact.select(*cols))
 
 
-def overlaps(records: DataFrame, id_col: str, question: str, headers: str, grid: str, split: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+def overlaps(
+    records: DataFrame,
+    id_col: str,
+    question: str,
+    headers: str,
+    grid: str,
+    split: str,
+    train: tuple[str, ...] = ("train",),
+    held_out: tuple[str, ...] = ("dev", "test")
+) -> DataFrame:
     """``rec_id_a`` < ``rec_id_b``, ``train_id``, ``held_out_id``, ``split``, ``chunk_overlap``, ``agreement`` of each overlapping pair.
 
     ``split`` is read without regard to case and surrounding blanks; other splits and null take no part. A null question
@@ -182,14 +252,36 @@ def overlaps(records: DataFrame, id_col: str, question: str, headers: str, grid:
     """
     recs, pairs = class_pairs(records, id_col, question, headers, grid, split, train, held_out)
     is_train = F.col("side").isin(*train)
-    member = lambda who, c, name: recs.where(who).select(F.col("rec_id").alias(name), F.col("question").alias(f"q_{c}"), F.col("content").alias(c), *(["side"] if c == "held_class" else []))
+    member = lambda who, c, name: recs.where(who).select(
+        F.col("rec_id").alias(name),
+        F.col("question").alias(f"q_{c}"),
+        F.col("content").alias(c),
+        *(["side"] if c == "held_class" else [])
+    )
     held = salted_join(member(~is_train, "held_class", "held_out_id"), pairs, "held_class", F.col("held_out_id")).where("question = q_held_class")
     held = materialize(held.drop("q_held_class"), "held")  # read twice, for its hot classes and for the join
     found = salted_join(held, member(is_train, "train_class", "train_id"), "train_class", F.col("held_out_id")).where("question = q_train_class")
-    return found.select(F.least("train_id", "held_out_id").alias("rec_id_a"), F.greatest("train_id", "held_out_id").alias("rec_id_b"), "train_id", "held_out_id", F.col("side").alias("split"), "chunk_overlap", "agreement")
-
-
-def linked_classes(records: DataFrame, id_col: str, question: str, headers: str, grid: str, split: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+    return found.select(
+        F.least("train_id", "held_out_id").alias("rec_id_a"),
+        F.greatest("train_id", "held_out_id").alias("rec_id_b"),
+        "train_id",
+        "held_out_id",
+        F.col("side").alias("split"),
+        "chunk_overlap",
+        "agreement"
+    )
+
+
+def linked_classes(
+    records: DataFrame,
+    id_col: str,
+    question: str,
+    headers: str,
+    grid: str,
+    split: str,
+    train: tuple[str, ...] = ("train",),
+    held_out: tuple[str, ...] = ("dev", "test")
+) -> DataFrame:
     """``rec_id``, ``class_id``, ``n_links`` of every record of a known split: its class and how many records of the other side it overlaps.
 
     Nothing is expanded to pairs of records, so that copies cost no more than one row each.
@@ -197,21 +289,57 @@ def linked_classes(records: DataFrame, id_col: str, question: str, headers: str,
     recs, pairs = class_pairs(records, id_col, question, headers, grid, split, train, held_out)
     is_train = F.col("side").isin(*train)
     sizes = recs.groupBy("question", "content").agg(F.count_if(is_train).alias("n_train"), F.count_if(~is_train).alias("n_held"))
-    count = lambda mine, other, n: pairs.join(sizes.select("question", F.col("content").alias(other), n), ["question", other]).groupBy("question", F.col(mine).alias("content")).agg(F.sum(n).alias(f"links_{n}"))
-    per = sizes.join(count("train_class", "held_class", "n_held"), ["question", "content"], "left").join(count("held_class", "train_class", "n_train"), ["question", "content"], "left")
+    count = lambda mine, other, n: pairs.join(
+        sizes.select("question", F.col("content").alias(other), n),
+        ["question", other]
+    ).groupBy("question", F.col(mine).alias("content")).agg(F.sum(n).alias(f"links_{n}"))
+    per = sizes.join(count("train_class", "held_class", "n_held"), ["question", "content"], "left").join(
+        count("held_class", "train_class", "n_train"),
+        ["question", "content"],
+        "left"
+    )
     per = per.select(F.col("question").alias("q"), "content", "links_n_held", "links_n_train")
     labelled = salted_join(recs, per, "content", F.col("rec_id")).where("question = q")
-    return labelled.select("rec_id", F.xxhash64("question", "content").alias("class_id"), F.coalesce(F.when(is_train, F.col("links_n_held")).otherwise(F.col("links_n_train")), F.lit(0)).alias("n_links"))
-
-
-def report(records: DataFrame, id_col: str, question: str, headers: str, grid: str, split: str, source: str, train: tuple[str, ...] = ("train",), held_out: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+    return labelled.select(
+        "rec_id",
+        F.xxhash64("question", "content").alias("class_id"),
+        F.coalesce(F.when(is_train, F.col("links_n_held")).otherwise(F.col("links_n_train")), F.lit(0)).alias("n_links")
+    )
+
+
+def report(
+    records: DataFrame,
+    id_col: str,
+    question: str,
+    headers: str,
+    grid: str,
+    split: str,
+    source: str,
+    train: tuple[str, ...] = ("train",),
+    held_out: tuple[str, ...] = ("dev", "test")
+) -> DataFrame:
     """Per evaluation split and source of the held-out record: pairs, held-out records and train records concerned, from class counts alone."""
     recs, pairs = class_pairs(records, id_col, question, headers, grid, split, train, held_out)
     is_train = F.col("side").isin(*train)
     names = records.select(F.col(id_col).alias("rec_id"), F.coalesce(F.col(source), F.lit("(none)")).alias("source"))
-    held = recs.where(~is_train).join(names, "rec_id").groupBy("question", F.col("content").alias("held_class"), F.col("side").alias("split"), "source").agg(F.count("*").alias("n_h"))
+    held = recs.where(~is_train).join(names, "rec_id").groupBy(
+        "question",
+        F.col("content").alias("held_class"),
+        F.col("side").alias("split"),
+        "source"
+    ).agg(F.count("*").alias("n_h"))
     own = recs.where(is_train).groupBy("question", F.col("content").alias("train_class")).agg(F.count("*").alias("n_t"))
     linked = pairs.join(held, ["question", "held_class"]).join(own, ["question", "train_class"])
-    per = linked.groupBy("split", "source").agg(F.sum(F.col("n_h") * F.col("n_t")).alias("n_pairs"), F.round(F.sum(F.col("chunk_overlap") * F.col("n_h") * F.col("n_t")) / F.sum(F.col("n_h") * F.col("n_t")), 4).alias("mean_chunk_overlap"))
+    per = linked.groupBy("split", "source").agg(
+        F.sum(F.col("n_h") * F.col("n_t")).alias("n_pairs"),
+        F.round(F.sum(F.col("chunk_overlap") * F.col("n_h") * F.col("n_t")) / F.sum(F.col("n_h") * F.col("n_t")), 4).alias("mean_chunk_overlap")
+    )
     once = lambda c, n, name: linked.select("split", "source", "question", c, n).distinct().groupBy("split", "source").agg(F.sum(n).alias(name))
-    return per.join(once("held_class", "n_h", "n_held_out"), ["split", "source"]).join(once("train_class", "n_t", "n_train"), ["split", "source"]).select("split", "source", "n_pairs", "n_held_out", "n_train", "mean_chunk_overlap")
+    return per.join(once("held_class", "n_h", "n_held_out"), ["split", "source"]).join(once("train_class", "n_t", "n_train"), ["split", "source"]).select(
+        "split",
+        "source",
+        "n_pairs",
+        "n_held_out",
+        "n_train",
+        "mean_chunk_overlap"
+    )

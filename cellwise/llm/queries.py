@@ -64,7 +64,15 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p4(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return grouping.grouped_splits(table(spark, sf_dir, "realtable_eval_verified"), table(spark, sf_dir, "split_targets"), "rec_id", "table_id", "metadata.source.uid", "question_type", "split")
+    return grouping.grouped_splits(
+        table(spark, sf_dir, "realtable_eval_verified"),
+        table(spark, sf_dir, "split_targets"),
+        "rec_id",
+        "table_id",
+        "metadata.source.uid",
+        "question_type",
+        "split"
+    )
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +94,14 @@ def p4_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "realtable_eval_verified")
     edges = grouping.links(records, "rec_id", "table_id", "metadata.source.uid", "question_type", "split").select("rec_id", "base_table", "entity")
     x = edges.join(assigned.select("rec_id", "split"), "rec_id")
-    broken = lambda c: x.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias(f"n_broken_{c}"))
+    broken = lambda c: x.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(
+        F.count_if(F.col("a") != F.col("b")).alias(f"n_broken_{c}")
+    )
     targets = table(spark, sf_dir, "split_targets").select(F.col("split_name").alias("split"), F.col("share").alias("target"))
-    near = targets.join(x.groupBy("split").agg(F.count("*").alias("n")), "split", "left").agg(F.sum("n").alias("n_records"), F.collect_list(F.struct("n", "target")).alias("all"))
+    near = targets.join(x.groupBy("split").agg(F.count("*").alias("n")), "split", "left").agg(
+        F.sum("n").alias("n_records"),
+        F.collect_list(F.struct("n", "target")).alias("all")
+    )
     near = near.select("n_records", F.forall("all", lambda s: F.abs(s["n"] / F.col("n_records") - s["target"]) <= 0.02).alias("near_targets"))
     return near.withColumns({f"n_broken_{c}": broken(c).scalar() for c in ("base_table", "entity")})
 
@@ -109,7 +122,10 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the mean of their median word grades by band and source."""
     docs = table(spark, sf_dir, "documents")
     levels = reading.levels(docs, table(spark, sf_dir, "reading_ratings"))
-    return levels.join(docs.select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source")), "doc_id").groupBy("band", "source").agg(F.count("*").alias("n_docs"), F.round(F.avg("median_grade"), 4).alias("mean_word_grade"))
+    return levels.join(docs.select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source")), "doc_id").groupBy("band", "source").agg(
+        F.count("*").alias("n_docs"),
+        F.round(F.avg("median_grade"), 4).alias("mean_word_grade")
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -108,10 +108,20 @@ class Discriminant:
 def graded_documents(documents: DataFrame, ratings: DataFrame, id_col: str, text_col: str, grade_col: str, *, sample: int) -> DataFrame:
     """``doc_id``, ``grade`` (the lower median of its grades; repeated ratings and ratings without grade aside) and ``text`` of the graded documents that fit the model."""
     keys = [c for c in ("rater",) if c in ratings.columns]
-    rated = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade"), *keys).where("grade is not null and doc_id is not null").distinct()
-    by_doc = rated.groupBy("doc_id").agg(F.sort_array(F.collect_list("grade")).alias("g")).select("doc_id", F.expr("g[cast((size(g) - 1) div 2 as int)]").alias("grade"))
+    rated = ratings.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(grade_col).cast("int").alias("grade"),
+        *keys
+    ).where("grade is not null and doc_id is not null").distinct()
+    by_doc = rated.groupBy("doc_id").agg(F.sort_array(F.collect_list("grade")).alias("g")).select(
+        "doc_id",
+        F.expr("g[cast((size(g) - 1) div 2 as int)]").alias("grade")
+    )
     chosen = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    return documents.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).alias("text")
+    ).where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
 
 
 def fit(graded: DataFrame) -> tuple[dict[str, float], Discriminant] | None:
@@ -154,7 +164,15 @@ def fit(graded: DataFrame) -> tuple[dict[str, float], Discriminant] | None:
     return grades, Discriminant(np.column_stack([rows.column(n).to_numpy() for n in names]), rows.column("grade").to_numpy())
 
 
-def levels(documents: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", *, sample: int = GRADED_SAMPLE) -> DataFrame:
+def levels(
+    documents: DataFrame,
+    ratings: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    grade_col: str = "grade",
+    *,
+    sample: int = GRADED_SAMPLE
+) -> DataFrame:
     """``doc_id``, ``band``, ``median_grade``, ``known_share`` of every document with running English prose.
 
     Null, blank, stub, table-only and non-English texts give no row, whatever any language column says; texts none of
@@ -182,6 +200,9 @@ def levels(documents: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
                     share.append(len(known) / len(words))
             f = np.array(x).reshape(len(ids), len(QUANTILES) + 1)
             band = discriminant.predict(f) if ids else []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(np.round(f[:, 2], 6)), pa.array(np.round(share, 6), pa.float64())], schema=out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(np.round(f[:, 2], 6)), pa.array(np.round(share, 6), pa.float64())],
+                schema=out
+            )
 
     return documents.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, schema)

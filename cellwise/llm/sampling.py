@@ -108,7 +108,11 @@ def frame(cards: DataFrame, keys: DataFrame, targets: DataFrame, id_col: str, la
     name counts. Cards without category, without key or of categories nobody asked for are no units. The sample has a
     quarter of all units; a category needs the larger of its minimum and its share.
     """
-    wanted = targets.select(category_of(F.col("category")).alias("category"), F.col("share_pct").cast("double").alias("share_pct"), F.col("min_cards").cast("bigint").alias("min_cards")).where("category is not null")
+    wanted = targets.select(
+        category_of(F.col("category")).alias("category"),
+        F.col("share_pct").cast("double").alias("share_pct"),
+        F.col("min_cards").cast("bigint").alias("min_cards")
+    ).where("category is not null")
     units = (
         cards.select(F.col(id_col).alias("unit"), category_of(F.col(label_col)).alias("category")).where("unit is not null and category is not null")
         .join(F.broadcast(wanted.select("category")), "category", "left_semi")
@@ -120,7 +124,14 @@ def frame(cards: DataFrame, keys: DataFrame, targets: DataFrame, id_col: str, la
     n_sample = units.agg(F.floor(F.count("*") / 4)).scalar()  # a subquery of one number
     need = (
         wanted.withColumn("n_sample", n_sample).join(by, "category", "left")
-        .select("category", "share_pct", "min_cards", "n_sample", F.coalesce("n_available", F.lit(0)).cast("bigint").alias("n_available"), F.greatest(F.col("min_cards"), F.floor(F.col("n_sample") * F.col("share_pct") / 100 + 1e-9)).cast("bigint").alias("n_needed"))
+        .select(
+            "category",
+            "share_pct",
+            "min_cards",
+            "n_sample",
+            F.coalesce("n_available", F.lit(0)).cast("bigint").alias("n_available"),
+            F.greatest(F.col("min_cards"), F.floor(F.col("n_sample") * F.col("share_pct") / 100 + 1e-9)).cast("bigint").alias("n_needed")
+        )
     )
     return units, need
 
@@ -159,7 +170,10 @@ def cube_sample(units: DataFrame, need: DataFrame, seed: int = 7) -> DataFrame:
         rest = flown.where("not done").select("unit", "category", "p")
         blocks = -(-blocks // FAN_IN)
         last = blocks == 1
-        flown = materialize((rest.coalesce(1) if last else rest.repartition(blocks, F.xxhash64("unit"))).mapInPandas(fly(last, level), schema), "flight")
+        flown = materialize(
+            (rest.coalesce(1) if last else rest.repartition(blocks, F.xxhash64("unit"))).mapInPandas(fly(last, level), schema),
+            "flight"
+        )
         drawn.append(flown.where("done and p > 0.5"))
         if last:
             break
@@ -170,7 +184,14 @@ def cube_sample(units: DataFrame, need: DataFrame, seed: int = 7) -> DataFrame:
     return out.select("unit", "category")
 
 
-def balanced_sample(cards: DataFrame, keys: DataFrame, targets: DataFrame, id_col: str = "card_id", label_col: str = "type", seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def balanced_sample(
+    cards: DataFrame,
+    keys: DataFrame,
+    targets: DataFrame,
+    id_col: str = "card_id",
+    label_col: str = "type",
+    seed: int = 7
+) -> tuple[DataFrame, DataFrame]:
     """The sample (``unit``, ``category``), and a report per target category.
 
     The report has the units ``n_available``, ``n_needed`` and ``n_drawn``, the ``residual`` (drawn less needed) and

@@ -119,7 +119,9 @@ def judge(text: str | None) -> tuple[int, int]:
 
 def endings(answers: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """``id``, ``source``, ``text_hash``, ``verdict`` and the four lengths of each text."""
-    out = pa.schema([("id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("verdict", pa.int32()), *((u, pa.int64()) for u in UNITS)])
+    out = pa.schema(
+        [("id", pa.int64()), ("source", pa.string()), ("text_hash", pa.int64()), ("verdict", pa.int32()), *((u, pa.int64()) for u in UNITS)]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +135,22 @@ def endings(answers: DataFrame, id_col: str, source_col: str, text_col: str) ->
                 else:
                     rows.append((verdict, len(t), len(t.encode()), core, len(t[:core].encode())))
             columns = list(zip(*rows)) if rows else [[] for _ in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2), *(pa.array(c, f.type) for c, f in zip(columns, list(out)[3:]))], schema=out)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).cast(pa.int64()),
+                    batch.column(1).cast(pa.string()),
+                    batch.column(2),
+                    *(pa.array(c, f.type) for c, f in zip(columns, list(out)[3:]))
+                ],
+                schema=out
+            )
 
-    source = answers.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    source = answers.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        F.xxhash64(text_col).alias("text_hash"),
+        F.col(text_col).alias("text")
+    )
     return source.mapInArrow(run, "id bigint, source string, text_hash bigint, verdict int, " + ", ".join(f"{u} bigint" for u in UNITS))
 
 
@@ -170,9 +185,15 @@ def length_limits(ends: DataFrame, reach: int = 12, fdr: float = 0.01, least: in
     after the counts were aggregated. A source of null is a source of its own. Where a source writes lengths on a lattice
     only, each point of it stands out from the gaps and can be significant.
     """
-    distinct = ends.where("text_hash is not null and chars is not null").groupBy("source", "text_hash").agg(F.max("verdict").alias("verdict"), *(F.min(u).alias(u) for u in UNITS))
+    distinct = ends.where("text_hash is not null and chars is not null").groupBy("source", "text_hash").agg(
+        F.max("verdict").alias("verdict"),
+        *(F.min(u).alias(u) for u in UNITS)
+    )
     units = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS))).alias("x")
-    counts = distinct.where("chars > 0").select("source", "verdict", units).select("source", "verdict", "x.*").groupBy("source", "unit", "length").agg(F.count("*").alias("n_any"), F.count_if(F.col("verdict") > COMPLETE).alias("n"))
+    counts = distinct.where("chars > 0").select("source", "verdict", units).select("source", "verdict", "x.*").groupBy("source", "unit", "length").agg(
+        F.count("*").alias("n_any"),
+        F.count_if(F.col("verdict") > COMPLETE).alias("n")
+    )
     by = Window.partitionBy("source", "unit")
     near = by.orderBy("length").rangeBetween(-reach, reach)
     beyond = by.orderBy("length").rangeBetween(reach + 1, Window.unboundedFollowing)
@@ -181,7 +202,10 @@ def length_limits(ends: DataFrame, reach: int = 12, fdr: float = 0.01, least: in
     tested = (
         counts.withColumn("at_risk", F.sum("n_any").over(by.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("near_n", F.sum("n").over(near) - F.col("n"))
-        .withColumn("near_risk", F.sum(F.col("n_any") * F.col("length")).over(near) - (low - 1) * F.sum("n_any").over(near) + span * F.coalesce(F.sum("n_any").over(beyond), F.lit(0)) - F.col("at_risk"))
+        .withColumn(
+            "near_risk",
+            F.sum(F.col("n_any") * F.col("length")).over(near) - (low - 1) * F.sum("n_any").over(near) + span * F.coalesce(F.sum("n_any").over(beyond), F.lit(0)) - F.col("at_risk")
+        )
         .withColumn("expected", F.col("at_risk") * (F.col("near_n") + 0.5) / (F.col("near_risk") + 1.0))
         .withColumn("p_value", _poisson_tail("n", "expected"))
     )
@@ -195,7 +219,15 @@ def length_limits(ends: DataFrame, reach: int = 12, fdr: float = 0.01, least: in
     )
 
 
-def truncated(answers: DataFrame, id_col: str, source_col: str, text_col: str, *, reach: int = 12, fdr: float = 0.01) -> tuple[DataFrame, DataFrame, DataFrame]:
+def truncated(
+    answers: DataFrame,
+    id_col: str,
+    source_col: str,
+    text_col: str,
+    *,
+    reach: int = 12,
+    fdr: float = 0.01
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The truncated texts (``id``, ``source``, ``at_limit``), the limits, and a report per source.
 
     Null, blank and stub texts are complete. Repeated rows are judged each for itself and count once for the limits. An
@@ -205,13 +237,34 @@ def truncated(answers: DataFrame, id_col: str, source_col: str, text_col: str, *
     limits = materialize(length_limits(ends, reach, fdr), "limits")
     pairs = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in UNITS))).alias("x")
     suspects = ends.where(f"verdict > {COMPLETE}")
-    at = suspects.select("id", "source", pairs).select("id", "source", "x.*").alias("s").join(limits.alias("l"), F.expr("s.source <=> l.source and s.unit = l.unit and s.length = l.length"), "left_semi").select("id").distinct()
-    cut = suspects.join(at.withColumn("at_limit", F.lit(True)), "id", "left").where(f"verdict = {INCOMPLETE} or at_limit").select("id", "source", F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
+    at = suspects.select("id", "source", pairs).select("id", "source", "x.*").alias("s").join(
+        limits.alias("l"),
+        F.expr("s.source <=> l.source and s.unit = l.unit and s.length = l.length"),
+        "left_semi"
+    ).select("id").distinct()
+    cut = suspects.join(at.withColumn("at_limit", F.lit(True)), "id", "left").where(f"verdict = {INCOMPLETE} or at_limit").select(
+        "id",
+        "source",
+        F.coalesce("at_limit", F.lit(False)).alias("at_limit")
+    )
     totals = ends.groupBy("source").agg(F.count("*").alias("n_texts"))
     lost = cut.groupBy("source").agg(F.count("*").alias("n_truncated"), F.sum(F.col("at_limit").cast("bigint")).alias("n_at_limit"))
-    lists = limits.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", F.col("length").cast("string"), "unit"))), ", ").alias("limits"))
+    lists = limits.groupBy("source").agg(
+        F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", F.col("length").cast("string"), "unit"))), ", ").alias("limits")
+    )
     report = (
-        totals.alias("t").join(lost.alias("c"), F.expr("t.source <=> c.source"), "left").join(lists.alias("m"), F.expr("t.source <=> m.source"), "left")
-        .select("t.source", "n_texts", F.coalesce("n_truncated", F.lit(0)).alias("n_truncated"), F.coalesce("n_at_limit", F.lit(0)).alias("n_at_limit"), F.round(F.coalesce("n_truncated", F.lit(0)) / F.col("n_texts"), 6).alias("share"), "limits")
+        totals.alias("t").join(lost.alias("c"), F.expr("t.source <=> c.source"), "left").join(
+            lists.alias("m"),
+            F.expr("t.source <=> m.source"),
+            "left"
+        )
+        .select(
+            "t.source",
+            "n_texts",
+            F.coalesce("n_truncated", F.lit(0)).alias("n_truncated"),
+            F.coalesce("n_at_limit", F.lit(0)).alias("n_at_limit"),
+            F.round(F.coalesce("n_truncated", F.lit(0)) / F.col("n_texts"), 6).alias("share"),
+            "limits"
+        )
     )
     return cut, limits, report

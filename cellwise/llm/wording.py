@@ -35,13 +35,17 @@ _TOKEN = re.compile(r"(?<!\w)[-(−]\s?[$€£¥]?\s?[-(]?\d[\d,]*(?:\.\d+)?|\d[
 _HIDDEN = re.compile("[​‌‍﻿­]")
 #: A bracketed number beside a word is a footnote mark.
 _REMARK = re.compile(r"(?<=[\w.]) ?[(\[]\d{1,2}[)\]](?=\W|$)")
-_TOTALS = re.compile(r"(?:exclud\w*|ignor\w*|omit\w*|disregard\w*|skip\w*|without|leav\w* out|not count\w*)[^.?!;]{0,40}?\b(?:sub)?totals?\b(?: (?:rows?|lines?|items?))?")
+_TOTALS = re.compile(
+    r"(?:exclud\w*|ignor\w*|omit\w*|disregard\w*|skip\w*|without|leav\w* out|not count\w*)[^.?!;]{0,40}?\b(?:sub)?totals?\b(?: (?:rows?|lines?|items?))?"
+)
 
 
 def slips(word: str) -> set[str]:
     """The forms that ``word`` takes by one letter left out, doubled or swapped with the next."""
     n = len(word)
-    return {word[:i] + word[i + 1 :] for i in range(n)} | {word[:i] + word[i] + word[i:] for i in range(n)} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(n - 1)}
+    return {word[:i] + word[i + 1 :] for i in range(n)} | {word[:i] + word[i] + word[i:] for i in range(n)} | {
+        word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(n - 1)
+    }
 
 
 _MENDED: dict[str, str] = {}
@@ -100,12 +104,22 @@ def find_labels(words: list[str], labels: Iterable[tuple[str, ...]]) -> list[tup
     used = [False] * n
     for b, e, _ in found:
         used[b:e] = [True] * (e - b)
-    odd = [i for i in range(n) if not used[i] and words[i][0].isalpha() and len(words[i]) > 2 and words[i] not in _LEXICON and words[i] not in _MENDED]
+    odd = [
+        i for i in range(n) if not used[i] and words[i][0].isalpha() and len(words[i]) > 2 and words[i] not in _LEXICON and words[i] not in _MENDED
+    ]
     if odd:
         known = [t for ts in by_first.values() for t in ts]
         for i in odd:
             for t in sorted(known, key=lambda t: (-len(t), t)):
-                b = next((b for b in range(max(0, i - len(t) + 1), min(i, n - len(t)) + 1) if not any(used[b : b + len(t)]) and all(map(_alike, words[b : b + len(t)], t))), None)
+                b = next(
+                    (
+                        b for b in range(
+                            max(0, i - len(t) + 1),
+                            min(i, n - len(t)) + 1
+                        ) if not any(used[b : b + len(t)]) and all(map(_alike, words[b : b + len(t)], t))
+                    ),
+                    None
+                )
                 if b is not None:
                     found.append((b, b + len(t), " ".join(t)))
                     used[b : b + len(t)] = [True] * len(t)
@@ -166,7 +180,10 @@ def signature(question: str | None, labels: Callable[[], Iterable[str | None]] =
         if op is None:
             continue
         ahead = at.get(i + 2) if i + 1 < len(mended) and mended[i + 1] in ("in", "of", "for", "on") else None
-        own = ahead or next((at[j] for j in range(i - 1, -1, -1) if j in at), None) or next((at[j] for j in range(i + 1, len(mended)) if j in at), None)
+        own = ahead or next((at[j] for j in range(i - 1, -1, -1) if j in at), None) or next(
+            (at[j] for j in range(i + 1, len(mended)) if j in at),
+            None
+        )
         first = own[1] if own and own[1] <= i else k
         sizes = [j for j in range(max(k, first), i) if mended[j] in _UP or mended[j] in _DOWN or mended[j] in _TOP or mended[j] in _BOTTOM]
         taken.update(sizes[-1:] if len(sizes) > 1 and mended[sizes[0]] in _TOP | _BOTTOM and mended[sizes[-1]] in _UP | _DOWN else sizes)
@@ -187,7 +204,9 @@ def signature(question: str | None, labels: Callable[[], Iterable[str | None]] =
     way = ["higher" if w in _TOP else "lower" for _, w in sizes if w in _TOP or w in _BOTTOM]
     way = way or ["higher" if w in _UP else "lower" for _, w in sizes if w in _UP or w in _DOWN]
     if not targets and way:  # a measure that its table doesn't have: the words that are none of the language's
-        free = [w for i, w in enumerate(mended) if w not in _LEXICON and w not in _SYMBOL and not any(b <= i < e for b, e in bound) and not (w[-1].isdigit() and conditions)]
+        free = [
+            w for i, w in enumerate(mended) if w not in _LEXICON and w not in _SYMBOL and not any(b <= i < e for b, e in bound) and not (w[-1].isdigit() and conditions)
+        ]
         targets = [" ".join(free)] if free else []
     if not targets and not conditions:
         return "words|" + " ".join(mended)

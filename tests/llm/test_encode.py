@@ -39,7 +39,16 @@ def test_words_join_to_the_text():
 
 def test_edge_cases(spark, reference):
     long = "many words of a very long text, " * 20_000
-    rows = [(1, None, "x"), (2, "", "x"), (3, "   ", "x"), (4, "<|endoftext|>", "x"), (5, long, "x"), (6, "twice", "x"), (7, "twice", "x"), (8, "a" * 20_000, "x")]
+    rows = [
+        (1, None, "x"),
+        (2, "", "x"),
+        (3, "   ", "x"),
+        (4, "<|endoftext|>", "x"),
+        (5, long, "x"),
+        (6, "twice", "x"),
+        (7, "twice", "x"),
+        (8, "a" * 20_000, "x")
+    ]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
     got = {r["doc_id"]: r["ids"] for r in encode.encode(docs, tokenizer_path()).collect()}
     assert got[1] == [] and got[2] == [] and got[6] == got[7]

@@ -13,7 +13,15 @@ def rows(n=4000, seed=3):
     out = []
     for i in range(n):
         t = "Hot-table_rows" if r.random() < 0.1 else f" tab_{r.randint(0, 900)}_{r.choice(['rows', 'cols', 'cols_v2'])}"
-        out.append((i, r.choice([t, t.upper(), t.replace("_", "-"), None]), r.choice([f"u{r.randint(0, 3000)}", None, " "]), r.choice(["a", "b", "B ", None]), r.choice(["train", "TRAIN ", "dev", None, " "])))
+        out.append(
+            (
+                i,
+                r.choice([t, t.upper(), t.replace("_", "-"), None]),
+                r.choice([f"u{r.randint(0, 3000)}", None, " "]),
+                r.choice(["a", "b", "B ", None]),
+                r.choice(["train", "TRAIN ", "dev", None, " "])
+            )
+        )
     return out
 
 
@@ -44,8 +52,22 @@ def components(data):
 
 def test_components_stay_together(spark):
     data = rows()
-    df = spark.createDataFrame(data, "rec_id bigint, table_id string, uid string, kind string, split string").selectExpr("*", "1 as component", "2 as node", "'x' as stratum", "named_struct('uid', uid) as source")
-    assigned, report, broken = g.grouped_splits(df, spark.createDataFrame(TARGETS, "split_name string, share double"), "rec_id", "table_id", "source.uid", "kind", "split")
+    df = spark.createDataFrame(data, "rec_id bigint, table_id string, uid string, kind string, split string").selectExpr(
+        "*",
+        "1 as component",
+        "2 as node",
+        "'x' as stratum",
+        "named_struct('uid', uid) as source"
+    )
+    assigned, report, broken = g.grouped_splits(
+        df,
+        spark.createDataFrame(TARGETS, "split_name string, share double"),
+        "rec_id",
+        "table_id",
+        "source.uid",
+        "kind",
+        "split"
+    )
     got = {r["rec_id"]: r for r in assigned.collect()}
     assert set(got) == {i for i, *_ in data}
     truth = components(data)
@@ -68,7 +90,14 @@ def test_components_stay_together(spark):
 
 def test_long_chain(spark):
     data = [(i, f"t{i // 2}", f"u{(i + 1) // 2}", "a", None) for i in range(300)]
-    edges = g.links(spark.createDataFrame(data, "rec_id bigint, table_id string, uid string, kind string, split string"), "rec_id", "table_id", "uid", "kind", "split")
+    edges = g.links(
+        spark.createDataFrame(data, "rec_id bigint, table_id string, uid string, kind string, split string"),
+        "rec_id",
+        "table_id",
+        "uid",
+        "kind",
+        "split"
+    )
     assert g.components(edges).select("label").distinct().count() == 1
 
 
@@ -82,7 +111,15 @@ def test_giant_component_and_hub(spark):
     """A hub that a third of all records name, and a chain beside it."""
     data = [(i, f"t{i}", "hub" if i % 3 == 0 else f"u{i // 2}", "a", "train") for i in range(6000)]
     df = spark.createDataFrame(data, "rec_id bigint, table_id string, uid string, kind string, split string")
-    assigned, _, broken = g.grouped_splits(df, spark.createDataFrame(TARGETS, "split_name string, share double"), "rec_id", "table_id", "uid", "kind", "split")
+    assigned, _, broken = g.grouped_splits(
+        df,
+        spark.createDataFrame(TARGETS, "split_name string, share double"),
+        "rec_id",
+        "table_id",
+        "uid",
+        "kind",
+        "split"
+    )
     got = {r["rec_id"]: (r["component"], r["split"]) for r in assigned.collect()}
     truth = components(data)
     assert len(got) == len(data) and len({(truth[i], *got[i]) for i in got}) == len(set(truth.values()))
@@ -93,6 +130,14 @@ def test_many_strata(spark, monkeypatch):
     monkeypatch.setattr(g, "STRATA", 3)
     data = [(i, f"t{i}", None, f"s{i % 11}", None) for i in range(600)]
     df = spark.createDataFrame(data, "rec_id bigint, table_id string, uid string, kind string, split string")
-    assigned, _, _ = g.grouped_splits(df, spark.createDataFrame(TARGETS, "split_name string, share double"), "rec_id", "table_id", "uid", "kind", "split")
+    assigned, _, _ = g.grouped_splits(
+        df,
+        spark.createDataFrame(TARGETS, "split_name string, share double"),
+        "rec_id",
+        "table_id",
+        "uid",
+        "kind",
+        "split"
+    )
     n = Counter(r["split"] for r in assigned.collect())
     assert all(abs(n[k] / 600 - s) < 0.02 for k, s in TARGETS)

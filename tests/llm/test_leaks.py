@@ -33,7 +33,17 @@ def docs():
     for i, text in ITEMS:
         w = text.split()
         noisy = [x + x[-1] if j % 11 == 5 else x for j, x in enumerate(w)]
-        for j, (body, hit) in enumerate(((w, True), (noisy, True), (w[10:40], True), (w[:8], False), (w[5:30:2], False), (passage().split(), False), (w[:25] + ["(a", "remark", "within)"] + w[25:], True))):
+        for j, (body, hit) in enumerate(
+            (
+                (w, True),
+                (noisy, True),
+                (w[10:40], True),
+                (w[:8], False),
+                (w[5:30:2], False),
+                (passage().split(), False),
+                (w[:25] + ["(a", "remark", "within)"] + w[25:], True)
+            )
+        ):
             d = i * 100 + j
             out.append((d, (passage(80) + " " + " <i>".join(body) + ". " + passage(50)).upper()))
             if hit:
@@ -46,7 +56,10 @@ def docs():
 def test_found_in_one_block_and_in_several(spark, chars):
     rows, want = docs()
     d = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as item_id", "'x' as passage", "2 as at")
-    items = spark.createDataFrame([*ITEMS, (98, None), (99, "two words")], "item_id bigint, passage string").selectExpr("*", "0 as doc_id", "'y' as text")
+    items = spark.createDataFrame(
+        [*ITEMS, (98, None), (99, "two words")],
+        "item_id bigint, passage string"
+    ).selectExpr("*", "0 as doc_id", "'y' as text")
     got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, items, block_chars=chars).collect()}
     assert got == want
 
@@ -61,8 +74,14 @@ def test_empty_tables(spark):
 def test_passage_under_many_items(spark, chars):
     same, base = passage(), passage().split()
     close = [" ".join(base[:i] + [f"edit{chr(97 + i // 10)}"] + base[i + 1 :]) for i in range(5, 55, 10)]  # five near copies share most n-grams
-    items = spark.createDataFrame([(1, same), (2, same), (3, f"<b>{same}</b>"), (4, same.upper()), (5, same), (5, ITEMS[0][1]), *((10 + i, p) for i, p in enumerate(close))], "item_id bigint, passage string")
-    d = spark.createDataFrame([(1, f"{passage(30)} {same} {passage(30)}"), (2, ITEMS[0][1]), (3, " ".join(base)), (4, " ".join(base[:30]))], "doc_id bigint, text string")
+    items = spark.createDataFrame(
+        [(1, same), (2, same), (3, f"<b>{same}</b>"), (4, same.upper()), (5, same), (5, ITEMS[0][1]), *((10 + i, p) for i, p in enumerate(close))],
+        "item_id bigint, passage string"
+    )
+    d = spark.createDataFrame(
+        [(1, f"{passage(30)} {same} {passage(30)}"), (2, ITEMS[0][1]), (3, " ".join(base)), (4, " ".join(base[:30]))],
+        "doc_id bigint, text string"
+    )
     got = {(r["doc_id"], r["item_id"]) for r in k.leaks(d, items, block_chars=chars).collect()}
     assert got == {(1, i) for i in range(1, 6)} | {(2, 5)} | {(j, 10 + i) for j in (3, 4) for i in range(5)}
 
@@ -72,7 +91,10 @@ def test_excerpt_with_sentences_left_out(spark):
     cut = [w for i in range(0, 96, 24) for w in p[i : i + 12]]  # every second stretch of 12 words is left out
     assert k.align(p, cut) == (48, 0)
     assert sum(k.align(p, p[:4] + p[90:])) == 6  # runs too short for their gap aren't joined
-    d = spark.createDataFrame([(1, f"{passage(30)} {' '.join(cut)} {passage(30)}"), (2, " ".join(w for i in range(0, 96, 12) for w in p[i : i + 2]))], "doc_id bigint, text string")
+    d = spark.createDataFrame(
+        [(1, f"{passage(30)} {' '.join(cut)} {passage(30)}"), (2, " ".join(w for i in range(0, 96, 12) for w in p[i : i + 2]))],
+        "doc_id bigint, text string"
+    )
     items = spark.createDataFrame([(7, " ".join(p))], "item_id bigint, passage string")
     assert [tuple(r)[:2] for r in k.leaks(d, items).collect()] == [(1, 7)]
 
@@ -101,7 +123,10 @@ def test_common_words_bound_the_alignment():
 
 def test_short_passages_found_whole(spark):
     items = spark.createDataFrame([(n, " ".join(VOCAB[50 * n : 50 * n + n])) for n in range(1, 6)], "item_id bigint, passage string")
-    d = spark.createDataFrame([(n, f"{passage(30)} {' '.join(VOCAB[50 * n : 50 * n + n])}. {passage(30)}") for n in range(1, 6)], "doc_id bigint, text string")
+    d = spark.createDataFrame(
+        [(n, f"{passage(30)} {' '.join(VOCAB[50 * n : 50 * n + n])}. {passage(30)}") for n in range(1, 6)],
+        "doc_id bigint, text string"
+    )
     assert sorted((r["doc_id"], r["item_id"]) for r in k.leaks(d, items).collect()) == [(3, 3), (4, 4), (5, 5)]
 
 
@@ -116,7 +141,10 @@ def test_one_passage_in_any_number_of_items(spark, n):
 def test_wording_of_the_language_makes_no_candidate(spark):
     stock = "at the end of the year".split()
     p = passage(20).split() + stock
-    d = spark.createDataFrame([(i, f"{passage(10)} {' '.join(stock)} {passage(10)}") for i in range(200)] + [(900, " ".join(p[8:]))], "doc_id bigint, text string")
+    d = spark.createDataFrame(
+        [(i, f"{passage(10)} {' '.join(stock)} {passage(10)}") for i in range(200)] + [(900, " ".join(p[8:]))],
+        "doc_id bigint, text string"
+    )
     assert [r["doc_id"] for r in k.leaks(d, spark.createDataFrame([(7, " ".join(p))], "item_id bigint, passage string")).collect()] == [900]
 
 

@@ -34,7 +34,10 @@ def frames(spark, n=1000):
     cards = [(i, ["A", " b-c", "B C", "rare", "odd", None][min(5, i % 23 // 4)]) for i in range(n)] + [(5, "a"), (5, "a"), (None, "a")]
     keys = [(i, i) for i in range(0, n, 2)] + [(4, 9), (10**7, 1), (None, 1)]
     c = spark.createDataFrame(cards, "card_id bigint, type string").selectExpr("*", "'x' as category", "1 as unit", "0.5 as p")
-    return c, spark.createDataFrame(keys, "card_id bigint, keyed_at bigint"), spark.createDataFrame(TARGETS, "category string, share_pct int, min_cards int"), cards, keys
+    return c, spark.createDataFrame(keys, "card_id bigint, keyed_at bigint"), spark.createDataFrame(
+        TARGETS,
+        "category string, share_pct int, min_cards int"
+    ), cards, keys
 
 
 def test_sample_meets_the_targets(spark):

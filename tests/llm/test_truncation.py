@@ -10,7 +10,22 @@ WHOLE = json.dumps({"steps": [{"text": "keep the rows..."}], "answer": {"label":
 
 @pytest.mark.parametrize(
     "text",
-    [None, "", "  ", "none", "N/A", WHOLE, WHOLE + "\n// done", WHOLE + "}", "Here is it:\n```json\n" + WHOLE + "\n```", str(json.loads(WHOLE)), WHOLE.replace(", ", " ", 1), "The table has no such row", "Prices went up in spring. Final answer: 2019", "Prices went up.\n\nlabel = May 28, 2019"],
+    [
+        None,
+        "",
+        "  ",
+        "none",
+        "N/A",
+        WHOLE,
+        WHOLE + "\n// done",
+        WHOLE + "}",
+        "Here is it:\n```json\n" + WHOLE + "\n```",
+        str(json.loads(WHOLE)),
+        WHOLE.replace(", ", " ", 1),
+        "The table has no such row",
+        "Prices went up in spring. Final answer: 2019",
+        "Prices went up.\n\nlabel = May 28, 2019"
+    ],
 )
 def test_complete(text):
     assert t.judge(text)[0] in (t.COMPLETE, t.AMBIGUOUS)
@@ -24,7 +39,16 @@ def test_every_cut_of_an_object(cut, after):
     assert t.judge(WHOLE[:cut] + after)[0] == t.INCOMPLETE
 
 
-@pytest.mark.parametrize("text", ["In the same month prices went up and the station was so", "Sales fell in spring because of the weather in expo...", "Prices went up in the spring of that year. Answer: 20", "Here is it:\n```json\n" + WHOLE, "broken at a letter of the last word�"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "In the same month prices went up and the station was so",
+        "Sales fell in spring because of the weather in expo...",
+        "Prices went up in the spring of that year. Answer: 20",
+        "Here is it:\n```json\n" + WHOLE,
+        "broken at a letter of the last word�"
+    ]
+)
 def test_incomplete_prose(text):
     assert t.judge(text)[0] == t.INCOMPLETE
 
@@ -62,7 +86,10 @@ def test_empty_table(spark):
 def test_cuts_in_a_sparse_region(spark):
     """Endings one per eleven characters, and six texts cut at one length."""
     ends = [(i, "m", i, 1, *[11 * i + 200] * 4) for i in range(880)] + [(1000 + i, "m", 1000 + i, 1, *[5003] * 4) for i in range(6)]
-    df = spark.createDataFrame(ends, "id bigint, source string, text_hash bigint, verdict int, chars bigint, bytes bigint, core_chars bigint, core_bytes bigint")
+    df = spark.createDataFrame(
+        ends,
+        "id bigint, source string, text_hash bigint, verdict int, chars bigint, bytes bigint, core_chars bigint, core_bytes bigint"
+    )
     got = t.length_limits(df).collect()
     assert {(r["unit"], r["length"]) for r in got} == {(u, 5003) for u in t.UNITS}
     # 444 texts at least as long; of the 24 neighbouring lengths two have an ending each
