@@ -15,7 +15,10 @@ def wilson(k: Column, n: Column, z: float = Z95) -> Column:
     mid = (p + z * z / (2 * n)) / d
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
     none = n == 0
-    return F.struct(F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)).alias("low"), F.when(none, 0.0).otherwise(F.least(F.lit(1.0), mid + half)).alias("high"))
+    return F.struct(
+        F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)).alias("low"),
+        F.when(none, 0.0).otherwise(F.least(F.lit(1.0), mid + half)).alias("high")
+    )
 
 
 def mcnemar_ln_p(b: Column, c: Column) -> Column:

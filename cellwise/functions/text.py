@@ -113,12 +113,22 @@ def _scaled_half_even(a: Column, b: Column) -> Column:
     2.675, which lies a little below its decimal text, is no tie.
     """
     half = lambda x: 134217729.0 * x - (134217729.0 * x - x)
-    parts = F.struct(a.alias("a"), half(a).alias("ah"), b.alias("b"), half(b).alias("bh"), (a * b).alias("hi"), F.floor(a * b).cast("double").alias("low"))
+    parts = F.struct(
+        a.alias("a"),
+        half(a).alias("ah"),
+        b.alias("b"),
+        half(b).alias("bh"),
+        (a * b).alias("hi"),
+        F.floor(a * b).cast("double").alias("low")
+    )
 
     def near(x: Column) -> Column:
         al, bl = x["a"] - x["ah"], x["b"] - x["bh"]
         lost = ((x["ah"] * x["bh"] - x["hi"]) + x["ah"] * bl + al * x["bh"]) + al * bl
-        return let((x["hi"] - x["low"] - 0.5) + lost, lambda over: x["low"] + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.abs(x["low"]) % 2))
+        return let(
+            (x["hi"] - x["low"] - 0.5) + lost,
+            lambda over: x["low"] + F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.abs(x["low"]) % 2)
+        )
 
     return let(parts, near)
 
@@ -129,14 +139,21 @@ def general_format(num: Column) -> Column:
 
     def shown(x: Column) -> Column:
         e = F.when(x["a"] == 0, F.lit(0)).otherwise(F.regexp_extract(x["digits"], r"e([+-][0-9]+)$", 1).cast("int"))
-        return let(F.struct(x["a"].alias("a"), x["digits"].alias("digits"), e.alias("e"), F.least(F.greatest(F.lit(0), 5 - e), F.lit(9)).alias("places")), placed)
+        return let(
+            F.struct(x["a"].alias("a"), x["digits"].alias("digits"), e.alias("e"), F.least(F.greatest(F.lit(0), 5 - e), F.lit(9)).alias("places")),
+            placed
+        )
 
     def placed(x: Column) -> Column:
         tens = F.element_at(F.array(*(F.lit(10.0**k) for k in range(10))), x["places"] + 1)
         return let(_scaled_half_even(x["a"], tens), lambda whole: written(x, whole))
 
     def written(x: Column, whole: Column) -> Column:
-        scientific = F.concat(trim(F.regexp_extract(x["digits"], r"^([0-9.]+)e", 1)), F.when(x["e"] < 0, "e-").otherwise("e+"), F.lpad(F.abs(x["e"]).cast("string"), 2, "0"))
+        scientific = F.concat(
+            trim(F.regexp_extract(x["digits"], r"^([0-9.]+)e", 1)),
+            F.when(x["e"] < 0, "e-").otherwise("e+"),
+            F.lpad(F.abs(x["e"]).cast("string"), 2, "0")
+        )
         fixed = F.lit(None).cast("string")
         for k in range(9, -1, -1):
             fixed = F.when(x["places"] == k, F.format_string(f"%.{k}f", whole / 10.0**k)).otherwise(fixed)
@@ -149,7 +166,10 @@ def general_format(num: Column) -> Column:
 def superlative_direction(question: Column) -> Column:
     """higher or lower by the superlative that a question uses, else null."""
     words = F.split(norm_words(question), " ")
-    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, SUPERLATIVE_HIGH))), "higher").when(F.arrays_overlap(words, F.array(*map(F.lit, SUPERLATIVE_LOW))), "lower")
+    return F.when(
+        F.arrays_overlap(words, F.array(*map(F.lit, SUPERLATIVE_HIGH))),
+        "higher"
+    ).when(F.arrays_overlap(words, F.array(*map(F.lit, SUPERLATIVE_LOW))), "lower")
 
 
 def chain_values(chain: Column) -> Column:
@@ -162,7 +182,13 @@ def chain_values(chain: Column) -> Column:
 def gate_fires(op_type: Column, question: Column) -> Column:
     """Whether the safety gate rejects an operation: one whose question lacks its words, or one outside the vocabulary."""
     q = F.coalesce(question, F.lit(""))
-    return F.coalesce(F.when(op_type.isin("best_under_constraint", "threshold_filter"), ~q.rlike(THRESHOLD_WORDS)).when(op_type == "tradeoff_summary", ~q.rlike(TRADEOFF_WORDS)), F.lit(True))
+    return F.coalesce(
+        F.when(
+            op_type.isin("best_under_constraint", "threshold_filter"),
+            ~q.rlike(THRESHOLD_WORDS)
+        ).when(op_type == "tradeoff_summary", ~q.rlike(TRADEOFF_WORDS)),
+        F.lit(True)
+    )
 
 
 def canonical_op(c: Column) -> Column:
@@ -175,6 +201,9 @@ def rendered(c: Column) -> Column:
 
     def shown(num: Column) -> Column:
         whole = (num == F.floor(num)) & (F.abs(num) < 9e18)
-        return F.when(num.isNull(), F.when(F.coalesce(is_missing(c), F.lit(True)), "").otherwise(strip(c))).when(whole, num.cast("bigint").cast("string")).otherwise(general_format(num))
+        return F.when(
+            num.isNull(),
+            F.when(F.coalesce(is_missing(c), F.lit(True)), "").otherwise(strip(c))
+        ).when(whole, num.cast("bigint").cast("string")).otherwise(general_format(num))
 
     return let(cell_number(c), shown)

@@ -26,8 +26,14 @@ def engine_error(op: Column, headers: Column) -> Column:
     bad_op = lambda o: ~F.coalesce(o.isin("lt", "gte", "ge"), F.lit(False))
     bad_dir = lambda d: ~F.coalesce(d.isin(*DIRECTIONS), F.lit(False))
     t, conds = op["type"], op["conditions"]
-    best = F.when(lost(op["target"]) | lost(op["constraint"]), "column").when(bad_op(op["op"]), "comparison").when(bad_dir(op["target_dir"]), "direction").when(op["threshold"].isNull(), "threshold")
-    keep = F.when(conds.isNull(), "conditions").when(F.exists(conds, lambda c: lost(c["metric"])), "column").when(F.exists(conds, lambda c: bad_op(c["op"])), "comparison").when(F.exists(conds, lambda c: c["t"].isNull()), "threshold")
+    best = F.when(
+        lost(op["target"]) | lost(op["constraint"]),
+        "column"
+    ).when(bad_op(op["op"]), "comparison").when(bad_dir(op["target_dir"]), "direction").when(op["threshold"].isNull(), "threshold")
+    keep = F.when(conds.isNull(), "conditions").when(F.exists(conds, lambda c: lost(c["metric"])), "column").when(
+        F.exists(conds, lambda c: bad_op(c["op"])),
+        "comparison"
+    ).when(F.exists(conds, lambda c: c["t"].isNull()), "threshold")
     front = F.when(lost(op["m1"]) | lost(op["m2"]), "column").when(bad_dir(op["d1"]) | bad_dir(op["d2"]), "direction")
     top = F.when(lost(op["target"]), "column").when(bad_dir(op["target_dir"]), "direction")
     return F.when(t == "best_under_constraint", best).when(t == "threshold_filter", keep).when(t == "tradeoff_summary", front).when(t == "extremum", top).otherwise("type")
@@ -66,12 +72,25 @@ def execute(records: DataFrame, key: str, headers: str, rows: str, op: str, row_
     """
     q = F.col("_op")
     no_rows, no_texts = F.array().cast("array<array<string>>"), F.array().cast("array<string>")
-    base = records.select(F.col(key).alias("_id"), F.col(headers).alias("_h"), F.coalesce(F.col(rows), no_rows).alias("_rows"), F.coalesce(F.col(row_labels) if row_labels else no_texts, no_texts).alias("_names"), F.col(op).alias("_op"))
+    base = records.select(
+        F.col(key).alias("_id"),
+        F.col(headers).alias("_h"),
+        F.coalesce(F.col(rows), no_rows).alias("_rows"),
+        F.coalesce(F.col(row_labels) if row_labels else no_texts, no_texts).alias("_names"),
+        F.col(op).alias("_op")
+    )
     base = base.withColumn("_error", engine_error(q, F.col("_h")))
     place = lambda name: (F.array_position(F.col("_h"), name) - 1).cast("int")
     conds = F.coalesce(q["conditions"], F.array().cast(CONDITIONS))
     lines = base.where("_error is null").select(
-        "_id", q["type"].alias("_type"), q["target_dir"].alias("_dir"), q["d1"].alias("_d1"), q["d2"].alias("_d2"), q["op"].alias("_cmp"), q["threshold"].alias("_t"), q["rows"].alias("_only"),
+        "_id",
+        q["type"].alias("_type"),
+        q["target_dir"].alias("_dir"),
+        q["d1"].alias("_d1"),
+        q["d2"].alias("_d2"),
+        q["op"].alias("_cmp"),
+        q["threshold"].alias("_t"),
+        q["rows"].alias("_only"),
         place(F.coalesce(q["target"], q["m1"])).alias("_c1"), place(F.coalesce(q["constraint"], q["m2"])).alias("_c2"),
         F.transform(conds, lambda c: F.named_struct(F.lit("c"), place(c["metric"]), F.lit("op"), c["op"], F.lit("t"), c["t"])).alias("_conds"),
         F.posexplode("_rows").alias("_row", "_cells"),
@@ -79,11 +98,26 @@ def execute(records: DataFrame, key: str, headers: str, rows: str, op: str, row_
     num = lambda i: cell_number(F.get(F.col("_cells"), i))
     ok = F.transform("_conds", lambda c: F.coalesce(_holds(num(c["c"]), c["op"], c["t"]), F.lit(False)))
     lines = lines.where(F.col("_only").isNull() | F.array_contains("_only", F.col("_row")))
-    lines = lines.select("_id", "_type", "_row", "_dir", "_d1", "_d2", "_cmp", "_t", num(F.col("_c1")).alias("_v1"), num(F.col("_c2")).alias("_v2"), ok.alias("_ok"))
+    lines = lines.select(
+        "_id",
+        "_type",
+        "_row",
+        "_dir",
+        "_d1",
+        "_d2",
+        "_cmp",
+        "_t",
+        num(F.col("_c1")).alias("_v1"),
+        num(F.col("_c2")).alias("_v2"),
+        ok.alias("_ok")
+    )
     kind = F.col("_type")
     eligible = (
         F.when(kind == "best_under_constraint", F.col("_v1").isNotNull() & F.coalesce(_holds(F.col("_v2"), F.col("_cmp"), F.col("_t")), F.lit(False)))
-        .when(kind == "extremum", F.col("_v1").isNotNull()).when(kind == "threshold_filter", F.forall("_ok", lambda x: x)).otherwise(F.col("_v1").isNotNull() & F.col("_v2").isNotNull())
+        .when(kind == "extremum", F.col("_v1").isNotNull()).when(
+            kind == "threshold_filter",
+            F.forall("_ok", lambda x: x)
+        ).otherwise(F.col("_v1").isNotNull() & F.col("_v2").isNotNull())
     )
     turn = lambda v, d: F.when(d == "lower", -v).otherwise(v)
     lines = lines.where(eligible).withColumns({"_o1": turn(F.col("_v1"), F.coalesce("_d1", "_dir")), "_o2": turn(F.col("_v2"), F.col("_d2"))})
@@ -91,27 +125,52 @@ def execute(records: DataFrame, key: str, headers: str, rows: str, op: str, row_
     reach = lambda x, y: F.expr(f"max({x}) over (partition by _id order by {y} desc range between unbounded preceding and {EPS}D following)")
     lines = lines.withColumns({"_best": best, "_w1": reach("_o2", "_o1"), "_w2": reach("_o1", "_o2")})
     undominated = ~(F.col("_w1") > F.col("_o2") + EPS) & ~(F.col("_w2") > F.col("_o1") + EPS)
-    wins = F.when(kind.isin("best_under_constraint", "extremum"), F.abs(F.col("_o1") - F.col("_best")) <= EPS).when(kind == "threshold_filter", F.lit(True)).otherwise(undominated)
+    wins = F.when(
+        kind.isin("best_under_constraint", "extremum"),
+        F.abs(F.col("_o1") - F.col("_best")) <= EPS
+    ).when(kind == "threshold_filter", F.lit(True)).otherwise(undominated)
     won = lines.where(wins).groupBy("_id").agg(F.array_sort(F.collect_list("_row")).alias("_won"))
     answer = F.coalesce("_won", F.array().cast("array<int>"))
     done = base.join(won, "_id", "left").withColumn("_answer", answer)
-    name = lambda i: F.coalesce(F.when(F.size("_names") > 0, F.get(F.col("_names"), i)).otherwise(F.get(F.get(F.col("_rows"), i), F.lit(0))), F.lit(""))
+    name = lambda i: F.coalesce(
+        F.when(F.size("_names") > 0, F.get(F.col("_names"), i)).otherwise(F.get(F.get(F.col("_rows"), i), F.lit(0))),
+        F.lit("")
+    )
     front = q["type"] == "tradeoff_summary"
-    label = F.when(front, F.concat(q["m1"], F.lit(" vs "), q["m2"])).when(F.size("_answer") == 0, "none").otherwise(F.array_join(F.transform("_answer", name), ", "))
+    label = F.when(
+        front,
+        F.concat(q["m1"], F.lit(" vs "), q["m2"])
+    ).when(F.size("_answer") == 0, "none").otherwise(F.array_join(F.transform("_answer", name), ", "))
     good = F.col("_error").isNull()
     # the cells that were read, row by row; the last column of an empty search alone
-    whole = F.when(q["rows"].isNull(), F.transform("_rows", lambda r, i: i)).otherwise(F.filter(q["rows"], lambda i: (i >= 0) & (i < F.size("_rows"))))
+    whole = F.when(q["rows"].isNull(), F.transform("_rows", lambda r, i: i)).otherwise(
+        F.filter(q["rows"], lambda i: (i >= 0) & (i < F.size("_rows")))
+    )
     none = F.size("_answer") == 0
     names = (
         F.when(q["type"] == "best_under_constraint", F.when(none, F.array(q["constraint"])).otherwise(F.array(q["target"], q["constraint"])))
-        .when(q["type"] == "threshold_filter", F.transform(conds, lambda c: c["metric"])).when(front, F.array(q["m1"], q["m2"])).otherwise(F.array(q["target"]))
+        .when(
+            q["type"] == "threshold_filter",
+            F.transform(conds, lambda c: c["metric"])
+        ).when(front, F.array(q["m1"], q["m2"])).otherwise(F.array(q["target"]))
     )
     read = F.when(none & ~front, whole).otherwise(F.col("_answer"))
-    cell = lambda i, n: F.named_struct(F.lit("row"), i, F.lit("col"), place(n), F.lit("col_name"), n, F.lit("value"), F.coalesce(F.get(F.get(F.col("_rows"), i), place(n)), F.lit("")))
+    cell = lambda i, n: F.named_struct(
+        F.lit("row"),
+        i,
+        F.lit("col"),
+        place(n),
+        F.lit("col_name"),
+        n,
+        F.lit("value"),
+        F.coalesce(F.get(F.get(F.col("_rows"), i), place(n)), F.lit(""))
+    )
     evidence = F.flatten(F.transform(F.array_distinct(read), lambda i: F.transform(F.array_distinct(names), lambda n: cell(i, n))))
     return done.select(
         F.col("_id").alias(key), F.when(good, F.col("_answer")).alias("answer"), F.when(good, label).alias("label"),
-        F.when(good, F.when(front, F.array(q["m1"], q["m2"])).otherwise(no_texts)).alias("metrics"), F.when(good, evidence).cast(f"array<{CELL}>").alias("evidence"), F.col("_error").alias("error"),
+        F.when(good, F.when(front, F.array(q["m1"], q["m2"])).otherwise(no_texts)).alias("metrics"),
+        F.when(good, evidence).cast(f"array<{CELL}>").alias("evidence"),
+        F.col("_error").alias("error"),
     )
 
 
@@ -145,13 +204,23 @@ def classify_within(records: DataFrame, key: str, headers: str, rows: str, cites
     For small tables; each citation looks through its column. Null citations give no row, ``cite_no`` is their place.
     """
     norm = lambda c: let(cell_number(c), lambda n: F.coalesce(n.cast("string"), strip(F.coalesce(c, F.lit("")))))
-    r = records.select(F.col(key).alias("_k"), F.col(headers).alias("_h"), F.col(rows).alias("_rows"), F.col(cites).alias("_c")).where(F.size("_c") > 0)
+    r = records.select(
+        F.col(key).alias("_k"),
+        F.col(headers).alias("_h"),
+        F.col(rows).alias("_rows"),
+        F.col(cites).alias("_c")
+    ).where(F.size("_c") > 0)
     r = with_columns(r, _norm=F.transform("_rows", lambda row: F.transform(row, norm)), _wide=F.array_max(F.transform("_rows", F.size)))
 
     def label(c: Column) -> Column:
         at = lambda grid: F.get(F.get(grid, c["row"]), c["col"])
         own, said = F.coalesce(at("_norm"), F.lit("")), norm(c["value"])
-        inside = F.coalesce((c["row"] >= 0) & (c["row"] < F.size("_rows")) & (c["col"] >= 0) & (c["col"] < F.least(F.size("_h"), F.col("_wide"))) & (c["col"] < F.size(F.get("_rows", c["row"]))), F.lit(False))
+        inside = F.coalesce(
+            (c["row"] >= 0) & (c["row"] < F.size("_rows")) & (c["col"] >= 0) & (
+                c["col"] < F.least(F.size("_h"), F.col("_wide"))
+            ) & (c["col"] < F.size(F.get("_rows", c["row"]))),
+            F.lit(False)
+        )
         number = lambda t: F.when(t.rlike("^-?[0-9.]+(E-?[0-9]+)?$") & (t != "."), t).try_cast("double")
 
         def judged(x: Column) -> Column:
@@ -160,9 +229,15 @@ def classify_within(records: DataFrame, key: str, headers: str, rows: str, cites
             near = F.coalesce(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)) <= 5e-3, F.lit(False))
             held = F.exists("_norm", lambda row: F.coalesce(F.get(row, c["col"]) == x["said"], F.lit(False)))
             wrong = F.when(held, "wrong_row").when(near, "rounding").when(a.isNull() != b.isNull(), "type_format").otherwise("not_in_column")
-            return F.when(~inside, "row_oob").when(~F.coalesce(F.get("_h", c["col"]) == c["col_name"], F.lit(False)), "colname_mismatch").when(same, "ok").otherwise(wrong)
+            return F.when(~inside, "row_oob").when(
+                ~F.coalesce(F.get("_h", c["col"]) == c["col_name"], F.lit(False)),
+                "colname_mismatch"
+            ).when(same, "ok").otherwise(wrong)
 
         return let(F.struct(number(said).alias("a"), number(own).alias("b"), said.alias("said"), own.alias("own")), judged)
 
     labelled = F.transform("_c", lambda c: F.when(c.isNotNull(), label(c)))
-    return r.select("_k", F.posexplode(labelled).alias("cite_no", "label")).where("label is not null").select(F.col("_k").alias(key), "cite_no", "label")
+    return r.select(
+        "_k",
+        F.posexplode(labelled).alias("cite_no", "label")
+    ).where("label is not null").select(F.col("_k").alias(key), "cite_no", "label")

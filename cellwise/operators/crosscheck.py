@@ -29,7 +29,10 @@ def parsed_question(question: Column) -> Column:
     found = lambda form, k: F.nullif(F.regexp_extract(question, form, k), F.lit(""))
     entity, word = F.coalesce(found(FORM_A, 1), found(FORM_B, 2)), F.lower(F.coalesce(found(FORM_A, 2), found(FORM_B, 1)))
     plain = norm_words(F.regexp_replace(entity, r"(?i)\b(amount|value)\b", ""))
-    return F.struct(plain.alias("entity"), F.when(word.isin(*SUPERLATIVE_HIGH), "higher").when(word.isin(*SUPERLATIVE_LOW), "lower").alias("direction"))
+    return F.struct(
+        plain.alias("entity"),
+        F.when(word.isin(*SUPERLATIVE_HIGH), "higher").when(word.isin(*SUPERLATIVE_LOW), "lower").alias("direction")
+    )
 
 
 @F.pandas_udf(T.IntegerType())
@@ -53,23 +56,70 @@ def crosscheck(records: DataFrame, key: str, table: str, question: str, answer:
     method null. Lists and texts may be null.
     """
     texts = F.array().cast("array<string>")
-    r = records.select(F.col(key).alias("_k"), F.coalesce(f"{table}.headers", texts).alias("heads"), F.coalesce(f"{table}.rows", F.array().cast("array<array<string>>")).alias("cells"), F.coalesce(f"{table}.column_types", texts).alias("types"), F.coalesce(question, F.lit("")).alias("q"), F.coalesce(answer, texts).alias("said"), F.coalesce(derivation, F.lit("")).alias("chain"))
-    r = with_columns(r, num=F.transform("cells", lambda row: F.transform(row, cell_number)), labels=F.transform("cells", lambda row: F.coalesce(F.get(row, F.lit(0)), F.lit(""))), vals=chain_values(F.col("chain")), way=superlative_direction(F.col("q")), years=F.array_distinct(F.array_compact(F.transform("said", year_of))), dated=(F.size("said") > 0) & F.forall("said", lambda s: F.coalesce(year_of(s).isNotNull(), F.lit(False))), nl=parsed_question(F.col("q")))
+    r = records.select(
+        F.col(key).alias("_k"),
+        F.coalesce(f"{table}.headers", texts).alias("heads"),
+        F.coalesce(f"{table}.rows", F.array().cast("array<array<string>>")).alias("cells"),
+        F.coalesce(f"{table}.column_types", texts).alias("types"),
+        F.coalesce(question, F.lit("")).alias("q"),
+        F.coalesce(answer, texts).alias("said"),
+        F.coalesce(derivation, F.lit("")).alias("chain")
+    )
+    r = with_columns(
+        r,
+        num=F.transform("cells", lambda row: F.transform(row, cell_number)),
+        labels=F.transform("cells", lambda row: F.coalesce(F.get(row, F.lit(0)), F.lit(""))),
+        vals=chain_values(F.col("chain")),
+        way=superlative_direction(F.col("q")),
+        years=F.array_distinct(F.array_compact(F.transform("said", year_of))),
+        dated=(F.size("said") > 0) & F.forall("said", lambda s: F.coalesce(year_of(s).isNotNull(), F.lit(False))),
+        nl=parsed_question(F.col("q"))
+    )
     r = r.select(*(c for c in r.columns if c != "nl"), F.col("nl.entity").alias("entity"), F.col("nl.direction").alias("nl_way"))
     usable = F.coalesce((F.size("vals") >= 2) & F.col("way").isNotNull(), F.lit(False))
     # the numbers of each row, and of each numeric column without totals, with their places
     placed = lambda a: F.filter(a, lambda x: x["v"].isNotNull())
-    by_row = F.transform("num", lambda row, i: F.struct(i.alias("at"), placed(F.transform(F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0))), lambda v, j: F.struct(v.alias("v"), (j + 1).alias("i")))).alias("xs")))
+    by_row = F.transform(
+        "num",
+        lambda row, i: F.struct(
+            i.alias("at"),
+            placed(
+                F.transform(F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0))), lambda v, j: F.struct(v.alias("v"), (j + 1).alias("i")))
+            ).alias("xs")
+        )
+    )
     columns = F.when(F.size("heads") > 1, F.sequence(F.lit(1), F.size("heads") - 1)).otherwise(F.array().cast("array<int>"))
     entity = F.filter(F.transform("labels", lambda x, i: F.when(~is_total(x), i)), lambda i: i.isNotNull())
-    by_column = F.transform(F.filter(columns, lambda c: F.get("types", c) == "numeric"), lambda c: F.struct(c.alias("at"), placed(F.transform(entity, lambda i: F.struct(F.get(F.get("num", i), c).alias("v"), i.alias("i")))).alias("xs")))
+    by_column = F.transform(
+        F.filter(columns, lambda c: F.get("types", c) == "numeric"),
+        lambda c: F.struct(
+            c.alias("at"),
+            placed(F.transform(entity, lambda i: F.struct(F.get(F.get("num", i), c).alias("v"), i.alias("i")))).alias("xs")
+        )
+    )
     r = with_columns(r, lines=F.when(usable, F.when(F.col("dated"), by_row).otherwise(by_column)), usable=usable)
-    r = with_columns(r, hits=F.filter(F.transform("lines", lambda x: F.struct(x["at"].alias("at"), x["xs"].alias("xs"), chain_match(F.col("vals"), F.transform(x["xs"], lambda y: y["v"])).alias("m"))), lambda x: x["m"].isNotNull()))
+    r = with_columns(
+        r,
+        hits=F.filter(
+            F.transform(
+                "lines",
+                lambda x: F.struct(
+                    x["at"].alias("at"),
+                    x["xs"].alias("xs"),
+                    chain_match(F.col("vals"), F.transform(x["xs"], lambda y: y["v"])).alias("m")
+                )
+            ),
+            lambda x: x["m"].isNotNull()
+        )
+    )
     one = F.coalesce(F.size("hits") == 1, F.lit(False))
     compared = F.when(one, F.transform(F.get("hits", F.lit(0))["m"], lambda k: F.get(F.get("hits", F.lit(0))["xs"], k)))
     r = with_columns(r, compared=compared, one=one)
     # of equal values the first compared counts
-    extreme = lambda xs, way: F.when(way == "higher", F.array_max(F.transform(xs, lambda x: x["v"]))).otherwise(F.array_min(F.transform(xs, lambda x: x["v"])))
+    extreme = lambda xs, way: F.when(
+        way == "higher",
+        F.array_max(F.transform(xs, lambda x: x["v"]))
+    ).otherwise(F.array_min(F.transform(xs, lambda x: x["v"])))
     first = lambda xs, way: F.get(F.filter(xs, lambda x: x["v"] == extreme(xs, way)), F.lit(0))["i"]
     r = with_columns(r, best=F.when(F.col("one"), first(F.col("compared"), F.col("way"))))
     period = year_of(F.get("heads", F.col("best")))
@@ -79,15 +129,33 @@ def crosscheck(records: DataFrame, key: str, table: str, question: str, answer:
     chained = F.col("one")
     asked = F.when(~chained & F.col("entity").isNotNull() & (F.size("years") > 0), F.col("entity"))
     r = r.withColumn("row", _closest(asked, F.transform("labels", norm_words)))
-    dated = F.filter(F.transform(columns, lambda c: F.struct(F.when((F.get("types", c) == "numeric") & year_of(F.get("heads", c)).isNotNull(), F.get(F.get("num", F.col("row")), c)).alias("v"), c.alias("i"))), lambda x: x["v"].isNotNull())
+    dated = F.filter(
+        F.transform(
+            columns,
+            lambda c: F.struct(
+                F.when((F.get("types", c) == "numeric") & year_of(F.get("heads", c)).isNotNull(), F.get(F.get("num", F.col("row")), c)).alias("v"),
+                c.alias("i")
+            )
+        ),
+        lambda x: x["v"].isNotNull()
+    )
     some = F.exists(columns, lambda c: F.coalesce((F.get("types", c) == "numeric") & year_of(F.get("heads", c)).isNotNull(), F.lit(False)))
     r = with_columns(r, at=F.when(F.col("row") >= 0, dated), some=some, asked=asked)
     told = F.col("asked").isNotNull() & F.col("some") & (F.coalesce(F.size("at"), F.lit(0)) > 0)
     nl = year_of(F.get("heads", first(F.col("at"), F.col("nl_way"))))
     ours = F.when(F.col("one"), F.when(F.col("dated"), period).otherwise(name)).when(told, nl)
     agree = F.when(F.col("one"), F.when(F.col("dated"), F.array_contains("years", period)).otherwise(alike)).when(told, F.array_contains("years", nl))
-    trouble = F.when(F.col("usable") & ~F.col("one"), "ambiguous").when(~F.col("one") & F.col("asked").isNotNull() & F.col("some") & ~told, "row_unmatched")
-    return r.select(F.col("_k").alias(key), F.when(F.col("one"), "derivation").when(told, "nl").alias("method"), ours.alias("ours"), F.when(F.col("one") | told, F.coalesce(agree, F.lit(False))).alias("agree"), trouble.alias("trouble"))
+    trouble = F.when(F.col("usable") & ~F.col("one"), "ambiguous").when(
+        ~F.col("one") & F.col("asked").isNotNull() & F.col("some") & ~told,
+        "row_unmatched"
+    )
+    return r.select(
+        F.col("_k").alias(key),
+        F.when(F.col("one"), "derivation").when(told, "nl").alias("method"),
+        ours.alias("ours"),
+        F.when(F.col("one") | told, F.coalesce(agree, F.lit(False))).alias("agree"),
+        trouble.alias("trouble")
+    )
 
 
 def agreement(checked: DataFrame) -> DataFrame:

@@ -71,7 +71,15 @@ def extremum(df: DataFrame, target: str, direction: str, partition_by: Sequence[
     return joined.where(F.abs(v - F.col("_best")) <= EPS).select(*(f"`{c}`" for c in df.columns))
 
 
-def best_under_constraint(df: DataFrame, target: str, direction: str, constraint: str, op: str, threshold: float, partition_by: Sequence[str] = ()) -> DataFrame:
+def best_under_constraint(
+    df: DataFrame,
+    target: str,
+    direction: str,
+    constraint: str,
+    op: str,
+    threshold: float,
+    partition_by: Sequence[str] = ()
+) -> DataFrame:
     """Of the rows whose ``constraint`` passes, those with the best ``target``."""
     return extremum(df.where(passes(constraint, op, threshold)), target, direction, partition_by)
 
@@ -96,7 +104,10 @@ def pareto(df: DataFrame, m1: str, m2: str, d1: str, d2: str, partition_by: Sequ
     many tasks; what may be on the frontier, or beats another row without any tolerance, goes on to the windows over
     whole partitions. What beats a row left out is beaten by no tolerance of a row kept.
     """
-    rows = df.withColumns({"_o1": _oriented(m1, d1), "_o2": _oriented(m2, d2)}).where("_o1 is not null and _o2 is not null").withColumn("_part", F.pmod(F.xxhash64("_o1", "_o2"), F.lit(salts)))
+    rows = df.withColumns({"_o1": _oriented(m1, d1), "_o2": _oriented(m2, d2)}).where("_o1 is not null and _o2 is not null").withColumn(
+        "_part",
+        F.pmod(F.xxhash64("_o1", "_o2"), F.lit(salts))
+    )
     by = ", ".join(f"`{c}`" for c in partition_by)
 
     def beaten(d: DataFrame, keys: str, eps: float) -> tuple[DataFrame, str]:
@@ -159,14 +170,21 @@ def pareto_global(df: DataFrame, m1: str, m2: str, d1: str, d2: str, blocks: int
     rows = df.withColumns({"_o1": _oriented(m1, d1), "_o2": _oriented(m2, d2)}).where("_o1 is not null and _o2 is not null")
     rows = materialize(_candidates(rows, blocks), "candidates")
     w1, w2 = _reach(rows, "_o1", "_o2", blocks), _reach(rows, "_o2", "_o1", blocks)
-    seen = rows.join(w1.withColumnsRenamed({"_x": "_x1", "_w": "_w1"}), F.col("_o1") == F.col("_x1")).join(w2.withColumnsRenamed({"_x": "_x2", "_w": "_w2"}), F.col("_o2") == F.col("_x2"))
+    seen = rows.join(
+        w1.withColumnsRenamed({"_x": "_x1", "_w": "_w1"}),
+        F.col("_o1") == F.col("_x1")
+    ).join(w2.withColumnsRenamed({"_x": "_x2", "_w": "_w2"}), F.col("_o2") == F.col("_x2"))
     return seen.where(f"not (_w1 > _o2 + {EPS}D) and not (_w2 > _o1 + {EPS}D)").select(*(f"`{c}`" for c in df.columns))
 
 
 def pareto_antijoin(df: DataFrame, m1: str, m2: str, d1: str, d2: str, partition_by: Sequence[str]) -> DataFrame:
     """The frontier by the definition, as an anti-join within each partition; for partitions known to be small, and to check ``pareto``."""
     rows = df.withColumns({"_o1": _oriented(m1, d1), "_o2": _oriented(m2, d2)}).where("_o1 is not null and _o2 is not null")
-    other = rows.select(*(F.col(c).alias(f"_p{i}") for i, c in enumerate(partition_by)), F.col("_o1").alias("_q1"), F.col("_o2").alias("_q2")).distinct()
+    other = rows.select(
+        *(F.col(c).alias(f"_p{i}") for i, c in enumerate(partition_by)),
+        F.col("_o1").alias("_q1"),
+        F.col("_o2").alias("_q2")
+    ).distinct()
     on = F.expr(f"_q1 >= _o1 - {EPS}D and _q2 >= _o2 - {EPS}D and (_q1 > _o1 + {EPS}D or _q2 > _o2 + {EPS}D)")
     for i, c in enumerate(partition_by):
         on = on & F.col(c).eqNullSafe(F.col(f"_p{i}"))
@@ -175,13 +193,21 @@ def pareto_antijoin(df: DataFrame, m1: str, m2: str, d1: str, d2: str, partition
 
 def answer_label(answer: DataFrame, label: str, order: str, partition_by: Sequence[str]) -> DataFrame:
     """The labels of each partition's answer rows in row order, joined by commas."""
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(label), F.lit("")).alias("l")))), lambda x: x["l"]), ", ")
+    names = F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(label), F.lit("")).alias("l")))),
+            lambda x: x["l"]
+        ),
+        ", "
+    )
     return answer.groupBy(*partition_by).agg(F.coalesce(F.nullif(names, F.lit("")), F.lit("none")).alias("label"), F.count("*").alias("n_rows"))
 
 
 def with_none(answers: DataFrame, groups: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """The labelled answers with a row ``none`` for each group that has no answer row."""
-    return groups.select(*partition_by).distinct().join(answers, list(partition_by), "left").withColumns({"label": F.coalesce("label", F.lit("none")), "n_rows": F.coalesce("n_rows", F.lit(0))})
+    return groups.select(*partition_by).distinct().join(answers, list(partition_by), "left").withColumns(
+        {"label": F.coalesce("label", F.lit("none")), "n_rows": F.coalesce("n_rows", F.lit(0))}
+    )
 
 
 def evidence(answer: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
@@ -190,7 +216,14 @@ def evidence(answer: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
     return wide.unpivot(key, list(metrics), "col_name", "value").where("value is not null")
 
 
-def evidence_or_universe(answer: DataFrame, whole: DataFrame, key: str, metrics: Sequence[str], if_empty: Sequence[str], partition_by: Sequence[str]) -> DataFrame:
+def evidence_or_universe(
+    answer: DataFrame,
+    whole: DataFrame,
+    key: str,
+    metrics: Sequence[str],
+    if_empty: Sequence[str],
+    partition_by: Sequence[str]
+) -> DataFrame:
     """As ``evidence``; a partition without an answer row is shown by ``if_empty`` over its whole universe."""
     keep = [*partition_by, key]
     shape = lambda d, ms: d.select(*keep, *(number(m).alias(m) for m in ms)).unpivot(keep, list(ms), "col_name", "value").where("value is not null")

@@ -38,9 +38,28 @@ def synthetic_tables(spark: SparkSession, n: int, seed: int = 0, config: Config
     """``table_id``, ``row``, ``col_name``, ``direction``, ``value`` of n generated tables, sized by ``config``."""
     between = lambda lo, hi, what: (lo + F.floor(uniform(seed, "table_id", F.lit(what)) * (hi - lo + 1))).cast("int")
     ids = spark.range(n).select(F.col("id").alias("table_id"))
-    sized = ids.select("table_id", between(config.min_rows, config.max_rows, "rows").alias("_r"), between(config.min_metrics, config.max_metrics, "cols").alias("_c"))
-    metrics = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(k).alias("k")) for i, (m, d, lo, hi, k) in enumerate(METRICS)))
-    rows = sized.select("table_id", "_c", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("row")).select("table_id", "row", F.explode(F.slice(metrics, 1, F.col("_c"))).alias("x"))
+    sized = ids.select(
+        "table_id",
+        between(config.min_rows, config.max_rows, "rows").alias("_r"),
+        between(config.min_metrics, config.max_metrics, "cols").alias("_c")
+    )
+    metrics = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(m).alias("m"),
+                F.lit(d).alias("d"),
+                F.lit(lo).alias("lo"),
+                F.lit(hi).alias("hi"),
+                F.lit(k).alias("k")
+            ) for i, (m, d, lo, hi, k) in enumerate(METRICS)
+        )
+    )
+    rows = sized.select(
+        "table_id",
+        "_c",
+        F.explode(F.sequence(F.lit(0), F.col("_r") - 1)).alias("row")
+    ).select("table_id", "row", F.explode(F.slice(metrics, 1, F.col("_c"))).alias("x"))
     raw = F.col("x.lo") + uniform(seed, "table_id", "row", F.col("x.i")) * (F.col("x.hi") - F.col("x.lo"))
     value = F.floor(raw * F.pow(F.lit(10.0), F.col("x.k")) + 0.5) / F.pow(F.lit(10.0), F.col("x.k"))
     return rows.select("table_id", "row", F.col("x.m").alias("col_name"), F.col("x.d").alias("direction"), value.alias("value"))
@@ -68,8 +87,15 @@ def thresholds(df: DataFrame, group: str, value: str, direction: str, mode: str,
     else:
         t = F.when(F.col("n") >= 2, (F.col("v") + F.col("next")) / 2).otherwise(F.col("lo") + margin if down else F.col("hi") - margin)
     chosen = drawn.select(group, F.round(t, 6).alias("t"))
-    on = v.select(group, F.round("v", 6).alias("t"), F.col("v").alias("_v")).where(F.abs(F.col("_v") - F.col("t")) <= 1e-9).select(group, "t", F.lit(True).alias("_on")).distinct()
-    return chosen.join(on, [group, "t"], "left").select(group, F.when(F.col("_on"), F.round(F.col("t") + 1e-6, 6)).otherwise(F.col("t")).alias("threshold"))
+    on = v.select(
+        group,
+        F.round("v", 6).alias("t"),
+        F.col("v").alias("_v")
+    ).where(F.abs(F.col("_v") - F.col("t")) <= 1e-9).select(group, "t", F.lit(True).alias("_on")).distinct()
+    return chosen.join(on, [group, "t"], "left").select(
+        group,
+        F.when(F.col("_on"), F.round(F.col("t") + 1e-6, 6)).otherwise(F.col("t")).alias("threshold")
+    )
 
 
 def edge_tag(kind: str, n_answer: Column, n_universe: Column) -> Column:
@@ -94,13 +120,31 @@ def best_questions(df: DataFrame, group: str, key: str, target: str, constraint:
     answer = won.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("answer"), F.count("*").alias("n_answer"))
     n = F.coalesce("n_answer", F.lit(0))
     tag = F.coalesce(F.lit("near_threshold" if mode == "near" else None), edge_tag("best_under_constraint", n, n))
-    words = F.concat(F.lit(f"Which {key} has the highest {target} with {constraint} "), F.lit("under " if direction == "lower" else "of at least "), F.col("threshold").cast("string"), F.lit("?"))
-    return limit.join(answer, group, "left").select(group, words.alias("question"), "threshold", F.coalesce("answer", F.array().cast(answer.schema["answer"].dataType)).alias("answer"), tag.alias("edge"), F.when(tag.isNotNull(), "hard").otherwise("easy").alias("difficulty"))
+    words = F.concat(
+        F.lit(f"Which {key} has the highest {target} with {constraint} "),
+        F.lit("under " if direction == "lower" else "of at least "),
+        F.col("threshold").cast("string"),
+        F.lit("?")
+    )
+    return limit.join(answer, group, "left").select(
+        group,
+        words.alias("question"),
+        "threshold",
+        F.coalesce("answer", F.array().cast(answer.schema["answer"].dataType)).alias("answer"),
+        tag.alias("edge"),
+        F.when(tag.isNotNull(), "hard").otherwise("easy").alias("difficulty")
+    )
 
 
 def _asked(limit: DataFrame, answer: DataFrame, group: str, words: Column, tag: Column) -> DataFrame:
     empty = F.array().cast(answer.schema["answer"].dataType)
-    return limit.join(answer, group, "left").select(group, words.alias("question"), F.coalesce("answer", empty).alias("answer"), tag.alias("edge"), F.when(tag.isNotNull(), "hard").otherwise("easy").alias("difficulty"))
+    return limit.join(answer, group, "left").select(
+        group,
+        words.alias("question"),
+        F.coalesce("answer", empty).alias("answer"),
+        tag.alias("edge"),
+        F.when(tag.isNotNull(), "hard").otherwise("easy").alias("difficulty")
+    )
 
 
 def filter_questions(df: DataFrame, group: str, key: str, metric: str, direction: str, mode: str, seed: int = 0) -> DataFrame:
@@ -113,7 +157,12 @@ def filter_questions(df: DataFrame, group: str, key: str, metric: str, direction
     answer = won.groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("answer"), F.count("*").alias("n_answer"))
     n = F.coalesce("n_answer", F.lit(0))
     tag = F.coalesce(edge_tag("threshold_filter", n, n), F.lit("near_threshold" if mode == "near" else None))
-    words = F.concat(F.lit(f"Which {key}s have {metric} "), F.lit("under " if direction == "lower" else "of at least "), F.col("threshold").cast("string"), F.lit("?"))
+    words = F.concat(
+        F.lit(f"Which {key}s have {metric} "),
+        F.lit("under " if direction == "lower" else "of at least "),
+        F.col("threshold").cast("string"),
+        F.lit("?")
+    )
     return _asked(limit, answer, group, words, tag)
 
 
@@ -122,7 +171,10 @@ def tradeoff_questions(df: DataFrame, group: str, key: str, m1: str, m2: str, d1
     from cellwise.operators import engine
 
     able = df.where(engine.number(m1).isNotNull() & engine.number(m2).isNotNull()).groupBy(group).agg(F.count("*").alias("n_able"))
-    answer = engine.pareto(df, m1, m2, d1, d2, [group]).groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("answer"), F.count("*").alias("n_answer"))
+    answer = engine.pareto(df, m1, m2, d1, d2, [group]).groupBy(group).agg(
+        F.array_sort(F.collect_list(key)).alias("answer"),
+        F.count("*").alias("n_answer")
+    )
     words = F.lit(f"What is the trade-off between {m1} and {m2} across these {key}s?")
     return _asked(able, answer, group, words, edge_tag("tradeoff_summary", F.coalesce("n_answer", F.lit(0)), F.col("n_able")))
 
@@ -131,6 +183,9 @@ def extremum_questions(df: DataFrame, group: str, key: str, target: str, directi
     """A question of the extreme row of each group, with its answer rows and edge tag."""
     from cellwise.operators import engine
 
-    answer = engine.extremum(df, target, direction, [group]).groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("answer"), F.count("*").alias("n_answer"))
+    answer = engine.extremum(df, target, direction, [group]).groupBy(group).agg(
+        F.array_sort(F.collect_list(key)).alias("answer"),
+        F.count("*").alias("n_answer")
+    )
     words = F.lit(f"Which {key} has the {'highest' if direction == 'higher' else 'lowest'} {target}?")
     return _asked(df.select(group).distinct(), answer, group, words, edge_tag("extremum", F.coalesce("n_answer", F.lit(0)), F.lit(0)))

@@ -28,12 +28,25 @@ def cells(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
 def rectangular(grids: DataFrame, rows: str, out: str = "rows") -> DataFrame:
     """Every row padded with empty texts, or cut, to the width of the widest."""
     width = F.aggregate(F.col(rows), F.lit(0), lambda w, r: F.greatest(w, F.coalesce(F.size(r), F.lit(0))))
-    return grids.withColumn("_width", width).withColumn(out, F.transform(F.col(rows), lambda r: F.slice(F.concat(F.coalesce(r, F.array().cast("array<string>")), F.array_repeat(F.lit(""), F.col("_width"))), 1, F.col("_width")))).drop("_width")
+    return grids.withColumn("_width", width).withColumn(
+        out,
+        F.transform(
+            F.col(rows),
+            lambda r: F.slice(
+                F.concat(F.coalesce(r, F.array().cast("array<string>")), F.array_repeat(F.lit(""), F.col("_width"))),
+                1,
+                F.col("_width")
+            )
+        )
+    ).drop("_width")
 
 
 def values(long: DataFrame) -> DataFrame:
     """``long`` with ``_num``, the number a cell writes, and ``_missing``; only cells that are no number are looked at twice."""
-    return long.withColumn("_num", cell_number(F.col("raw"))).withColumn("_missing", F.when(F.col("_num").isNotNull(), False).otherwise(F.coalesce(is_missing(F.col("raw")), F.lit(True))))
+    return long.withColumn("_num", cell_number(F.col("raw"))).withColumn(
+        "_missing",
+        F.when(F.col("_num").isNotNull(), False).otherwise(F.coalesce(is_missing(F.col("raw")), F.lit(True)))
+    )
 
 
 def row_profile(long: DataFrame) -> DataFrame:
@@ -45,11 +58,18 @@ def row_profile(long: DataFrame) -> DataFrame:
     like = F.col("raw").rlike(r"(?U)^\s*(19|20)[0-9]{2}\b")
     per = v.groupBy("table_id", "row").agg(
         F.coalesce(F.max(F.when(F.col("col") == 0, strip(F.col("raw")))), F.lit("")).alias("label"),
-        count(F.lit(True)).alias("n_values"), count(num.isNotNull()).alias("n_numbers"), count(year).alias("n_years"), count(num.isNull()).alias("n_texts"), count(num.isNotNull() & ~year).alias("n_real"),
+        count(F.lit(True)).alias("n_values"),
+        count(num.isNotNull()).alias("n_numbers"),
+        count(year).alias("n_years"),
+        count(num.isNull()).alias("n_texts"),
+        count(num.isNotNull() & ~year).alias("n_real"),
         count(like).alias("n_year_like"),
     )
     after = Window.partitionBy("table_id").orderBy("row").rowsBetween(1, Window.unboundedFollowing)
-    return per.withColumn("later_number", F.coalesce(F.max((F.col("n_numbers") > 0)).over(after), F.lit(False))).withColumn("year_header", (F.col("n_values") > 0) & (F.col("n_year_like") == F.col("n_values")))
+    return per.withColumn(
+        "later_number",
+        F.coalesce(F.max((F.col("n_numbers") > 0)).over(after), F.lit(False))
+    ).withColumn("year_header", (F.col("n_values") > 0) & (F.col("n_year_like") == F.col("n_values")))
 
 
 def header_like() -> Column:
@@ -69,7 +89,10 @@ def body_start(profile: DataFrame) -> DataFrame:
     w = Window.partitionBy("table_id")
     first = F.min(F.when((F.col("label") != "") & (F.col("n_values") > 0), F.col("row"))).over(w)
     p = p.withColumn("_first", first)
-    return p.groupBy("table_id").agg((F.max("row") + 1).alias("n_rows"), F.min(F.when((F.col("row") >= F.col("_first")) & ~F.col("_head"), F.col("row"))).alias("_s")).select("table_id", "n_rows", F.coalesce("_s", "n_rows").alias("start"))
+    return p.groupBy("table_id").agg(
+        (F.max("row") + 1).alias("n_rows"),
+        F.min(F.when((F.col("row") >= F.col("_first")) & ~F.col("_head"), F.col("row"))).alias("_s")
+    ).select("table_id", "n_rows", F.coalesce("_s", "n_rows").alias("start"))
 
 
 def headers(long: DataFrame, profile: DataFrame, starts: DataFrame) -> DataFrame:
@@ -78,18 +101,32 @@ def headers(long: DataFrame, profile: DataFrame, starts: DataFrame) -> DataFrame
     A header row with at most one value in a table of more than two columns is a super-header and names no column.
     """
     wide = long.groupBy("table_id").agg(F.count_distinct("col").alias("_n_cols"))
-    head = long.join(starts.select("table_id", "start"), "table_id").where("row < start").join(profile.select("table_id", "row", "n_values"), ["table_id", "row"]).join(wide, "table_id")
+    head = long.join(starts.select("table_id", "start"), "table_id").where("row < start").join(
+        profile.select("table_id", "row", "n_values"),
+        ["table_id", "row"]
+    ).join(wide, "table_id")
     used = head.where("not (n_values <= 1 and _n_cols > 2)").withColumn("_t", strip(F.coalesce("raw", F.lit(""))))
-    named = used.where("_t <> ''").groupBy("table_id", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "_t"))), lambda x: x["_t"]), " ").alias("_name"))
+    named = used.where("_t <> ''").groupBy("table_id", "col").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "_t"))), lambda x: x["_t"]), " ").alias("_name")
+    )
     every = long.select("table_id", "col").distinct().join(named, ["table_id", "col"], "left")
-    every = every.withColumn("_name", F.coalesce("_name", F.when(F.col("col") == 0, "category").otherwise(F.concat(F.lit("col_"), F.col("col").cast("string")))))
+    every = every.withColumn(
+        "_name",
+        F.coalesce("_name", F.when(F.col("col") == 0, "category").otherwise(F.concat(F.lit("col_"), F.col("col").cast("string"))))
+    )
     k = F.row_number().over(Window.partitionBy("table_id", "_name").orderBy("col")) - 1
-    return every.withColumn("_k", k).select("table_id", "col", F.when(F.col("_k") > 0, F.concat("_name", F.lit("_"), F.col("_k").cast("string"))).otherwise(F.col("_name")).alias("name"))
+    return every.withColumn("_k", k).select(
+        "table_id",
+        "col",
+        F.when(F.col("_k") > 0, F.concat("_name", F.lit("_"), F.col("_k").cast("string"))).otherwise(F.col("_name")).alias("name")
+    )
 
 
 def body_rows(profile: DataFrame, starts: DataFrame) -> DataFrame:
     """The profiled rows of the body without sections and blank rows: those with a value, and with a label or a real number."""
-    return profile.join(starts.select("table_id", "start"), "table_id").where("row >= start and n_values > 0 and (label <> '' or n_real > 0)").drop("start")
+    return profile.join(starts.select("table_id", "start"), "table_id").where(
+        "row >= start and n_values > 0 and (label <> '' or n_real > 0)"
+    ).drop("start")
 
 
 def distinct_labels(rows: DataFrame, table_id: str, row: str, label: str) -> Column:
@@ -103,9 +140,16 @@ def column_types(long: DataFrame) -> DataFrame:
     """``table_id``, ``col``, ``type``: numeric, categorical or text; the first column is categorical."""
     p = values(long).where("not _missing")
     texts = F.when(F.col("_num").isNull(), 1).otherwise(0)
-    per = p.groupBy("table_id", "col").agg((F.sum(texts) == 0).alias("_num"), F.size(F.collect_set(strip(F.col("raw")))).alias("_d"), F.count("*").alias("_n"))
+    per = p.groupBy("table_id", "col").agg(
+        (F.sum(texts) == 0).alias("_num"),
+        F.size(F.collect_set(strip(F.col("raw")))).alias("_d"),
+        F.count("*").alias("_n")
+    )
     every = long.select("table_id", "col").distinct().join(per, ["table_id", "col"], "left")
-    kind = F.when(F.col("col") == 0, "categorical").when(F.coalesce("_num", F.lit(False)), "numeric").when(F.col("_d") <= F.greatest(F.lit(2), F.floor(F.col("_n") / 2)), "categorical").otherwise("text")
+    kind = F.when(F.col("col") == 0, "categorical").when(F.coalesce("_num", F.lit(False)), "numeric").when(
+        F.col("_d") <= F.greatest(F.lit(2), F.floor(F.col("_n") / 2)),
+        "categorical"
+    ).otherwise("text")
     return every.select("table_id", "col", kind.alias("type"))
 
 
@@ -114,12 +158,20 @@ def confidence(starts: DataFrame, body: DataFrame, types: DataFrame, ragged: Dat
     n = body.groupBy("table_id").agg(F.count("*").alias("_rows"))
     m = types.where("type = 'numeric'").groupBy("table_id").agg(F.count("*").alias("_metrics"))
     low = (F.col("start") == 0) | (F.coalesce("_rows", F.lit(0)) < 2) | (F.coalesce("_metrics", F.lit(0)) < 1) | F.coalesce("ragged", F.lit(False))
-    return starts.join(n, "table_id", "left").join(m, "table_id", "left").join(ragged, "table_id", "left").select("table_id", F.when(low, "low").otherwise("high").alias("confidence"))
+    return starts.join(n, "table_id", "left").join(m, "table_id", "left").join(ragged, "table_id", "left").select(
+        "table_id",
+        F.when(low, "low").otherwise("high").alias("confidence")
+    )
 
 
 def transpose(long: DataFrame) -> DataFrame:
     """The long form with rows and columns exchanged."""
-    return long.select("table_id", F.col("col").alias("row"), F.col("row").alias("col"), *(c for c in long.columns if c not in ("table_id", "row", "col")))
+    return long.select(
+        "table_id",
+        F.col("col").alias("row"),
+        F.col("row").alias("col"),
+        *(c for c in long.columns if c not in ("table_id", "row", "col"))
+    )
 
 
 def transposed(table: Column) -> Column:
@@ -133,9 +185,18 @@ def transposed(table: Column) -> Column:
     raw = F.concat(F.slice(heads, 1, 1), F.transform(rows, lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))))
     named = F.transform(raw, lambda h: F.when(strip(F.coalesce(h, F.lit(""))) == "", "period").otherwise(h))
     count = lambda names, i, h: F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == h))
-    single = F.transform(named, lambda h, i: F.when(i == 0, h).when(count(named, i, h) > 0, F.concat(h, F.lit("_"), count(named, i, h).cast("string"))).otherwise(h))
-    body = F.transform(F.sequence(F.lit(1), F.size(heads) - 1), lambda c: F.concat(F.array(F.get(heads, c)), F.transform(rows, lambda r: F.coalesce(F.get(r, c), F.lit("")))))
-    types = F.concat(F.array(F.lit("categorical")), F.transform(rows, lambda r: value_type(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))))))
+    single = F.transform(
+        named,
+        lambda h, i: F.when(i == 0, h).when(count(named, i, h) > 0, F.concat(h, F.lit("_"), count(named, i, h).cast("string"))).otherwise(h)
+    )
+    body = F.transform(
+        F.sequence(F.lit(1), F.size(heads) - 1),
+        lambda c: F.concat(F.array(F.get(heads, c)), F.transform(rows, lambda r: F.coalesce(F.get(r, c), F.lit(""))))
+    )
+    types = F.concat(
+        F.array(F.lit("categorical")),
+        F.transform(rows, lambda r: value_type(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0)))))
+    )
     out = F.struct(single.alias("headers"), body.alias("rows"), F.lit(None).cast("array<string>").alias("row_labels"), types.alias("column_types"))
     return F.when((F.size(rows) > 0) & (F.size(heads) >= 2) & F.array_contains(types, "numeric"), out)
 
@@ -147,7 +208,13 @@ def artifacts(tables: DataFrame, table_id: str, rows: str) -> DataFrame:
     """
     t = tables.where(F.size(rows) > 0).dropDuplicates([table_id])
     # a text of years is a number that can be one; empty cells take no part
-    values = lambda r: F.filter(F.transform(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), lambda c: F.struct(cell_number(c).alias("n"), strip(F.coalesce(c, F.lit(""))).alias("t"))), lambda x: x["t"] != "")
+    values = lambda r: F.filter(
+        F.transform(
+            F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))),
+            lambda c: F.struct(cell_number(c).alias("n"), strip(F.coalesce(c, F.lit(""))).alias("t"))
+        ),
+        lambda x: x["t"] != ""
+    )
     year = lambda x: F.coalesce(is_year(x["n"]), F.lit(False))
     leak = lambda v: (F.size(v) > 0) & ~F.exists(v, lambda x: x["n"].isNotNull() & ~year(x)) & (F.size(F.filter(v, year)) >= 2)
     labels = F.filter(F.transform(rows, lambda r: strip(F.coalesce(F.get(r, F.lit(0)), F.lit("")))), lambda x: x != "")
@@ -160,7 +227,10 @@ def value_type(cells: Column) -> Column:
     """The type of an array of cells: numeric, categorical or text."""
     known = F.filter(cells, lambda c: ~F.coalesce(is_missing(c), F.lit(True)))
     distinct = F.size(F.array_distinct(F.transform(known, strip)))
-    return F.when((F.size(known) > 0) & F.forall(known, lambda c: cell_number(c).isNotNull()), "numeric").when((F.size(known) > 0) & (distinct <= F.greatest(F.lit(2), F.floor(F.size(known) / 2))), "categorical").otherwise("text")
+    return F.when((F.size(known) > 0) & F.forall(known, lambda c: cell_number(c).isNotNull()), "numeric").when(
+        (F.size(known) > 0) & (distinct <= F.greatest(F.lit(2), F.floor(F.size(known) / 2))),
+        "categorical"
+    ).otherwise("text")
 
 
 def content_signature(long: DataFrame) -> DataFrame:
@@ -170,7 +240,10 @@ def content_signature(long: DataFrame) -> DataFrame:
 
 def ingest(grids: DataFrame, table_id: str, rows: str) -> dict[str, DataFrame]:
     """All steps for a column of raw grids: ``headers``, ``rows`` (labels), ``cells`` (typed values), ``types`` and ``tables``."""
-    ragged = grids.select(F.col(table_id).alias("table_id"), (F.size(F.array_distinct(F.transform(F.col(rows), lambda r: F.size(r)))) > 1).alias("ragged"))
+    ragged = grids.select(
+        F.col(table_id).alias("table_id"),
+        (F.size(F.array_distinct(F.transform(F.col(rows), lambda r: F.size(r)))) > 1).alias("ragged")
+    )
     long = cells(rectangular(grids, rows, rows), table_id, rows)
     profile = materialize(row_profile(long), "profile")  # a row of counts for each row; read four times below
     starts = body_start(profile)
@@ -192,7 +265,14 @@ TABLE = "struct<headers:array<string>,rows:array<array<string>>,row_labels:array
 
 def _cell(c: Column) -> Column:
     """A cell's text, its number, and whether it writes that there is no value."""
-    return let(cell_number(c), lambda n: F.struct(strip(F.coalesce(c, F.lit(""))).alias("t"), n.alias("n"), F.when(n.isNotNull(), False).otherwise(F.coalesce(is_missing(c), F.lit(True))).alias("m")))
+    return let(
+        cell_number(c),
+        lambda n: F.struct(
+            strip(F.coalesce(c, F.lit(""))).alias("t"),
+            n.alias("n"),
+            F.when(n.isNotNull(), False).otherwise(F.coalesce(is_missing(c), F.lit(True))).alias("m")
+        )
+    )
 
 
 def ingest_records(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
@@ -204,14 +284,28 @@ def ingest_records(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
     """
     no_rows = F.array().cast("array<array<string>>")
     g = with_columns(grids.select(F.col(table_id).alias("table_id"), F.col(rows).alias("_in")), _raw=F.coalesce("_in", no_rows)).drop("_in")
-    g = with_columns(g, _width=F.aggregate("_raw", F.lit(0), lambda w, r: F.greatest(w, F.coalesce(F.size(r), F.lit(0)))), _sizes=F.transform("_raw", lambda r: F.coalesce(F.size(r), F.lit(0))))
-    square = F.transform("_raw", lambda r: F.slice(F.concat(F.coalesce(r, F.array().cast("array<string>")), F.array_repeat(F.lit(""), F.col("_width"))), F.lit(1), F.col("_width")))
+    g = with_columns(
+        g,
+        _width=F.aggregate("_raw", F.lit(0), lambda w, r: F.greatest(w, F.coalesce(F.size(r), F.lit(0)))),
+        _sizes=F.transform("_raw", lambda r: F.coalesce(F.size(r), F.lit(0)))
+    )
+    square = F.transform(
+        "_raw",
+        lambda r: F.slice(
+            F.concat(F.coalesce(r, F.array().cast("array<string>")), F.array_repeat(F.lit(""), F.col("_width"))),
+            F.lit(1),
+            F.col("_width")
+        )
+    )
     g = with_columns(g, _cells=F.transform(square, lambda r: F.transform(r, _cell)))
     year = lambda x: F.coalesce(is_year(x["n"]), F.lit(False))
     values = lambda r: F.filter(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), lambda x: ~x["m"])
     count = lambda v, f: F.size(F.filter(v, f))
     profile = lambda r, v: F.struct(
-        F.coalesce(F.get(r, F.lit(0))["t"], F.lit("")).alias("label"), F.size(v).alias("n"), count(v, lambda x: x["n"].isNotNull()).alias("numbers"), count(v, year).alias("years"),
+        F.coalesce(F.get(r, F.lit(0))["t"], F.lit("")).alias("label"),
+        F.size(v).alias("n"),
+        count(v, lambda x: x["n"].isNotNull()).alias("numbers"),
+        count(v, year).alias("years"),
         count(v, lambda x: x["n"].isNotNull() & ~year(x)).alias("real"), count(v, lambda x: x["t"].rlike(r"^(19|20)[0-9]{2}\b")).alias("like"),
     )
     g = with_columns(g, _values=F.transform("_cells", values))
@@ -220,7 +314,9 @@ def ingest_records(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
     later = lambda i: F.col("_last") > i
     texts = lambda p: p["n"] - p["numbers"]
     years = lambda p, i: (p["real"] == 0) & later(i) & ((p["years"] >= 2) | ((p["years"] >= 1) & (texts(p) >= 1)))
-    head = lambda p, i: F.when(p["n"] == 0, False).when(p["like"] == p["n"], True).when(years(p, i), True).otherwise((p["numbers"] / p["n"] < 0.5) & later(i))
+    head = lambda p, i: F.when(p["n"] == 0, False).when(p["like"] == p["n"], True).when(years(p, i), True).otherwise(
+        (p["numbers"] / p["n"] < 0.5) & later(i)
+    )
     first = F.array_min(F.transform("_p", lambda p, i: F.when((p["label"] != "") & (p["n"] > 0), i)))
     g = with_columns(g, _heads=F.transform("_p", head), _first=first)
     g = with_columns(g, start=F.coalesce(F.array_min(F.transform("_heads", lambda h, i: F.when((i >= F.col("_first")) & ~h, i))), F.size("_raw")))
@@ -228,28 +324,73 @@ def ingest_records(grids: DataFrame, table_id: str, rows: str) -> DataFrame:
     above, below = F.slice(lines, F.lit(1), F.col("start")), F.slice(lines, F.col("start") + 1, F.size("_raw"))
     g = with_columns(g, _above=above, _below=below)
     over = lambda x: (x["p"]["n"] <= 1) & (F.col("_width") > 2)
-    named = lambda j: F.array_join(F.filter(F.transform(F.filter("_above", lambda x: ~over(x)), lambda x: F.get(x["c"], j)["t"]), lambda t: t != ""), " ")
+    named = lambda j: F.array_join(
+        F.filter(F.transform(F.filter("_above", lambda x: ~over(x)), lambda x: F.get(x["c"], j)["t"]), lambda t: t != ""),
+        " "
+    )
     columns = F.when(F.col("_width") > 0, F.sequence(F.lit(0), F.col("_width") - 1)).otherwise(F.array().cast("array<int>"))
     blank = lambda j: F.when(j == 0, "category").otherwise(F.concat(F.lit("col_"), j.cast("string")))
-    g = with_columns(g, _names=F.transform(columns, lambda j: F.coalesce(F.nullif(named(j), F.lit("")), blank(j))), _super=F.flatten(F.transform(F.filter("_above", over), lambda x: F.filter(F.transform(x["c"], lambda c: c["t"]), lambda t: t != ""))))
+    g = with_columns(
+        g,
+        _names=F.transform(columns, lambda j: F.coalesce(F.nullif(named(j), F.lit("")), blank(j))),
+        _super=F.flatten(F.transform(F.filter("_above", over), lambda x: F.filter(F.transform(x["c"], lambda c: c["t"]), lambda t: t != "")))
+    )
     kept = F.filter("_below", lambda x: (x["p"]["n"] > 0) & ((x["p"]["label"] != "") | (x["p"]["real"] > 0)))
     g = with_columns(g, _kept=kept)
     numbered = lambda names, h, i: F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == h))
     one = lambda h, i: F.when(i == 0, F.lit(0)).otherwise(numbered(F.col("_names"), h, i))
-    g = with_columns(g, _headers=F.transform("_names", lambda h, i: F.when(one(h, i) > 0, F.concat(h, F.lit("_"), one(h, i).cast("string"))).otherwise(h)), _labels=F.transform("_kept", lambda x: x["p"]["label"]))
+    g = with_columns(
+        g,
+        _headers=F.transform("_names", lambda h, i: F.when(one(h, i) > 0, F.concat(h, F.lit("_"), one(h, i).cast("string"))).otherwise(h)),
+        _labels=F.transform("_kept", lambda x: x["p"]["label"])
+    )
     g = with_columns(g, _nth=F.transform("_labels", lambda h, i: F.when((h == "") | (i == 0), 0).otherwise(numbered(F.col("_labels"), h, i))))
     label = lambda h, k: F.when(k > 0, F.concat(h, F.lit(" ("), (k + 1).cast("string"), F.lit(")"))).otherwise(h)
     g = with_columns(g, _single=F.zip_with("_labels", "_nth", label))
     text = lambda c: F.when(c["m"], "").otherwise(c["t"])
-    body = F.zip_with("_kept", "_single", lambda x, l: F.concat(F.array(l), F.transform(F.slice(x["c"], F.lit(2), F.greatest(F.col("_width") - 1, F.lit(0))), text)))
+    body = F.zip_with(
+        "_kept",
+        "_single",
+        lambda x, l: F.concat(F.array(l), F.transform(F.slice(x["c"], F.lit(2), F.greatest(F.col("_width") - 1, F.lit(0))), text))
+    )
     column = lambda j: F.filter(F.transform("_kept", lambda x: F.get(x["c"], j)), lambda c: ~c["m"])
-    kinds = lambda v: F.when((F.size(v) > 0) & F.forall(v, lambda c: c["n"].isNotNull()), "numeric").when((F.size(v) > 0) & (F.size(F.array_distinct(F.transform(v, lambda c: c["t"]))) <= F.greatest(F.lit(2), F.floor(F.size(v) / 2))), "categorical").otherwise("text")
+    kinds = lambda v: F.when((F.size(v) > 0) & F.forall(v, lambda c: c["n"].isNotNull()), "numeric").when(
+        (F.size(v) > 0) & (F.size(F.array_distinct(F.transform(v, lambda c: c["t"]))) <= F.greatest(F.lit(2), F.floor(F.size(v) / 2))),
+        "categorical"
+    ).otherwise("text")
     g = with_columns(g, _body=body, _known=F.transform(columns, column), _ragged=F.size(F.filter("_below", lambda x: x["s"] != F.col("_width"))))
     g = with_columns(g, _types=F.transform("_known", lambda v, j: F.when(j == 0, "categorical").otherwise(kinds(v))))
-    g = with_columns(g, metric_cols=F.transform(F.filter(F.arrays_zip(F.col("_headers").alias("h"), F.col("_types").alias("t")), lambda x: x["t"] == "numeric"), lambda x: x["h"]))
+    g = with_columns(
+        g,
+        metric_cols=F.transform(
+            F.filter(F.arrays_zip(F.col("_headers").alias("h"), F.col("_types").alias("t")), lambda x: x["t"] == "numeric"),
+            lambda x: x["h"]
+        )
+    )
     dropped, repeated = F.size("_below") - F.size("_kept"), F.size(F.filter("_nth", lambda k: k > 0))
     note = lambda n, words: F.when(n > 0, F.concat(n.cast("string"), F.lit(words)))
-    notes = F.array_compact(F.array(F.when(F.col("start") == 0, "no header rows"), note(F.col("_ragged"), " ragged rows"), note(dropped, " section or blank rows dropped"), note(repeated, " repeated labels numbered")))
+    notes = F.array_compact(
+        F.array(
+            F.when(F.col("start") == 0, "no header rows"),
+            note(F.col("_ragged"), " ragged rows"),
+            note(dropped, " section or blank rows dropped"),
+            note(repeated, " repeated labels numbered")
+        )
+    )
     low = (F.col("start") == 0) | (F.size("_body") < 2) | (F.size("metric_cols") == 0) | (F.col("_ragged") > 0)
-    table = F.struct(F.col("_headers").alias("headers"), F.col("_body").alias("rows"), F.lit(None).cast("array<string>").alias("row_labels"), F.col("_types").alias("column_types"))
-    return g.select("table_id", table.cast(TABLE).alias("table"), F.coalesce(F.get("_headers", F.lit(0)), F.lit("category")).alias("name_col"), "metric_cols", F.when(low, "low").otherwise("high").alias("confidence"), notes.alias("notes"), F.col("_super").alias("super_headers"), "start")
+    table = F.struct(
+        F.col("_headers").alias("headers"),
+        F.col("_body").alias("rows"),
+        F.lit(None).cast("array<string>").alias("row_labels"),
+        F.col("_types").alias("column_types")
+    )
+    return g.select(
+        "table_id",
+        table.cast(TABLE).alias("table"),
+        F.coalesce(F.get("_headers", F.lit(0)), F.lit("category")).alias("name_col"),
+        "metric_cols",
+        F.when(low, "low").otherwise("high").alias("confidence"),
+        notes.alias("notes"),
+        F.col("_super").alias("super_headers"),
+        "start"
+    )

@@ -54,7 +54,10 @@ def fuzzy_match(left: DataFrame, right: DataFrame, group: str, key: str, label:
     whole = F.length("_a") + F.length("_b")
     pairs = asked.join(known, [group, "_g"]).where(2 * F.least(F.length("_a"), F.length("_b")) >= CUTOFF * whole).select(group, "_a", "_b").distinct()
     near = pairs.where(F.levenshtein("_a", "_b") <= whole - 2 * F.ceil(CUTOFF * whole / 2)).where(ratio("_a", "_b") >= CUTOFF)
-    found = rest.join(near, [group, "_a"]).join(r, [group, "_b"]).groupBy(group, key).agg(F.count("*").alias("_n"), F.min("_label").alias("match")).where("_n = 1").select(group, key, "match")
+    found = rest.join(near, [group, "_a"]).join(r, [group, "_b"]).groupBy(group, key).agg(
+        F.count("*").alias("_n"),
+        F.min("_label").alias("match")
+    ).where("_n = 1").select(group, key, "match")
     return sure.unionByName(found)
 
 
@@ -68,8 +71,16 @@ def chain_match(values: Column, cells: Column) -> Column:
 
     ``values`` and ``cells`` are arrays of numbers; the greedy pass is one fold within the row.
     """
-    free = lambda acc: F.filter(F.transform(cells, lambda c, i: F.named_struct(F.lit("c"), c, F.lit("i"), i)), lambda x: ~F.array_contains(acc, x["i"]))
-    step = lambda acc, v: F.when(acc.isNull(), acc).otherwise(F.when(F.size(F.filter(free(acc), lambda x: close(x["c"], v))) > 0, F.concat(acc, F.array(F.get(F.transform(F.filter(free(acc), lambda x: close(x["c"], v)), lambda x: x["i"]), F.lit(0))))))
+    free = lambda acc: F.filter(
+        F.transform(cells, lambda c, i: F.named_struct(F.lit("c"), c, F.lit("i"), i)),
+        lambda x: ~F.array_contains(acc, x["i"])
+    )
+    step = lambda acc, v: F.when(acc.isNull(), acc).otherwise(
+        F.when(
+            F.size(F.filter(free(acc), lambda x: close(x["c"], v))) > 0,
+            F.concat(acc, F.array(F.get(F.transform(F.filter(free(acc), lambda x: close(x["c"], v)), lambda x: x["i"]), F.lit(0))))
+        )
+    )
     return F.aggregate(values, F.array().cast("array<int>"), step)
 
 
@@ -91,7 +102,10 @@ def reconstruct(answer: Column, headers: Column) -> Column:
     a = F.from_json(answer, ANSWER)
     none = F.array().cast("array<struct<row:int,col:int,col_name:string,value:string>>")
     cites = F.flatten(F.transform(a["trace_steps"], lambda s: F.coalesce(F.transform(s["cites"], lambda c: cell(c, headers)), none)))
-    return F.when(a["trace_steps"].isNotNull(), F.struct(a["trace_steps"].alias("trace_steps"), a["final_answer"].alias("final_answer"), F.array_distinct(cites).alias("evidence_cells")))
+    return F.when(
+        a["trace_steps"].isNotNull(),
+        F.struct(a["trace_steps"].alias("trace_steps"), a["final_answer"].alias("final_answer"), F.array_distinct(cites).alias("evidence_cells"))
+    )
 
 
 def rebuild(answers: DataFrame, key: str, raw: str, source: str) -> DataFrame:
@@ -104,7 +118,12 @@ def rebuild(answers: DataFrame, key: str, raw: str, source: str) -> DataFrame:
 
     text = first_object(F.col(raw))
     a = reconstruct(text, F.col(f"{source}.table.headers"))
-    out = answers.select(F.col(key), F.concat(F.col(f"{source}.metadata.example_id"), F.lit("_llm")).alias("example_id"), a.alias("record"), text.isNull().alias("_none"))
+    out = answers.select(
+        F.col(key),
+        F.concat(F.col(f"{source}.metadata.example_id"), F.lit("_llm")).alias("example_id"),
+        a.alias("record"),
+        text.isNull().alias("_none")
+    )
     return out.select(key, "example_id", "record", F.when(F.col("_none"), "no object").when(F.col("record").isNull(), "no steps").alias("error"))
 
 

@@ -234,9 +234,18 @@ def flatten(records: DataFrame, key: str, root: str = "record") -> dict[str, Dat
     def child(base: DataFrame, path: str, parent: str, array: Column, t: T.ArrayType) -> None:
         inner, placed = _element(t)
         if placed:
-            rows = base.select("_key", F.col("_at").alias("_ordinals"), F.explode(array).alias("_e")).select("_key", "_ordinals", F.col(f"_e.{PLACE}").alias("_place"), F.col(f"_e.{VALUE}").alias("_v"))
+            rows = base.select("_key", F.col("_at").alias("_ordinals"), F.explode(array).alias("_e")).select(
+                "_key",
+                "_ordinals",
+                F.col(f"_e.{PLACE}").alias("_place"),
+                F.col(f"_e.{VALUE}").alias("_v")
+            )
         else:
-            rows = base.select("_key", F.col("_at").alias("_ordinals"), F.posexplode(array).alias("_place", "_v")).withColumn("_place", F.col("_place").cast("bigint"))
+            rows = base.select(
+                "_key",
+                F.col("_at").alias("_ordinals"),
+                F.posexplode(array).alias("_place", "_v")
+            ).withColumn("_place", F.col("_place").cast("bigint"))
         head = [F.col("_key"), F.lit(parent).alias("_parent"), F.col("_ordinals"), F.col("_place")]
         below = rows.select("_key", F.concat("_ordinals", F.array("_place")).alias("_at"), "_v")
         if isinstance(inner, T.StructType):
@@ -251,7 +260,11 @@ def flatten(records: DataFrame, key: str, root: str = "record") -> dict[str, Dat
             tables[path] = rows.select(*head, F.col("_v").alias("value"))
 
     cols: list[Column] = []
-    base = records.select(F.col(key).alias("_key"), F.array().cast("array<bigint>").alias("_at"), F.struct(*(F.col(f"`{c}`") for c in records.columns if c != key)).alias("_v"))
+    base = records.select(
+        F.col(key).alias("_key"),
+        F.array().cast("array<bigint>").alias("_at"),
+        F.struct(*(F.col(f"`{c}`") for c in records.columns if c != key)).alias("_v")
+    )
     cols, arrays = scalars(F.col("_v"), base.schema["_v"].dataType, "")
     tables[root] = base.select("_key", *cols)
     for path, c, t in arrays:
@@ -272,9 +285,20 @@ def cell_references(tables: dict[str, DataFrame], key: str = "rec_id") -> DataFr
         step = F.element_at("_ordinals", 1) if path == "cite" else F.lit(-1).cast("bigint")
         row = F.expr(f"try_cast(`{column}` as double)")
         row = F.when((row == F.floor(row)) & (F.abs(row) < 2.0**63), row.cast("bigint"))
-        parts.append(t.select(F.col("_key").alias(key), F.lit(path).alias("path"), step.alias("step_pos"), F.col("_place").alias("pos"), row.alias("row_no")).where("row_no is not null"))
+        parts.append(
+            t.select(
+                F.col("_key").alias(key),
+                F.lit(path).alias("path"),
+                step.alias("step_pos"),
+                F.col("_place").alias("pos"),
+                row.alias("row_no")
+            ).where("row_no is not null")
+        )
     if not parts:
-        return next(iter(tables.values())).sparkSession.createDataFrame([], f"`{key}` bigint, path string, step_pos bigint, pos bigint, row_no bigint")
+        return next(iter(tables.values())).sparkSession.createDataFrame(
+            [],
+            f"`{key}` bigint, path string, step_pos bigint, pos bigint, row_no bigint"
+        )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

@@ -30,7 +30,10 @@ def stratified_sample(df: DataFrame, group: str, key: str, n: int, seed: int | s
 
 def hash_split(df: DataFrame, key: str, share: float, seed: int | str = 0) -> DataFrame:
     """``df`` with ``part``: eval for about ``share`` of the ids, train for the others."""
-    return df.withColumn("part", F.when(F.conv(F.substring(draw(seed, key), 1, 6), 16, 10).cast("bigint") < int(share * 16**6), "eval").otherwise("train"))
+    return df.withColumn(
+        "part",
+        F.when(F.conv(F.substring(draw(seed, key), 1, 6), 16, 10).cast("bigint") < int(share * 16**6), "eval").otherwise("train")
+    )
 
 
 def freeze_splits(tables: DataFrame, key: str, n_test: int, n_dev: int, seed: int | str = 0) -> DataFrame:
@@ -56,14 +59,26 @@ def grounded_majority(df: DataFrame, group: str, vote: str, order: str, grounded
     """As ``majority`` among the grounded votes of each group; a group without one has the majority of all."""
     some = df.withColumn("_g", F.coalesce(F.col(grounded), F.lit(False))).where(F.col(vote).isNotNull())
     counts = some.groupBy(group, vote, "_g").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    all_ = counts.groupBy(group, vote).agg(F.sum("n").alias("n"), F.min("_first").alias("_first"), F.coalesce(F.sum(F.when(F.col("_g"), F.col("n"))), F.lit(0)).alias("k"), F.min(F.when(F.col("_g"), F.col("_first"))).alias("_kfirst"))
-    place = F.when(F.col("k") > 0, F.struct(F.lit(1).alias("r"), F.col("k").alias("n"), (-F.col("_kfirst").cast("double")).alias("f"), F.col(vote).alias("v"))).otherwise(F.struct(F.lit(0).alias("r"), F.col("n").alias("n"), (-F.col("_first").cast("double")).alias("f"), F.col(vote).alias("v")))
+    all_ = counts.groupBy(group, vote).agg(
+        F.sum("n").alias("n"),
+        F.min("_first").alias("_first"),
+        F.coalesce(F.sum(F.when(F.col("_g"), F.col("n"))), F.lit(0)).alias("k"),
+        F.min(F.when(F.col("_g"), F.col("_first"))).alias("_kfirst")
+    )
+    place = F.when(
+        F.col("k") > 0,
+        F.struct(F.lit(1).alias("r"), F.col("k").alias("n"), (-F.col("_kfirst").cast("double")).alias("f"), F.col(vote).alias("v"))
+    ).otherwise(F.struct(F.lit(0).alias("r"), F.col("n").alias("n"), (-F.col("_first").cast("double")).alias("f"), F.col(vote).alias("v")))
     return all_.groupBy(group).agg(F.max(place).alias("x")).select(group, F.col("x.v").alias(vote), F.col("x.n").alias("n"))
 
 
 def unanimous(df: DataFrame, group: str, vote: str, ok: str, n: int) -> DataFrame:
     """Per group whether at least ``n`` rows agree in one vote and all are ok."""
-    return df.groupBy(group).agg(((F.count(vote) == F.count("*")) & (F.count("*") >= n) & (F.count_distinct(vote) == 1) & F.bool_and(F.coalesce(F.col(ok), F.lit(False)))).alias("accepted"))
+    return df.groupBy(group).agg(
+        (
+            (F.count(vote) == F.count("*")) & (F.count("*") >= n) & (F.count_distinct(vote) == 1) & F.bool_and(F.coalesce(F.col(ok), F.lit(False)))
+        ).alias("accepted")
+    )
 
 
 def latest(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:

@@ -21,7 +21,17 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT) -> DataFrame:
     return counts.where(F.col("_n") > F.greatest(F.lit(1.0), share * whole)).select(key)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", *, hot: DataFrame | None = None, share: float = HOT, salts: int = SALTS) -> DataFrame:
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread: Column,
+    how: str = "inner",
+    *,
+    hot: DataFrame | None = None,
+    share: float = HOT,
+    salts: int = SALTS
+) -> DataFrame:
     """``left`` joined with ``right`` on ``key`` (inner or left), hot keys of ``left`` split over ``salts`` tasks.
 
     ``spread`` tells the rows of a hot key apart. Rows of ``right`` with a hot key, expected to be few, are given to each of
@@ -29,7 +39,10 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how
     """
     hot = F.broadcast((hot if hot is not None else hot_keys(left, key, share)).select(key).withColumn("_hot", F.lit(True)))
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    big = left.withColumn("_spread", spread).join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_spread"), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot", "_spread")
+    big = left.withColumn("_spread", spread).join(hot, key, "left").withColumn(
+        "_salt",
+        F.when(F.col("_hot"), F.pmod(F.xxhash64("_spread"), F.lit(salts)).cast("int")).otherwise(0)
+    ).drop("_hot", "_spread")
     small = right.join(hot, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
     return big.join(small, [key, "_salt"], how).drop("_salt")
 

@@ -33,17 +33,41 @@ _BEST = "with s as (select * from part where {where}), b as (select p_brand, {ag
 
 @query(_BEST.format(where="p_size < 25", agg="max", t="p_retailprice"))
 def best_under_constraint_high(spark: SparkSession, d: str) -> DataFrame:
-    return engine.best_under_constraint(_part(spark, d), "p_retailprice", "higher", "p_size", "lt", 25, ["p_brand"]).select("p_brand", "p_partkey", "p_retailprice")
+    return engine.best_under_constraint(
+        _part(spark, d),
+        "p_retailprice",
+        "higher",
+        "p_size",
+        "lt",
+        25,
+        ["p_brand"]
+    ).select("p_brand", "p_partkey", "p_retailprice")
 
 
 @query(_BEST.format(where="p_size >= 25", agg="min", t="p_retailprice"))
 def best_under_constraint_low(spark: SparkSession, d: str) -> DataFrame:
-    return engine.best_under_constraint(_part(spark, d), "p_retailprice", "lower", "p_size", "ge", 25, ["p_brand"]).select("p_brand", "p_partkey", "p_retailprice")
+    return engine.best_under_constraint(
+        _part(spark, d),
+        "p_retailprice",
+        "lower",
+        "p_size",
+        "ge",
+        25,
+        ["p_brand"]
+    ).select("p_brand", "p_partkey", "p_retailprice")
 
 
 @query(_BEST.format(where="p_retailprice < 1500", agg="max", t="p_size"))
 def best_under_constraint_tie(spark: SparkSession, d: str) -> DataFrame:
-    return engine.best_under_constraint(_part(spark, d), "p_size", "higher", "p_retailprice", "lt", 1500, ["p_brand"]).select("p_brand", "p_partkey", "p_size")
+    return engine.best_under_constraint(
+        _part(spark, d),
+        "p_size",
+        "higher",
+        "p_retailprice",
+        "lt",
+        1500,
+        ["p_brand"]
+    ).select("p_brand", "p_partkey", "p_size")
 
 
 @query("select distinct p_brand, 'none' as label, cast(0 as bigint) as n_rows from part")
@@ -64,7 +88,10 @@ def threshold_filter_one(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select l_orderkey, l_linenumber, l_quantity, l_discount from lineitem where l_quantity >= 45 and l_discount < 0.02")
 def threshold_filter_two(spark: SparkSession, d: str) -> DataFrame:
-    return engine.threshold_filter(table(spark, d, "lineitem"), [("l_quantity", "gte", 45), ("l_discount", "lt", 0.02)]).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return engine.threshold_filter(
+        table(spark, d, "lineitem"),
+        [("l_quantity", "gte", 45), ("l_discount", "lt", 0.02)]
+    ).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
 
 
 _FRONT = "select a.p_brand, a.p_partkey, a.p_size, a.p_retailprice from part a where not exists (select 1 from part b where b.p_brand = a.p_brand and {s}b.p_size >= {s}a.p_size and b.p_retailprice >= a.p_retailprice and ({s}b.p_size > {s}a.p_size or b.p_retailprice > a.p_retailprice))"
@@ -86,9 +113,17 @@ def pareto_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return engine.pareto_antijoin(_part(spark, d), "p_size", "p_retailprice", "higher", "higher", ["p_brand"]).select(*_COLS)
 
 
-@query("select l_orderkey, l_linenumber, l_extendedprice, l_discount from (select *, max(l_discount) over (order by l_extendedprice desc rows between unbounded preceding and 1 preceding) as before, max(l_discount) over (partition by l_extendedprice) as same from lineitem) where l_discount >= same and (before is null or l_discount > before or (l_discount = before and l_extendedprice >= (select max(l_extendedprice) from lineitem x where x.l_discount >= same)))")
+@query(
+    "select l_orderkey, l_linenumber, l_extendedprice, l_discount from (select *, max(l_discount) over (order by l_extendedprice desc rows between unbounded preceding and 1 preceding) as before, max(l_discount) over (partition by l_extendedprice) as same from lineitem) where l_discount >= same and (before is null or l_discount > before or (l_discount = before and l_extendedprice >= (select max(l_extendedprice) from lineitem x where x.l_discount >= same)))"
+)
 def pareto_whole_table(spark: SparkSession, d: str) -> DataFrame:
-    return engine.pareto_global(table(spark, d, "lineitem"), "l_extendedprice", "l_discount", "higher", "higher").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    return engine.pareto_global(
+        table(spark, d, "lineitem"),
+        "l_extendedprice",
+        "l_discount",
+        "higher",
+        "higher"
+    ).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
 
 
 _EXT = "select c_nationkey, c_custkey, c_acctbal from (select *, {a}(c_acctbal) over (partition by c_nationkey) as best from customer) where abs(c_acctbal - best) <= 1e-9"
@@ -124,7 +159,9 @@ def evidence_best(spark: SparkSession, d: str) -> DataFrame:
     return engine.evidence(_ties(spark, d), "p_partkey", ["p_size", "p_retailprice"])
 
 
-@query("with s as (select *, row_number() over (order by l_orderkey, l_linenumber) as k from lineitem where l_quantity >= 50 and l_discount < 0.01) select l_orderkey * 100 + l_linenumber as line, 'l_quantity' as col_name, l_quantity as value from s union all select l_orderkey * 100 + l_linenumber, 'l_discount', l_discount from s")
+@query(
+    "with s as (select *, row_number() over (order by l_orderkey, l_linenumber) as k from lineitem where l_quantity >= 50 and l_discount < 0.01) select l_orderkey * 100 + l_linenumber as line, 'l_quantity' as col_name, l_quantity as value from s union all select l_orderkey * 100 + l_linenumber, 'l_discount', l_discount from s"
+)
 def evidence_threshold(spark: SparkSession, d: str) -> DataFrame:
     rows = engine.threshold_filter(table(spark, d, "lineitem"), [("l_quantity", "gte", 50), ("l_discount", "lt", 0.01)])
     return engine.evidence(rows.withColumn("line", F.col("l_orderkey") * 100 + F.col("l_linenumber")), "line", ["l_quantity", "l_discount"])
@@ -148,7 +185,9 @@ def evidence_empty(spark: SparkSession, d: str) -> DataFrame:
     return engine.evidence_or_universe(won, _part(spark, d), "p_partkey", ["p_size", "p_retailprice"], ["p_size"], ["p_brand"])
 
 
-@query("select c_custkey, 'c_acctbal' as col_name, c_acctbal as value from customer union all select c_custkey, 'c_nationkey', cast(c_nationkey as double) from customer")
+@query(
+    "select c_custkey, 'c_acctbal' as col_name, c_acctbal as value from customer union all select c_custkey, 'c_nationkey', cast(c_nationkey as double) from customer"
+)
 def cells_unpivot(spark: SparkSession, d: str) -> DataFrame:
     return engine.evidence(table(spark, d, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"])
 
@@ -179,7 +218,12 @@ def totals_divergence(spark: SparkSession, d: str) -> DataFrame:
     """The same operation over all rows and over the universe: where they differ, a total leaked into the answer."""
     s = _sums(spark, d)
     a = engine.extremum(s, "amount", "higher", ["o_orderstatus"]).select("o_orderstatus", F.col("label").alias("label_all"))
-    u = engine.extremum(engine.universe(s, "label"), "amount", "higher", ["o_orderstatus"]).select("o_orderstatus", F.col("label").alias("label_universe"))
+    u = engine.extremum(
+        engine.universe(s, "label"),
+        "amount",
+        "higher",
+        ["o_orderstatus"]
+    ).select("o_orderstatus", F.col("label").alias("label_universe"))
     return a.join(u, "o_orderstatus").withColumn("diverges", F.col("label_all") != F.col("label_universe"))
 
 
@@ -188,7 +232,10 @@ _STYLED = "case c_custkey % 6 when 0 then concat('$ ', cast(abs(c_nationkey) * 1
 
 def _styled(spark: SparkSession, d: str) -> DataFrame:
     n, k = F.col("c_nationkey"), F.col("c_custkey") % 6
-    raw = F.when(k == 0, F.concat(F.lit("$ "), (n * 1111).cast("string"))).when(k == 1, F.concat(F.lit("("), n.cast("string"), F.lit(".5)"))).when(k == 2, F.concat(n.cast("string"), F.lit(".25%"))).when(k == 3, "—").when(k == 4, "n/a").otherwise(F.concat(F.lit("item "), n.cast("string")))
+    raw = F.when(k == 0, F.concat(F.lit("$ "), (n * 1111).cast("string"))).when(
+        k == 1,
+        F.concat(F.lit("("), n.cast("string"), F.lit(".5)"))
+    ).when(k == 2, F.concat(n.cast("string"), F.lit(".25%"))).when(k == 3, "—").when(k == 4, "n/a").otherwise(F.concat(F.lit("item "), n.cast("string")))
     return table(spark, d, "customer").select("c_custkey", "c_nationkey", raw.alias("raw"))
 
 
@@ -203,14 +250,19 @@ def missing_markers(spark: SparkSession, d: str) -> DataFrame:
     return _styled(spark, d).select("c_custkey", text.is_missing(F.col("raw")).alias("missing"))
 
 
-@query("select c_custkey, round(case c_custkey % 6 when 0 then c_nationkey * 1111.0 when 1 then -(c_nationkey + 0.5) when 2 then (c_nationkey + 0.25) / 100 end::double, 6) as num from customer")
+@query(
+    "select c_custkey, round(case c_custkey % 6 when 0 then c_nationkey * 1111.0 when 1 then -(c_nationkey + 0.5) when 2 then (c_nationkey + 0.25) / 100 end::double, 6) as num from customer"
+)
 def canon_num(spark: SparkSession, d: str) -> DataFrame:
     return _styled(spark, d).select("c_custkey", F.round(text.canon_num(F.col("raw")), 6).alias("num"))
 
 
 @query("select c_custkey, c_custkey % 6 in (0, 3, 4, 5) as same from customer")
 def fmt_equiv(spark: SparkSession, d: str) -> DataFrame:
-    other = F.when(F.col("c_custkey") % 6 == 0, (F.col("c_nationkey") * 1111).cast("string")).when(F.col("c_custkey") % 6 <= 2, F.lit("-99999")).otherwise(F.concat(F.col("raw"), F.lit(" ")))
+    other = F.when(
+        F.col("c_custkey") % 6 == 0,
+        (F.col("c_nationkey") * 1111).cast("string")
+    ).when(F.col("c_custkey") % 6 <= 2, F.lit("-99999")).otherwise(F.concat(F.col("raw"), F.lit(" ")))
     return _styled(spark, d).select("c_custkey", text.fmt_equiv(F.col("raw"), other).alias("same"))
 
 
@@ -238,8 +290,14 @@ def nl_superlative(spark: SparkSession, d: str) -> DataFrame:
 @query("select o_orderkey, case when o_orderkey % 2 = 0 then concat(o_custkey, '|', o_custkey + 5) end as chain from orders")
 def chain_values(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_custkey")
-    chain = F.when(F.col("o_orderkey") % 2 == 0, F.concat(k.cast("string"), F.lit(" < $"), (k + 5).cast("string"))).otherwise(F.concat(k.cast("string"), F.lit(">5<"), k.cast("string")))
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.transform(text.chain_values(chain), lambda v: v.cast("bigint").cast("string")), "|").alias("chain"))
+    chain = F.when(
+        F.col("o_orderkey") % 2 == 0,
+        F.concat(k.cast("string"), F.lit(" < $"), (k + 5).cast("string"))
+    ).otherwise(F.concat(k.cast("string"), F.lit(">5<"), k.cast("string")))
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        F.array_join(F.transform(text.chain_values(chain), lambda v: v.cast("bigint").cast("string")), "|").alias("chain")
+    )
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -252,7 +310,9 @@ _GATE = f"""case when t in ('best_under_constraint', 'threshold_filter') then no
     when t = 'tradeoff_summary' then not regexp_matches(lower(question), '{_WORDS}(pareto|trade-?off|optimal|optimize|optimise|maxim|minim)([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)') else true end"""
 
 
-@query(f"select rec_id, {_GATE} as fires from (select rec_id, coalesce(question, '') as question, metadata.spec.type as t from realtable_eval_verified)")
+@query(
+    f"select rec_id, {_GATE} as fires from (select rec_id, coalesce(question, '') as question, metadata.spec.type as t from realtable_eval_verified)"
+)
 def safety_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "realtable_eval_verified").select("rec_id", text.gate_fires(F.col("metadata.spec.type"), F.col("question")).alias("fires"))
 
@@ -260,10 +320,20 @@ def safety_gate(spark: SparkSession, d: str) -> DataFrame:
 @query("select o_orderkey, case o_orderkey % 4 when 0 then 'gte' when 1 then 'lt' when 2 then 'gte' end as op from orders")
 def canon_op(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
-    return table(spark, d, "orders").select("o_orderkey", text.canonical_op(F.when(k == 0, "ge").when(k == 1, "lt").when(k == 2, "gte").otherwise("le")).alias("op"))
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        text.canonical_op(F.when(k == 0, "ge").when(k == 1, "lt").when(k == 2, "gte").otherwise("le")).alias("op")
+    )
 
 
-@query("select p_partkey, printf('%g', p_retailprice * 1000) as big, printf('%g', p_retailprice / 1000000000) as small, printf('%g', -cast(p_size as double)) as whole from part")
+@query(
+    "select p_partkey, printf('%g', p_retailprice * 1000) as big, printf('%g', p_retailprice / 1000000000) as small, printf('%g', -cast(p_size as double)) as whole from part"
+)
 def render_number(spark: SparkSession, d: str) -> DataFrame:
     g = text.general_format
-    return _part(spark, d).select("p_partkey", g(F.col("p_retailprice") * 1000).alias("big"), g(F.col("p_retailprice") / 1e9).alias("small"), g(-F.col("p_size").cast("double")).alias("whole"))
+    return _part(spark, d).select(
+        "p_partkey",
+        g(F.col("p_retailprice") * 1000).alias("big"),
+        g(F.col("p_retailprice") / 1e9).alias("small"),
+        g(-F.col("p_size").cast("double")).alias("whole")
+    )

@@ -68,7 +68,9 @@ def split_header_body(spark: SparkSession, d: str) -> DataFrame:
     return grid.body_start(_profile(spark, d))
 
 
-@query(f"with {_PROFILE} select h.table_id, h.row, h.label from h join s on h.table_id = s.table_id where row >= start and n_values > 0 and (label <> '' or n_real > 0)")
+@query(
+    f"with {_PROFILE} select h.table_id, h.row, h.label from h join s on h.table_id = s.table_id where row >= start and n_values > 0 and (label <> '' or n_real > 0)"
+)
 def drop_section_rows(spark: SparkSession, d: str) -> DataFrame:
     p = _profile(spark, d)
     return grid.body_rows(p, grid.body_start(p)).select("table_id", "row", "label")
@@ -101,11 +103,15 @@ def compose_headers(spark: SparkSession, d: str) -> DataFrame:
     from (select o_custkey, list(list_transform(range(1 + o_orderkey % 3), lambda x: cast(o_orderkey as varchar)) order by o_orderkey) as rows from orders group by 1))""")
 def rectangularize(spark: SparkSession, d: str) -> DataFrame:
     one = F.array_repeat(F.col("o_orderkey").cast("string"), (1 + F.col("o_orderkey") % 3).cast("int"))
-    ragged = table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("r")))), lambda x: x["r"]).alias("rows"))
+    ragged = table(spark, d, "orders").groupBy("o_custkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("r")))), lambda x: x["r"]).alias("rows")
+    )
     return grid.rectangular(ragged, "rows").select("o_custkey", F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("rows"))
 
 
-@query("select p_partkey, case when k > 1 then concat(p_name, ' (', k, ')') else p_name end as label from (select *, row_number() over (partition by p_name order by p_partkey) as k from part)")
+@query(
+    "select p_partkey, case when k > 1 then concat(p_name, ' (', k, ')') else p_name end as label from (select *, row_number() over (partition by p_name order by p_partkey) as k from part)"
+)
 def dedup_labels(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("t", F.lit(1))
     return p.select("p_partkey", grid.distinct_labels(p, "t", "p_partkey", "p_name").alias("label"))
@@ -141,7 +147,15 @@ def ingest_confidence(spark: SparkSession, d: str) -> DataFrame:
 def ingest_tables(spark: SparkSession, d: str) -> DataFrame:
     """Every grid as a clean table: where its body begins, its headers, measures and super-headers, its rows and what was mended."""
     t = grid.ingest_records(_grids(spark, d), "table_id", "grid")
-    return t.select("table_id", "start", F.array_join("table.headers", "|").alias("headers"), F.array_join("metric_cols", "|").alias("metrics"), F.array_join("super_headers", "|").alias("super"), F.size("table.rows").alias("n_rows"), F.array_join("notes", "; ").alias("notes"))
+    return t.select(
+        "table_id",
+        "start",
+        F.array_join("table.headers", "|").alias("headers"),
+        F.array_join("metric_cols", "|").alias("metrics"),
+        F.array_join("super_headers", "|").alias("super"),
+        F.size("table.rows").alias("n_rows"),
+        F.array_join("notes", "; ").alias("notes")
+    )
 
 
 @query(f"with {_CELLS} select table_id, col as row, row as col, raw from c")
@@ -149,18 +163,26 @@ def transpose(spark: SparkSession, d: str) -> DataFrame:
     return grid.transpose(_long(spark, d))
 
 
-@query(f"with {_CELLS} select table_id, 'rows' as orientation, row, col, raw from c where row > 0 union all select table_id, 'columns', col, row, raw from c where col > 0")
+@query(
+    f"with {_CELLS} select table_id, 'rows' as orientation, row, col, raw from c where row > 0 union all select table_id, 'columns', col, row, raw from c where col > 0"
+)
 def orientations(spark: SparkSession, d: str) -> DataFrame:
     long = _long(spark, d)
-    return long.where("row > 0").select("table_id", F.lit("rows").alias("orientation"), "row", "col", "raw").unionAll(grid.transpose(long).where("row > 0").select("table_id", F.lit("columns"), "row", "col", "raw"))
+    return long.where("row > 0").select("table_id", F.lit("rows").alias("orientation"), "row", "col", "raw").unionAll(
+        grid.transpose(long).where("row > 0").select("table_id", F.lit("columns"), "row", "col", "raw")
+    )
 
 
-@query(f"with {_CELLS} select table_id, md5(array_to_string(list_sort(list(regexp_replace(coalesce(raw, ''), '^\\s+|\\s+$', '', 'g'))), '|')) as sig from c group by 1")
+@query(
+    f"with {_CELLS} select table_id, md5(array_to_string(list_sort(list(regexp_replace(coalesce(raw, ''), '^\\s+|\\s+$', '', 'g'))), '|')) as sig from c group by 1"
+)
 def content_sig(spark: SparkSession, d: str) -> DataFrame:
     return grid.content_signature(_long(spark, d))
 
 
-@query(f"with {_CELLS} select table_id, count(*) filter (not missing and num is not null) as n_numbers, round(coalesce(sum(num) filter (not missing), 0), 2) as total from p group by 1")
+@query(
+    f"with {_CELLS} select table_id, count(*) filter (not missing and num is not null) as n_numbers, round(coalesce(sum(num) filter (not missing), 0), 2) as total from p group by 1"
+)
 def cell_totals(spark: SparkSession, d: str) -> DataFrame:
     v = _long(spark, d).withColumn("num", cell_number(F.col("raw")))
     return v.groupBy("table_id").agg(F.count("num").alias("n_numbers"), F.round(F.coalesce(F.sum("num"), F.lit(0.0)), 2).alias("total"))

@@ -39,7 +39,12 @@ def p5_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps of the typed records with the number of their cell references: a child table joined with its own children."""
     t = typed_tables(spark, sf_dir)
     cites = t["trace_steps.cites"].groupBy("_key", F.element_at("_ordinals", 1).alias("_place")).agg(F.count("*").alias("n_cites"))
-    return t["trace_steps"].join(cites, ["_key", "_place"], "left").select(F.col("_key").alias("rec_id"), F.col("_place").cast("int").alias("step_pos"), "kind", F.coalesce("n_cites", F.lit(0)).alias("n_cites"))
+    return t["trace_steps"].join(cites, ["_key", "_place"], "left").select(
+        F.col("_key").alias("rec_id"),
+        F.col("_place").cast("int").alias("step_pos"),
+        "kind",
+        F.coalesce("n_cites", F.lit(0)).alias("n_cites")
+    )
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,44 +47,95 @@ def gen_best_empty(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_LIMIT}, w as (select p_brand, string_agg(p_partkey::varchar, ',' order by p_partkey) as answer, count(*) as n from part join l using (p_brand) where p_size >= threshold group by 1)
     select l.p_brand, concat('Which p_partkeys have p_size of at least ', cast(threshold as varchar), '?') as question, coalesce(answer, '') as answer, case when n is null then 'empty' end as edge, case when n is null then 'hard' else 'easy' end as difficulty from l left join w on l.p_brand = w.p_brand""")
 def gen_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return generate.filter_questions(table(spark, d, "part"), "p_brand", "p_partkey", "p_size", "higher", "normal").withColumn("answer", _joined("answer"))
+    return generate.filter_questions(
+        table(spark, d, "part"),
+        "p_brand",
+        "p_partkey",
+        "p_size",
+        "higher",
+        "normal"
+    ).withColumn("answer", _joined("answer"))
 
 
 @query("""with f as (select * from part a where not exists (select 1 from part b where b.p_brand = a.p_brand and b.p_size >= a.p_size and b.p_retailprice <= a.p_retailprice + 1e-9 and (b.p_size > a.p_size or b.p_retailprice < a.p_retailprice - 1e-9))),
     w as (select p_brand, string_agg(p_partkey::varchar, ',' order by p_partkey) as answer, count(*) as n from f group by 1), c as (select p_brand, count(*) as m from part group by 1)
     select p_brand, 'What is the trade-off between p_size and p_retailprice across these p_partkeys?' as question, answer, case when n = 1 then 'single_dominator' when n = m then 'no_domination' end as edge, case when n = 1 or n = m then 'hard' else 'easy' end as difficulty from w join c using (p_brand)""")
 def gen_tradeoff(spark: SparkSession, d: str) -> DataFrame:
-    return generate.tradeoff_questions(table(spark, d, "part"), "p_brand", "p_partkey", "p_size", "p_retailprice", "higher", "lower").withColumn("answer", _joined("answer"))
+    return generate.tradeoff_questions(
+        table(spark, d, "part"),
+        "p_brand",
+        "p_partkey",
+        "p_size",
+        "p_retailprice",
+        "higher",
+        "lower"
+    ).withColumn("answer", _joined("answer"))
 
 
 @query("""with b as (select c_nationkey, min(c_acctbal) as best from customer group by 1), w as (select c.c_nationkey, string_agg(c_custkey::varchar, ',' order by c_custkey) as answer, count(*) as n from customer c join b on c.c_nationkey = b.c_nationkey where abs(c_acctbal - best) <= 1e-9 group by 1)
     select c_nationkey, 'Which c_custkey has the lowest c_acctbal?' as question, answer, case when n > 1 then 'argmax_tie' end as edge, case when n > 1 then 'hard' else 'easy' end as difficulty from w""")
 def gen_extremum(spark: SparkSession, d: str) -> DataFrame:
-    return generate.extremum_questions(table(spark, d, "customer"), "c_nationkey", "c_custkey", "c_acctbal", "lower").withColumn("answer", _joined("answer"))
-
-
-@query("select type, cast(100 as bigint) as n, cast(100 as bigint) as n_engine, cast(0 as bigint) as n_invalid from (values ('best_under_constraint'), ('threshold_filter'), ('tradeoff_summary')) t(type)")
+    return generate.extremum_questions(
+        table(spark, d, "customer"),
+        "c_nationkey",
+        "c_custkey",
+        "c_acctbal",
+        "lower"
+    ).withColumn("answer", _joined("answer"))
+
+
+@query(
+    "select type, cast(100 as bigint) as n, cast(100 as bigint) as n_engine, cast(0 as bigint) as n_invalid from (values ('best_under_constraint'), ('threshold_filter'), ('tradeoff_summary')) t(type)"
+)
 def synthetic_dataset(spark: SparkSession, d: str) -> DataFrame:
     """300 records over generated tables by kind: all valid, and their answers reached by the engine as well."""
     valid, invalid = questions.synthetic_dataset(spark, 300)
     e = corpus.execute(valid.withColumn("_id", F.col("metadata.example_id")), "_id", "table.headers", "table.rows", "metadata.spec")
-    same = valid.select(F.col("metadata.example_id").alias("_id"), F.col("question_type").alias("type"), F.col("gold_answer.rows").alias("g")).join(e, "_id")
+    same = valid.select(
+        F.col("metadata.example_id").alias("_id"),
+        F.col("question_type").alias("type"),
+        F.col("gold_answer.rows").alias("g")
+    ).join(e, "_id")
     wrong = invalid.groupBy(F.col("question_type").alias("type")).agg(F.count("*").alias("n_invalid"))
-    return same.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("answer") == F.col("g")).alias("n_engine")).join(wrong, "type", "left").fillna(0, ["n_invalid"])
+    return same.groupBy("type").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("answer") == F.col("g")).alias("n_engine")
+    ).join(wrong, "type", "left").fillna(0, ["n_invalid"])
 
 
 def _real_tables(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, R).where("table.headers is not null and table.rows is not null and table.column_types is not null and size(table.column_types) = size(table.headers)")
-    whole = F.struct(F.col("table.headers").alias("headers"), F.transform("table.rows", lambda x: F.transform(x, lambda c: F.coalesce(c, F.lit("")))).alias("rows"), F.lit(None).cast("array<string>").alias("row_labels"), F.transform("table.headers", lambda h, i: F.when(i == 0, "categorical").otherwise(grid.value_type(F.transform("table.rows", lambda x: F.get(x, i))))).alias("column_types"))
+    r = table(spark, d, R).where(
+        "table.headers is not null and table.rows is not null and table.column_types is not null and size(table.column_types) = size(table.headers)"
+    )
+    whole = F.struct(
+        F.col("table.headers").alias("headers"),
+        F.transform("table.rows", lambda x: F.transform(x, lambda c: F.coalesce(c, F.lit("")))).alias("rows"),
+        F.lit(None).cast("array<string>").alias("row_labels"),
+        F.transform(
+            "table.headers",
+            lambda h, i: F.when(i == 0, "categorical").otherwise(grid.value_type(F.transform("table.rows", lambda x: F.get(x, i))))
+        ).alias("column_types")
+    )
     unique = F.size(F.array_distinct("table.headers")) == F.size("table.headers")
-    return r.where(unique & F.forall("table.rows", lambda x: F.size(x) == F.size("table.headers"))).select(F.concat(F.lit("r"), F.col("rec_id").cast("string")).alias("table_id"), whole.alias("table"), F.col("metadata.source.uid").alias("uid"), F.col("metadata.source.dataset").alias("dataset"), F.lit("high").alias("confidence"))
-
-
-@query("select orientation, question_type, true as some, cast(0 as bigint) as n_invalid from (values ('across_rows'), ('across_columns')) o(orientation), (values ('best_under_constraint'), ('threshold_filter'), ('tradeoff_summary')) t(question_type)".replace(" as some", ' as "any"'))
+    return r.where(unique & F.forall("table.rows", lambda x: F.size(x) == F.size("table.headers"))).select(
+        F.concat(F.lit("r"), F.col("rec_id").cast("string")).alias("table_id"),
+        whole.alias("table"),
+        F.col("metadata.source.uid").alias("uid"),
+        F.col("metadata.source.dataset").alias("dataset"),
+        F.lit("high").alias("confidence")
+    )
+
+
+@query(
+    "select orientation, question_type, true as some, cast(0 as bigint) as n_invalid from (values ('across_rows'), ('across_columns')) o(orientation), (values ('best_under_constraint'), ('threshold_filter'), ('tradeoff_summary')) t(question_type)".replace(" as some", ' as "any"')
+)
 def real_dataset(spark: SparkSession, d: str) -> DataFrame:
     """Questions of every kind over every table in both orientations: none that the validator finds wrong."""
     q = questions.real_dataset(_real_tables(spark, d))
-    return q.groupBy(F.col("metadata.orientation").alias("orientation"), "question_type").agg((F.count("*") > 0).alias("any"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    return q.groupBy(F.col("metadata.orientation").alias("orientation"), "question_type").agg(
+        (F.count("*") > 0).alias("any"),
+        F.count_if(~F.col("valid")).alias("n_invalid")
+    )
 
 
 _TURNED = f"""src as (select rec_id, "table".headers as h, "table"."rows" as rw from {R} where "table".headers is not null and "table"."rows" is not null),
@@ -99,17 +150,30 @@ _TURNED = f"""src as (select rec_id, "table".headers as h, "table"."rows" as rw
     select rec_id, string_agg(case when k > 0 then concat(name, '_', k) else name end, '|' order by i) as headers, any_value(array_to_string(list_transform(range(1, len(h)), lambda j: concat(h[j + 1], ':', array_to_string(list_transform(rw, lambda r: coalesce(r[j + 1], '')), ','))), ';')) as "rows", any_value(concat('categorical,', array_to_string(types, ','))) as types from c group by 1""".replace("a as (select rec_id, i, unnest(named) as name, h, rw, types from (select *, generate_subscripts(named, 1) as i from t where list_contains(types, 'numeric'))), ", ""))
 def transpose_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables turned, with their new headers, rows and types; those without a numeric column are left out."""
-    r = table(spark, d, R).where("table.headers is not null and table.rows is not null").select("rec_id", grid.transposed(F.col("table")).alias("t")).where("t is not null")
-    rows = F.array_join(F.transform("t.rows", lambda x: F.concat(F.get(x, F.lit(0)), F.lit(":"), F.array_join(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), ","))), ";")
+    r = table(spark, d, R).where(
+        "table.headers is not null and table.rows is not null"
+    ).select("rec_id", grid.transposed(F.col("table")).alias("t")).where("t is not null")
+    rows = F.array_join(
+        F.transform(
+            "t.rows",
+            lambda x: F.concat(F.get(x, F.lit(0)), F.lit(":"), F.array_join(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), ","))
+        ),
+        ";"
+    )
     return r.select("rec_id", F.array_join("t.headers", "|").alias("headers"), rows.alias("rows"), F.array_join("t.column_types", ",").alias("types"))
 
 
-@query("select type, cast(50 as bigint) as n, cast(0 as bigint) as n_failed from (values ('best_under_constraint'), ('threshold_filter'), ('tradeoff_summary')) t(type)")
+@query(
+    "select type, cast(50 as bigint) as n, cast(0 as bigint) as n_failed from (values ('best_under_constraint'), ('threshold_filter'), ('tradeoff_summary')) t(type)"
+)
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Generated records whose completions are parsed, rebuilt, validated and executed again, by kind."""
     valid, _ = questions.synthetic_dataset(spark, 150, seed=3)
     keyed = valid.withColumn("_id", F.col("metadata.example_id"))
-    return keyed.select("_id", F.col("question_type").alias("type")).join(roundtrip.round_trip(keyed, "_id"), "_id").groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.size("failed") > 0).alias("n_failed"))
+    return keyed.select("_id", F.col("question_type").alias("type")).join(roundtrip.round_trip(keyed, "_id"), "_id").groupBy("type").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.size("failed") > 0).alias("n_failed")
+    )
 
 
 @query(f"""with g as (select rec_id, "table"."rows" as rw from {R} where "table"."rows" is not null), l as (select rec_id, unnest(rw) as r from g), v as (select rec_id, trim(coalesce(r[1], '')) as label, list_filter(list_transform(r[2:], lambda c: struct_pack(n := {sql.number('c')}, t := trim(coalesce(c, '')))), lambda x: x.t <> '') as vs from l),

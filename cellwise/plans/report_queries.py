@@ -38,7 +38,9 @@ def synthetic_source(spark: SparkSession, d: str) -> DataFrame:
     return generate.synthetic_tables(spark, 200)
 
 
-@query("""with x as (select rec_id, case when rec_id % 3 = 0 then null when rec_id % 3 = 1 then ['text', case when rec_id % 2 = 0 then 'table' else 'table-text' end] else ['table'] end as kinds from realtable_eval_verified) select rec_id from x where list_contains(kinds, 'table')""")
+@query(
+    """with x as (select rec_id, case when rec_id % 3 = 0 then null when rec_id % 3 = 1 then ['text', case when rec_id % 2 = 0 then 'table' else 'table-text' end] else ['table'] end as kinds from realtable_eval_verified) select rec_id from x where list_contains(kinds, 'table')"""
+)
 def semi_table_only(spark: SparkSession, d: str) -> DataFrame:
     """Contexts with a question that is answered from the table; the kinds of the questions are made up from the id."""
     k = F.col("rec_id")
@@ -59,12 +61,20 @@ def grounded_vote(spark: SparkSession, d: str) -> DataFrame:
     return selection.grounded_majority(a, "example_id", "type", "detail_id", "grounded")
 
 
-@query("select card_id, example_id, gold_label, array_to_string(list_transform(gold_rows, lambda x: cast(x as varchar)), ';') as gold_rows, coalesce(engine_ok, false) as engine_ok from (select *, row_number() over (partition by card_id order by keyed_at desc nulls last, example_id) as k from anchor_key) where k = 1 and card_id in (select card_id from cards)")
+@query(
+    "select card_id, example_id, gold_label, array_to_string(list_transform(gold_rows, lambda x: cast(x as varchar)), ';') as gold_rows, coalesce(engine_ok, false) as engine_ok from (select *, row_number() over (partition by card_id order by keyed_at desc nulls last, example_id) as k from anchor_key) where k = 1 and card_id in (select card_id from cards)"
+)
 def blind_key(spark: SparkSession, d: str) -> DataFrame:
     """The key of the blind cards, apart from them: the last one of each card that was dealt."""
     k = selection.latest(table(spark, d, "anchor_key"), "card_id", [F.desc_nulls_last("keyed_at"), F.col("example_id")])
     dealt = table(spark, d, "cards").select("card_id").distinct()
-    return k.join(dealt, "card_id", "left_semi").select("card_id", "example_id", "gold_label", F.array_join(F.transform("gold_rows", lambda x: x.cast("string")), ";").alias("gold_rows"), F.coalesce("engine_ok", F.lit(False)).alias("engine_ok"))
+    return k.join(dealt, "card_id", "left_semi").select(
+        "card_id",
+        "example_id",
+        "gold_label",
+        F.array_join(F.transform("gold_rows", lambda x: x.cast("string")), ";").alias("gold_rows"),
+        F.coalesce("engine_ok", F.lit(False)).alias("engine_ok")
+    )
 
 
 @query(f"""with {sql.OBJECTS}, {corpus_queries._SYSTEM}, own as (select detail_id, case when json_valid(o) then json_extract_string(o::json, '$.final_answer.label') end as own from ro),
@@ -75,35 +85,80 @@ def blind_key(spark: SparkSession, d: str) -> DataFrame:
 def demo_card(spark: SparkSession, d: str) -> DataFrame:
     """One card for each answer: its question, the operation found in it, the engine's answer with its evidence, the gate, and what the system says."""
     r, a = table(spark, d, R), table(spark, d, A)
-    last = r.where("metadata.example_id is not null").groupBy(F.col("metadata.example_id").alias("example_id")).agg(F.max_by(F.struct("question", F.col("gold_answer.label").alias("gold_label"), "table"), "rec_id").alias("x"))
-    own = F.from_json(records.first_object(F.col("raw")), "final_answer struct<label:string>", {"allowSingleQuotes": "false"})["final_answer"]["label"]
-    ops = a.select("detail_id", "example_id", records.runnable(records.extract_operation(F.col("raw"))).alias("o"), own.alias("own")).withColumn("run", F.concat_ws("|", "example_id", F.to_json("o")))
-    runs = ops.where("o is not null").dropDuplicates(["run"]).join(last, "example_id").select("run", "x.table", corpus.bind_universe(F.col("o"), F.coalesce("x.table.rows", F.array())).alias("o"))
-    e = corpus.execute(runs, "run", "table.headers", "table.rows", "o", "table.row_labels").select("run", F.col("label").alias("engine_label"), F.size("evidence").alias("n_evidence"))
+    last = r.where("metadata.example_id is not null").groupBy(F.col("metadata.example_id").alias("example_id")).agg(
+        F.max_by(F.struct("question", F.col("gold_answer.label").alias("gold_label"), "table"), "rec_id").alias("x")
+    )
+    own = F.from_json(
+        records.first_object(F.col("raw")),
+        "final_answer struct<label:string>",
+        {"allowSingleQuotes": "false"}
+    )["final_answer"]["label"]
+    ops = a.select(
+        "detail_id",
+        "example_id",
+        records.runnable(records.extract_operation(F.col("raw"))).alias("o"),
+        own.alias("own")
+    ).withColumn("run", F.concat_ws("|", "example_id", F.to_json("o")))
+    runs = ops.where("o is not null").dropDuplicates(["run"]).join(last, "example_id").select(
+        "run",
+        "x.table",
+        corpus.bind_universe(F.col("o"), F.coalesce("x.table.rows", F.array())).alias("o")
+    )
+    e = corpus.execute(runs, "run", "table.headers", "table.rows", "o", "table.row_labels").select(
+        "run",
+        F.col("label").alias("engine_label"),
+        F.size("evidence").alias("n_evidence")
+    )
     fires = text.gate_fires(F.col("o.type"), F.col("x.question"))
     cards = ops.join(last, "example_id").join(e, "run", "left")
     system = F.when(fires | F.col("engine_label").isNull(), F.col("own")).otherwise(F.col("engine_label"))
-    return cards.select("detail_id", "x.question", "x.gold_label", F.col("o.type").alias("op_type"), "engine_label", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), fires.alias("fires"), system.alias("system_label"))
+    return cards.select(
+        "detail_id",
+        "x.question",
+        "x.gold_label",
+        F.col("o.type").alias("op_type"),
+        "engine_label",
+        F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
+        fires.alias("fires"),
+        system.alias("system_label")
+    )
 
 
 _RATE = "round(greatest(0, (k/n + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/n) - 1.96 * sqrt(k/n*(1-k/n)/n + 1.96*1.96/(4*n*n)) / (1 + 1.96*1.96/n)), 6) as low, round(least(1, (k/n + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/n) + 1.96 * sqrt(k/n*(1-k/n)/n + 1.96*1.96/(4*n*n)) / (1 + 1.96*1.96/n)), 6) as high"
 _NUMBERS = ("parsed", "op_present", "whole_op", "engine_ok", "model_ok", "grounded", "valid")
 
 
-@query("with x as (select metric, cast(count_if(coalesce(v, false)) as double) as k, cast(count(*) as double) as n from (" + " union all ".join(f"select '{c}' as metric, {c} as v from {A}" for c in _NUMBERS) + f") group by 1) select metric, k, n, round(k / n, 6) as rate, {_RATE} from x")
+@query(
+    "with x as (select metric, cast(count_if(coalesce(v, false)) as double) as k, cast(count(*) as double) as n from (" + " union all ".join(
+        f"select '{c}' as metric, {c} as v from {A}" for c in _NUMBERS
+    ) + f") group by 1) select metric, k, n, round(k / n, 6) as rate, {_RATE} from x"
+)
 def report_numbers(spark: SparkSession, d: str) -> DataFrame:
     """The rates that a report states, each with its interval, in one pass over the answers."""
-    one = table(spark, d, A).agg(F.count("*").cast("double").alias("n"), *(F.count_if(F.coalesce(c, F.lit(False))).cast("double").alias(c) for c in _NUMBERS))
+    one = table(spark, d, A).agg(
+        F.count("*").cast("double").alias("n"),
+        *(F.count_if(F.coalesce(c, F.lit(False))).cast("double").alias(c) for c in _NUMBERS)
+    )
     rows = one.unpivot("n", list(_NUMBERS), "metric", "k").where("n > 0")
     w = stats.wilson(F.col("k"), F.col("n"))
-    return rows.select("metric", "k", "n", F.round(F.col("k") / F.col("n"), 6).alias("rate"), F.round(w["low"], 6).alias("low"), F.round(w["high"], 6).alias("high"))
+    return rows.select(
+        "metric",
+        "k",
+        "n",
+        F.round(F.col("k") / F.col("n"), 6).alias("rate"),
+        F.round(w["low"], 6).alias("low"),
+        F.round(w["high"], 6).alias("high")
+    )
 
 
 @query(f"""select rec_id, concat('| ', array_to_string("table".headers, ' | '), ' |', chr(10), '| ', array_to_string(list_transform("table".headers, lambda h: '---'), ' | '), ' |', coalesce(array_to_string(list_transform("table"."rows", lambda r: concat(chr(10), '| ', array_to_string(list_transform(r, lambda c: case when {sql.number('c')} is null then case when regexp_matches(trim(regexp_replace(coalesce(c, ''), '[$%]', '', 'g')), '^[-‒–—―�*\\s]*$') or regexp_matches(lower(trim(regexp_replace(c, '[$%]', '', 'g'))), '^(n/?a|n\\.a\\.?|nm|nil|--+)$') then '' else trim(c) end
     when {sql.number('c')} = floor({sql.number('c')}) then cast(cast({sql.number('c')} as bigint) as varchar) else printf('%g', {sql.number('c')}) end), ' | '), ' |')), ''), '')) as md from {R} where "table".headers is not null""")
 def render_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Tables in markdown with their cells parsed: numbers in at most six digits, missing values empty."""
-    return table(spark, d, R).where("table.headers is not null").select("rec_id", records.markdown(F.col("table.headers"), F.transform("table.rows", lambda r: F.transform(r, text.rendered))).alias("md"))
+    return table(spark, d, R).where("table.headers is not null").select(
+        "rec_id",
+        records.markdown(F.col("table.headers"), F.transform("table.rows", lambda r: F.transform(r, text.rendered))).alias("md")
+    )
 
 
 @query()
@@ -113,5 +168,11 @@ def crosscheck_agreement(spark: SparkSession, d: str) -> DataFrame:
     first = F.get("table.rows", F.lit(0))
     chain = F.array_join(F.slice(first, F.lit(2), F.size(first) - 1), ">")
     asked = F.concat(F.lit("In which year was "), F.get(first, F.lit(0)), F.lit(" the highest?"))
-    x = r.select("rec_id", "table", asked.alias("asked"), F.slice("table.headers", 2, 1).alias("said"), F.when(F.col("rec_id") % 2 == 0, chain).alias("chain"))
+    x = r.select(
+        "rec_id",
+        "table",
+        asked.alias("asked"),
+        F.slice("table.headers", 2, 1).alias("said"),
+        F.when(F.col("rec_id") % 2 == 0, chain).alias("chain")
+    )
     return crosscheck.agreement(crosscheck.crosscheck(x, "rec_id", "table", "asked", "said", "chain"))

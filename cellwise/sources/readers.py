@@ -33,7 +33,10 @@ def read_contexts(spark: SparkSession, path: str, table_only: bool = False, limi
 
 
 def _arrays(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json("value", f"array<struct<{CONTEXT_FIELDS}>>")).alias("ordinal", "c"))
+    texts = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.posexplode(F.from_json("value", f"array<struct<{CONTEXT_FIELDS}>>")).alias("ordinal", "c")
+    )
     return texts.select("file", "ordinal", "c.*")
 
 
@@ -41,7 +44,13 @@ def ingest_file(spark: SparkSession, path: str, table_only: bool = False, limit:
     """The clean table of each context of a file, with its place in the file and its ``uid``."""
     from cellwise.operators.grid import ingest_records
 
-    c = read_contexts(spark, path, table_only, limit).select("file", "ordinal", F.col("table.uid").alias("uid"), F.format_string("table_%04d", F.col("ordinal")).alias("table_id"), F.col("table.table").alias("_grid"))
+    c = read_contexts(spark, path, table_only, limit).select(
+        "file",
+        "ordinal",
+        F.col("table.uid").alias("uid"),
+        F.format_string("table_%04d", F.col("ordinal")).alias("table_id"),
+        F.col("table.table").alias("_grid")
+    )
     clean = ingest_records(c, "table_id", "_grid")
     return clean.join(c.select("table_id", "uid", "ordinal"), "table_id")
 
@@ -60,7 +69,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A split manifest as ``base_table_id``, ``role``."""
     roles = ("training_tables", "exclude_from_training", "eval_tables_dev", "eval_tables_test", "future_train_pool", "verified_tables")
     m = spark.read.schema(", ".join(f"{r} array<string>" for r in roles)).option("multiLine", True).json(path)
-    return m.select(F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("ids")) for r in roles))).alias("x")).select(F.explode("x.ids").alias("base_table_id"), F.col("x.role").alias("role"))
+    return m.select(
+        F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("ids")) for r in roles))).alias("x")
+    ).select(F.explode("x.ids").alias("base_table_id"), F.col("x.role").alias("role"))
 
 
 def read_keyed(spark: SparkSession, path: str, value: str = "array<string>") -> DataFrame:

@@ -33,7 +33,10 @@ def manifest(roles: DataFrame, key: str = "base_table_id", role: str = "role") -
     if n > MANIFEST_IDS:
         raise ValueError(f"{n} ids are too many for a manifest of one row; use write_manifest")
     per = distinct.groupBy(role).agg(F.array_sort(F.collect_list(key)).alias("ids"))
-    return per.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(role, "ids")))).alias("roles"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(role), F.size("ids").alias("n"))))).alias("counts"))
+    return per.groupBy().agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(role, "ids")))).alias("roles"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(role), F.size("ids").alias("n"))))).alias("counts")
+    )
 
 
 def write_manifest(roles: DataFrame, path: str, key: str = "base_table_id", role: str = "role", mode: str = "errorifexists") -> None:

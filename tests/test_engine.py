@@ -8,7 +8,13 @@ from cellwise.operators import corpus, engine, validator
 from cellwise.sources.readers import RECORD
 
 #: Five ferries: name, cars, knots; the last is a sum.
-FERRIES = [(0, "Alder", 41.0, 17.5), (1, "Birch", 63.0, 12.25), (2, "Cedar", 63.0, 15.0), (3, "Dogwood", 20.0, 15.0), (4, "Subtotal, all ferries", 187.0, 59.75)]
+FERRIES = [
+    (0, "Alder", 41.0, 17.5),
+    (1, "Birch", 63.0, 12.25),
+    (2, "Cedar", 63.0, 15.0),
+    (3, "Dogwood", 20.0, 15.0),
+    (4, "Subtotal, all ferries", 187.0, 59.75)
+]
 
 
 @pytest.fixture
@@ -31,11 +37,20 @@ def test_operators_on_ferries(ferries, by):
 
 
 def test_frontier_of_ferries(ferries):
-    assert got(engine.pareto(ferries, "cars", "knots", "higher", "higher", ["g"])) == got(engine.pareto_global(ferries, "cars", "knots", "higher", "higher")) == [0, 2]
+    assert got(
+        engine.pareto(ferries, "cars", "knots", "higher", "higher", ["g"])
+    ) == got(engine.pareto_global(ferries, "cars", "knots", "higher", "higher")) == [0, 2]
     assert got(engine.pareto(ferries, "cars", "knots", "lower", "lower", ["g"])) == [1, 3]
 
 
-@pytest.mark.parametrize("call", [lambda d: engine.extremum(d, "cars", "upwards"), lambda d: engine.threshold_filter(d, [("cars", "<=", 3)]), lambda d: engine.pareto(d, "cars", "knots", "higher", "", ["g"])])
+@pytest.mark.parametrize(
+    "call",
+    [
+        lambda d: engine.extremum(d, "cars", "upwards"),
+        lambda d: engine.threshold_filter(d, [("cars", "<=", 3)]),
+        lambda d: engine.pareto(d, "cars", "knots", "higher", "", ["g"])
+    ]
+)
 def test_unknown_words_are_errors(ferries, call):
     with pytest.raises(ValueError):
         call(ferries)
@@ -47,7 +62,14 @@ def test_frontiers_as_by_brute_force(spark, seed):
     vals = [float(round(r.choice([r.random(), r.randint(0, 5), 2 + 1e-10]), 12)) for _ in range(40)] + [None, float("nan")]
     rows = [(i, r.choice("ab"), r.choice(vals), r.choice(vals)) for i in range(150)]
     d1, d2 = r.choice(["higher", "lower"]), r.choice(["higher", "lower"])
-    pts = [(i, g, a if d1 == "higher" else -a, b if d2 == "higher" else -b) for i, g, a, b in rows if a is not None and b is not None and a == a and b == b]
+    pts = [
+        (
+            i,
+            g,
+            a if d1 == "higher" else -a,
+            b if d2 == "higher" else -b
+        ) for i, g, a, b in rows if a is not None and b is not None and a == a and b == b
+    ]
     beats = lambda p, q: p[2] >= q[2] - 1e-9 and p[3] >= q[3] - 1e-9 and (p[2] > q[2] + 1e-9 or p[3] > q[3] + 1e-9)
     df = spark.createDataFrame(rows, "row int, g string, x double, y double")
     by = sorted(q[0] for q in pts if not any(p[1] == q[1] and beats(p, q) for p in pts))
@@ -89,7 +111,9 @@ def draw(r):
     if kind == "best_under_constraint":
         op |= {"constraint": name(), "op": word("lt", "gte", "ge"), "threshold": r.choice([1.5, 3.0, 5.0, 90.0, None])}
     if kind == "threshold_filter":
-        op["conditions"] = r.choice([None, [], *([{"metric": name(), "op": r.choice(["lt", "gte", "ge"]), "t": r.choice([2.0, 3.5])} for _ in range(k)] for k in (1, 2, 2))])
+        op["conditions"] = r.choice(
+            [None, [], *([{"metric": name(), "op": r.choice(["lt", "gte", "ge"]), "t": r.choice([2.0, 3.5])} for _ in range(k)] for k in (1, 2, 2))]
+        )
     if kind == "tradeoff_summary":
         op |= {"m1": name(), "m2": name(), "d1": word("higher", "lower"), "d2": word("higher", "lower")}
     return rows, r.choice([None, None, [f"name {i}" for i in range(n)]]), op
@@ -119,7 +143,12 @@ def brute(rows, labels, op):
     elif k == "tradeoff_summary":
         if not known(op["m1"], op["m2"]) or {op["d1"], op["d2"]} - {"higher", "lower"}:
             return None
-        p = {i: (turn(value(i, op["m1"]), op["d1"]), turn(value(i, op["m2"]), op["d2"])) for i in ids if value(i, op["m1"]) is not None and value(i, op["m2"]) is not None}
+        p = {
+            i: (
+                turn(value(i, op["m1"]), op["d1"]),
+                turn(value(i, op["m2"]), op["d2"])
+            ) for i in ids if value(i, op["m1"]) is not None and value(i, op["m2"]) is not None
+        }
         won = sorted(i for i, (a, b) in p.items() if not any(c >= a and d >= b and (c, d) != (a, b) for c, d in p.values()))
         return won, f"{op['m1']} vs {op['m2']}"
     else:
@@ -129,10 +158,20 @@ def brute(rows, labels, op):
 
 def record(i, rows, labels, op, said, label, evidence, **change):
     out = {
-        "rec_id": i, "table_id": f"t{i}", "domain": "ships", "question": "Which?", "question_type": {"extremum": "rank_models"}.get(op["type"], op["type"]) or "compare_rows", "trace_source": "programmatic", "split": "train",
+        "rec_id": i,
+        "table_id": f"t{i}",
+        "domain": "ships",
+        "question": "Which?",
+        "question_type": {"extremum": "rank_models"}.get(op["type"], op["type"]) or "compare_rows",
+        "trace_source": "programmatic",
+        "split": "train",
         "table": {"headers": list(NAMES), "rows": rows, "row_labels": labels, "column_types": ["categorical", "numeric", "numeric", "text"]},
         "gold_answer": {"label": label, "rows": said, "metrics": [op["m2"], op["m1"]] if op.get("m1") else []},
-        "trace_steps": [{"index": 0, "kind": "filter", "description": "read", "cites": [None, *evidence[:1]]}, None, {"index": 1, "kind": "conclude", "description": "so", "cites": None}],
+        "trace_steps": [
+            {"index": 0, "kind": "filter", "description": "read", "cites": [None, *evidence[:1]]},
+            None,
+            {"index": 1, "kind": "conclude", "description": "so", "cites": None}
+        ],
         "evidence_cells": [*evidence, None], "metadata": {"difficulty": "easy", "edge_cases": [], "spec": op},
     }
     out = json.loads(json.dumps(out))
@@ -175,16 +214,44 @@ def test_execution_and_validation_as_by_brute_force(spark):
         assert set(x["failed"]) == failed
 
 
-BASE = ([["Alder", "41", "$ 17.5", "3"], ["Birch", "63", "12.25", "4"], ["Cedar", "63", "15", "n/a"]], None, {"type": "best_under_constraint", "target": "tons", "target_dir": "higher", "constraint": "days", "op": "lt", "threshold": 16.0, "rows": [0, 1, 2]})
+BASE = (
+    [["Alder", "41", "$ 17.5", "3"], ["Birch", "63", "12.25", "4"], ["Cedar", "63", "15", "n/a"]],
+    None,
+    {
+        "type": "best_under_constraint",
+        "target": "tons",
+        "target_dir": "higher",
+        "constraint": "days",
+        "op": "lt",
+        "threshold": 16.0,
+        "rows": [0, 1, 2]
+    }
+)
 SEEN = [{"row": i, "col": c, "col_name": NAMES[c], "value": BASE[0][i][c]} for i in (1, 2) for c in (1, 2)]
 FAULTS = [
     ({}, []), ({"gold_answer__rows": [2, 1]}, []), ({"evidence_cells__0__value": "63.0"}, []),
-    ({"evidence_cells__0__value": "64"}, ["cells_exist"]), ({"evidence_cells__1__row": 3}, ["cells_exist"]), ({"trace_steps__0__cites__1__col_name": "days"}, ["cells_exist"]),
-    ({"gold_answer__rows": [1]}, ["answer_correct"]), ({"gold_answer__rows": [0]}, ["answer_correct", "numeric_comparisons_correct", "threshold_satisfaction"]), ({"gold_answer__rows": [77]}, ["answer_correct", "numeric_comparisons_correct", "threshold_satisfaction"]),
-    ({"metadata__spec": None}, ["answer_correct"]), ({"metadata__spec__target": "draught"}, ["answer_correct", "threshold_satisfaction", "relevance"]),
+    ({"evidence_cells__0__value": "64"}, ["cells_exist"]),
+    ({"evidence_cells__1__row": 3}, ["cells_exist"]),
+    ({"trace_steps__0__cites__1__col_name": "days"}, ["cells_exist"]),
+    ({"gold_answer__rows": [1]}, ["answer_correct"]),
+    ({"gold_answer__rows": [0]}, ["answer_correct", "numeric_comparisons_correct", "threshold_satisfaction"]),
+    ({"gold_answer__rows": [77]}, ["answer_correct", "numeric_comparisons_correct", "threshold_satisfaction"]),
+    ({"metadata__spec": None}, ["answer_correct"]),
+    ({"metadata__spec__target": "draught"}, ["answer_correct", "threshold_satisfaction", "relevance"]),
     ({"evidence_cells": SEEN[:1]}, ["relevance"]), ({"gold_answer__rows": []}, ["answer_correct", "empty_result_consistency"]),
     ({"metadata__difficulty": "medium"}, ["difficulty_tag_present"]), ({"metadata__edge_cases": None}, ["difficulty_tag_present"]),
-    *(({k: v}, list(validator.CHECKS)) for k, v in {"table": None, "trace_steps": [], "trace_steps__2__kind": "select", "table__rows__0": ["Alder"], "question_type": "poem", "table__column_types__0": "number", "gold_answer__label": None, "evidence_cells__0__row": -1}.items()),
+    *(
+        ({k: v}, list(validator.CHECKS)) for k, v in {
+            "table": None,
+            "trace_steps": [],
+            "trace_steps__2__kind": "select",
+            "table__rows__0": ["Alder"],
+            "question_type": "poem",
+            "table__column_types__0": "number",
+            "gold_answer__label": None,
+            "evidence_cells__0__row": -1
+        }.items()
+    ),
 ]
 
 
@@ -196,8 +263,14 @@ def test_planted_faults_fail_their_checks(spark):
 
 def test_frontier_and_metrics_faults(spark):
     op = {"type": "tradeoff_summary", "m1": "tons", "m2": "days", "d1": "higher", "d2": "lower", "rows": None}
-    texts = [record(0, BASE[0], None, op, [1], "tons vs days", SEEN), record(1, BASE[0], None, op, [1, 2], "tons vs days", SEEN), record(2, BASE[0], None, op, [1], "x", SEEN, gold_answer__metrics=["tons"])]
-    assert [x["failed"] for x in validator.validate(frame(spark, texts), "rec_id").orderBy("rec_id").collect()] == [[], ["answer_correct", "pareto_frontier_correct"], ["answer_correct"]]
+    texts = [
+        record(0, BASE[0], None, op, [1], "tons vs days", SEEN),
+        record(1, BASE[0], None, op, [1, 2], "tons vs days", SEEN),
+        record(2, BASE[0], None, op, [1], "x", SEEN, gold_answer__metrics=["tons"])
+    ]
+    assert [
+        x["failed"] for x in validator.validate(frame(spark, texts), "rec_id").orderBy("rec_id").collect()
+    ] == [[], ["answer_correct", "pareto_frontier_correct"], ["answer_correct"]]
 
 
 def test_texts_that_are_no_records(spark):
@@ -210,9 +283,25 @@ def test_texts_that_are_no_records(spark):
 
 
 def test_errors_by_their_names(spark):
-    ops = [{"type": "argmin"}, {"type": "extremum", "target": "draught", "target_dir": "higher"}, {"type": "extremum", "target": "tons", "target_dir": "up"}, {"type": "threshold_filter", "conditions": [{"metric": "tons", "op": "gt", "t": 1.0}]}, {"type": "threshold_filter"}, BASE[2] | {"threshold": None}, BASE[2] | {"op": "lte"}]
+    ops = [
+        {"type": "argmin"},
+        {"type": "extremum", "target": "draught", "target_dir": "higher"},
+        {"type": "extremum", "target": "tons", "target_dir": "up"},
+        {"type": "threshold_filter", "conditions": [{"metric": "tons", "op": "gt", "t": 1.0}]},
+        {"type": "threshold_filter"},
+        BASE[2] | {"threshold": None},
+        BASE[2] | {"op": "lte"}
+    ]
     df = frame(spark, [record(i, BASE[0], None, {"rows": None} | o, [], "none", []) for i, o in enumerate(ops)])
-    assert [x["error"] for x in run(df).orderBy("rec_id").collect()] == ["type", "column", "direction", "comparison", "conditions", "threshold", "comparison"]
+    assert [x["error"] for x in run(df).orderBy("rec_id").collect()] == [
+        "type",
+        "column",
+        "direction",
+        "comparison",
+        "conditions",
+        "threshold",
+        "comparison"
+    ]
 
 
 def test_universe_is_bound_to_entities(spark):
@@ -224,15 +313,42 @@ def test_universe_is_bound_to_entities(spark):
 
 def test_row_labels(spark):
     table = "struct<rows array<array<string>>, row_labels array<string>, column_types array<string>>"
-    df = spark.createDataFrame([(([["a", "b"]], ["n"], ["text", "categorical"]),), (([["a", "b"]], [], ["text", "categorical"]),), (([["a", "b"]], None, ["text", "numeric"]),)], f"t {table}")
+    df = spark.createDataFrame(
+        [
+            (([["a", "b"]], ["n"], ["text", "categorical"]),),
+            (([["a", "b"]], [], ["text", "categorical"]),),
+            (([["a", "b"]], None, ["text", "numeric"]),)
+        ],
+        f"t {table}"
+    )
     assert [x[0] for x in df.select(corpus.row_label(F.col("t"), F.lit(0))).collect()] == ["n", "b", "row 0"]
 
 
 def test_citation_labels(spark):
-    cells = spark.createDataFrame([(1, i, c, f"c{c}", v) for i, row in enumerate([["10", "x"], ["1,000", "y"], ["", "$ 5"]]) for c, v in enumerate(row)], "k int, row int, col int, col_name string, txt string")
-    cases = [(0, 0, "c0", "10.0", "ok"), (3, 0, "c0", "10", "row_oob"), (0, 9, "c0", "10", "row_oob"), (0, 0, "c1", "10", "colname_mismatch"), (0, 0, "c0", "1000", "wrong_row"), (1, 0, "c0", "1001", "rounding"), (0, 0, "c0", "ten", "type_format"), (0, 1, "c1", "z", "not_in_column"), (1, 0, "c0", "7", "not_in_column"), (2, 0, "c0", None, "ok")]
-    cites = spark.createDataFrame([(1, i, *c[:4]) for i, c in enumerate(cases)], "k int, cite_no int, row int, col int, col_name string, value string")
+    cells = spark.createDataFrame(
+        [(1, i, c, f"c{c}", v) for i, row in enumerate([["10", "x"], ["1,000", "y"], ["", "$ 5"]]) for c, v in enumerate(row)],
+        "k int, row int, col int, col_name string, txt string"
+    )
+    cases = [
+        (0, 0, "c0", "10.0", "ok"),
+        (3, 0, "c0", "10", "row_oob"),
+        (0, 9, "c0", "10", "row_oob"),
+        (0, 0, "c1", "10", "colname_mismatch"),
+        (0, 0, "c0", "1000", "wrong_row"),
+        (1, 0, "c0", "1001", "rounding"),
+        (0, 0, "c0", "ten", "type_format"),
+        (0, 1, "c1", "z", "not_in_column"),
+        (1, 0, "c0", "7", "not_in_column"),
+        (2, 0, "c0", None, "ok")
+    ]
+    cites = spark.createDataFrame(
+        [(1, i, *c[:4]) for i, c in enumerate(cases)],
+        "k int, cite_no int, row int, col int, col_name string, value string"
+    )
     assert [x["label"] for x in corpus.classify_cites(cites, cells, "k").orderBy("cite_no").collect()] == [c[4] for c in cases]
-    grid = spark.createDataFrame([(1, ["c0", "c1"], [["10", "x"], ["1,000", "y"], ["", "$ 5"]], [None] + [c[:4] for c in cases])], "k int, h array<string>, g array<array<string>>, c array<struct<row int, col int, col_name string, value string>>")
+    grid = spark.createDataFrame(
+        [(1, ["c0", "c1"], [["10", "x"], ["1,000", "y"], ["", "$ 5"]], [None] + [c[:4] for c in cases])],
+        "k int, h array<string>, g array<array<string>>, c array<struct<row int, col int, col_name string, value string>>"
+    )
     got = corpus.classify_within(grid, "k", "h", "g", "c").orderBy("cite_no").collect()
     assert [(x["cite_no"], x["label"]) for x in got] == [(i + 1, c[4]) for i, c in enumerate(cases)]

@@ -53,7 +53,11 @@ def want(questions, answers):
 
 
 def got(spark, folder):
-    return {r["model"]: [r[c] for c in ("n", "n_engine", "n_model", "n_gated", "n_fires")] for r in catalog.QUERIES["gate_scoring"](spark, folder).collect()}
+    return {
+        r["model"]: [
+            r[c] for c in ("n", "n_engine", "n_model", "n_gated", "n_fires")
+        ] for r in catalog.QUERIES["gate_scoring"](spark, folder).collect()
+    }
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -64,15 +68,35 @@ def test_gate_reads_the_question_and_the_operation(spark):
 
 def test_wording_decides(spark, tmp_path):
     q = [(1, "x", "Which is highest while cost is under 5?"), (2, "x", "Which is highest?"), (3, "y", "Which are optimal?"), (4, "z", None)]
-    spark.createDataFrame([(i, "t", text, {"example_id": e}) for i, e, text in q], "rec_id bigint, table_id string, question string, metadata struct<example_id: string>").write.parquet(f"{tmp_path}/realtable_eval_verified.parquet")
+    spark.createDataFrame(
+        [(i, "t", text, {"example_id": e}) for i, e, text in q],
+        "rec_id bigint, table_id string, question string, metadata struct<example_id: string>"
+    ).write.parquet(f"{tmp_path}/realtable_eval_verified.parquet")
     op = lambda t: json.dumps({"operation": {"type": t}})
     # the last record of x has no threshold; y is asked by a trade-off; an answer without an example has no question
-    a = [("x", op("best_under_constraint")), ("y", op("tradeoff_summary")), ("y", op("threshold_filter")), ("y", op("tradeoff_summary").replace('"', "'")), ("z", op("tradeoff_summary")), ("w", op("tradeoff_summary")), (None, None)]
-    spark.createDataFrame([(e, "m", "tradeoff_summary", raw, True, False) for e, raw in a], "example_id string, model string, type string, raw string, engine_ok boolean, model_ok boolean").write.parquet(f"{tmp_path}/p3_4b_exec_test_verified.parquet")
+    a = [
+        ("x", op("best_under_constraint")),
+        ("y", op("tradeoff_summary")),
+        ("y", op("threshold_filter")),
+        ("y", op("tradeoff_summary").replace('"', "'")),
+        ("z", op("tradeoff_summary")),
+        ("w", op("tradeoff_summary")),
+        (None, None)
+    ]
+    spark.createDataFrame(
+        [(e, "m", "tradeoff_summary", raw, True, False) for e, raw in a],
+        "example_id string, model string, type string, raw string, engine_ok boolean, model_ok boolean"
+    ).write.parquet(f"{tmp_path}/p3_4b_exec_test_verified.parquet")
     assert got(spark, str(tmp_path)) == {"m": [7, 7, 0, 1, 6]}
 
 
 def test_operation_type_needs_strict_json(spark):
-    rows = [('a {"operation": {"type": "extremum", "x": [1]}} b',), ("{'operation': {'type': 'extremum'}}",), ('{"operation": "extremum"}',), ('{"operation": {"type": "ext',), (None,)]
+    rows = [
+        ('a {"operation": {"type": "extremum", "x": [1]}} b',),
+        ("{'operation': {'type': 'extremum'}}",),
+        ('{"operation": "extremum"}',),
+        ('{"operation": {"type": "ext',),
+        (None,)
+    ]
     df = spark.createDataFrame(rows, "raw string")
     assert [r[0] for r in df.select(records.operation_type(df["raw"])).collect()] == ["extremum", None, None, None, None]

@@ -10,12 +10,28 @@ WANT = [("cite", 0, 0, 0), ("cite", 0, 2, 2), ("evidence", -1, 1, 3), ("gold", -
 LINES = {
     1: (json.dumps(WHOLE), WANT),
     2: ("  " + json.dumps({"payload": {"n": 1, "example": WHOLE}}) + "\n", WANT),
-    3: (json.dumps(WHOLE | {"trace_steps": json.dumps(STEP), "evidence_cells": {"0": C("x"), "1": json.dumps(C("3.0"))}, "gold_answer": json.dumps({"rows": {"0": "1", "2": "4e0"}})}), WANT),
+    3: (
+        json.dumps(
+            WHOLE | {
+                "trace_steps": json.dumps(STEP),
+                "evidence_cells": {"0": C("x"), "1": json.dumps(C("3.0"))},
+                "gold_answer": json.dumps({"rows": {"0": "1", "2": "4e0"}})
+            }
+        ),
+        WANT
+    ),
     4: (json.dumps({"trace_steps": {"cites": C(2.0), "kind": "filter"}, "gold_answer": {"rows": 7}}), [("cite", 0, 0, 2), ("gold", -1, 0, 7)]),
-    5: (json.dumps(WHOLE)[:-5], []), 6: (None, []), 7: ("", []), 8: ("[1, 2]", []), 9: (json.dumps({"trace_steps": None, "evidence_cells": [], "gold_answer": None}), []),
+    5: (json.dumps(WHOLE)[:-5], []),
+    6: (None, []),
+    7: ("", []),
+    8: ("[1, 2]", []),
+    9: (json.dumps({"trace_steps": None, "evidence_cells": [], "gold_answer": None}), []),
     10: (json.dumps(WHOLE) + " trailing", []), 11: (json.dumps({"evidence_cells": {"900000000": C(1)}}), [("evidence", -1, 900000000, 1)]),
     12: (json.dumps({"gold_answer": {"rows": [1.5, True, "two", "0x1", " 3 ", 2**40]}}), [("gold", -1, 4, 3), ("gold", -1, 5, 2**40)]),
-    13: (json.dumps({"row": "clash", "trace_steps": [{"cites": [C(1)], "path": "p", "trace_steps": [1]}], "reviews": [{"notes": [{"row": 3}]}]}), [("cite", 0, 0, 1)]),
+    13: (
+        json.dumps({"row": "clash", "trace_steps": [{"cites": [C(1)], "path": "p", "trace_steps": [1]}], "reviews": [{"notes": [{"row": 3}]}]}),
+        [("cite", 0, 0, 1)]
+    ),
     14: (json.dumps({"text": json.dumps(WHOLE)}), WANT),
 }
 
@@ -34,7 +50,14 @@ def test_texts_of_all_shapes(spark):
 
 def test_typed_records_and_links(spark):
     schema = "rec_id bigint, trace_steps array<struct<index:int,kind:string,cites:array<struct<row:int,col:int,col_name:string,value:string>>>>, evidence_cells array<struct<row:int,col:int,col_name:string,value:string>>, gold_answer struct<label:string,rows:array<int>>, _key string, path string"
-    df = spark.createDataFrame([(1, STEP, WHOLE["evidence_cells"], WHOLE["gold_answer"], "k", "p"), (2, None, None, None, None, None), (3, [], [], {"label": None, "rows": []}, "", "")], schema)
+    df = spark.createDataFrame(
+        [
+            (1, STEP, WHOLE["evidence_cells"], WHOLE["gold_answer"], "k", "p"),
+            (2, None, None, None, None, None),
+            (3, [], [], {"label": None, "rows": []}, "", "")
+        ],
+        schema
+    )
     tables = nested.flatten(df, "rec_id")
     assert refs(tables) == {1: sorted(WANT)}
     assert set(tables) == {"record", "trace_steps", "trace_steps.cites", "evidence_cells", "gold_answer.rows"}
@@ -53,8 +76,16 @@ def test_deeper_arrays_and_empty_tables(spark):
 
 
 def test_nothing_is_lost_to_narrow_types(spark):
-    lines = ['{"trace_steps": [], "evidence_cells": {"0": {"row": 3000000000}, "4000000000": {"row": 1}}, "gold_answer": {"rows": [' + "1]}}", " " * 200 + '{"gold_answer": "' + " " * 90 + '{\\"rows\\": [7]}"}']
+    lines = [
+        '{"trace_steps": [], "evidence_cells": {"0": {"row": 3000000000}, "4000000000": {"row": 1}}, "gold_answer": {"rows": [' + "1]}}",
+        " " * 200 + '{"gold_answer": "' + " " * 90 + '{\\"rows\\": [7]}"}'
+    ]
     df = spark.createDataFrame(list(enumerate(lines)), "rec_id bigint, line string")
     r = nested.cell_references(nested.flatten(nested.from_json_texts(df, "line", ("trace_steps", "evidence_cells", "gold_answer")), "rec_id"))
-    assert sorted((x["rec_id"], x["path"], x["pos"], x["row_no"]) for x in r.collect()) == [(0, "evidence", 0, 3000000000), (0, "evidence", 4000000000, 1), (0, "gold", 0, 1), (1, "gold", 0, 7)]
+    assert sorted((x["rec_id"], x["path"], x["pos"], x["row_no"]) for x in r.collect()) == [
+        (0, "evidence", 0, 3000000000),
+        (0, "evidence", 4000000000, 1),
+        (0, "gold", 0, 1),
+        (1, "gold", 0, 7)
+    ]
     assert r.where(nested.in_int(r)).count() == 2

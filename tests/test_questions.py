@@ -33,9 +33,14 @@ def test_every_mode_is_valid(drawn, kind, mode):
 def test_real_tables_in_both_orientations(spark):
     rows = [["Pilots", "7", "(9)", "n/a"], ["Tugs", "12", "5", "3"], ["Ferries", "12", "8", ""], ["Total", "31", "4", "3"]]
     table = (["port", "2004", "2005", "2006"], rows, None, ["categorical", "numeric", "numeric", "numeric"])
-    df = spark.createDataFrame([(f"t{i}", table, "u", "d", c) for i, c in enumerate(["high"] * 12 + ["low"])], "table_id string, table struct<headers array<string>, rows array<array<string>>, row_labels array<string>, column_types array<string>>, uid string, dataset string, confidence string")
+    df = spark.createDataFrame(
+        [(f"t{i}", table, "u", "d", c) for i, c in enumerate(["high"] * 12 + ["low"])],
+        "table_id string, table struct<headers array<string>, rows array<array<string>>, row_labels array<string>, column_types array<string>>, uid string, dataset string, confidence string"
+    )
     got = questions.real_dataset(df, 2, hard=0.5).collect()
-    assert all(r["valid"] for r in got) and {(r["metadata"]["orientation"], r["question_type"]) for r in got} == {(o, k) for o in ("across_rows", "across_columns") for k in questions.KINDS}
+    assert all(r["valid"] for r in got) and {(r["metadata"]["orientation"], r["question_type"]) for r in got} == {
+        (o, k) for o in ("across_rows", "across_columns") for k in questions.KINDS
+    }
     for r in got:
         across = r["metadata"]["orientation"] == "across_rows"
         assert r["question"].endswith("Exclude any total or subtotal rows.") == across and r["table_id"].endswith("_rows" if across else "_cols")
@@ -44,18 +49,32 @@ def test_real_tables_in_both_orientations(spark):
 
 
 def test_extremum_of_a_given_question(spark):
-    table = (["port", "2004", "2005"], [["Pilots", "7", "9"], ["Tugs", "7", "5"], ["Sum total", "14", "14"]], None, ["categorical", "numeric", "numeric"])
-    df = spark.createDataFrame([("t", table, "u", "d", "high")], "table_id string, table struct<headers array<string>, rows array<array<string>>, row_labels array<string>, column_types array<string>>, uid string, dataset string, confidence string")
+    table = (
+        ["port", "2004", "2005"],
+        [["Pilots", "7", "9"], ["Tugs", "7", "5"], ["Sum total", "14", "14"]],
+        None,
+        ["categorical", "numeric", "numeric"]
+    )
+    df = spark.createDataFrame(
+        [("t", table, "u", "d", "high")],
+        "table_id string, table struct<headers array<string>, rows array<array<string>>, row_labels array<string>, column_types array<string>>, uid string, dataset string, confidence string"
+    )
     ask = lambda t, c, w: questions.build_extremum(t, F.lit(c), F.lit(w), F.lit("Which?"), F.array(F.lit("x"))).collect()
     one, two = ask(questions.as_rows(df), "2004", "lower")[0], ask(questions.as_columns(df), "Pilots", "higher")[0]
     assert one["gold_answer"]["rows"] == [0, 1] and one["metadata"]["edge_cases"] == ["argmax_tie"] and one["question_type"] == "rank_models" and one["split"] == "eval"
-    assert two["gold_answer"]["label"] == "2005" and ask(questions.as_rows(df), "1999", "higher") == [] and ask(questions.as_rows(df), "2004", "upwards") == []
+    assert two["gold_answer"]["label"] == "2005" and ask(questions.as_rows(df), "1999", "higher") == [] and ask(
+        questions.as_rows(df),
+        "2004",
+        "upwards"
+    ) == []
 
 
 def test_dataset_and_round_trip(spark):
     valid, invalid = questions.synthetic_dataset(spark, 30, 9)
     rows = valid.collect()
-    assert len(rows) == 30 and [r["question_type"] for r in sorted(rows, key=lambda r: r["table_index"])] == list(questions.KINDS) * 10 and invalid.count() == 0
+    assert len(rows) == 30 and [
+        r["question_type"] for r in sorted(rows, key=lambda r: r["table_index"])
+    ] == list(questions.KINDS) * 10 and invalid.count() == 0
     keyed = valid.withColumn("k", F.col("metadata.example_id"))
     assert roundtrip.trainable(keyed, "k").count() == 30
     bad = keyed.withColumn("gold_answer", F.col("gold_answer").withField("rows", F.array(F.lit(0), F.lit(1), F.lit(2)).cast("array<int>")))
@@ -66,7 +85,12 @@ def test_dataset_and_round_trip(spark):
 
 
 def test_threshold_is_never_a_value(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0], m, d, u) for m in ("normal", "near_threshold", "empty") for d in ("higher", "lower") for u in (0.0, 0.4, 0.99)] + [([2.0], "normal", "lower", 0.5), ([1.0, 1.08], "near_threshold", "lower", 0.0)], "v array<double>, m string, d string, u double")
+    df = spark.createDataFrame(
+        [
+            ([1.0, 2.0, 3.0], m, d, u) for m in ("normal", "near_threshold", "empty") for d in ("higher", "lower") for u in (0.0, 0.4, 0.99)
+        ] + [([2.0], "normal", "lower", 0.5), ([1.0, 1.08], "near_threshold", "lower", 0.0)],
+        "v array<double>, m string, d string, u double"
+    )
     for r in df.select("*", questions.choose_threshold(F.col("v"), F.col("d"), F.col("m"), F.col("u")).alias("t")).collect():
         assert all(abs(r["t"] - v) > 1e-9 for v in r["v"])
         if r["m"] == "empty":

@@ -21,7 +21,11 @@ def test_empty(spark):
 def test_numbered_as_row_number(spark):
     from pyspark.sql.window import Window
 
-    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 1, None).otherwise((F.col("id") % 50).cast("string")).alias("g"), (F.col("id") * 7919 % 4001).alias("o"), "id")
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 1, None).otherwise((F.col("id") % 50).cast("string")).alias("g"),
+        (F.col("id") * 7919 % 4001).alias("o"),
+        "id"
+    )
     want = df.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("o")))
     assert sorted(map(str, skew.numbered(df, "g", [F.col("o")], "k").collect())) == sorted(map(str, want.collect()))
     assert skew.numbered(df.limit(0), "g", [F.col("o")], "k").count() == 0

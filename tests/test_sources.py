@@ -12,7 +12,10 @@ from tests.conftest import SF
 
 def test_records_round_trip(spark, tmp_path):
     path = str(tmp_path / "in")
-    spark.createDataFrame([("t1", "é"), ("t2", None)], "table_id string, question string").transform(lambda d: sinks.write_jsonl(d.coalesce(1), path) or d)
+    spark.createDataFrame(
+        [("t1", "é"), ("t2", None)],
+        "table_id string, question string"
+    ).transform(lambda d: sinks.write_jsonl(d.coalesce(1), path) or d)
     with open(tmp_path / "in" / "part-x.json", "w") as f:
         f.write('\n{"table_id": "t3", "evidence_cells": [{"row": 1, "value": 2.5}]}\n{broken\n')
     got = {r["table_id"]: r for r in readers.read_records(spark, path).collect()}
@@ -20,8 +23,17 @@ def test_records_round_trip(spark, tmp_path):
 
 
 def test_json_readers(spark, tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps([{"table": {"uid": "a", "table": [["", "1"]]}, "questions": [{"answer_from": "text"}, {"answer_from": "table"}]}, {"table": {"uid": "b"}, "questions": None}]))
-    assert [(r["table"]["uid"], r["ordinal"]) for r in readers.read_contexts(spark, str(tmp_path / "c.json"), table_only=True).collect()] == [("a", 0)]
+    (tmp_path / "c.json").write_text(
+        json.dumps(
+            [
+                {"table": {"uid": "a", "table": [["", "1"]]}, "questions": [{"answer_from": "text"}, {"answer_from": "table"}]},
+                {"table": {"uid": "b"}, "questions": None}
+            ]
+        )
+    )
+    assert [
+        (r["table"]["uid"], r["ordinal"]) for r in readers.read_contexts(spark, str(tmp_path / "c.json"), table_only=True).collect()
+    ] == [("a", 0)]
     assert [r["table"]["uid"] for r in readers.read_contexts(spark, str(tmp_path / "c.json"), limit=1).collect()] == ["a"]
     (tmp_path / "r.json").write_text(json.dumps({"agg": {"n": 1}, "details": [{"example_id": "e", "valid": True}]}))
     assert readers.read_results(spark, str(tmp_path / "r.json")).first()["valid"] is True
@@ -37,16 +49,26 @@ def test_json_readers(spark, tmp_path):
 
 def test_contexts_to_clean_tables(spark, tmp_path):
     grids = [[["", "2001", "2002"], ["Tugs", "3", "(4)"], ["Berths", "5", "n/a"]], [["Tugs"]]]
-    (tmp_path / "c.json").write_text(json.dumps([{"table": {"uid": f"u{i}", "table": g}, "questions": [{"answer_from": "table"}]} for i, g in enumerate(grids)]))
+    (tmp_path / "c.json").write_text(
+        json.dumps([{"table": {"uid": f"u{i}", "table": g}, "questions": [{"answer_from": "table"}]} for i, g in enumerate(grids)])
+    )
     one, two = readers.ingest_file(spark, str(tmp_path / "c.json"), table_only=True).orderBy("ordinal").collect()
-    assert (one["uid"], one["table_id"], one["metric_cols"], one["confidence"], one["table"]["rows"][1]) == ("u0", "table_0000", ["2001", "2002"], "high", ["Berths", "5", ""])
+    assert (
+        one["uid"],
+        one["table_id"],
+        one["metric_cols"],
+        one["confidence"],
+        one["table"]["rows"][1]
+    ) == ("u0", "table_0000", ["2001", "2002"], "high", ["Berths", "5", ""])
     assert (two["confidence"], two["table"]["rows"], two["table"]["headers"]) == ("low", [], ["Tugs"])
 
 
 def test_manifests(spark, tmp_path, monkeypatch):
     roles = spark.createDataFrame([("a", "dev"), ("b", "dev"), ("a", "dev"), ("c", "test")], "base_table_id string, role string")
     sinks.write_manifest(roles, str(tmp_path / "m"))
-    assert {tuple(r) for r in spark.read.json(str(tmp_path / "m/ids")).select("base_table_id", "role").collect()} == {("a", "dev"), ("b", "dev"), ("c", "test")}
+    assert {
+        tuple(r) for r in spark.read.json(str(tmp_path / "m/ids")).select("base_table_id", "role").collect()
+    } == {("a", "dev"), ("b", "dev"), ("c", "test")}
     assert {tuple(r) for r in spark.read.json(str(tmp_path / "m/counts")).select("role", "n").collect()} == {("dev", 2), ("test", 1)}
     monkeypatch.setattr(sinks, "MANIFEST_IDS", 2)
     with pytest.raises(ValueError, match="too many"):
