@@ -18,6 +18,8 @@ CONDITIONS = "array<struct<metric:string,op:string,t:double>>"
 OP = f"struct<type:string,target:string,target_dir:string,constraint:string,op:string,threshold:double,conditions:{CONDITIONS},m1:string,m2:string,d1:string,d2:string,rows:array<int>>"
 CELL = "struct<row:int,col:int,col_name:string,value:string>"
 DIRECTIONS = ("higher", "lower")
+#: So many rows and columns of a table are gathered for its citations; cells beyond them are joined one by one.
+NEAR = 64
 
 
 def engine_error(op: Column, headers: Column) -> Column:
@@ -178,22 +180,54 @@ def classify_cites(cites: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     """What is wrong with each citation, in this order: row_oob, colname_mismatch, ok, wrong_row, rounding, type_format, not_in_column.
 
     ``cites`` has ``key``, ``cite_no``, ``row``, ``col``, ``col_name``, ``value``; ``cells`` has ``key``, ``row``, ``col``,
-    ``col_name``, ``txt`` of every cell. Three equi-joins: the table's size, the cell itself, and the citation's value
-    among the distinct values of its column, by which another row holds it. No column is ever collected.
+    ``col_name``, ``txt`` of every cell. A table's first ``NEAR`` rows and columns are gathered with its size, at most
+    ``NEAR ** 2`` cells, and joined once by key. Citations of larger tables go through two more equi-joins with the cells
+    beyond: the cell itself, and the citation's value among the distinct values of its column, by which another row holds it.
+    No column is ever collected and no side is broadcast, whatever size the planner takes it for.
     """
-    num = lambda c: cell_number(F.col(c))
-    norm = lambda c: F.coalesce(num(c).cast("string"), strip(F.coalesce(F.col(c), F.lit(""))))
-    size = cells.groupBy(key).agg(F.max("row").alias("_last"), F.max("col").alias("_wide"))
-    values = cells.select(key, "col", norm("txt").alias("_norm"), F.lit(True).alias("_held")).distinct()
-    own = cells.select(key, "row", "col", F.col("col_name").alias("_name"), F.col("txt").alias("_cell"))
-    j = cites.withColumn("_norm", norm("value")).join(size, key, "left").join(values, [key, "col", "_norm"], "left").join(own, [key, "row", "col"], "left")
-    a, b = num("value"), num("_cell")
+    norm = lambda c: let(cell_number(c), lambda n: F.coalesce(n.cast("string"), strip(F.coalesce(c, F.lit("")))))
+    near = F.coalesce((F.col("row") < NEAR) & (F.col("col") < NEAR), F.lit(False))
+    cell = F.struct("row", "col", F.col("col_name").alias("name"), "txt")
+    # the cells are gathered alike for small and large tables, so that their exchange is used twice
+    tables = cells.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max("row").alias("_last"),
+        F.max("col").alias("_wide"),
+        F.collect_list(F.when(near, cell)).alias("_near")
+    )
+    tables = with_columns(tables, _norms=F.transform("_near", lambda c: F.struct(c["col"].alias("col"), norm(c["txt"]).alias("norm"))))
+    j = with_columns(cites, _norm=norm(F.col("value"))).join(tables.hint("merge"), key, "left")
+    j = j.select(
+        key,
+        "cite_no",
+        "row",
+        "col",
+        "col_name",
+        "value",
+        "_norm",
+        "_last",
+        "_wide",
+        F.exists("_norms", lambda c: (c["col"] == F.col("col")) & (c["norm"] == F.col("_norm"))).alias("_held"),
+        F.explode_outer(F.filter("_near", lambda c: (c["row"] == F.col("row")) & (c["col"] == F.col("col")))).alias("_own")
+    )
+    far = cells.where(~near)
+    values = far.select(key, "col", norm(F.col("txt")).alias("_norm")).distinct().withColumn("_beyond", F.lit(True))
+    own = far.select(key, "row", "col", F.col("col_name").alias("_name"), F.col("txt").alias("_cell"))
+    large = F.coalesce((F.col("_last") >= NEAR) | (F.col("_wide") >= NEAR), F.lit(False))
+    more = j.where(large).join(values.hint("merge"), [key, "col", "_norm"], "left").join(own.hint("merge"), [key, "row", "col"], "left")
+    found = F.col("_own").isNotNull()
+    name, txt = (F.when(found, F.col(f"_own.{f}")).otherwise(F.col(c)) for f, c in (("name", "_name"), ("txt", "_cell")))
+    told = [key, "cite_no", "row", "col", "col_name", "value", "_norm", "_last", "_wide"]
+    j = j.where(~large).select(*told, "_held", F.col("_own.name").alias("_name"), F.col("_own.txt").alias("_cell")).union(
+        more.select(*told, F.col("_held") | F.col("_beyond").isNotNull(), name, txt)
+    )
+    j = with_columns(j, _a=cell_number(F.col("value")), _b=cell_number(F.col("_cell")))
+    a, b = F.col("_a"), F.col("_b")
     inside = F.coalesce(F.col("row").between(0, F.col("_last")) & F.col("col").between(0, F.col("_wide")), F.lit(False))
-    same = F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 1e-6).otherwise(F.col("_norm") == norm("_cell"))
-    near = F.coalesce(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)) <= 5e-3, F.lit(False))
+    same = F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 1e-6).otherwise(F.col("_norm") == norm(F.col("_cell")))
+    close = F.coalesce(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)) <= 5e-3, F.lit(False))
     label = (
         F.when(~inside, "row_oob").when(~F.coalesce(F.col("_name") == F.col("col_name"), F.lit(False)), "colname_mismatch").when(same, "ok")
-        .when(F.col("_held").isNotNull(), "wrong_row").when(near, "rounding").when(a.isNull() != b.isNull(), "type_format").otherwise("not_in_column")
+        .when(F.coalesce("_held", F.lit(False)), "wrong_row").when(close, "rounding").when(a.isNull() != b.isNull(), "type_format").otherwise("not_in_column")
     )
     return j.select(key, "cite_no", label.alias("label"))
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwise.operators import corpus, engine, validator
+from cellwise.plans import corpus_queries
 from cellwise.sources.readers import RECORD
 
 #: Five ferries: name, cars, knots; the last is a sum.
@@ -352,3 +353,48 @@ def test_citation_labels(spark):
     )
     got = corpus.classify_within(grid, "k", "h", "g", "c").orderBy("cite_no").collect()
     assert [(x["cite_no"], x["label"]) for x in got] == [(i + 1, c[4]) for i, c in enumerate(cases)]
+
+
+def test_citations_of_long_and_wide_tables(spark):
+    n = corpus.NEAR
+    shapes = {1: (3, 2), 2: (2 * n, 2), 3: (2, n + 3), 4: (n, n), 5: (n + 1, n + 1)}
+    grids = {k: [[str(1000 * (i % (2 * n - 1)) + 7 * c) for c in range(w)] for i in range(h)] for k, (h, w) in shapes.items()}
+    heads = {k: [f"c{c}" for c in range(w)] for k, (_, w) in shapes.items()}
+    rows = sorted({0, 1, n - 1, n, n + 1, 2 * n - 1, 2 * n})
+    # the cell's own value, one of another row, one of no row; the first value stands again in the last row of the second table
+    cites = [
+        (k, r, c, f"c{c}", v)
+        for k in shapes for r in rows for c in (0, 1, n - 1, n, n + 2)
+        for v in (str(1000 * r + 7 * c), str(7 * c), str(1000 * (n + 1) + 7 * c), "5")
+    ] + [(None, 0, 0, "c0", "0"), (6, 0, 0, "c0", "0")]
+    told = spark.createDataFrame(
+        [(k, i, *c) for i, (k, *c) in enumerate(cites)],
+        "k int, cite_no int, row int, col int, col_name string, value string"
+    )
+    cells = spark.createDataFrame(
+        [(k, i, c, heads[k][c], v) for k, g in grids.items() for i, row in enumerate(g) for c, v in enumerate(row)],
+        "k int, row int, col int, col_name string, txt string"
+    )
+    got = {x["cite_no"]: x["label"] for x in corpus.classify_cites(told, cells, "k").collect()}
+
+    def label(k, r, c, _, v):
+        g = grids.get(k, [])
+        if r >= len(g) or c >= len(g[0]):
+            return "row_oob"
+        held = any(row[c] == v for row in g)
+        near = abs(float(v) - float(g[r][c])) / max(abs(float(g[r][c])), 1) <= 5e-3
+        return "ok" if g[r][c] == v else "wrong_row" if held else "rounding" if near else "not_in_column"
+
+    assert got == {i: label(*c) for i, c in enumerate(cites)}
+
+
+def test_citations_broadcast_nothing(spark, tmp_path):
+    # tables in nested columns look small to the planner, which would send all cells to the driver
+    cell = "struct<row int, col int, col_name string, value string>"
+    table = "struct<headers array<string>, rows array<array<string>>>"
+    spark.createDataFrame(
+        [(1, (["a"], [["1"], ["2"]]), [(0, 0, "a", "1")])],
+        f"rec_id bigint, table {table}, evidence_cells array<{cell}>"
+    ).write.parquet(f"{tmp_path}/realtable_eval_verified.parquet")
+    out = corpus_queries.classify_cites_joined(spark, str(tmp_path))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
