@@ -6,6 +6,8 @@ The validator in ``validator.py`` shares no predicate with it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,14 +65,23 @@ def _holds(v: Column, op: Column, t: Column) -> Column:
     return F.when(op == "lt", v < t).otherwise(v >= t)
 
 
-def execute(records: DataFrame, key: str, headers: str, rows: str, op: str, row_labels: str | None = None) -> DataFrame:
+def execute(
+    records: DataFrame,
+    key: str,
+    headers: str,
+    rows: str,
+    op: str,
+    row_labels: str | None = None,
+    keep: Sequence[str] = ()
+) -> DataFrame:
     """``key``, ``answer`` (sorted row numbers), ``label``, ``metrics``, ``evidence``, ``error`` for each record's operation on its own table.
 
     The universe is the operation's ``rows`` (numbers out of range are left aside), or all rows where it names none;
     ``bind_universe`` restricts it to entities beforehand. A measure is the first column of that name. Rows are named by
     ``row_labels`` where a table has them, else by their first cell. The evidence are the cells that the answer was read
     from: for an empty answer, those of the whole universe. Records without table or operation have the error ``type``.
-    Keys are unique. One shuffle, by key, of the numbers that the operations name.
+    Keys are unique. Columns of ``records`` named in ``keep`` follow. The numbers that the operations name are shuffled by
+    key, the records with the answers once more; nothing is broadcast, whatever size the planner takes the answers for.
     """
     q = F.col("_op")
     no_rows, no_texts = F.array().cast("array<array<string>>"), F.array().cast("array<string>")
@@ -79,7 +90,8 @@ def execute(records: DataFrame, key: str, headers: str, rows: str, op: str, row_
         F.col(headers).alias("_h"),
         F.coalesce(F.col(rows), no_rows).alias("_rows"),
         F.coalesce(F.col(row_labels) if row_labels else no_texts, no_texts).alias("_names"),
-        F.col(op).alias("_op")
+        F.col(op).alias("_op"),
+        *keep
     )
     base = base.withColumn("_error", engine_error(q, F.col("_h")))
     place = lambda name: (F.array_position(F.col("_h"), name) - 1).cast("int")
@@ -133,7 +145,7 @@ def execute(records: DataFrame, key: str, headers: str, rows: str, op: str, row_
     ).when(kind == "threshold_filter", F.lit(True)).otherwise(undominated)
     won = lines.where(wins).groupBy("_id").agg(F.array_sort(F.collect_list("_row")).alias("_won"))
     answer = F.coalesce("_won", F.array().cast("array<int>"))
-    done = base.join(won, "_id", "left").withColumn("_answer", answer)
+    done = base.join(won.hint("merge"), "_id", "left").withColumn("_answer", answer)
     name = lambda i: F.coalesce(
         F.when(F.size("_names") > 0, F.get(F.col("_names"), i)).otherwise(F.get(F.get(F.col("_rows"), i), F.lit(0))),
         F.lit("")
@@ -173,6 +185,7 @@ def execute(records: DataFrame, key: str, headers: str, rows: str, op: str, row_
         F.when(good, F.when(front, F.array(q["m1"], q["m2"])).otherwise(no_texts)).alias("metrics"),
         F.when(good, evidence).cast(f"array<{CELL}>").alias("evidence"),
         F.col("_error").alias("error"),
+        *keep,
     )
 
 

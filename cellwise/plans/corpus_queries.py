@@ -445,7 +445,8 @@ def constructed(answers: DataFrame, examples: DataFrame) -> DataFrame:
     """``detail_id``, ``grounded_constructed``, ``valid_constructed``: each answer's operation run by the engine over its example's entities,
     and the system's record (the engine's answer with the cells it read as evidence) put before the validator.
 
-    Equal operations of one example are run once. Of a repeated example the last record counts.
+    Equal operations of one example are run once. Of a repeated example the last record counts. The tables go with their
+    runs through the engine to the validator; no join broadcasts a side, since the planner takes nested tables for small.
     """
     last = examples.where("metadata.example_id is not null").groupBy(F.col("metadata.example_id").alias("example_id")).agg(
         F.max_by(F.struct("table_id", "domain", "table", "question", "question_type", "metadata"), "rec_id").alias("r")
@@ -455,33 +456,36 @@ def constructed(answers: DataFrame, examples: DataFrame) -> DataFrame:
         "example_id",
         records.runnable(records.extract_operation(F.col("raw"))).alias("o")
     ).where("o is not null").withColumn("run", F.concat_ws("|", "example_id", F.to_json("o")))
-    runs = a.select("run", "example_id", "o").dropDuplicates(["run"]).join(last, "example_id").select(
+    runs = a.select("run", "example_id", "o").dropDuplicates(["run"]).join(last.hint("merge"), "example_id").select(
         "run",
         "r.*",
         corpus.bind_universe(F.col("o"), F.coalesce("r.table.rows", F.array())).alias("o")
     )
-    e = corpus.execute(runs, "run", "table.headers", "table.rows", "o", "table.row_labels").where("error is null")
+    carried = ("table_id", "domain", "table", "question", "question_type", "metadata")
+    e = corpus.execute(runs, "run", "table.headers", "table.rows", "o", "table.row_labels", carried).where("error is null")
     step = F.struct(
         F.lit(0).alias("index"),
         F.lit("conclude").alias("kind"),
         F.lit("Answer computed from the cited cells.").alias("description"),
         F.col("evidence").alias("cites")
     )
-    system = e.join(runs, "run").select(
-        "run",
-        "table_id",
-        "domain",
-        "table",
-        "question",
-        "question_type",
-        "metadata",
+    # the key says as well whether there is evidence
+    some = F.when(F.size("evidence") > 0, "1").otherwise("0")
+    system = e.select(
+        F.concat(some, "run").alias("key"),
+        *carried,
         F.lit("programmatic").alias("trace_source"),
         F.struct("label", F.col("answer").alias("rows"), "metrics").alias("gold_answer"),
         F.array(step).alias("trace_steps"),
         F.col("evidence").alias("evidence_cells")
     )
-    v = validator.validate(system, "run").select("run", "cells_exist", "valid").join(e.select("run", (F.size("evidence") > 0).alias("some")), "run")
-    return a.join(v, "run").select(
+    v = validator.validate(system, "key").select(
+        F.expr("substr(key, 2)").alias("run"),
+        F.col("key").startswith("1").alias("some"),
+        "cells_exist",
+        "valid"
+    )
+    return a.join(v.hint("merge"), "run").select(
         "detail_id",
         (F.col("some") & F.col("cells_exist")).alias("grounded_constructed"),
         F.col("valid").alias("valid_constructed")
@@ -503,7 +507,11 @@ _SYSTEM = f"""last as (select metadata.example_id as example_id, arg_max(struct_
 def grounded_rescore(spark: SparkSession, d: str) -> DataFrame:
     """Citations by construction: every answer run again by the engine, and its evidence put before the validator."""
     a = table(spark, d, A)
-    c = a.select("detail_id", "model", F.coalesce("grounded", F.lit(False)).alias("g")).join(constructed(a, table(spark, d, R)), "detail_id", "left")
+    c = a.select("detail_id", "model", F.coalesce("grounded", F.lit(False)).alias("g")).join(
+        constructed(a, table(spark, d, R)).hint("merge"),
+        "detail_id",
+        "left"
+    )
     return c.groupBy("model").agg(
         F.count("*").alias("n"),
         F.count_if("g").alias("n_model_grounded"),

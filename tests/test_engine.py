@@ -398,3 +398,21 @@ def test_citations_broadcast_nothing(spark, tmp_path):
     ).write.parquet(f"{tmp_path}/realtable_eval_verified.parquet")
     out = corpus_queries.classify_cites_joined(spark, str(tmp_path))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rescore_broadcasts_nothing(spark, tmp_path):
+    r = record(0, [["a", "3", "1", ""], ["b", "5", "2", ""]], None, {"type": "extremum", "target": "tons", "target_dir": "higher"}, [], "none", [])
+    df = frame(spark, [r]).withColumns({
+        "rec_id": F.lit(1).cast("bigint"),
+        "metadata": F.col("metadata").withField("example_id", F.lit("x")),
+    })
+    df.write.parquet(f"{tmp_path}/realtable_eval_verified.parquet")
+    op = json.dumps({"operation": {"type": "extremum", "target": "tons", "target_dir": "higher"}})
+    lost = op.replace("tons", "miles")
+    answers = [(i, "x", "m", raw, False) for i, raw in enumerate([op, op, lost, "none", None])]
+    spark.createDataFrame(
+        answers, "detail_id bigint, example_id string, model string, raw string, grounded boolean"
+    ).write.parquet(f"{tmp_path}/p3_4b_exec_test_verified.parquet")
+    out = corpus_queries.grounded_rescore(spark, str(tmp_path))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(x)[:4] for x in out.select("model", "n", "n_model_grounded", "n_grounded").collect()] == [("m", 5, 0, 2)]
